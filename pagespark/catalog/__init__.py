@@ -1,0 +1,7 @@
+"""The catalog of named queries; each module registers its queries when imported."""
+
+
+def all_queries():
+    from pagespark.catalog import dom_queries, log_queries, registry  # noqa: F401
+
+    return registry
