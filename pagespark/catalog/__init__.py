@@ -2,6 +2,6 @@
 
 
 def all_queries():
-    from pagespark.catalog import dom_queries, log_queries, registry  # noqa: F401
+    from pagespark.catalog import code_queries, dom_queries, io_queries, log_queries, registry, stream_queries  # noqa: F401
 
     return registry

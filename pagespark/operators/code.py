@@ -24,7 +24,7 @@ DEFINITION_DDL = (
     "ord int, name string, qualname string, node_type string, start_line int, end_line int, source_code string, "
     "decorators array<string>, docstring string"
 )
-DEFINITION_FIELDS = [f.name for f in T.StructType.fromDDL(DEFINITION_DDL)]
+DEFINITION_FIELDS = [part.split()[0] for part in DEFINITION_DDL.split(", ")]
 LINE_DDL = "side string, line_no int, status string, mapped_line int, line string"
 RELATED_COMMITS = 100  # the newest this many commits of a file are looked at for its diff header
 
@@ -408,7 +408,7 @@ def side_by_side(def_changes: DataFrame) -> DataFrame:
     return def_changes.withColumn("comparison", text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unified(old: pd.Series, new: pd.Series, old_label: pd.Series, new_label: pd.Series) -> pd.Series:
     return pd.Series([K.unified(*row) for row in zip(old, new, old_label, new_label)], dtype=object)
 

@@ -157,10 +157,20 @@ def expansion_changes(before: DataFrame, after: DataFrame, keys: tuple[str, ...]
     )
 
 
-TOP_LEVEL = F.col("depth") == 0
-SUCCEEDED = F.coalesce(F.col("success"), F.lit(False))
-CHANGED = SUCCEEDED & F.coalesce(F.col("content_changed"), F.lit(False))
-METHOD = F.coalesce(F.col("method"), F.lit("unknown"))
+def top_level() -> Column:
+    return F.col("depth") == 0
+
+
+def succeeded() -> Column:
+    return F.coalesce(F.col("success"), F.lit(False))
+
+
+def changed() -> Column:
+    return succeeded() & F.coalesce(F.col("content_changed"), F.lit(False))
+
+
+def method() -> Column:
+    return F.coalesce(F.col("method"), F.lit("unknown"))
 
 
 def _count(test: Column, name: str) -> Column:
@@ -169,8 +179,8 @@ def _count(test: Column, name: str) -> Column:
 
 def method_counts(interaction_log: DataFrame) -> DataFrame:
     """How often each method succeeded on a top-level element: (page_id, method, n)."""
-    done = interaction_log.filter(TOP_LEVEL & SUCCEEDED)
-    return done.groupBy("page_id", METHOD.alias("method")).agg(F.count("*").alias("n"))
+    done = interaction_log.filter(top_level() & succeeded())
+    return done.groupBy("page_id", method().alias("method")).agg(F.count("*").alias("n"))
 
 
 def with_methods(interaction_log: DataFrame, totals: dict[str, Column]) -> DataFrame:
@@ -179,8 +189,8 @@ def with_methods(interaction_log: DataFrame, totals: dict[str, Column]) -> DataF
     First by (page, method), which combines on the map side, so a page with a huge log
     reaches the second step as one row per method.
     """
-    part = interaction_log.groupBy("page_id", METHOD.alias("method")).agg(
-        _count(TOP_LEVEL & SUCCEEDED, "_n"), *[c.alias(k) for k, c in totals.items()]
+    part = interaction_log.groupBy("page_id", method().alias("method")).agg(
+        _count(top_level() & succeeded(), "_n"), *[c.alias(k) for k, c in totals.items()]
     )
     entry = F.when(F.col("_n") > 0, F.struct("method", F.col("_n")))
     folded = {k: (F.max if k.startswith("max_") else F.sum) for k in totals}
@@ -195,18 +205,18 @@ def expansion_summary(interaction_log: DataFrame) -> DataFrame:
     return with_methods(
         interaction_log,
         {
-            "total_elements": F.count_if(TOP_LEVEL),
-            "successful_expansions": F.count_if(TOP_LEVEL & SUCCEEDED),
-            "failed_expansions": F.count_if(TOP_LEVEL & ~SUCCEEDED),
-            "content_changes": F.count_if(TOP_LEVEL & CHANGED),
-            "nested_discoveries": F.count_if(~TOP_LEVEL),
+            "total_elements": F.count_if(top_level()),
+            "successful_expansions": F.count_if(top_level() & succeeded()),
+            "failed_expansions": F.count_if(top_level() & ~succeeded()),
+            "content_changes": F.count_if(top_level() & changed()),
+            "nested_discoveries": F.count_if(~top_level()),
         },
     )
 
 
 def nested_counts(interaction_log: DataFrame) -> DataFrame:
     """Elements that revealed others: (page_id, element_id, n_nested, max_depth)."""
-    inner = interaction_log.filter(~TOP_LEVEL & F.col("parent_element_id").isNotNull())
+    inner = interaction_log.filter(~top_level() & F.col("parent_element_id").isNotNull())
     return inner.groupBy("page_id", F.col("parent_element_id").alias("element_id")).agg(
         F.count("*").alias("n_nested"), F.max("depth").alias("max_depth")
     )

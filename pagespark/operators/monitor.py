@@ -89,16 +89,20 @@ def significant_messages(value) -> Column:
 
 
 # -- mutations --------------------------------------------------------------------------------
-MUTATION_TYPE = F.coalesce(F.col("type"), F.lit("unknown"))
-TARGET_TAG = F.coalesce(F.col("target.tag"), F.lit("unknown"))
+def mutation_type() -> Column:
+    return F.coalesce(F.col("type"), F.lit("unknown"))
+
+
+def target_tag() -> Column:
+    return F.coalesce(F.col("target.tag"), F.lit("unknown"))
 
 
 def mutation_types(log: DataFrame) -> DataFrame:
-    return log.groupBy("page_id", MUTATION_TYPE.alias("type")).agg(F.count("*").alias("n"))
+    return log.groupBy("page_id", mutation_type().alias("type")).agg(F.count("*").alias("n"))
 
 
 def mutation_targets(log: DataFrame) -> DataFrame:
-    return log.groupBy("page_id", TARGET_TAG.alias("tag")).agg(F.count("*").alias("n"))
+    return log.groupBy("page_id", target_tag().alias("tag")).agg(F.count("*").alias("n"))
 
 
 def timeline_span() -> Column:

@@ -40,9 +40,6 @@ FAILURE_POINTS = ["Elements not found", "Elements not clickable", "Content not l
 PRIMARY_TEXT, SUBSTANTIAL_TEXT, LONG_TEXT = 1000, 500, 2000
 VERSION = "1.0"
 
-_N = F.lit(None)
-
-
 def _rows(dom: DataFrame, array: Column) -> DataFrame:
     return dom.select(*D.page_keys(dom), F.inline(array))
 
@@ -169,8 +166,8 @@ def content_selectors_array(areas: Column) -> Column:
             F.lit(s).alias("selector"),
             F.lit(kind).alias("type"),
             F.lit(c).alias("confidence"),
-            _N.cast("int").alias("expected_content_length"),
-            _N.cast("string").alias("description"),
+            F.lit(None).cast("int").alias("expected_content_length"),
+            F.lit(None).cast("string").alias("description"),
         )
         for s, kind, c in COMMON_SELECTORS
     ]
@@ -202,7 +199,7 @@ def metadata_selectors_array() -> Column:
     )
     tops = F.transform(
         D.matching(lambda n: css("h1", n)),
-        lambda x: item(F.lit("h1"), _N, "title_heading", F.lit("Page title from H1")),
+        lambda x: item(F.lit("h1"), F.lit(None), "title_heading", F.lit("Page title from H1")),
     )
     return F.concat(metas, tops)
 
@@ -265,29 +262,29 @@ def expandable_analysis(interaction_log: DataFrame) -> DataFrame:
     return E.with_methods(
         interaction_log,
         {
-            "total_expandable": F.count_if(E.TOP_LEVEL),
-            "successful_expansions": F.count_if(E.TOP_LEVEL & E.SUCCEEDED),
-            "max_nested_levels": F.coalesce(F.max(F.when(~E.TOP_LEVEL, F.col("depth"))), F.lit(0)),
+            "total_expandable": F.count_if(E.top_level()),
+            "successful_expansions": F.count_if(E.top_level() & E.succeeded()),
+            "max_nested_levels": F.coalesce(F.max(F.when(~E.top_level(), F.col("depth"))), F.lit(0)),
         },
     ).withColumnRenamed("max_nested_levels", "nested_levels")
 
 
 def content_reveals(interaction_log: DataFrame) -> DataFrame:
-    done = interaction_log.filter(E.TOP_LEVEL & E.CHANGED)
-    return done.select("page_id", "element_id", E.METHOD.alias("method"))
+    done = interaction_log.filter(E.top_level() & E.changed())
+    return done.select("page_id", "element_id", E.method().alias("method"))
 
 
 def interaction_requirements(interaction_log: DataFrame) -> DataFrame:
     """Elements whose use changed the page; priority is high for those that revealed others."""
-    wanted = interaction_log.filter(E.TOP_LEVEL & E.CHANGED).select("page_id", "element_id", "method")
+    wanted = interaction_log.filter(E.top_level() & E.changed()).select("page_id", "element_id", "method")
     flagged = wanted.join(E.nested_counts(interaction_log), ["page_id", "element_id"], "left")
     priority = F.when(F.col("n_nested").isNotNull(), "high").otherwise("medium")
     return flagged.select("page_id", "element_id", "method", priority.alias("priority"))
 
 
 def failure_stats(interaction_log: DataFrame) -> DataFrame:
-    top = interaction_log.filter(E.TOP_LEVEL)
-    return top.groupBy("page_id").agg(F.avg((~E.SUCCEEDED).cast("int")).alias("interaction_failure_rate")).select(
+    top = interaction_log.filter(E.top_level())
+    return top.groupBy("page_id").agg(F.avg((~E.succeeded()).cast("int")).alias("interaction_failure_rate")).select(
         "*", F.lit(STRATEGIES).alias("recommended_strategies"), F.lit(FAILURE_POINTS).alias("common_failure_points")
     )
 
@@ -297,10 +294,10 @@ def interaction_facts(interaction_log: DataFrame) -> DataFrame:
     facts = E.with_methods(
         interaction_log,
         {
-            "total": F.count_if(E.TOP_LEVEL),
-            "succeeded": F.count_if(E.TOP_LEVEL & E.SUCCEEDED),
-            "changed": F.count_if(E.TOP_LEVEL & E.CHANGED),
-            "max_depth": F.coalesce(F.max(F.when(~E.TOP_LEVEL, F.col("depth"))), F.lit(0)),
+            "total": F.count_if(E.top_level()),
+            "succeeded": F.count_if(E.top_level() & E.succeeded()),
+            "changed": F.count_if(E.top_level() & E.changed()),
+            "max_depth": F.coalesce(F.max(F.when(~E.top_level(), F.col("depth"))), F.lit(0)),
         },
     )
     parents = E.nested_counts(interaction_log).groupBy("page_id").agg(F.count("*").alias("with_nested"))

@@ -95,7 +95,7 @@ def read_checkout(spark: SparkSession, root: str, repo: str, ref: str, glob: str
     )
     size = F.octet_length("content").cast("string")
     blob = F.concat(F.encode(F.concat(F.lit("blob "), size), "UTF-8"), F.lit(bytearray(b"\0")), F.col("content"))
-    at = F.lit(root.rstrip("/").rsplit(":", 1)[-1] + "/")
+    at = root.rstrip("/").rsplit(":", 1)[-1] + "/"
     return files.select(
         F.lit(repo).alias("repo"),
         F.lit(ref).alias("ref"),

@@ -31,7 +31,7 @@ def stream_mutation_types(events: DataFrame, window: str = "1 day", watermark: s
     """Records per page and type in tumbling windows.  Partial counts combine before the shuffle."""
     return (
         events.withWatermark("ts", watermark)
-        .groupBy(F.window("ts", window), "page_id", M.MUTATION_TYPE.alias("type"))
+        .groupBy(F.window("ts", window), "page_id", M.mutation_type().alias("type"))
         .agg(F.count("*").alias("n"))
         .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "page_id", "type", "n")
     )
