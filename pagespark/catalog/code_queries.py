@@ -89,6 +89,11 @@ def _(spark, sf):
 
 
 @query("repository_totals", "SELECT * FROM totals")
+def _(spark, sf):
+    return C.repo_totals_of(_files(spark, sf))
+
+
+@query("repository_totals_of_tables", "SELECT * FROM totals")
 def _(spark, sf):
     files = _files(spark, sf)
     return C.repo_totals(files, C.definition_changes(files))
@@ -100,7 +105,8 @@ def _(spark, sf):
     FROM totals WHERE contains(repo, '/')""",
 )
 def _(spark, sf):
-    return C.overall_totals(C.repo_totals(*H.analyze_refs(_versions(spark, sf), "base", "head")))
+    files = C.changed_files(C.valid_repos(_versions(spark, sf)), "base", "head")
+    return C.overall_totals(C.repo_totals_of(files))
 
 
 @query(
@@ -112,8 +118,7 @@ def _(spark, sf):
     CROSS JOIN (SELECT count(*) AS repositories, CAST(sum(files_changed) AS BIGINT) AS files_changed, CAST(sum(definitions_changed) AS BIGINT) AS definitions_changed FROM totals) a""",
 )
 def _(spark, sf):
-    files = _files(spark, sf)
-    report = C.change_report(files, C.definition_changes(files))
+    report = H.report(_files(spark, sf))
     shown = [c for c in report.columns if c.startswith(("repo_", "all_"))]
     return report.select(*_SHORT, "status", "old_sha", "new_sha", *shown)
 

@@ -34,7 +34,7 @@ def _(spark, sf):
 
 @query("dom_snapshot")
 def _(spark, sf):
-    return D.dom_snapshot(_aug(spark, sf)).drop("attrs", "classes", "ancestors")
+    return D.dom_snapshot(_aug(spark, sf)).drop("attrs", "classes", "id_ancestors")
 
 
 @query(

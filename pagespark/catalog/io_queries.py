@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pagespark.catalog.registry import query
 from pagespark.catalog.tables import commits, derived, mutation_log
 from pagespark.operators import code as C
+from pagespark.plans import history as H
 from pagespark.plans import spec as G
 from pagespark.plans import summary as B
 from pagespark.sources import readers as R
@@ -153,5 +154,5 @@ def _(spark, sf):
 def _(spark, sf):
     path = f"{shared_folder(spark)}/report"
     files = C.changed_files(derived(spark, sf, "file_versions"), "base", "head")
-    K.write_change_report(C.change_report(files, C.definition_changes(files)), path)
+    K.write_change_report(H.report(files), path)
     return spark.read.parquet(path).select("repo", "path", "name", "status")

@@ -19,12 +19,14 @@ _DIALECT = {
         "DIV": "div",
         "MICROS": "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)",
         "FILE_TEXT": "listagg(src, chr(10)) WITHIN GROUP (ORDER BY p_partkey)",
+        "PARTS_X_REFS": "(SELECT *, explode(array('base', 'head')) AS ref FROM part) r",
         "PAGES_X_STEPS": "(SELECT page_id, explode(sequence(0, 120)) AS ix FROM pages) s",
     },
     "duckdb": {
         "DIV": "//",
         "MICROS": "date_diff('microsecond', TIMESTAMP '2024-01-01 00:00:00', ts)",
         "FILE_TEXT": "string_agg(src, chr(10) ORDER BY p_partkey)",
+        "PARTS_X_REFS": "(SELECT *, unnest(['base', 'head']) AS ref FROM part) r",
         "PAGES_X_STEPS": "(SELECT page_id, unnest(range(0, 121)) AS ix FROM pages) s",
     },
 }
@@ -101,7 +103,7 @@ SELECT CASE WHEN (p_partkey {DIV} 80) % 10 = 9 THEN concat('solo', p_partkey {DI
     CASE WHEN p_partkey % 5 = 1 THEN 'async ' ELSE '' END, 'def f_', p_partkey, '(x):', chr(10),
     CASE WHEN p_partkey % 3 = 0 THEN concat('    \"\"\"Doc ', p_partkey, '\"\"\"', chr(10)) ELSE '' END, '    return x + ',
     CASE WHEN r.ref = 'head' AND p_partkey % 5 = 0 AND (p_partkey {DIV} 8) % 3 <> 0 THEN '2' ELSE '1' END, chr(10)) AS src
-FROM part CROSS JOIN (SELECT 'base' AS ref UNION ALL SELECT 'head' AS ref) r
+FROM {PARTS_X_REFS}
 WHERE NOT (r.ref = 'base' AND (p_partkey {DIV} 8) % 13 = 1)
   AND NOT (r.ref = 'head' AND (p_partkey {DIV} 8) % 17 = 2)
   AND NOT ((p_partkey {DIV} 8) % 3 <> 0 AND (r.ref = 'base' AND p_partkey % 7 = 1 OR r.ref = 'head' AND p_partkey % 7 = 2))""",
@@ -149,8 +151,10 @@ def given(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def derived(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    ctes = [f"{t} AS (SELECT * FROM parquet.`{folder}/{t}.parquet`)" for t in sorted(GIVEN)]
-    ctes += [f"{t} AS ({_fill(DERIVED[t], 'spark')})" for t in [*_needed(DERIVED[name], {}), name]]
+    steps = [*_needed(DERIVED[name], {}), name]
+    read = GIVEN & {t for step in steps for t in _WORD.findall(_fill(DERIVED[step], "spark"))}
+    ctes = [f"{t} AS (SELECT * FROM parquet.`{folder}/{t}.parquet`)" for t in sorted(read)]
+    ctes += [f"{t} AS ({_fill(DERIVED[t], 'spark')})" for t in steps]
     return spark.sql(f"WITH {', '.join(ctes)} SELECT * FROM {name}")
 
 

@@ -152,8 +152,11 @@ def _both_sides(old: str | None, new: str | None):
     return K.definitions_of(old)[0], K.definitions_of(new)[0]
 
 
-def definition_sides(file_changes: DataFrame) -> DataFrame:
-    """Definitions of both sides of changed files, ``side`` old or new; both parsed in one pass."""
+def definition_sides(file_changes: DataFrame, keep_files: bool = False) -> DataFrame:
+    """Definitions of both sides of changed files, ``side`` old or new; both parsed in one pass.
+
+    With ``keep_files``, a file without any definition has one row of NULLs.
+    """
     keys = file_keys(file_changes)
     texts = file_changes.select(*keys, "old_content", "new_content")
     ddl = f"array<struct<{DEFINITION_DDL}>>"
@@ -164,7 +167,8 @@ def definition_sides(file_changes: DataFrame) -> DataFrame:
             f"{side}_defs", lambda d: F.struct(F.lit(side).alias("side"), *[d[f].alias(f) for f in DEFINITION_FIELDS])
         )
 
-    return parsed.select(*keys, F.inline(F.concat(tagged("old"), tagged("new"))))
+    rows = F.inline_outer if keep_files else F.inline
+    return parsed.select(*keys, rows(F.concat(tagged("old"), tagged("new"))))
 
 
 def changed_definitions(old: DataFrame, new: DataFrame, key: str = "name") -> DataFrame:
@@ -219,6 +223,24 @@ def repo_totals(file_changes: DataFrame, def_changes: DataFrame) -> DataFrame:
     )
 
 
+def repo_totals_of(file_changes: DataFrame, key: str = "name") -> DataFrame:
+    """The same straight from changed files: one chain of groupings, so files and definitions are
+    computed once.  Only digests of the sources are shuffled."""
+    keys = [k for k in file_keys(file_changes) if k != "ref"]
+    sides = definition_sides(file_changes, keep_files=True)
+    digest = F.sha2(F.col("source_code"), 256)
+
+    def last(side: str) -> Column:
+        return F.max_by("digest", F.when(F.col("side") == side, F.col("ord")))
+
+    slim = sides.select(*keys, F.col(key).alias("key"), "side", "ord", digest.alias("digest"))
+    matched = slim.groupBy(*keys, "key").agg((~last("old").eqNullSafe(last("new"))).alias("changed"))
+    per_file = matched.groupBy(*keys).agg(F.count_if("changed").alias("n"))
+    return per_file.groupBy(*[k for k in keys if k != "path"]).agg(
+        F.count("*").alias("files_changed"), F.sum("n").alias("definitions_changed")
+    )
+
+
 def overall_totals(totals: DataFrame) -> DataFrame:
     return totals.agg(
         F.count("*").alias("repositories"),
@@ -232,14 +254,13 @@ def change_report(file_changes: DataFrame, def_changes: DataFrame) -> DataFrame:
     keys = file_keys(file_changes)
     totals = repo_totals(file_changes, def_changes)
     repo_keys = [k for k in keys if k != "path"]
-    overall = overall_totals(totals).select(  # exactly one row
-        F.col("repositories").alias("all_repositories"),
-        F.col("files_changed").alias("all_files_changed"),
-        F.col("definitions_changed").alias("all_definitions_changed"),
-    )
-    named = totals.withColumnsRenamed(
-        {"files_changed": "repo_files_changed", "definitions_changed": "repo_definitions_changed"}
-    ).join(F.broadcast(overall), how="cross")  # the one row meets per-repository rows, not the detail
+    overall = overall_totals(totals)
+    named = totals.select(
+        *repo_keys,
+        F.col("files_changed").alias("repo_files_changed"),
+        F.col("definitions_changed").alias("repo_definitions_changed"),
+        overall.select(F.struct("*")).scalar().alias("all"),
+    ).select("*", *[F.col(f"all.{c}").alias(f"all_{c}") for c in overall.columns]).drop("all")
     files = file_changes.select(*keys, "status", "old_sha", "new_sha")
     return def_changes.join(files, keys).join(named, repo_keys)
 

@@ -31,10 +31,13 @@ TEXT_LIMIT = 200
 _INT, _STR, _BOOL = pa.int32(), pa.string(), pa.bool_()
 
 
-def _ancestors(doc: Document) -> list[list[int]]:
+def _id_ancestors(doc: Document) -> list[list[int]]:
+    """For each node its ancestors that have an id; nodes without a new one share their parent's list."""
     out: list[list[int]] = []
     for n in doc.nodes:
-        out.append([] if n.parent is None else out[n.parent.nid] + [n.parent.nid])
+        p = n.parent
+        above = [] if p is None else out[p.nid]
+        out.append(above + [p.nid] if p is not None and p.attrs.get("id") else above)
     return out
 
 
@@ -73,7 +76,7 @@ NODE_FIELDS: dict[str, tuple] = {
     "links_within": (_INT, "int", _each(lambda n: n.links)),
     "fields_within": (_INT, "int", _each(lambda n: n.fields)),
     "aria_within": (_INT, "int", _each(lambda n: n.arias)),
-    "ancestors": (pa.list_(_INT), "array<int>", _ancestors),
+    "id_ancestors": (pa.list_(_INT), "array<int>", _id_ancestors),
 }
 PAGE_FIELDS: dict[str, tuple] = {
     "full_text": (_STR, "string", lambda d: d.full_text),

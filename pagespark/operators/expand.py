@@ -65,41 +65,54 @@ def expandable_elements(pages: DataFrame) -> DataFrame:
 def nested_expandables(pages: DataFrame, per_level: int | None = NESTED_PER_PARENT) -> DataFrame:
     """Collapsed elements inside an expandable element that has an id: the first few per parent.
 
-    A candidate meets its parents through its own list of ancestors: an equi-join on
-    (capture, ancestor), so a page with many expandables never compares all pairs.
-    Pages without both sides drop out before the join.
+    A candidate meets its parents through its own list of ancestors with an id: parents and
+    candidates are emitted as rows keyed by (capture, parent) from one parse, and meet in one
+    shuffle on that key.  Pairs that do not nest are never formed.
     """
-    dom = D.ensure_dom(pages, *EXPANDABLE_FIELDS, "ancestors")
-    keys = D.page_keys(dom)
+    dom = D.ensure_dom(pages, *EXPANDABLE_FIELDS, "id_ancestors")
+    keys = [*D.page_keys(dom), "parent_nid"]
 
     def is_parent(n: Node) -> Column:
         return is_expandable_candidate(n) & (n("id") != "")
 
     def is_nested(n: Node) -> Column:
-        return n("static_visible") & (F.size(all_matches(NESTED_SELECTORS, n)) > 0)
+        return n("static_visible") & (F.size(n("id_ancestors")) > 0)
 
-    both = dom.filter(
-        F.exists("nodes", lambda x: is_parent(x.getField)) & F.exists("nodes", lambda x: is_nested(x.getField))
-    )
-    parents = D.node_rows(both, is_parent, lambda n: [n("nid").alias("parent_nid"), n("id").alias("parent_id")])
-    inner = D.node_rows(
-        both,
-        is_nested,
-        lambda n: [
-            n("ancestors").alias("ancestors"),
-            all_matches(NESTED_SELECTORS, n).alias("hits"),
+    def cells(n: Node) -> list[Column]:
+        return [
             *[n(f).alias(f) for f in ("nid", "tag", "id", "class_name")],
             D.short_text(n, 100).alias("text"),
             D.attr(n, "aria-expanded").alias("aria_expanded"),
-        ],
+        ]
+
+    own = F.transform(
+        D.matching(is_parent),
+        lambda x: F.struct(
+            F.array(x["nid"]).alias("parents"), x["id"].alias("own_id"), F.array(F.lit(-1)).alias("hits"),
+            *cells(x.getField),
+        ),
+    )
+    inner = F.transform(
+        D.matching(is_nested),
+        lambda x: F.struct(
+            x["id_ancestors"].alias("parents"), F.lit(None).cast("string").alias("own_id"),
+            all_matches(NESTED_SELECTORS, x.getField).alias("hits"), *cells(x.getField),
+        ),
+    )
+    both = dom.filter(F.exists("nodes", lambda x: is_parent(x.getField)))
+    rows = both.select(*D.page_keys(dom), F.inline(F.concat(own, F.filter(inner, lambda x: F.size(x["hits"]) > 0))))
+    rows = rows.withColumn("parent_nid", F.explode("parents")).drop("parents")
+    rows = rows.withColumn("sel_ix", F.explode("hits")).drop("hits")
+    # the parent's own row sorts first, with rank 0
+    group = W.partitionBy(*keys)
+    order = group.orderBy("sel_ix", "nid")
+    ranked = rows.withColumn("parent_id", F.max("own_id").over(group))
+    ranked = ranked.withColumn("rank", F.row_number().over(order) - 1).filter(
+        F.col("parent_id").isNotNull() & (F.col("rank") > 0)
     )
-    inner = inner.withColumn("parent_nid", F.explode("ancestors")).drop("ancestors")
-    found = inner.join(parents, [*keys, "parent_nid"]).withColumn("sel_ix", F.explode("hits")).drop("hits")
-    found = found.withColumn("selector", selector_name(NESTED_SELECTORS, F.col("sel_ix")))
-    if per_level is None:
-        return found
-    order = W.partitionBy(*keys, "parent_nid").orderBy("sel_ix", "nid")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_level)
+    if per_level is not None:
+        ranked = ranked.filter(F.col("rank") <= per_level)
+    return ranked.withColumn("selector", selector_name(NESTED_SELECTORS, F.col("sel_ix"))).drop("own_id")
 
 
 def element_id(elements: DataFrame) -> DataFrame:

@@ -147,31 +147,30 @@ def stability_point(log: DataFrame, quiet_ms: int = QUIET_MS) -> DataFrame:
     """End of the first ``quiet_ms`` without a mutation, the clock starting at 0: (page_id, stable_at_ms).
 
     Time is cut into bins of ``quiet_ms``.  Inside a bin no gap can be long enough, so a bin
-    is summed up by its first and last offset, and a quiet stretch starts at a bin's last
-    offset iff the next bin is empty or begins late enough.  Each bin therefore only has to
-    meet its neighbour: records combine on the map side and a busy page spreads over its bins.
+    is summed up by its last offset, and quiet follows it iff the next bin is empty or begins
+    late enough.  A record therefore speaks for its own bin and, as a successor, to the bin
+    before; both combine on the map side, and a busy page spreads over its bins.  Before the
+    first record it is quiet iff bin 0 is empty.
     """
     q = F.lit(quiet_ms).cast("long")
-    ts = F.col("ts_ms").cast("long")
-    start = log.select("page_id").distinct().select("page_id", F.lit(0).cast("long").alias("ts"))
-    stamps = log.select("page_id", ts.alias("ts")).unionByName(start)
-    bins = stamps.groupBy("page_id", F.floor(F.col("ts") / q).alias("bin")).agg(
-        F.min("ts").alias("first"), F.max("ts").alias("last")
-    )
-    none = F.lit(None).cast("long")
-    # a bin speaks for itself and, as the successor, to the bin before it
-    said = bins.select(
+    ts, none = F.col("ts_ms").cast("long"), F.lit(None).cast("long")
+    own = F.floor(ts / q)
+    said = log.select(
         "page_id",
         F.inline(
             F.array(
-                F.struct(F.col("bin"), F.col("last"), none.alias("next_first")),
-                F.struct((F.col("bin") - 1).alias("bin"), none.alias("last"), F.col("first").alias("next_first")),
+                F.struct(own.alias("bin"), ts.alias("last"), none.alias("next_first")),
+                F.struct((own - 1).alias("bin"), none.alias("last"), ts.alias("next_first")),
             )
         ),
     )
-    met = said.groupBy("page_id", "bin").agg(F.max("last").alias("last"), F.max("next_first").alias("next_first"))
-    quiet = F.col("last").isNotNull() & (F.coalesce(F.col("next_first") - F.col("last"), q) >= q)
-    return met.filter(quiet).groupBy("page_id").agg((F.min("last") + q).alias("stable_at_ms"))
+    bins = said.groupBy("page_id", "bin").agg(F.max("last").alias("last"), F.min("next_first").alias("next_first"))
+    filled = F.col("last").isNotNull()
+    quiet = filled & (F.coalesce(F.col("next_first") - F.col("last"), q) >= q)
+    page = bins.groupBy("page_id").agg(
+        F.min(F.when(quiet, F.col("last"))).alias("last"), F.max(filled & (F.col("bin") == 0)).alias("starts_busy")
+    )
+    return page.select("page_id", F.when(F.col("starts_busy"), F.col("last") + q).otherwise(q).alias("stable_at_ms"))
 
 
 def settle_point(

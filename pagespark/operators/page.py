@@ -295,18 +295,20 @@ def metric_columns() -> list[Column]:
 def content_metrics(pages: DataFrame, layout: DataFrame | None = None, viewport_height: int | None = None) -> DataFrame:
     """Counts per capture.  With a layout, visibility is measured and page height known."""
     dom = D.ensure_dom(pages, *METRIC_FIELDS)
-    metrics = _one_row(dom, *metric_columns())
     if layout is None:
-        return metrics
+        return _one_row(dom, *metric_columns())
     keys = D.page_keys(dom)
-    boxes = D.with_visibility(D.dom_nodes(dom), layout)
-    measured = boxes.groupBy(*keys).agg(
-        F.count_if("visible").cast("int").alias("visibleElements"),
+    # a page's figures travel with its first node, so that boxes join without a second parse
+    cells = F.transform("nodes", lambda x: F.struct(x["nid"], x["tag"], x["static_visible"]))
+    nodes = dom.select(*keys, F.struct(*metric_columns()).alias("m"), F.posexplode_outer(cells).alias("ix", "n"))
+    nodes = nodes.select(*keys, "n.*", F.when(F.coalesce("ix", F.lit(0)) == 0, F.col("m")).alias("m"))
+    measured = D.with_visibility(nodes, layout).groupBy(*keys).agg(
+        F.max("m").alias("m"),
+        F.count_if("visible").cast("int").alias("seen"),
         F.max(F.when(F.col("tag") == "BODY", F.col("height"))).alias("pageHeight"),
     )
-    return metrics.drop("visibleElements").join(measured, keys, "left").withColumn(
-        "viewportHeight", F.lit(viewport_height).cast("int")
-    )
+    figures = [F.col("seen" if name == "visibleElements" else f"m.{name}").alias(name) for name in METRICS]
+    return measured.select(*keys, *figures, "pageHeight", F.lit(viewport_height).cast("int").alias("viewportHeight"))
 
 
 VISIBLE_SCAN = 100

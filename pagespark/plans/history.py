@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from pagespark.operators import code as C
+from pagespark.streaming.run import written
 
 
 def analyze_refs(versions: DataFrame, base: str, head: str, key: str = "name") -> tuple[DataFrame, DataFrame]:
@@ -17,3 +18,14 @@ def history(versions: DataFrame, commits: DataFrame, since=None, key: str = "nam
     """The same for each pair of neighbouring commits since a point in time; rows carry base_ref and head_ref."""
     files = C.changed_files_of_pairs(C.valid_repos(versions), C.commit_pairs(commits, since))
     return files, C.definition_changes(files, key)
+
+
+def report(file_changes: DataFrame, key: str = "name") -> DataFrame:
+    """The change report of changed files.
+
+    Detail, repository totals and overall totals all read the changed definitions, so these are
+    written once; the files take part without their texts.
+    """
+    defs = written(C.definition_changes(file_changes, key))
+    files = written(file_changes.drop("old_content", "new_content"))
+    return C.change_report(files, defs)

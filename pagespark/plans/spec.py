@@ -45,7 +45,7 @@ def _rows(dom: DataFrame, array: Column) -> DataFrame:
 
 
 # -- sections from the markup -----------------------------------------------------------------
-def static_elements_array() -> Column:
+def static_elements_array(areas: Column) -> Column:
     def element(kind: str, nid: Column, importance: Column, **given: Column) -> Column:
         shape = {"level": "string", "text": "string", "selector": "string", "tag": "string", "class_name": "string",
                  "link_count": "int", "text_length": "int"}
@@ -73,7 +73,7 @@ def static_elements_array() -> Column:
     return F.concat(
         F.transform(D.matching(lambda n: n("tag").isin(P.HEADINGS)), heading),
         F.transform(D.matching(lambda n: css(P.NAV_SELECTOR, n)), nav),
-        F.transform(F.filter(P.area_structs(), lambda a: a["selector"].isin(AREA_IN_SPEC)), area),
+        F.transform(F.filter(areas, lambda a: a["selector"].isin(AREA_IN_SPEC)), area),
     )
 
 
@@ -82,7 +82,7 @@ STATIC_FIELDS = {*P.AREA_FIELDS, "class_name", "links_within", "text_start", "fu
 
 def static_elements(pages: DataFrame) -> DataFrame:
     """Headings, navigation blocks and main content areas."""
-    return _rows(D.ensure_dom(pages, *STATIC_FIELDS), static_elements_array())
+    return _rows(D.ensure_dom(pages, *STATIC_FIELDS), static_elements_array(P.area_structs()))
 
 
 def dynamic_elements_array() -> Column:
@@ -139,15 +139,16 @@ def layout_columns(nav_aware: bool = False) -> list[Column]:
 def layout_analysis(pages: DataFrame, layout: DataFrame | None = None, nav_aware: bool = False) -> DataFrame:
     """Primary content areas and layout type; with a layout also the total area in pixels."""
     dom = D.ensure_dom(pages, *LAYOUT_FIELDS)
-    out = dom.withColumn("areas", P.area_structs()).select(*D.page_keys(dom), *layout_columns(nav_aware))
-    if layout is None:
-        return out
     keys = D.page_keys(dom)
-    areas = P.content_areas(dom).join(layout, [*keys, "nid"])
-    total = areas.groupBy(*keys).agg(
-        F.sum(F.col("width").cast("long") * F.col("height")).alias("total_content_area")
-    )
-    return out.join(total, keys, "left")
+    dom = dom.withColumn("areas", P.area_structs())
+    if layout is None:
+        return dom.select(*keys, *layout_columns(nav_aware))
+    # one row per area, or one for a page without any, so that boxes join without a second parse
+    areas = dom.select(*keys, *layout_columns(nav_aware), F.explode_outer("areas").alias("area"))
+    boxes = layout.select(*[c for c in layout.columns if c in keys], "nid", "width", "height")
+    measured = areas.withColumn("nid", F.col("area.nid")).join(boxes, [*keys, "nid"], "left")
+    total = F.sum(F.col("width").cast("long") * F.col("height")).alias("total_content_area")
+    return measured.groupBy(*keys, "primary_content_areas", "layout_type").agg(total)
 
 
 def content_selectors_array(areas: Column) -> Column:
@@ -425,7 +426,7 @@ def page_specs(
     spec = dom.select(
         "page_id",
         F.struct(F.col("url"), P.title_column().alias("title"), F.lit(VERSION).alias("analysis_version")).alias("metadata"),
-        static_elements_array().alias("static_elements"),
+        static_elements_array(F.col("areas")).alias("static_elements"),
         dynamic_elements_array().alias("dynamic_elements"),
         F.struct(*layout_columns()).alias("layout_analysis"),
         F.struct(

@@ -12,6 +12,10 @@ SETTINGS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
     # sessions of a busy key merge before the shuffle
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+    # per-page lists are many small aggregation buffers: keep hashing them instead of sorting
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
+    # plans here have thousands of expressions; recording a call site for each takes longer than building it
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }

@@ -20,6 +20,17 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/pagespark/{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Compute a frame once and keep it as a table in the shared folder.
+
+    For results that several branches of a plan read and that come out of a Python kernel: the
+    kernel runs once, and the table outlives lost executors.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @contextmanager
 def session_conf(spark: SparkSession, conf: dict[str, str]):
     """Settings for queries started inside the block; a streaming query keeps a copy of them."""

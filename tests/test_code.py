@@ -102,7 +102,9 @@ def test_totals_count_files_without_changed_definitions(versions):
     files, defs = H.analyze_refs(versions, "a", "b")
     assert [tuple(r) for r in C.repo_totals(files, defs).collect()] == [("o/r", 4, 5)]
     assert tuple(C.overall_totals(C.repo_totals(files, defs)).first()) == (1, 4, 5)
+    assert C.repo_totals_of(files).collect() == C.repo_totals(files, defs).collect()
     report = C.change_report(files, defs).collect()
+    assert sorted(map(str, H.report(files).collect())) == sorted(map(str, report))
     assert len(report) == 5 and {r.path for r in report} == {"m.py", "gone.py", "new.py"}
     assert {(r.repo_files_changed, r.all_definitions_changed) for r in report} == {(4, 5)}
     assert [r.path for r in C.parse_errors(versions).collect()] == ["bad.py"]
