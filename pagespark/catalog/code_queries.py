@@ -210,6 +210,23 @@ def _(spark, sf):
     return C.annotate(_files(spark, sf), "new", "html")
 
 
+@query("annotated_old_files_unmarked", "SELECT repo, path, rtrim(old_content, chr(10)) AS text FROM files")
+def _(spark, sf):
+    files = C.annotate(_files(spark, sf), "old", "inline")
+    plain = F.regexp_replace("annotated", r"(?m)^>>> \[(CHANGED|REMOVED)\] ", "")
+    return files.select("repo", "path", F.rtrim(plain, F.lit("\n")).alias("text"))
+
+
+@query("annotated_new_files_unmarked", "SELECT repo, path, rtrim(new_content, chr(10)) AS text FROM files")
+def _(spark, sf):
+    files = C.annotate(_files(spark, sf), "new", "html")
+    body = F.regexp_replace("annotated", r"\n        </pre>[\s\S]*$", "")
+    plain = F.regexp_replace(body, r'(?m)^<span class="(changed|added|unchanged)-line">|</span>$', "")
+    for safe, raw in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        plain = F.replace(plain, F.lit(safe), F.lit(raw))
+    return files.select("repo", "path", F.rtrim(plain, F.lit("\n")).alias("text"))
+
+
 _DECORATED = "CASE WHEN decorated THEN '[''cache'']' ELSE '[]' END"
 _BAR, _DASH = "repeat('=', 80)", "repeat('-', 40)"
 

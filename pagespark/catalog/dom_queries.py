@@ -32,9 +32,10 @@ def _(spark, sf):
     return nodes.select("page_id", "nid", "tag", "id", "class_name")
 
 
-@query("dom_snapshot")
+@query("dom_snapshot", "SELECT page_id, nid, tag, cls AS class_name, visible AS static_visible, expandable AS is_expandable FROM snapshot")
 def _(spark, sf):
-    return D.dom_snapshot(_aug(spark, sf)).drop("attrs", "classes", "id_ancestors")
+    nodes = D.dom_snapshot(_aug(spark, sf))
+    return nodes.select("page_id", "nid", "tag", "class_name", "static_visible", "is_expandable")
 
 
 @query(
@@ -65,6 +66,21 @@ def _(spark, sf):
     return D.select_css(D.with_xpath(_aug(spark, sf)), "a").select("page_id", "nid", "xpath")
 
 
+@query(
+    "xpath_of_elements",
+    """SELECT page_id, nid, tag, CASE WHEN tag IN ('HTML', 'BODY') THEN tag WHEN tag = 'HEAD' THEN 'HTML/HEAD[1]'
+      WHEN nid < body_nid THEN 'HTML/HEAD[1]/' || tag || '[' || k || ']' WHEN tag = 'UL' THEN 'BODY/NAV[1]/UL[1]'
+      WHEN tag = 'LI' THEN 'BODY/NAV[1]/UL[1]/LI[' || k || ']' WHEN tag = 'A' THEN 'BODY/NAV[1]/UL[1]/LI[' || k || ']/A[1]'
+      WHEN tag = 'H1' THEN 'BODY/ARTICLE[1]/H1[1]' WHEN tag = 'DETAILS' THEN 'id("d1")' WHEN tag = 'SUMMARY' THEN 'id("d1")/SUMMARY[1]'
+      WHEN tag = 'P' AND raw2 LIKE '<details%' THEN 'id("d1")/P[1]' WHEN tag = 'BUTTON' AND cls = '' THEN 'id("d1")/P[1]/BUTTON[1]'
+      WHEN tag = 'P' THEN 'BODY/ARTICLE[1]/P[' || k || ']' WHEN tag IN ('INPUT', 'SELECT') THEN 'BODY/FORM[1]/' || tag || '[1]'
+      ELSE 'BODY/' || tag || '[' || k || ']' END AS xpath
+    FROM (SELECT *, row_number() OVER (PARTITION BY page_id, tag ORDER BY nid) AS k FROM tags) t WHERE tag NOT IN ('B', 'BR')""",
+)
+def _(spark, sf):
+    return D.with_xpath(_aug(spark, sf)).filter(~F.col("tag").isin("B", "BR"))
+
+
 @query("xpath_all")
 def _(spark, sf):
     return D.with_xpath(_aug(spark, sf)).select("page_id", "nid", "tag", "xpath")
@@ -273,13 +289,10 @@ def _(spark, sf):
 
 @query(
     "static_nodes",
-    """SELECT page_id, nid, tag FROM (SELECT *, CASE WHEN tag = 'LI' THEN row_number() OVER (PARTITION BY page_id, tag ORDER BY nid) ELSE 0 END AS k FROM seen) s
-    WHERE nid >= body_nid AND visible AND NOT expandable AND raw NOT LIKE '% data-%' AND tag NOT IN ('P', 'B', 'BR')""",
+    "SELECT page_id, nid, tag, id, cls AS class_name FROM snapshot WHERE visible AND NOT expandable AND raw NOT LIKE '% data-%'",
 )
 def _(spark, sf):
-    # paragraphs and their parts are left to the tests: how many an article keeps depends on the child limit
-    nodes = P.static_nodes(_aug(spark, sf))
-    return nodes.filter(~F.col("tag").isin("P", "B", "BR")).select("page_id", "nid", "tag")
+    return P.static_nodes(_aug(spark, sf)).drop("text")
 
 
 @query(
