@@ -73,6 +73,7 @@ class Document:
         self.text_lens: list[int] = []
         self.offset = 0
         self.links = self.fields = self.arias = 0
+        self.open_paragraphs = 0
         self.head = self.body = None
         self.body_end = None
         self._run: list[str] | None = None
@@ -87,7 +88,8 @@ class Document:
 
     # -- tree -----------------------------------------------------------------
     def open(self, tag: str, attrs: dict, start: int) -> Node:
-        self._end_run()
+        if self._run is not None:
+            self._end_run()
         if len(self.stack) > MAX_DEPTH:
             self._pop_to(MAX_DEPTH, start)
         n = Node()
@@ -114,12 +116,14 @@ class Document:
             else:
                 n.body_depth = 0 if tag == "body" and n.depth == 1 else None
                 n.max_child_ix = 0
-            n.visible = parent.visible and tag not in UNRENDERED and not self._hidden(tag, attrs)
+            n.visible = parent.visible and tag not in UNRENDERED and not (attrs and self._hidden(tag, attrs))
         if tag == "a":
             self.links += 1
         elif tag in ("input", "select", "textarea"):
             self.fields += 1
-        if "aria-expanded" in attrs:
+        elif tag == "p":
+            self.open_paragraphs += 1
+        if attrs and "aria-expanded" in attrs:
             self.arias += 1
         self.nodes.append(n)
         self.stack.append(n)
@@ -137,15 +141,19 @@ class Document:
 
     def _pop_to(self, depth: int, pos: int) -> None:
         """Close open elements until ``depth`` of them are left."""
-        self._end_run()
-        while len(self.stack) > depth:
-            n = self.stack.pop()
-            n.end, n.text_end, n.html_end, n.tag_counts = len(self.nodes) - 1, self.offset, pos, None
+        if self._run is not None:
+            self._end_run()
+        stack, last = self.stack, len(self.nodes) - 1
+        while len(stack) > depth:
+            n = stack.pop()
+            tag = n.tag
+            n.end, n.text_end, n.html_end, n.tag_counts = last, self.offset, pos, None
             # counters become counts of strict descendants
-            own_a, own_f = n.tag == "a", n.tag in ("input", "select", "textarea")
-            n.links = self.links - n.links - own_a
-            n.fields = self.fields - n.fields - own_f
+            n.links = self.links - n.links - (tag == "a")
+            n.fields = self.fields - n.fields - (tag in ("input", "select", "textarea"))
             n.arias = self.arias - n.arias - ("aria-expanded" in n.attrs)
+            if tag == "p":
+                self.open_paragraphs -= 1
 
     def _close_nearest(self, tags, barrier, pos) -> None:
         for i in range(len(self.stack) - 1, 1, -1):
@@ -194,14 +202,13 @@ class Document:
     # -- tokens ---------------------------------------------------------------
     def _read(self) -> None:
         src, i, size = self.source, 0, len(self.source)
-        unescape = _html.unescape
         while i < size:
             lt = src.find("<", i)
             if lt < 0:
                 lt = size
             if lt > i:
                 s = src[i:lt]
-                self.add_text(unescape(s) if "&" in s else s, i)
+                self.add_text(_decoded(s) if "&" in s else s, i)
             if lt >= size:
                 return
             nxt = src[lt + 1 : lt + 2]
@@ -223,14 +230,17 @@ class Document:
 
     def _end_tag(self, lt: int) -> int:
         src = self.source
-        m = _NAME.match(src, lt + 2)
         gt = src.find(">", lt)
         if gt < 0:
             return len(src)
-        if m is None:
-            self._end_run()  # bogus comment
-            return gt + 1
-        tag = m.group().lower()
+        tag = src[lt + 2 : gt]
+        if not (tag.isalnum() and tag.isascii() and tag[0].isalpha()):
+            m = _NAME.match(tag)
+            if m is None:
+                self._end_run()  # bogus comment
+                return gt + 1
+            tag = m.group()
+        tag = tag.lower()
         if tag in ("body", "html"):
             if self.body is not None and self.body_end is None:
                 self.body_end = lt
@@ -264,11 +274,13 @@ class Document:
 
     def _start_tag(self, lt: int) -> int:
         src = self.source
-        m = _NAME.match(src, lt + 1)
-        tag, pos = m.group().lower(), m.end()
-        if src.startswith(">", pos):
-            attrs, pos = {}, pos + 1
+        gt = src.find(">", lt)
+        tag = src[lt + 1 : gt] if gt > 0 else ""
+        if tag.isalnum():
+            tag, attrs, pos = tag.lower(), {}, gt + 1
         else:
+            m = _NAME.match(src, lt + 1)
+            tag, pos = m.group().lower(), m.end()
             found = self._attributes(pos)
             if found is None:
                 return len(src)  # tag cut off by the end of the page
@@ -288,7 +300,7 @@ class Document:
         if self.body is None and len(self.stack) <= 2 and tag not in HEAD_ONLY:
             self._need_body(lt)
         self.body_end = None
-        if tag in CLOSES_P:
+        if self.open_paragraphs and tag in CLOSES_P:
             self._close_nearest(("p",), P_BARRIER, lt)
         if tag in CLOSES:
             tags, barrier = CLOSES[tag]
@@ -307,6 +319,11 @@ class Document:
         return pos
 
 
+def _decoded(s: str) -> str:
+    """Character references decoded; the commonest one is itself a separator between the others."""
+    return "&".join([_html.unescape(part) if "&" in part else part for part in s.split("&amp;")])
+
+
 _CLOSERS = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW | RCDATA}
 
 
