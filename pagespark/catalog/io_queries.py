@@ -90,7 +90,7 @@ def _(spark, sf):
     return C.changed_files_listed(listed, R.decode_contents(_contents(spark, sf))).drop("base_ref", "head_ref")
 
 
-@query("read_commits_dump", "SELECT repo, path, sha, author_name, committer_name, message, committed_at FROM commits")
+@query("read_commits_dump", "SELECT repo, path, sha, author_name, committer_name, message, CAST(epoch(committed_at) AS BIGINT) AS committed_s FROM commits")
 def _(spark, sf):
     def dated(who):
         date = F.date_format(F.to_timestamp("committed_at"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -101,7 +101,7 @@ def _(spark, sf):
     )
     found = R.read_commits_dump(spark, _json(spark, dump))
     people = [F.col(f"{w}.name").alias(f"{w}_name") for w in ("author", "committer")]
-    return found.select("repo", "path", "sha", *people, "message", F.col("committed_at").cast("timestamp_ntz"))
+    return found.select("repo", "path", "sha", *people, "message", F.unix_seconds("committed_at").alias("committed_s"))
 
 
 @query("read_file_versions", "SELECT repo, ref, path, content, blob_sha FROM file_versions")

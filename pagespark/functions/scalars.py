@@ -14,8 +14,11 @@ _HIERARCHICAL = ["", "ftp", "http", "gopher", "nntp", "imap", "wais", "file", "h
 
 
 def is_url_valid(url: Column) -> Column:
-    """Scheme and authority are both present."""
-    return F.coalesce(F.regexp_like(url, F.lit(_SCHEME + r"//[^/?#]+")), F.lit(False))
+    """Scheme and authority are both present; leading blanks do not count, half a bracket pair does."""
+    bare = F.regexp_replace(url, r"^[\x00-\x20]+", "")
+    authority = F.regexp_extract(bare, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)
+    paired = F.contains(authority, F.lit("[")) == F.contains(authority, F.lit("]"))
+    return F.coalesce((authority != "") & paired, F.lit(False))
 
 
 def ensure_scheme(url: Column) -> Column:

@@ -450,7 +450,7 @@ def diff_header(
 ) -> DataFrame:
     """Header lines of a definition's diff: file status, shas and the file's related commits.
 
-    ``commits(repo, path, sha, committed_at, committed_text?, author, committer, message)`` as listed
+    ``commits(repo, path, sha, committed_at, author, committer, message)`` as listed
     by ``commits_for_file``.  Only the newest ``limit`` commits of a file are related ones, and a
     file's commits are cut to them before they are shuffled, so the list in a row stays bounded.
     """
@@ -460,7 +460,8 @@ def diff_header(
     related = F.lit("")
     if commits is not None:
         newest = W.partitionBy("repo", "path").orderBy(F.desc("committed_at"), F.desc("sha"))
-        kept = commits.withColumn("rank", F.row_number().over(newest)).filter(F.col("rank") <= limit)
+        dated = commits.withColumn("_date", _iso_date(commits))
+        kept = dated.withColumn("rank", F.row_number().over(newest)).filter(F.col("rank") <= limit)
         block = kept.groupBy("repo", "path").agg(
             F.array_join(
                 F.transform(F.array_sort(F.collect_list(F.struct("rank", _commit_text().alias("t")))), lambda x: x["t"]),
@@ -490,6 +491,14 @@ def diff_header(
     return df.withColumn("header", header).drop("_related")
 
 
+def _iso_date(commits: DataFrame) -> Column:
+    """committed_at as ISO text in UTC; a timestamp without zone is taken to be UTC."""
+    at = F.col("committed_at")
+    if isinstance(commits.schema["committed_at"].dataType, T.TimestampType):
+        at = F.to_utc_timestamp(at, F.current_timezone())
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def _commit_text() -> Column:
     """One related commit: short sha, date, people, and its message with the lines indented."""
 
@@ -498,10 +507,9 @@ def _commit_text() -> Column:
 
     lines = F.split(F.regexp_replace("message", r"^\s+|\s+$", ""), "\n")
     more = F.filter(F.transform(F.slice(lines, 2, F.size(lines)), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
-    date = F.date_format("committed_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     other = F.col("committer.name") != F.col("author.name")
     return F.concat(
-        F.lit("# Commit: "), F.substring("sha", 1, 8), F.lit("\n# Date: "), date, F.lit("\n# Author: "), person("author"),
+        F.lit("# Commit: "), F.substring("sha", 1, 8), F.lit("\n# Date: "), F.col("_date"), F.lit("\n# Author: "), person("author"),
         F.when(other, F.concat(F.lit("# Committer: "), person("committer"))).otherwise(""),
         F.lit("# Message: "), F.element_at(lines, 1), F.lit("\n"),
         F.array_join(F.transform(more, lambda s: F.concat(F.lit("#          "), s, F.lit("\n"))), ""),

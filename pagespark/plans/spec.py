@@ -425,7 +425,12 @@ def page_specs(
     dom = D.ensure_dom(pages, *SPEC_FIELDS).withColumn("areas", P.area_structs())
     spec = dom.select(
         "page_id",
-        F.struct(F.col("url"), P.title_column().alias("title"), F.lit(VERSION).alias("analysis_version")).alias("metadata"),
+        F.struct(
+            F.col("url"),
+            P.title_column().alias("title"),
+            F.current_timestamp().alias("generation_timestamp"),
+            F.lit(VERSION).alias("analysis_version"),
+        ).alias("metadata"),
         static_elements_array(F.col("areas")).alias("static_elements"),
         dynamic_elements_array().alias("dynamic_elements"),
         F.struct(*layout_columns()).alias("layout_analysis"),

@@ -48,10 +48,15 @@ def session_conf(spark: SparkSession, conf: dict[str, str]):
 
 
 def run_available(stream: DataFrame, conf: dict[str, str] | None = None) -> DataFrame:
-    """Process all input that is there now, and return the rows that were emitted."""
+    """Process all input that is there now, and return the rows that were emitted.
+
+    Every state partition is opened in every micro-batch, so a run on few cores uses few of them.
+    """
     spark = stream.sparkSession
     folder = shared_folder(spark)
-    with session_conf(spark, conf or {}):
+    enough = 2 * spark.sparkContext.defaultParallelism
+    partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), enough)
+    with session_conf(spark, {"spark.sql.shuffle.partitions": str(partitions), **(conf or {})}):
         query = (
             stream.writeStream.format("parquet")
             .option("path", f"{folder}/rows")

@@ -1,4 +1,4 @@
-from urllib.parse import urljoin
+from urllib.parse import urljoin, urlparse
 
 from pyspark.sql import functions as F
 
@@ -34,6 +34,16 @@ def test_text_functions(spark):
     ).collect()
     assert [r.t for r in rows] == ["a b c", "", "", "x"]
     assert [r.v for r in rows] == [True, True, False, False]
+    odd = [" http://a", "http:///p", "http://[::1]/", "http://[::1/", "1http://a", "a+b.c://d", "//a", "", "http://a b"]
+    got = [r.v for r in spark.createDataFrame([(u,) for u in odd], "u string").select(S.is_url_valid(F.col("u")).alias("v")).collect()]
+
+    def valid(u):
+        try:
+            return bool(urlparse(u).scheme and urlparse(u).netloc)
+        except ValueError:
+            return False
+
+    assert got == [valid(u) for u in odd]
     assert [r.e for r in rows] == ["http://a/b:1", "https://ftp://x", "https://a/b", None]
     assert (rows[0].f, rows[0].s) == ("a_b:1", "a_b_1")
     assert rows[0].h == "a&lt;b&gt;&amp;c"
