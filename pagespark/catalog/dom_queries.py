@@ -174,6 +174,36 @@ def _(spark, sf):
     return found.withColumn("n_attributes", F.size("attributes")).drop("attributes", "xpath")
 
 
+@query(
+    "interactive_elements_measured",
+    f"""SELECT i.page_id, i.nid, i.selector, l.x, l.y, l.width, l.height, i.visible AND coalesce(l.width > 0 AND l.height > 0, FALSE) AS is_visible
+    FROM ({_INTERACTIVE}) i LEFT JOIN layout l ON i.page_id = l.page_id AND i.nid = l.nid""",
+)
+def _(spark, sf):
+    found = P.interactive_elements(_aug(spark, sf), derived(spark, sf, "layout"))
+    return found.select("page_id", "nid", "selector", "x", "y", "width", "height", "is_visible")
+
+
+@query(
+    "content_areas_measured",
+    """SELECT t.page_id, t.nid, s.selector, l.width, l.height FROM tags t JOIN (VALUES ('MAIN', 'main'), ('ARTICLE', 'article'), ('MAIN', '.content')) s(tag, selector)
+    ON t.tag = s.tag JOIN layout l ON t.page_id = l.page_id AND t.nid = l.nid WHERE l.width > 0 AND l.height > 0""",
+)
+def _(spark, sf):
+    areas = P.content_areas(_aug(spark, sf), derived(spark, sf, "layout"))
+    return areas.select("page_id", "nid", "selector", "width", "height")
+
+
+@query(
+    "expandable_elements_measured",
+    """SELECT s.page_id, s.nid, s.tag, l.y FROM seen s JOIN layout l ON s.page_id = l.page_id AND s.nid = l.nid
+    WHERE (s.aria = 'false' OR s.tag = 'DETAILS') AND s.visible AND l.width > 0 AND l.height > 0""",
+)
+def _(spark, sf):
+    found = E.expandable_elements(_aug(spark, sf), derived(spark, sf, "layout"))
+    return found.select("page_id", "nid", "tag", "y")
+
+
 @query(
     "interaction_types",
     f"SELECT page_id, interaction_type, count(*) AS n FROM ({_INTERACTIVE}) i GROUP BY page_id, interaction_type",

@@ -15,7 +15,7 @@ from pagespark.plans import spec as G
 from pagespark.plans import summary as B
 from pagespark.sources import readers as R
 from pagespark.sources import sinks as K
-from pagespark.streaming.run import shared_folder
+from pagespark.sources.shared import shared_folder
 
 
 def _json(spark, df) -> str:

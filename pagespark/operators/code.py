@@ -98,13 +98,18 @@ def changed_files_of_pairs(versions: DataFrame, pairs: DataFrame) -> DataFrame:
     return _with_status(old.join(new, [*keys, "path"], "full_outer"))
 
 
+def _unreadable(side: str) -> Column:
+    """The side is there but its bytes were no text; such files are left out."""
+    return F.col(side).isNotNull() & F.col(f"{side}_content").isNull()
+
+
 def _with_status(joined: DataFrame) -> DataFrame:
     status = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("modified")
     same_sha = F.col("old_sha") == F.col("new_sha")
     same_text = F.col("old_content").eqNullSafe(F.col("new_content"))
     same = F.col("old") & F.col("new") & F.coalesce(same_sha, same_text)
     return (
-        joined.filter(~F.coalesce(same, F.lit(False)))
+        joined.filter(~F.coalesce(same, F.lit(False)) & ~_unreadable("old") & ~_unreadable("new"))
         .withColumn("status", status)
         .withColumn("old_content", F.coalesce("old_content", F.lit("")))
         .withColumn("new_content", F.coalesce("new_content", F.lit("")))
@@ -118,11 +123,11 @@ def changed_files_listed(comparison: DataFrame, contents: DataFrame) -> DataFram
     The given status decides which sides are looked up.  A side without stored contents is empty.
     """
     py = python_files(comparison)
-    old = _versions(contents, "old").drop("old").withColumnRenamed("ref", "base_ref")
-    new = _versions(contents, "new").drop("new").withColumnRenamed("ref", "head_ref")
+    old = _versions(contents, "old").withColumnRenamed("ref", "base_ref")
+    new = _versions(contents, "new").withColumnRenamed("ref", "head_ref")
     sides = py.join(old, ["repo", "base_ref", "path"], "left").join(new, ["repo", "head_ref", "path"], "left")
     had, has = F.col("status") != "added", F.col("status") != "removed"
-    return sides.select(
+    return sides.filter(~(had & _unreadable("old")) & ~(has & _unreadable("new"))).select(
         "repo", "base_ref", "head_ref", "path", "status",
         F.coalesce(F.when(had, F.col("old_content")), F.lit("")).alias("old_content"),
         F.coalesce(F.when(has, F.col("new_content")), F.lit("")).alias("new_content"),

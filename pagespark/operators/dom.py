@@ -262,13 +262,18 @@ def with_xpath(pages: DataFrame) -> DataFrame:
     return dom_nodes(pages, ["tag", "xpath"])
 
 
+def with_positions(elements: DataFrame, layout: DataFrame) -> DataFrame:
+    """Add each element's measured box, and ``has_box``: it takes up room."""
+    keys = [c for c in layout.columns if c in elements.columns]
+    boxed = F.coalesce((F.col("width") > 0) & (F.col("height") > 0), F.lit(False))
+    return elements.join(layout, keys, "left").withColumn("has_box", boxed)
+
+
 def with_visibility(nodes: DataFrame, layout: DataFrame | None = None) -> DataFrame:
     """``visible``: what the markup says, narrowed by measured boxes when a layout is given."""
     if layout is None:
         return nodes.withColumn("visible", F.col("static_visible"))
-    keys = [c for c in layout.columns if c in nodes.columns]
-    boxed = F.coalesce((F.col("width") > 0) & (F.col("height") > 0), F.lit(False))
-    return nodes.join(layout, keys, "left").withColumn("visible", F.col("static_visible") & boxed)
+    return with_positions(nodes, layout).withColumn("visible", F.col("static_visible") & F.col("has_box")).drop("has_box")
 
 
 def with_expandable(nodes: DataFrame) -> DataFrame:

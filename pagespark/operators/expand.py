@@ -39,7 +39,7 @@ def is_expandable_candidate(n: Node) -> Column:
     return n("static_visible") & first_match(EXPANDABLE_SELECTORS, n).isNotNull()
 
 
-def expandable_elements(pages: DataFrame) -> DataFrame:
+def expandable_elements(pages: DataFrame, layout: DataFrame | None = None) -> DataFrame:
     """Visible elements that look expandable, once each; report order is (sel_ix, nid)."""
     dom = D.ensure_dom(pages, *EXPANDABLE_FIELDS)
 
@@ -57,9 +57,10 @@ def expandable_elements(pages: DataFrame) -> DataFrame:
             is_expanded(n).alias("is_currently_expanded"),
         ]
 
-    return D.ranked_rows(
+    found = D.ranked_rows(
         dom, lambda n: first_match(EXPANDABLE_SELECTORS, n), lambda n: n("static_visible"), project
     )
+    return found if layout is None else D.with_positions(found, layout).filter("has_box").drop("has_box")
 
 
 def nested_expandables(pages: DataFrame, per_level: int | None = NESTED_PER_PARENT) -> DataFrame:

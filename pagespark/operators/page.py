@@ -91,10 +91,19 @@ def _interactive_columns(ix: Column, n: Node) -> list[Column]:
     ]
 
 
-def interactive_elements(pages: DataFrame) -> DataFrame:
-    """Each interactive element once, under its first selector; report order is (sel_ix, nid)."""
+def interactive_elements(pages: DataFrame, layout: DataFrame | None = None) -> DataFrame:
+    """Each interactive element once, under its first selector; report order is (sel_ix, nid).
+
+    With a layout, elements carry their measured box and are visible only if it takes up room.
+    """
     dom = D.ensure_dom(pages, *INTERACTIVE_FIELDS)
-    return D.ranked_rows(dom, lambda n: first_match(INTERACTIVE_SELECTORS, n), lambda n: F.lit(True), _interactive_columns)
+    found = D.ranked_rows(
+        dom, lambda n: first_match(INTERACTIVE_SELECTORS, n), lambda n: F.lit(True), _interactive_columns
+    )
+    if layout is None:
+        return found
+    placed = D.with_positions(found, layout)
+    return placed.withColumn("is_visible", F.col("is_visible") & F.col("has_box")).drop("has_box")
 
 
 def dynamic_elements(pages: DataFrame) -> DataFrame:
@@ -188,9 +197,10 @@ def area_structs() -> Column:
     )
 
 
-def content_areas(pages: DataFrame) -> DataFrame:
+def content_areas(pages: DataFrame, layout: DataFrame | None = None) -> DataFrame:
     dom = D.ensure_dom(pages, *AREA_FIELDS)
-    return dom.select(*D.page_keys(dom), F.inline(area_structs()))
+    areas = dom.select(*D.page_keys(dom), F.inline(area_structs()))
+    return areas if layout is None else D.with_positions(areas, layout).filter("has_box").drop("has_box")
 
 
 def navigation_blocks(pages: DataFrame) -> DataFrame:

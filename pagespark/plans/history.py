@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from pagespark.operators import code as C
-from pagespark.streaming.run import written
+from pagespark.sources.shared import written
 
 
 def analyze_refs(versions: DataFrame, base: str, head: str, key: str = "name") -> tuple[DataFrame, DataFrame]:

@@ -27,6 +27,15 @@ def read_mutation_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.MUTATION_LOG).json(path)
 
 
+def stream_mutation_log(spark: SparkSession, path: str) -> DataFrame:
+    """The same log as a stream of arriving files."""
+    return spark.readStream.schema(S.MUTATION_LOG).json(path)
+
+
+def stream_request_log(spark: SparkSession, path: str) -> DataFrame:
+    return spark.readStream.schema(S.REQUEST_LOG).json(path)
+
+
 def read_interaction_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.INTERACTION_LOG).json(path)
 

@@ -84,6 +84,11 @@ def test_changed_files(versions):
     assert {r.path: renamed[r.status] for r in back.filter("repo = 'o/r'").collect()} == {k: v[0] for k, v in got.items()}
 
 
+def test_unreadable_files_are_left_out(spark):
+    rows = [("r", "a", "x.py", None, None), ("r", "b", "x.py", "a", None), ("r", "b", "y.py", "a", None), ("r", "a", "z.py", None, None)]
+    assert [r.path for r in C.changed_files(spark.createDataFrame(rows, VERSIONS), "a", "b").collect()] == ["y.py"]
+
+
 def test_without_shas_texts_are_compared(versions):
     plain = C.changed_files(versions.drop("blob_sha"), "a", "b")
     assert sorted(r.path for r in plain.collect()) == ["bad.py", "gone.py", "m.py", "n.py", "new.py"]

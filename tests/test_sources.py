@@ -43,13 +43,14 @@ def test_contents(spark, tmp_path):
 
 def test_compare_and_listed_changes(spark, tmp_path):
     files = [{"filename": "a.py", "status": "modified"}, {"filename": "b.py", "status": "removed"}, {"filename": "c.md", "status": "added"},
-             {"filename": "d.py", "status": "renamed", "sha": "z"}]
+             {"filename": "d.py", "status": "renamed", "sha": "z"}, {"filename": "e.py", "status": "added"}]
     dump = lines(tmp_path / "d.json", [{"repo": "o/r", "base_ref": "1", "head_ref": "2", "files": files}])
     listed = R.read_compare_dump(spark, dump)
-    assert listed.count() == 4
+    assert listed.count() == 5
     contents = spark.createDataFrame(
         [("o/r", "1", "a.py", "x", "s1"), ("o/r", "2", "a.py", "y", "s2"), ("o/r", "1", "b.py", "x", "s3"),
-         ("o/r", "2", "b.py", "stale", "s4"), ("o/r", "2", "d.py", "n", "s5")],
+         ("o/r", "2", "b.py", "stale", "s4"), ("o/r", "2", "d.py", "n", "s5"),
+         ("o/r", "2", "e.py", None, "s6")],
         "repo string, ref string, path string, content string, blob_sha string",
     )
     got = {r.path: tuple(r)[4:] for r in C.changed_files_listed(listed, contents).collect()}

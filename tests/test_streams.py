@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from pagespark.sources import shared
 from pagespark.streaming import run
 from pagespark.streaming import streams as R
 
@@ -81,10 +82,10 @@ class _Cluster:
     """A session of a cluster that names a folder (the setting is fixed when a session starts)."""
 
     def __init__(self, folder):
-        self.conf = {run.CHECKPOINT_DIR: folder}
+        self.conf = {shared.CHECKPOINT_DIR: folder}
         self.sparkContext = None
 
 
 def test_shared_folder_follows_the_setting(tmp_path):
-    one, two = (run.shared_folder(_Cluster(f"{tmp_path}/")) for _ in range(2))
+    one, two = (shared.shared_folder(_Cluster(f"{tmp_path}/")) for _ in range(2))
     assert one.startswith(f"{tmp_path}/pagespark/") and one != two
