@@ -41,9 +41,15 @@ def _arrow_type(ddl: str) -> pa.DataType:
 _CHUNK_CHARS = 4_000_000
 
 
-def _add_columns(df: DataFrame, made: dict[str, str], inputs: list[str], fn: Callable[..., tuple]) -> DataFrame:
-    """Append kernel results as columns, yielding small batches: ``fn`` gets the inputs of one row."""
-    schema = T.StructType(df.schema.fields + [T.StructField(k, T.DataType.fromDDL(v)) for k, v in made.items()])
+def _add_columns(
+    df: DataFrame, made: dict[str, str], inputs: list[str], fn: Callable[..., tuple], keep_inputs: bool = False
+) -> DataFrame:
+    """Append kernel results as columns, yielding small batches: ``fn`` gets the inputs of one row.
+
+    The input texts do not travel back from Python unless they are kept.
+    """
+    kept = [c for c in df.columns if keep_inputs or c not in inputs]
+    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(k, T.DataType.fromDDL(v)) for k, v in made.items()])
     arrow = {k: _arrow_type(v[len("array<struct<") : -2]) if v.startswith("array<struct") else pa.string()
              for k, v in made.items()}
 
@@ -59,9 +65,9 @@ def _add_columns(df: DataFrame, made: dict[str, str], inputs: list[str], fn: Cal
                     rows.append(fn(*values))
                     last += 1
                 part = batch.slice(first, last - first)
-                extra = [pa.array([r[i] for r in rows], type=arrow[k]) for i, k in enumerate(made)]
-                names = [*batch.schema.names, *made]
-                yield pa.RecordBatch.from_arrays([*part.columns, *extra], names=names)
+                arrays = [part.column(batch.schema.get_field_index(c)) for c in kept]
+                arrays += [pa.array([r[i] for r in rows], type=arrow[k]) for i, k in enumerate(made)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *made])
                 first = last
 
     keys = [c for c in file_keys(df)] or inputs
@@ -140,7 +146,7 @@ def changed_files_listed(comparison: DataFrame, contents: DataFrame) -> DataFram
 def parse_sources(versions: DataFrame) -> DataFrame:
     """Replace ``content`` by ``defs`` (array of definitions) and ``parse_error``."""
     made = {"defs": f"array<struct<{DEFINITION_DDL}>>", "parse_error": "string"}
-    return _add_columns(versions, made, ["content"], K.definitions_of).drop("content")
+    return _add_columns(versions, made, ["content"], K.definitions_of)
 
 
 def definitions(versions: DataFrame) -> DataFrame:
@@ -329,7 +335,8 @@ def commit_pairs(commits: DataFrame, since=None, bucket: str = "day") -> DataFra
 def with_lines(file_changes: DataFrame) -> DataFrame:
     """Add ``lines``: the status of every line of both sides, old side first, in line order."""
     made = {"lines": f"array<struct<{LINE_DDL}>>"}
-    return _add_columns(file_changes, made, ["old_content", "new_content"], lambda a, b: (K.line_statuses(a, b),))
+    texts = ["old_content", "new_content"]
+    return _add_columns(file_changes, made, texts, lambda a, b: (K.line_statuses(a, b),), keep_inputs=True)
 
 
 def _lines_of(file_changes: DataFrame) -> DataFrame:
