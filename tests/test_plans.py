@@ -83,7 +83,8 @@ def test_related_commits_are_cut_before_the_shuffle(spark, tables):
     files = C.changed_files(tables[1], "a", "b")
     person = F.struct(F.lit("n").alias("name"), F.lit("e").alias("email"))
     commits = spark.range(5).select(
-        F.lit("o/r").alias("repo"), F.lit("f").alias("path"), F.col("id").cast("string").alias("sha"),
+        F.concat(F.lit("o/"), F.col("id") % 2).alias("repo"), F.concat(F.lit("f"), F.col("id") % 3).alias("path"),
+        F.col("id").cast("string").alias("sha"),
         F.timestamp_seconds("id").alias("committed_at"), F.lit("m").alias("message"), person.alias("author"),
         person.alias("committer"),
     )
