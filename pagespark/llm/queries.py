@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagespark.llm import language_id, line_dedup, ngram_join, packing, quality, quality_rules, token_files, topk, warc
+from pagespark.llm import language_id, line_dedup, ngram_join, packing, quality, quality_rules, sentencepiece_files, token_files, topk, warc
 from pagespark.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 WORD = r"[^\x20\x09-\x0D]+"
-TOKENIZER = "word_bpe_49k.json"
+TOKENIZER, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 QUERY_EVERY, BEST = 50, 5
 
 
@@ -105,6 +105,12 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(token_files.write(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER)))
 
 
+@query()
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    threads = int(spark.conf.get("spark.task.cpus", "1"))
+    return sentencepiece_files.encode(table(spark, sf_dir, "documents"), tokenizer_path(PIECES), threads)
+
+
 @query(
     r"""
     WITH w AS (
