@@ -45,7 +45,7 @@ def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, packed."""
-    return packing.pack(sized(docs))
+    return packing.pack(sized(docs), row="row")
 
 
 STAGES = [

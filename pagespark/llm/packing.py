@@ -116,14 +116,14 @@ def pack_part(part: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return out
 
 
-def pack(docs: DataFrame, length: str = "length", source: str = "source", cluster: str = "cluster", capacity: int = CAPACITY, part_rows: int = PART_ROWS) -> DataFrame:
+def pack(docs: DataFrame, length: str = "length", source: str = "source", cluster: str = "cluster", row: str | None = None, capacity: int = CAPACITY, part_rows: int = PART_ROWS) -> DataFrame:
     """Bins for all pieces of ``docs``: columns doc_id, piece, n_pieces, bin, start, length.
 
-    ``cluster`` may be null (a document without copies); ``docs`` needs a column ``row`` that tells
-    rows apart, or doc_id and text to make one from.
+    ``cluster`` may be null (a document without copies). ``row`` names a number that tells rows apart;
+    without one it is made of doc_id and text.
     """
     items = docs.select(
-        F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), (F.col("row") if "row" in docs.columns else row_key()).cast("long").alias("row"),
+        F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), (F.col(row) if row else row_key()).cast("long").alias("row"),
         F.greatest(F.coalesce(F.col(length).cast("long"), F.lit(0)), F.lit(0)).alias("length"),
         F.coalesce(F.when(F.col(source).isNotNull(), F.xxhash64(source)), F.lit(0)).alias("source"),
         F.coalesce(F.when(F.col(cluster).isNotNull(), F.xxhash64(cluster)), F.lit(0)).alias("cluster"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagespark.llm import language_id, line_dedup, ngram_join, packing, quality, quality_rules, sentencepiece_files, token_files, topk, warc
-from pagespark.llm.store import table
+from pagespark.llm.store import row_key, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -143,7 +143,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return packing.pack(sized(docs))
+    return packing.pack(sized(docs), row="row")
 
 
 @query(
@@ -176,4 +176,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sized(docs: DataFrame) -> DataFrame:
     """What packing needs: length in words and an end mark, source, and the cluster of equal texts."""
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) + 1
-    return docs.select("doc_id", packing.row_key().alias("row"), words.alias("length"), "source", F.xxhash64("text").alias("cluster"))
+    return docs.select("doc_id", row_key().alias("row"), words.alias("length"), "source", F.xxhash64("text").alias("cluster"))

@@ -164,6 +164,8 @@ class Encoder:
         mine = [e.ids for e in (self.part if chunks else self.whole).encode_batch_fast(texts, add_special_tokens=False)]
         # a chunk begins with the space that sentencepiece puts there by itself
         peer = self.peer.encode([t[1:] for t in texts] if chunks else texts, num_threads=self.threads) if texts else []
+        if chunks:  # but not before an empty text: a lone space is the marker alone
+            peer = [[self.peer.piece_to_id(MARK)] if t == " " else ids for t, ids in zip(texts, peer)]
         return peer, [a == b for a, b in zip(mine, peer)]
 
     def _learn(self, new: np.ndarray, texts: list[str]) -> None:
