@@ -9,8 +9,9 @@ the first ``n - ceil(t * n) + 1`` shingles of each. So documents meet on these o
    2 ** ORDER_BITS counters (several shingles share one; the order stays the same for all documents,
    so sharing costs candidates, never results). Counters of a task are added up before they move.
 2. *Postings* (second pass): (shingle, class, size, place) of each prefix, a class once for each task.
-   Sorted by shingle they stream through one kernel: in a group, ordered by size, each member meets
-   the group's pivot (the smallest set that the length filter still allows). The *length filter*
+   Sorted by shingle they stream through one kernel: in a group, most typical first (the text whose
+   shingles are most frequent: what the others were copied from), each member meets the first that the
+   length filter allows, its pivot. The *length filter*
    needs ``t * larger <= smaller``; the *positional filter* needs that what can still follow the
    shared shingle in both sets suffices. That makes at most one pair from each posting, never all
    pairs of a group. Very frequent shingles are dealt to several groups, whose pivots meet again.
@@ -26,7 +27,7 @@ Links that would join classes of one component are not looked for: components ar
 
 Defined results: null and empty texts and texts without words have an empty set, size 0, and are
 alone. Rows that repeat an id are documents of their own; a component's id is the smallest id in it,
-null if none is known. Equal sizes and counts are ordered by digest. Extra columns take no part.
+null if none is known. Ties between pivots are ordered by size and digest. Extra columns take no part.
 """
 
 from __future__ import annotations
@@ -134,7 +135,23 @@ def _groups() -> np.ndarray:
     return np.ceil(2.0 ** (np.arange(256) / 8) / GROUP).astype(np.int64)
 
 
-POSTINGS = "token long, salt int, n int, cls long, place int"
+#: ``meta`` holds, from the top: how untypical a class is, its size, and the shingle's place in its order.
+POSTINGS = "token long, salt int, meta long, cls long"
+_TYPICAL, _PLACE = 11, 26
+
+
+def _meta(found: np.ndarray, steps: np.ndarray, prefix: int) -> np.ndarray:
+    """A set is typical if its shingles are frequent: a text that others were made from, rather than one of those."""
+    untypical = (1 << _TYPICAL) - 1 - int(steps.mean(dtype=np.float64) * ((1 << _TYPICAL) - 1) / 255)
+    return np.int64((untypical << 2 * _PLACE) | (len(found) << _PLACE)) + np.arange(prefix)
+
+
+def _unpacked(meta):
+    """Size and place; works on numpy arrays and Spark columns."""
+    low = (1 << _PLACE) - 1
+    if isinstance(meta, np.ndarray):
+        return (meta >> _PLACE) & low, meta & low
+    return F.shiftright(meta, _PLACE).bitwiseAND(low), meta.bitwiseAND(low)
 
 
 def _postings(order: np.ndarray, n_words: int, percent: int):
@@ -143,25 +160,25 @@ def _postings(order: np.ndarray, n_words: int, percent: int):
         groups = _groups()
         for batch in batches:
             for part in words.slices(batch):
-                token, cls, size, place, salt = [], [], [], [], []
+                token, cls, meta, salt = [], [], [], []
                 for found in words.shingle_sets(*words.buffers(part["text"]), n_words):
                     n, digest = len(found), _digest(found)
                     if not n or digest in seen:
                         continue
                     seen.add(digest)
-                    key = (order[_counter(found)].astype(np.uint64) << np.uint64(56)) | (found & np.uint64((1 << 56) - 1))
+                    steps = order[_counter(found)]
+                    key = (steps.astype(np.uint64) << np.uint64(56)) | (found & np.uint64((1 << 56) - 1))
                     prefix = n - (percent * n + 99) // 100 + 1
                     key = np.sort(np.partition(key, prefix - 1)[:prefix])
                     own = _short(digest)
                     token.append(key)
                     cls.append(np.full(prefix, own))
-                    size.append(np.full(prefix, n, np.int32))
-                    place.append(np.arange(prefix, dtype=np.int32))
+                    meta.append(_meta(found, steps, prefix))
                     salt.append(((own >> 8) & 0x7FFFFFFF) % groups[(key >> np.uint64(56)).astype(np.int64)])
                 if token:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(x) for x in (np.concatenate(token).view(np.int64), np.concatenate(salt).astype(np.int32), np.concatenate(size), np.concatenate(cls), np.concatenate(place))],
-                        names=["token", "salt", "n", "cls", "place"],
+                        [pa.array(x) for x in (np.concatenate(token).view(np.int64), np.concatenate(salt).astype(np.int32), np.concatenate(meta), np.concatenate(cls))],
+                        names=["token", "salt", "meta", "cls"],
                     )
 
     return run
@@ -174,18 +191,18 @@ def _allowed(n_a, n_b, place_a, place_b, percent: int):
     return (low(n_a, n_b) * 100 >= high(n_a, n_b) * percent) & (follow * (100 + percent) >= (n_a + n_b) * percent)
 
 
-_STARS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("only", pa.bool_()), ("again", pa.bool_()), ("token", pa.int64()), ("n", pa.int32()), ("place", pa.int32())])
-STARS = "a long, b long, only boolean, again boolean, token long, n int, place int"
+_STARS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("only", pa.bool_()), ("again", pa.bool_()), ("token", pa.int64()), ("meta", pa.int64())])
+STARS = "a long, b long, only boolean, again boolean, token long, meta long"
 
 
 def _stars(percent: int, first: bool):
-    """Postings sorted by (token, salt, n, cls) to three kinds of rows.
+    """Postings sorted by (token, salt, meta, cls) to three kinds of rows.
 
     ``b`` known: a pair with its group's pivot; ``only`` if the shingle is in no third class.
     ``again`` false: a posting (``a`` its class) of a shingle in three classes or more.
     ``again`` true: a pivot's posting, of a shingle that was dealt to several groups.
     """
-    names = ("token", "salt", "n", "cls", "place")
+    names = ("token", "salt", "meta", "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -200,22 +217,23 @@ def _stars(percent: int, first: bool):
         if held is not None:
             yield from settle(*(held[c] for c in names))
 
-    def settle(token, salt, n, cls, place) -> Iterator[pa.RecordBatch]:
+    def settle(token, salt, meta, cls) -> Iterator[pa.RecordBatch]:
         if not len(token):
             return
         new = np.r_[True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])]
         once = new | np.r_[True, cls[1:] != cls[:-1]]  # a class may come from several tasks
-        token, n, cls, place, new = (x[once] for x in (token, n.astype(np.int64), cls, place.astype(np.int64), new))
+        token, meta, cls, new = (x[once] for x in (token, meta, cls, new))
         size = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
         dealt = _groups()[token.view(np.uint64) >> np.uint64(56)] > 1 if first else np.zeros(len(token), bool)
         keep = (size > 1) | dealt
-        token, n, cls, place, new, size, dealt = (x[keep] for x in (token, n, cls, place, new, size, dealt))
+        token, meta, cls, new, size, dealt = (x[keep] for x in (token, meta, cls, new, size, dealt))
         if not len(token):
             return
-        # a group's first member is its pivot; a member too large for its pivot is the pivot of those after it
+        n, place = _unpacked(meta)
+        # a group's first member is its pivot; one whose size is too far from its pivot's is a pivot for those after it
         index = np.arange(len(token))
         pivot = np.maximum.accumulate(np.where(new, index, 0))
-        while (far := n[pivot] * 100 < n * percent).any():
+        while (far := np.minimum(n, n[pivot]) * 100 < np.maximum(n, n[pivot]) * percent).any():
             start = np.flatnonzero(far & np.r_[True, (pivot[1:] != pivot[:-1]) | ~far[:-1]])
             mark = np.zeros(len(n), np.int64)
             mark[start] = start
@@ -226,7 +244,7 @@ def _stars(percent: int, first: bool):
         if first:
             more = (size > 2) | dealt
             for again, rows in ((False, np.flatnonzero(more)), (True, np.flatnonzero(dealt & (pivot == index)))):
-                yield _batch(_STARS, len(rows), a=cls[rows], again=np.full(len(rows), again), token=token[rows], n=n[rows].astype(np.int32), place=place[rows].astype(np.int32))
+                yield _batch(_STARS, len(rows), a=cls[rows], again=np.full(len(rows), again), token=token[rows], meta=meta[rows])
 
     return run
 
@@ -306,17 +324,17 @@ class Join:
         self.classes = kept(one.select("cls", "least", "r.*"))
 
     def _group(self, postings: DataFrame, first: bool) -> DataFrame:
-        dealt = postings.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "cls")
+        dealt = postings.repartition("token", "salt").sortWithinPartitions("token", "salt", "meta", "cls")
         return dealt.mapInArrow(_stars(self.percent, first), STARS)
 
     def candidates(self) -> tuple[DataFrame, DataFrame]:
         """Pairs with pivots (a, b, times met, only), and postings of shingles in three classes or more."""
         postings = self.texts.select("text").mapInArrow(_postings(self.order, self.n_words, self.percent), POSTINGS)
         out = kept(self._group(postings, True))
-        again = out.where("again").select("token", F.lit(0).alias("salt"), "n", F.col("a").alias("cls"), "place")
+        again = out.where("again").select("token", F.lit(0).alias("salt"), "meta", F.col("a").alias("cls"))
         pairs = out.where("b is not null").unionByName(self._group(again, False).where("b is not null"))
         met = kept(pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.max("only").alias("only")))
-        return met, out.where("not again").select(F.col("a").alias("cls"), "token", "n", "place")
+        return met, out.where("not again").select(F.col("a").alias("cls"), "token", "meta")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Links (u, v: classes) of the pairs (a, b: short classes) that are similar enough."""
@@ -348,11 +366,14 @@ class Join:
             return rows.join(root.withColumnRenamed("short", key), key, "left").withColumn(out, own).drop("root")
 
         rest = labelled(rest, "cls", "part")
-        open_ = rest.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("token")
-        rest = kept(rest.join(open_, "token", "left_semi"))
-        x, y = (rest.toDF(*(f"{c}_{k}" if c != "token" else c for c in rest.columns)) for k in "xy")
-        fits = _allowed(F.col("n_x"), F.col("n_y"), F.col("place_x"), F.col("place_y"), self.percent)
-        cross = x.join(y, "token").where((F.col("part_x") < F.col("part_y")) & fits).select("cls_x", "cls_y")
+        # shingles of a passage are in the same classes: one group stands for them, with each class's first place
+        members = F.bit_xor(F.xxhash64("cls")).alias("members")
+        open_ = rest.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), members).where("lo <> hi")
+        rest = kept(rest.join(open_.select("token", "members"), "token").groupBy("members", "cls", "part").agg(F.min("meta").alias("meta")))
+        x, y = (rest.toDF(*(f"{c}_{k}" if c != "members" else c for c in rest.columns)) for k in "xy")
+        (n_x, place_x), (n_y, place_y) = (_unpacked(F.col(f"meta_{k}")) for k in "xy")
+        fits = _allowed(n_x, n_y, place_x, place_y, self.percent)
+        cross = x.join(y, "members").where((F.col("part_x") < F.col("part_y")) & fits).select("cls_x", "cls_y")
         lone = labelled(labelled(met.where("only").select("a", "b"), "a", "p"), "b", "q").where("p <> q").select("a", "b")
         order = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
         more = cross.toDF("a", "b").union(lone).select(*order).distinct().join(first.select(*order), ["a", "b"], "left_anti")
