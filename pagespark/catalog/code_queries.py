@@ -30,7 +30,7 @@ def _(spark, sf):
     return C.python_files(_versions(spark, sf)).select("repo", "ref", "path")
 
 
-@query("changed_files", "SELECT * FROM files")
+@query("changed_files", "SELECT *, CAST(NULL AS VARCHAR) AS error FROM files")
 def _(spark, sf):
     return _files(spark, sf)
 
@@ -160,13 +160,12 @@ def _(spark, sf):
 # each derived commit is given the two refs of the file table in turn
 @query(
     "history_changes",
-    """SELECT p.head_ref AS head_commit, c.repo, c.path, c.name, c.change FROM (
-      SELECT repo, head_ref FROM pairs WHERE CAST(head_ref AS BIGINT) % 2 = 0 AND CAST(base_ref AS BIGINT) % 2 = 1) p JOIN changes c ON p.repo = c.repo""",
+    """SELECT p.head_ref AS head_commit, c.repo, c.path, c.name, CASE WHEN p.forward OR c.change = 'modified' THEN c.change WHEN c.change = 'added' THEN 'removed' ELSE 'added' END AS change
+      FROM (SELECT repo, head_ref, CAST(head_ref AS BIGINT) % 2 = 0 AS forward FROM pairs WHERE CAST(head_ref AS BIGINT) % 2 <> CAST(base_ref AS BIGINT) % 2) p
+      JOIN changes c ON p.repo = c.repo""",
 )
 def _(spark, sf):
     pairs = C.commit_pairs(commits(spark, sf)).select("repo", "head_ref", "base_ref")
-    forward = (F.col("head_ref").cast("long") % 2 == 0) & (F.col("base_ref").cast("long") % 2 == 1)
-    pairs = pairs.filter(forward)
     # even commits hold the head state of their repository, odd ones the base state
     refs = pairs.select("repo", F.explode(F.array("head_ref", "base_ref")).alias("sha")).distinct()
     state = F.when(F.col("sha").cast("long") % 2 == 0, "head").otherwise("base")
@@ -234,7 +233,7 @@ _BAR, _DASH = "repeat('=', 80)", "repeat('-', 40)"
 def _one_sided(status: str, side: str) -> str:
     doc = f"nullif(regexp_extract({side}_code, '\"\"\"(Doc [0-9]+)\"\"\"', 1), '')"
     return f"""concat_ws(chr(10), 'STATUS: {status}', concat('Decorators: ', {_DECORATED}),
-      CASE WHEN {doc} IS NOT NULL THEN concat('Docstring: ', {doc}, '...') END, concat(chr(10), '{side.upper()} VERSION:'), {_DASH}, {side}_code)"""
+      CASE WHEN {doc} IS NOT NULL THEN concat('Docstring: ', {doc}) END, concat(chr(10), '{side.upper()} VERSION:'), {_DASH}, {side}_code)"""
 
 
 @query(
@@ -283,21 +282,42 @@ def _related(spark, sf):
     return c.withColumn("path", path)
 
 
+def _bounds(spark, sf):
+    """From the base commit of each repository to the newest of its even commits."""
+    head = F.max(F.when(F.col("seq") % 2 == 0, F.col("committed_at"))).alias("head_at")
+    heads = commits(spark, sf).groupBy("repo").agg(head)
+    return heads.join(derived(spark, sf, "base_dates"), "repo", "left")
+
+
+_BETWEEN = """SELECT f.repo, f.path, m.* EXCLUDE (repo, path) FROM files f JOIN (
+        SELECT *, CAST(regexp_extract(repo, '([0-9]+)$', 1) AS BIGINT) AS k FROM commits) m
+        ON f.repo = m.repo AND f.path = concat('pkg/d', m.k // 10, '/m', m.k * 10 + 1, '.py')
+      LEFT JOIN base_dates b ON f.repo = b.repo
+      LEFT JOIN (SELECT repo, max(CASE WHEN seq % 2 = 0 THEN committed_at END) AS head_at FROM commits GROUP BY repo) h ON f.repo = h.repo
+      WHERE (b.base_at IS NULL OR m.committed_at > b.base_at) AND (h.head_at IS NULL OR m.committed_at <= h.head_at)"""
+
+
 @query(
-    "diff_headers",
-    """SELECT c.repo, c.path, c.name, concat('# Diff for ', c.node_type, ': ', c.name, chr(10), '# File: ', c.path, chr(10), '# Repository: ', c.repo, chr(10),
-      '# Status: ', f.status, chr(10), CASE WHEN c.change <> 'added' THEN concat('# Old SHA: ', coalesce(f.old_sha, 'None'), chr(10)) ELSE '' END,
-      CASE WHEN c.change <> 'removed' THEN concat('# New SHA: ', coalesce(f.new_sha, 'None'), chr(10)) ELSE '' END, '#', repeat('=', 60), chr(10),
-      CASE WHEN r.text IS NULL THEN '' ELSE concat('#', chr(10), '# RELATED COMMITS:', chr(10), '#', repeat('-', 40), chr(10), r.text, '#', repeat('=', 60), chr(10)) END) AS header
-    FROM changes c JOIN files f ON c.repo = f.repo AND c.path = f.path LEFT JOIN (
-      SELECT repo, concat('pkg/d', k // 10, '/m', k * 10 + 1, '.py') AS path, string_agg(concat('# Commit: ', substr(sha, 1, 8), chr(10), '# Date: ',
+    "related_commits",
+    f"""SELECT repo, path, sha, concat('# Commit: ', substr(sha, 1, 8), chr(10), '# Date: ',
         strftime(committed_at, '%Y-%m-%dT%H:%M:%SZ'), chr(10), '# Author: ', author_name, ' <', replace(author_name, ' ', '.'), '@example.org>', chr(10),
         CASE WHEN author_name <> committer_name THEN concat('# Committer: ', committer_name, ' <', replace(committer_name, ' ', '.'), '@example.org>', chr(10)) ELSE '' END,
-        '# Message: order ', sha, chr(10), '#          ', regexp_extract(message, 'total .*$'), chr(10), '#', chr(10)), '' ORDER BY committed_at DESC, sha DESC) AS text
-      FROM (SELECT *, CAST(regexp_extract(repo, '([0-9]+)$', 1) AS BIGINT) AS k, row_number() OVER (PARTITION BY repo ORDER BY committed_at DESC, sha DESC) AS rn FROM commits) m
-      WHERE rn <= 100 GROUP BY repo, k) r ON c.repo = r.repo AND c.path = r.path""",
+        '# Message: order ', sha, chr(10), '#          ', regexp_extract(message, 'total .*$'), chr(10), '#', chr(10)) AS text FROM ({_BETWEEN}) r""",
+)
+def _(spark, sf):
+    return C.related_commits(_files(spark, sf), _related(spark, sf), _bounds(spark, sf)).drop("committed_at")
+
+
+@query(
+    "diff_headers",
+    f"""SELECT c.repo, c.path, c.name, concat('# Diff for ', c.node_type, ': ', c.name, chr(10), '# File: ', c.path, chr(10), '# Repository: ', c.repo, chr(10),
+      '# Status: ', f.status, chr(10), CASE WHEN c.change <> 'added' THEN concat('# Old SHA: ', coalesce(f.old_sha, 'None'), chr(10)) ELSE '' END,
+      CASE WHEN c.change <> 'removed' THEN concat('# New SHA: ', coalesce(f.new_sha, 'None'), chr(10)) ELSE '' END,
+      CASE WHEN r.n > 0 THEN concat('# Related commits: ', r.n, chr(10)) ELSE '' END, '#', repeat('=', 60), chr(10)) AS header
+    FROM changes c JOIN files f ON c.repo = f.repo AND c.path = f.path
+    LEFT JOIN (SELECT repo, path, count(*) AS n FROM ({_BETWEEN}) r GROUP BY repo, path) r ON c.repo = r.repo AND c.path = r.path""",
 )
 def _(spark, sf):
     files = _files(spark, sf)
-    headers = C.diff_header(C.definition_changes(files), files, _related(spark, sf))
-    return headers.select("repo", "path", "name", "header")
+    related = C.related_commits(files, _related(spark, sf), _bounds(spark, sf))
+    return C.diff_header(C.definition_changes(files), files, related).select("repo", "path", "name", "header")

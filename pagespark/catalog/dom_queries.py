@@ -310,7 +310,7 @@ def _(spark, sf):
 @query(
     "visible_elements",
     """SELECT t.page_id, t.nid, t.tag, l.width, l.height, l.y, l.z_index FROM tags t JOIN layout l ON t.page_id = l.page_id AND t.nid = l.nid
-    WHERE t.nid < 100 AND l.width > 10 AND l.height > 10 AND l.y < 600""",
+    WHERE l.width > 10 AND l.height > 10 AND l.y < 600""",
 )
 def _(spark, sf):
     shown = P.visible_elements(_aug(spark, sf), derived(spark, sf, "layout"), viewport_height=600)
@@ -343,7 +343,7 @@ def _(spark, sf):
       LEFT JOIN (SELECT page_id, count(*) AS n FROM ({_INTERACTIVE}) i GROUP BY page_id) k ON t.page_id = k.page_id GROUP BY t.page_id) i ON s.page_id = i.page_id
     LEFT JOIN (SELECT page_id, string_agg(concat('element_', rn - 1, ':', nid, ':', tag), ',' ORDER BY nid) AS candidates FROM (
       SELECT page_id, nid, tag, row_number() OVER (PARTITION BY page_id ORDER BY nid) AS rn FROM tags WHERE aria = 'false' OR tag = 'DETAILS') r
-      WHERE rn <= 5 GROUP BY page_id) c ON s.page_id = c.page_id""",
+      GROUP BY page_id) c ON s.page_id = c.page_id""",
 )
 def _(spark, sf):
     shown = F.transform("candidates", lambda c: F.concat_ws(":", c["element_id"], c["nid"].cast("string"), c["tag"]))
@@ -381,7 +381,7 @@ def _(spark, sf):
 @query(
     "element_ids",
     f"""SELECT page_id, nid, CASE WHEN id <> '' THEN 'id_' || id
-    ELSE concat_ws('_', tag, nullif(replace(class_name, ' ', '_'), ''), substr(md5(substr(text, 1, 50)), 1, 8)) END AS element_id FROM ({_EXPANDABLE}) e""",
+    ELSE concat_ws('_', tag, nullif(replace(class_name, ' ', '_'), ''), md5(text)) END AS element_id FROM ({_EXPANDABLE}) e""",
 )
 def _(spark, sf):
     return E.element_id(E.expandable_elements(_aug(spark, sf))).select("page_id", "nid", "element_id")

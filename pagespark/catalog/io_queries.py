@@ -81,7 +81,7 @@ def _(spark, sf):
 
 @query(
     "changed_files_listed",
-    f"""SELECT f.repo, f.path, f.status, coalesce(o.content, '') AS old_content, coalesce(n.content, '') AS new_content, o.blob_sha AS old_sha, n.blob_sha AS new_sha
+    f"""SELECT f.repo, f.path, f.status, coalesce(o.content, '') AS old_content, coalesce(n.content, '') AS new_content, o.blob_sha AS old_sha, n.blob_sha AS new_sha, CAST(NULL AS VARCHAR) AS error
     FROM files f LEFT JOIN ({_CONTENTS}) o ON f.repo = o.repo AND f.path = o.path AND o.ref = 'base'
     LEFT JOIN ({_CONTENTS}) n ON f.repo = n.repo AND f.path = n.path AND n.ref = 'head'""",
 )

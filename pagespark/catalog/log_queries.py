@@ -99,11 +99,10 @@ def _(spark, sf):
 
 @query(
     "failure_stats",
-    """SELECT page_id, CAST(total - succeeded AS DOUBLE) / total AS interaction_failure_rate, CAST(4 AS INT) AS n_strategies FROM facts WHERE total > 0""",
+    """SELECT page_id, CAST(total - succeeded AS DOUBLE) / total AS interaction_failure_rate FROM facts WHERE total > 0""",
 )
 def _(spark, sf):
-    stats = G.failure_stats(_log(spark, sf))
-    return stats.select("page_id", "interaction_failure_rate", F.size("recommended_strategies").alias("n_strategies"))
+    return G.failure_stats(_log(spark, sf))
 
 
 # -- mutation and request logs ---------------------------------------------------------------
@@ -150,11 +149,11 @@ def _(spark, sf):
 
 @query(
     "settle_point",
-    """SELECT page_id, CAST(coalesce(min(CASE WHEN run_ms >= 1000 THEN sample_ix * 100 END), 10000) AS INT) AS settled_at_ms,
-      min(CASE WHEN run_ms >= 1000 THEN 1 END) IS NOT NULL AS settled FROM (
+    """SELECT page_id, CAST(min(CASE WHEN run_ms >= 1000 THEN sample_ix * 100 END) AS INT) AS settled_at_ms,
+      min(CASE WHEN run_ms >= 1000 THEN 1 END) IS NOT NULL AS settled, coalesce(min(CASE WHEN run_ms >= 1000 THEN sample_ix * 100 END), 10000) >= 10000 AS timed_out FROM (
       SELECT page_id, sample_ix, (sample_ix - max(CASE WHEN changed THEN sample_ix END) OVER (PARTITION BY page_id ORDER BY sample_ix)) * 100 AS run_ms FROM (
         SELECT page_id, sample_ix, coalesce(height <> lag(height) OVER (PARTITION BY page_id ORDER BY sample_ix), TRUE) AS changed
-        FROM height_samples WHERE sample_ix < 100) a) b GROUP BY page_id""",
+        FROM height_samples WHERE sample_ix >= 0) a) b GROUP BY page_id""",
 )
 def _(spark, sf):
     return M.settle_point(derived(spark, sf, "height_samples"))
@@ -418,7 +417,7 @@ def _(spark, sf):
         "dynamic_behavior.expandable_content.total_expandable",
         "dynamic_behavior.expandable_content.successful_expansions",
         "dynamic_behavior.expandable_content.content_reveals",
-        "scraping_strategy.error_handling.interaction_failure_rate",
+        "extraction_strategy.error_handling.interaction_failure_rate",
         "technical_requirements.javascript_required",
         F.col("dynamic_behavior.content_loading_patterns.content_stability").alias("activity_level"),
         F.array_join("edge_cases", "; ").alias("edge_cases"),

@@ -217,13 +217,7 @@ SELECT *, (nid = 0 OR nid >= body_nid) AND tag NOT IN ('SCRIPT', 'STYLE') AND ra
   aria IS NOT NULL OR cls IN ('expandable', 'collapsible')
     OR page_aria AND (nid = 0 OR tag IN ('BODY', 'DETAILS') OR tag = 'P' AND coalesce(raw2, '') LIKE '<details%') AS expandable
 FROM tags""",
-    # an article keeps its heading and its first 49 paragraphs under the child limit
-    "snapshot": """
-SELECT * FROM (SELECT *, sum(CASE WHEN tag = 'P' AND nid > article_nid AND nid < footer_nid THEN 1 ELSE 0 END)
-    OVER (PARTITION BY page_id ORDER BY nid) AS paragraphs FROM (
-  SELECT *, max(CASE WHEN tag = 'ARTICLE' THEN nid END) OVER (PARTITION BY page_id) AS article_nid,
-    max(CASE WHEN tag = 'FOOTER' THEN nid END) OVER (PARTITION BY page_id) AS footer_nid FROM seen) s) t
-WHERE nid >= body_nid AND (nid <= article_nid OR nid >= footer_nid OR paragraphs <= 49)""",
+    "snapshot": """SELECT * FROM seen WHERE nid >= body_nid""",
     "segments": f"""
 SELECT page_id, url, html, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS article,
   regexp_extract(html, '(?s)<nav>(.*)</nav>', 1) AS nav,

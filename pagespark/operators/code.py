@@ -26,7 +26,6 @@ DEFINITION_DDL = (
 )
 DEFINITION_FIELDS = [part.split()[0] for part in DEFINITION_DDL.split(", ")]
 LINE_DDL = "side string, line_no int, status string, mapped_line int, line string"
-RELATED_COMMITS = 100  # the newest this many commits of a file are looked at for its diff header
 
 
 def file_keys(df: DataFrame) -> list[str]:
@@ -79,19 +78,55 @@ def python_files(df: DataFrame) -> DataFrame:
 
 
 # -- files between two refs ---------------------------------------------------------------
-def _versions(versions: DataFrame, side: str) -> DataFrame:
+def _marks(versions: DataFrame, side: str) -> DataFrame:
+    """What tells a file's versions apart: the blob's sha or, without one, a digest of the content."""
     sha = F.col("blob_sha") if "blob_sha" in versions.columns else F.lit(None).cast("string")
+    digest = F.when(sha.isNull(), F.sha2(F.col("content"), 256))
     return versions.select(
-        "repo", "ref", "path", F.col("content").alias(f"{side}_content"), sha.alias(f"{side}_sha"), F.lit(True).alias(side)
+        "repo", "ref", "path", sha.alias(f"{side}_sha"), digest.alias(f"{side}_digest"), F.lit(True).alias(side)
+    )
+
+
+def _texts(versions: DataFrame, side: str, ref: str = "ref") -> DataFrame:
+    return versions.select("repo", F.col("ref").alias(ref), "path", F.col("content").alias(f"{side}_content"))
+
+
+def _differ(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Files whose marks differ: keys, status, shas, and which sides are there.  No text takes part."""
+    same = F.coalesce(F.col("old_sha") == F.col("new_sha"), F.col("old_digest").eqNullSafe(F.col("new_digest")))
+    status = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("modified")
+    joined = old.join(new, keys, "full_outer")
+    return joined.filter(~F.coalesce(F.col("old") & F.col("new") & same, F.lit(False))).withColumn("status", status)
+
+
+def _with_texts(changed: DataFrame) -> DataFrame:
+    """Settle what marks could not, report sides whose bytes were no text, and tidy up."""
+    mixed = F.col("old") & F.col("new") & (F.col("old_sha").isNull() != F.col("new_sha").isNull())
+    alike = F.coalesce(mixed & F.col("old_content").eqNullSafe(F.col("new_content")), F.lit(False))
+    errors = [
+        F.when(F.col(side) & F.col(f"{side}_content").isNull(), F.lit(f"{side} content is not text")) for side in ("old", "new")
+    ]
+    return (
+        changed.filter(~alike)
+        .withColumn("error", F.nullif(F.concat_ws("; ", *errors), F.lit("")))
+        .withColumn("old_content", F.coalesce("old_content", F.lit("")))
+        .withColumn("new_content", F.coalesce("new_content", F.lit("")))
+        .drop("old", "new", "old_digest", "new_digest")
     )
 
 
 def changed_files(versions: DataFrame, base: str, head: str) -> DataFrame:
-    """Python files that differ between two refs of each repository; an absent side is empty text, NULL sha."""
+    """Python files that differ between two refs of each repository; an absent side is empty text, NULL sha.
+
+    Versions are compared by sha or digest first; then only the texts of files that differ are looked
+    up.  A file whose content is no text (NULL) is a row with the reason in ``error``.
+    """
     py = python_files(versions)
-    old = _versions(py.filter(F.col("ref") == base), "old").drop("ref")
-    new = _versions(py.filter(F.col("ref") == head), "new").drop("ref")
-    return _with_status(old.join(new, ["repo", "path"], "full_outer"))
+    old, new = (py.filter(F.col("ref") == r) for r in (base, head))
+    keys = ["repo", "path"]
+    changed = _differ(_marks(old, "old").drop("ref"), _marks(new, "new").drop("ref"), keys)
+    texts = changed.join(_texts(old, "old").drop("ref"), keys, "left").join(_texts(new, "new").drop("ref"), keys, "left")
+    return _with_texts(texts)
 
 
 def changed_files_of_pairs(versions: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -99,46 +134,40 @@ def changed_files_of_pairs(versions: DataFrame, pairs: DataFrame) -> DataFrame:
     py = python_files(versions)
     keys = ["repo", "base_ref", "head_ref"]
     refs = pairs.select(*keys)
-    old = refs.join(_versions(py, "old").withColumnRenamed("ref", "base_ref"), ["repo", "base_ref"])
-    new = refs.join(_versions(py, "new").withColumnRenamed("ref", "head_ref"), ["repo", "head_ref"])
-    return _with_status(old.join(new, [*keys, "path"], "full_outer"))
-
-
-def _unreadable(side: str) -> Column:
-    """The side is there but its bytes were no text; such files are left out."""
-    return F.col(side).isNotNull() & F.col(f"{side}_content").isNull()
-
-
-def _with_status(joined: DataFrame) -> DataFrame:
-    status = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("modified")
-    same_sha = F.col("old_sha") == F.col("new_sha")
-    same_text = F.col("old_content").eqNullSafe(F.col("new_content"))
-    same = F.col("old") & F.col("new") & F.coalesce(same_sha, same_text)
-    return (
-        joined.filter(~F.coalesce(same, F.lit(False)) & ~_unreadable("old") & ~_unreadable("new"))
-        .withColumn("status", status)
-        .withColumn("old_content", F.coalesce("old_content", F.lit("")))
-        .withColumn("new_content", F.coalesce("new_content", F.lit("")))
-        .drop("old", "new")
-    )
+    old = refs.join(_marks(py, "old").withColumnRenamed("ref", "base_ref"), ["repo", "base_ref"])
+    new = refs.join(_marks(py, "new").withColumnRenamed("ref", "head_ref"), ["repo", "head_ref"])
+    changed = _differ(old, new, [*keys, "path"])
+    texts = changed.join(_texts(py, "old", "base_ref"), ["repo", "base_ref", "path"], "left")
+    return _with_texts(texts.join(_texts(py, "new", "head_ref"), ["repo", "head_ref", "path"], "left"))
 
 
 def changed_files_listed(comparison: DataFrame, contents: DataFrame) -> DataFrame:
     """Files listed by a ref comparison (repo, base_ref, head_ref, path, status), with their contents.
 
-    The given status decides which sides are looked up.  A side without stored contents is empty.
+    The given status decides which sides are looked up.  A side without stored contents is empty;
+    one whose stored content is no text is empty and named in ``error``.
     """
     py = python_files(comparison)
-    old = _versions(contents, "old").withColumnRenamed("ref", "base_ref")
-    new = _versions(contents, "new").withColumnRenamed("ref", "head_ref")
-    sides = py.join(old, ["repo", "base_ref", "path"], "left").join(new, ["repo", "head_ref", "path"], "left")
+    sides = py
+    for side, ref in (("old", "base_ref"), ("new", "head_ref")):
+        stored = contents.select(
+            "repo", F.col("ref").alias(ref), "path", F.col("content").alias(f"{side}_content"),
+            (F.col("blob_sha") if "blob_sha" in contents.columns else F.lit(None).cast("string")).alias(f"{side}_sha"),
+            F.lit(True).alias(side),
+        )
+        sides = sides.join(stored, ["repo", ref, "path"], "left")
     had, has = F.col("status") != "added", F.col("status") != "removed"
-    return sides.filter(~(had & _unreadable("old")) & ~(has & _unreadable("new"))).select(
+    bad = [
+        F.when(used & F.col(side) & F.col(f"{side}_content").isNull(), F.lit(f"{side} content is not text"))
+        for side, used in (("old", had), ("new", has))
+    ]
+    return sides.select(
         "repo", "base_ref", "head_ref", "path", "status",
         F.coalesce(F.when(had, F.col("old_content")), F.lit("")).alias("old_content"),
         F.coalesce(F.when(has, F.col("new_content")), F.lit("")).alias("new_content"),
         F.when(had, F.col("old_sha")).alias("old_sha"),
         F.when(has, F.col("new_sha")).alias("new_sha"),
+        F.nullif(F.concat_ws("; ", *bad), F.lit("")).alias("error"),
     )
 
 
@@ -159,27 +188,41 @@ def parse_errors(versions: DataFrame) -> DataFrame:
     return parsed.filter(F.col("parse_error").isNotNull()).select(*file_keys(parsed), "parse_error")
 
 
-def _both_sides(old: str | None, new: str | None):
-    return K.definitions_of(old)[0], K.definitions_of(new)[0]
+def _last_of_each(key: str):
+    """Kernel: definitions of both sides of a file, of each key the last."""
 
+    def sides(old: str | None, new: str | None):
+        return tuple(list({d[key]: d for d in K.definitions_of(text)[0]}.values()) for text in (old, new))
 
-def definition_sides(file_changes: DataFrame, keep_files: bool = False) -> DataFrame:
-    """Definitions of both sides of changed files, ``side`` old or new; both parsed in one pass.
+    return sides
 
-    With ``keep_files``, a file without any definition has one row of NULLs.
+
+def file_definition_changes(file_changes: DataFrame, key: str = "name") -> DataFrame:
+    """Changed files without their texts, with ``changes``: their added, removed and modified definitions.
+
+    Both sides of a file are in its row, so they are paired there; nothing is shuffled.
     """
-    keys = file_keys(file_changes)
-    texts = file_changes.select(*keys, "old_content", "new_content")
     ddl = f"array<struct<{DEFINITION_DDL}>>"
-    parsed = _add_columns(texts, {"old_defs": ddl, "new_defs": ddl}, ["old_content", "new_content"], _both_sides)
+    parsed = _add_columns(file_changes, {"old_defs": ddl, "new_defs": ddl}, ["old_content", "new_content"], _last_of_each(key))
 
-    def tagged(side: str) -> Column:
-        return F.transform(
-            f"{side}_defs", lambda d: F.struct(F.lit(side).alias("side"), *[d[f].alias(f) for f in DEFINITION_FIELDS])
-        )
+    def by_key(side: str) -> Column:
+        return F.map_from_arrays(F.transform(f"{side}_defs", lambda d: d[key]), F.col(f"{side}_defs"))
+
+    paired = F.map_entries(F.map_zip_with(by_key("old"), by_key("new"), lambda k, o, n: F.struct(o.alias("old"), n.alias("new"))))
+    differ = F.filter(paired, lambda e: ~e["value"]["old"]["source_code"].eqNullSafe(e["value"]["new"]["source_code"]))
+
+    def change(e: Column) -> Column:
+        old, new = e["value"]["old"], e["value"]["new"]
+        return F.struct(
+            e["key"].alias(key),
+            *([] if key == "name" else [F.coalesce(new["name"], old["name"]).alias("name")]),
+            F.when(old.isNull(), "added").when(new.isNull(), "removed").otherwise("modified").alias("change"),
+            F.coalesce(new["node_type"], old["node_type"]).alias("node_type"),
+            *[d[f].alias(f"{side}_{f}") for side, d in (("old", old), ("new", new))
+              for f in ("source_code", "decorators", "docstring", "start_line", "end_line")],
+        )
 
-    rows = F.inline_outer if keep_files else F.inline
-    return parsed.select(*keys, rows(F.concat(tagged("old"), tagged("new"))))
+    return parsed.withColumn("changes", F.transform(differ, change)).drop("old_defs", "new_defs")
 
 
 def changed_definitions(old: DataFrame, new: DataFrame, key: str = "name") -> DataFrame:
@@ -210,7 +253,10 @@ def match_definitions(sides: DataFrame, key: str = "name") -> DataFrame:
 
 
 def definition_changes(file_changes: DataFrame, key: str = "name") -> DataFrame:
-    return match_definitions(definition_sides(file_changes), key)
+    """One row per changed definition of changed files; the last of a key in a file wins."""
+    keys = [c for c in file_keys(file_changes) if c != "ref"]
+    found = file_definition_changes(file_changes.select(*keys, "old_content", "new_content"), key)
+    return found.select(*keys, F.inline("changes"))
 
 
 def filter_changes(def_changes: DataFrame, kind: str) -> DataFrame:
@@ -235,20 +281,15 @@ def repo_totals(file_changes: DataFrame, def_changes: DataFrame) -> DataFrame:
 
 
 def repo_totals_of(file_changes: DataFrame, key: str = "name") -> DataFrame:
-    """The same straight from changed files: one chain of groupings, so files and definitions are
-    computed once.  Only digests of the sources are shuffled."""
+    """The same straight from changed files: counts are made in a file's row, and one grouping adds them up."""
     keys = [k for k in file_keys(file_changes) if k != "ref"]
-    sides = definition_sides(file_changes, keep_files=True)
-    digest = F.sha2(F.col("source_code"), 256)
+    return totals_of_files(file_definition_changes(file_changes.select(*keys, "old_content", "new_content"), key))
 
-    def last(side: str) -> Column:
-        return F.max_by("digest", F.when(F.col("side") == side, F.col("ord")))
 
-    slim = sides.select(*keys, F.col(key).alias("key"), "side", "ord", digest.alias("digest"))
-    matched = slim.groupBy(*keys, "key").agg((~last("old").eqNullSafe(last("new"))).alias("changed"))
-    per_file = matched.groupBy(*keys).agg(F.count_if("changed").alias("n"))
-    return per_file.groupBy(*[k for k in keys if k != "path"]).agg(
-        F.count("*").alias("files_changed"), F.sum("n").alias("definitions_changed")
+def totals_of_files(changes_of_files: DataFrame) -> DataFrame:
+    """Totals per repository (and ref pair) of what ``file_definition_changes`` gives."""
+    return changes_of_files.groupBy(*[k for k in file_keys(changes_of_files) if k not in ("path", "ref")]).agg(
+        F.count("*").alias("files_changed"), F.sum(F.size("changes").cast("long")).alias("definitions_changed")
     )
 
 
@@ -260,11 +301,13 @@ def overall_totals(totals: DataFrame) -> DataFrame:
     )
 
 
-def change_report(file_changes: DataFrame, def_changes: DataFrame) -> DataFrame:
-    """One row per changed definition with its file's status and shas, repository and overall totals."""
-    keys = file_keys(file_changes)
-    totals = repo_totals(file_changes, def_changes)
-    repo_keys = [k for k in keys if k != "path"]
+def change_report(changes_of_files: DataFrame) -> DataFrame:
+    """One row per changed definition with its file's status and shas, repository and overall totals.
+
+    Takes what ``file_definition_changes`` gives; detail and totals both come from it.
+    """
+    totals = totals_of_files(changes_of_files)
+    repo_keys = [k for k in file_keys(changes_of_files) if k != "path"]
     overall = overall_totals(totals)
     named = totals.select(
         *repo_keys,
@@ -272,8 +315,8 @@ def change_report(file_changes: DataFrame, def_changes: DataFrame) -> DataFrame:
         F.col("definitions_changed").alias("repo_definitions_changed"),
         overall.select(F.struct("*")).scalar().alias("all"),
     ).select("*", *[F.col(f"all.{c}").alias(f"all_{c}") for c in overall.columns]).drop("all")
-    files = file_changes.select(*keys, "status", "old_sha", "new_sha")
-    return def_changes.join(files, keys).join(named, repo_keys)
+    rows = changes_of_files.select(*file_keys(changes_of_files), "status", "old_sha", "new_sha", F.inline("changes"))
+    return rows.join(named, repo_keys)
 
 
 # -- commits -------------------------------------------------------------------------------------
@@ -406,8 +449,12 @@ def _python_list(items: Column) -> Column:
     return F.concat(F.lit("["), listed, F.lit("]"))
 
 
-def side_by_side(def_changes: DataFrame) -> DataFrame:
-    """Both versions of a changed definition as one text block, in column ``comparison``."""
+def side_by_side(def_changes: DataFrame, docstring_limit: int | None = None) -> DataFrame:
+    """Both versions of a changed definition as one text block, in column ``comparison``.
+
+    A ``docstring_limit`` cuts docstrings to so many characters and marks them with "...".
+    """
+    # Labels and rules of the block.
     bar, dash = F.lit("=" * 80), F.lit("-" * 40)
 
     def version(side: str) -> list[Column]:
@@ -419,7 +466,7 @@ def side_by_side(def_changes: DataFrame) -> DataFrame:
             "\n",
             F.lit(f"STATUS: {status}"),
             F.concat(F.lit("Decorators: "), _python_list(F.col(f"{side}_decorators"))),
-            F.concat(F.lit("Docstring: "), F.substring(doc, 1, 100), F.lit("...")),
+            F.concat(F.lit("Docstring: "), doc if docstring_limit is None else F.concat(F.substring(doc, 1, docstring_limit), F.lit("..."))),
             *version(side),
         )
 
@@ -457,35 +504,37 @@ def unified_diff(def_changes: DataFrame) -> DataFrame:
     )
 
 
-def diff_header(
-    def_changes: DataFrame, file_changes: DataFrame, commits: DataFrame | None = None, limit: int = RELATED_COMMITS
-) -> DataFrame:
-    """Header lines of a definition's diff: file status, shas and the file's related commits.
+def related_commits(file_changes: DataFrame, commits: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
+    """Commits of each changed file between its base and its head: file keys, sha, committed_at, text.
+
+    ``commits(repo, path, sha, committed_at, author, committer, message)``;
+    ``bounds(repo[, base_ref, head_ref], base_at, head_at)``: base_at < committed_at <= head_at, a
+    bound that is NULL or whose row is missing does not bind.  One row for each commit, however many a file has.
+    """
+    keys = file_keys(file_changes)
+    found = file_changes.select(*keys).join(commits.withColumn("_date", _iso_date(commits)), ["repo", "path"])
+    if bounds is not None:
+        at = [k for k in keys if k in bounds.columns]
+        found = found.join(bounds.select(*at, "base_at", "head_at"), at, "left")
+        after = F.col("base_at").isNull() | (F.col("committed_at") > F.col("base_at"))
+        found = found.filter(after & (F.col("head_at").isNull() | (F.col("committed_at") <= F.col("head_at"))))
+    return found.select(*keys, "sha", "committed_at", _commit_text().alias("text"))
+
+
+def diff_header(def_changes: DataFrame, file_changes: DataFrame, related: DataFrame | None = None) -> DataFrame:
+    """Header lines of a definition's diff: file status, shas, and the number of its file's related commits.
 
-    ``commits(repo, path, sha, committed_at, author, committer, message)`` as listed
-    by ``commits_for_file``.  Only the newest ``limit`` commits of a file are related ones, and a
-    file's commits are cut to them before they are shuffled, so the list in a row stays bounded.
+    The commits themselves are rows, see ``related_commits``: a file may have any number.
     """
     keys = file_keys(file_changes)
     files = file_changes.select(*keys, "status", "old_sha", "new_sha")
+    if related is None:
+        files = files.withColumn("_related", F.lit(0))
+    else:
+        files = files.join(related.groupBy(*keys).agg(F.count("*").alias("_related")), keys, "left")
     df = def_changes.join(files, keys)
-    related = F.lit("")
-    if commits is not None:
-        newest = W.partitionBy("repo", "path").orderBy(F.desc("committed_at"), F.desc("sha"))
-        dated = commits.withColumn("_date", _iso_date(commits))
-        kept = dated.withColumn("rank", F.row_number().over(newest)).filter(F.col("rank") <= limit)
-        block = kept.groupBy("repo", "path").agg(
-            F.array_join(
-                F.transform(F.array_sort(F.collect_list(F.struct("rank", _commit_text().alias("t")))), lambda x: x["t"]),
-                "",
-            ).alias("_related")
-        )
-        df = df.join(block, ["repo", "path"], "left")
-        rule, dash = "#" + "=" * 60 + "\n", "#" + "-" * 40 + "\n"
-        related = F.coalesce(
-            F.concat(F.lit("#\n# RELATED COMMITS:\n" + dash), F.col("_related"), F.lit(rule)), F.lit("")
-        )
 
+    # Labels and rules of the header.
     def line(label: str, value: Column) -> Column:
         return F.concat(F.lit(f"# {label}: "), F.coalesce(value, F.lit("None")), F.lit("\n"))
 
@@ -497,8 +546,8 @@ def diff_header(
         line("Status", F.col("status")),
         F.when(F.col("change") != "added", line("Old SHA", F.col("old_sha"))).otherwise(blank),
         F.when(F.col("change") != "removed", line("New SHA", F.col("new_sha"))).otherwise(blank),
+        F.when(F.col("_related") > 0, line("Related commits", F.col("_related").cast("string"))).otherwise(blank),
         F.lit("#" + "=" * 60 + "\n"),
-        related,
     )
     return df.withColumn("header", header).drop("_related")
 
@@ -511,6 +560,7 @@ def _iso_date(commits: DataFrame) -> Column:
     return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+# Labels of a commit's text.
 def _commit_text() -> Column:
     """One related commit: short sha, date, people, and its message with the lines indented."""
 

@@ -22,25 +22,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagespark.functions.selectors import Node, all_matches, css, first_match, selector_name
-from pagespark.operators.html_kernel import JS_SPACE, Document, trimmed_prefix, xpaths
+from pagespark.operators.html_kernel import JS_SPACE, Document, tag_text, trimmed_prefix, xpaths
 
-SNAPSHOT_DEPTH = 10
-SNAPSHOT_CHILDREN = 50
 TEXT_LIMIT = 200
+# Elements whose whole text the kernel hands over; operators read no other element's text in full.
+TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 title script".split())
 
 _INT, _STR, _BOOL = pa.int32(), pa.string(), pa.bool_()
 
 
-def _id_ancestors(doc: Document) -> list[list[int]]:
-    """For each node its ancestors that have an id; nodes without a new one share their parent's list."""
-    out: list[list[int]] = []
-    for n in doc.nodes:
-        p = n.parent
-        above = [] if p is None else out[p.nid]
-        out.append(above + [p.nid] if p is not None and p.attrs.get("id") else above)
-    return out
-
-
 def _each(get: Callable) -> Callable:
     return lambda doc: [get(n) for n in doc.nodes]
 
@@ -76,7 +66,7 @@ NODE_FIELDS: dict[str, tuple] = {
     "links_within": (_INT, "int", _each(lambda n: n.links)),
     "fields_within": (_INT, "int", _each(lambda n: n.fields)),
     "aria_within": (_INT, "int", _each(lambda n: n.arias)),
-    "id_ancestors": (pa.list_(_INT), "array<int>", _id_ancestors),
+    "text": (_STR, "string", lambda d: tag_text(d, TEXT_TAGS)),
 }
 PAGE_FIELDS: dict[str, tuple] = {
     "full_text": (_STR, "string", lambda d: d.full_text),
@@ -84,21 +74,17 @@ PAGE_FIELDS: dict[str, tuple] = {
     "text_node_lengths": (pa.list_(_INT), "array<int>", lambda d: d.text_lens),
 }
 _BATCH_CHARS = 4_000_000  # output is cut into batches of about this much input text
-_SMALL_INPUT = 16 << 20  # bytes per core below which a scan yields too few tasks
+#: Set it for tables in files that Spark cannot split, such as a few small ones.
+PARTITIONS = "spark.pagespark.kernelPartitions"
 
 
 def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Give a small, unsplit input one partition per core before a Python kernel.
+    """Partitions for a Python kernel: those of the scan, or as many as the session's PARTITIONS says.
 
-    Only when the optimizer's size estimate says it is small: a large scan already has
-    enough splits, and shuffling its text would cost more than the kernel.
+    A large scan has enough splits, and shuffling its text would cost more than the kernel.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except AttributeError:  # no JVM handle (Connect)
-        return df
-    return df.repartition(cores, *keys) if size < cores * _SMALL_INPUT else df
+    n = df.sparkSession.conf.get(PARTITIONS, None)
+    return df.repartition(int(n), *keys) if n else df
 
 
 def parse_pages(pages: DataFrame, fields: Iterable[str] | None = None) -> DataFrame:
@@ -215,7 +201,11 @@ def ranked_rows(
 
 
 def text_of(n: Node) -> Column:
-    """A node's whole textContent, cut from the page text by offsets."""
+    """A node's whole textContent, cut from the page text by offsets.
+
+    Cutting counts characters from the start of the page; for elements with one of TEXT_TAGS take
+    the node's own ``text``.
+    """
     return F.substring(F.col("full_text"), n("text_start") + 1, n("text_len"))
 
 
@@ -249,12 +239,17 @@ def page_text(pages: DataFrame) -> DataFrame:
     return dom.select(*page_keys(dom), *PAGE_FIELDS, "parse_error")
 
 
-def dom_snapshot(pages: DataFrame) -> DataFrame:
-    """Body subtree to depth 10, following only the first 50 children of every ancestor."""
-    nodes = dom_nodes(pages)
-    return nodes.filter(
-        (F.col("body_depth") <= SNAPSHOT_DEPTH) & (F.col("max_child_ix_on_path") < SNAPSHOT_CHILDREN)
-    ).withColumn("is_expandable", is_expandable(F.col))
+def in_snapshot(n: Node, depth: int | None, children: int | None) -> Column:
+    """The node is in the body, at most ``depth`` below it, and under the first ``children`` of every ancestor."""
+    inside = n("body_depth").isNotNull()
+    if depth is not None:
+        inside &= F.coalesce(n("body_depth") <= depth, F.lit(False))
+    return inside if children is None else inside & (n("max_child_ix_on_path") < children)
+
+
+def dom_snapshot(pages: DataFrame, depth: int | None = None, children: int | None = None) -> DataFrame:
+    """Body subtree, whole unless a depth or a number of children to follow is given."""
+    return dom_nodes(pages).filter(in_snapshot(F.col, depth, children)).withColumn("is_expandable", is_expandable(F.col))
 
 
 def with_xpath(pages: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from pagespark.functions.selectors import Node, all_matches, css, first_match, selector_name
 from pagespark.operators import dom as D
@@ -20,7 +19,6 @@ EXPANDABLE_SELECTORS = [
 NESTED_SELECTORS = [
     '[aria-expanded="false"]', "details:not([open])", ".expandable:not(.expanded)", ".collapsible:not(.expanded)",
 ]
-NESTED_PER_PARENT = 5
 EXPANDABLE_FIELDS = ("tag", "id", "class_name", "classes", "attrs", "text200", "static_visible")
 
 
@@ -63,63 +61,59 @@ def expandable_elements(pages: DataFrame, layout: DataFrame | None = None) -> Da
     return found if layout is None else D.with_positions(found, layout).filter("has_box").drop("has_box")
 
 
-def nested_expandables(pages: DataFrame, per_level: int | None = NESTED_PER_PARENT) -> DataFrame:
-    """Collapsed elements inside an expandable element that has an id: the first few per parent.
+def nested_expandables(
+    pages: DataFrame, per_parent: int | None = None, layout: DataFrame | None = None
+) -> DataFrame:
+    """Collapsed elements inside an expandable element that has an id, ranked per parent.
 
-    A candidate meets its parents through its own list of ancestors with an id: parents and
-    candidates are emitted as rows keyed by (capture, parent) from one parse, and meet in one
-    shuffle on that key.  Pairs that do not nest are never formed.
+    Parents and candidates stand in one row, the page's: each parent takes the candidates inside its
+    interval.  Nothing is shuffled.  ``per_parent`` keeps the first so many; with a ``layout``
+    elements without a box are left out (ranks then have gaps).
     """
-    dom = D.ensure_dom(pages, *EXPANDABLE_FIELDS, "id_ancestors")
-    keys = [*D.page_keys(dom), "parent_nid"]
+    dom = D.ensure_dom(pages, *EXPANDABLE_FIELDS, "end_nid")
 
     def is_parent(n: Node) -> Column:
         return is_expandable_candidate(n) & (n("id") != "")
 
-    def is_nested(n: Node) -> Column:
-        return n("static_visible") & (F.size(n("id_ancestors")) > 0)
-
-    def cells(n: Node) -> list[Column]:
-        return [
-            *[n(f).alias(f) for f in ("nid", "tag", "id", "class_name")],
-            D.short_text(n, 100).alias("text"),
-            D.attr(n, "aria-expanded").alias("aria_expanded"),
-        ]
-
-    own = F.transform(
-        D.matching(is_parent),
-        lambda x: F.struct(
-            F.array(x["nid"]).alias("parents"), x["id"].alias("own_id"), F.array(F.lit(-1)).alias("hits"),
-            *cells(x.getField),
-        ),
+    def cells(x: Column) -> Column:
+        n = x.getField
+        hits = all_matches(NESTED_SELECTORS, n)
+        return F.transform(
+            hits,
+            lambda ix: F.struct(
+                ix.alias("sel_ix"), *[n(f).alias(f) for f in ("nid", "tag", "id", "class_name")],
+                D.short_text(n, 100).alias("text"), D.attr(n, "aria-expanded").alias("aria_expanded"),
+            ),
+        )
+
+    # one entry for each selector that a candidate matches, in report order
+    inner = F.array_sort(F.flatten(F.transform(D.matching(lambda n: n("static_visible")), cells)), _report_order)
+    parents = F.transform(
+        D.matching(is_parent), lambda x: F.struct(x["nid"].alias("nid"), x["end_nid"].alias("end_nid"), x["id"].alias("id"))
     )
-    inner = F.transform(
-        D.matching(is_nested),
-        lambda x: F.struct(
-            x["id_ancestors"].alias("parents"), F.lit(None).cast("string").alias("own_id"),
-            all_matches(NESTED_SELECTORS, x.getField).alias("hits"), *cells(x.getField),
-        ),
+    both = dom.select(*D.page_keys(dom), parents.alias("parents"), inner.alias("inner")).filter(F.size("parents") > 0)
+    each = both.select(*D.page_keys(dom), "inner", F.explode("parents").alias("p"))
+    own = F.filter("inner", lambda c: (c["nid"] > F.col("p.nid")) & (c["nid"] <= F.col("p.end_nid")))
+    own = own if per_parent is None else F.slice(own, 1, per_parent)
+    rows = each.select(*D.page_keys(dom), F.col("p.nid").alias("parent_nid"), F.col("p.id").alias("parent_id"), F.posexplode(own).alias("pos", "c"))
+    found = rows.select(
+        *D.page_keys(dom), "parent_nid", "parent_id", "c.*", (F.col("pos") + 1).alias("rank"),
+        selector_name(NESTED_SELECTORS, F.col("c.sel_ix")).alias("selector"),
     )
-    both = dom.filter(F.exists("nodes", lambda x: is_parent(x.getField)))
-    rows = both.select(*D.page_keys(dom), F.inline(F.concat(own, F.filter(inner, lambda x: F.size(x["hits"]) > 0))))
-    rows = rows.withColumn("parent_nid", F.explode("parents")).drop("parents")
-    rows = rows.withColumn("sel_ix", F.explode("hits")).drop("hits")
-    # the parent's own row sorts first, with rank 0
-    group = W.partitionBy(*keys)
-    order = group.orderBy("sel_ix", "nid")
-    ranked = rows.withColumn("parent_id", F.max("own_id").over(group))
-    ranked = ranked.withColumn("rank", F.row_number().over(order) - 1).filter(
-        F.col("parent_id").isNotNull() & (F.col("rank") > 0)
-    )
-    if per_level is not None:
-        ranked = ranked.filter(F.col("rank") <= per_level)
-    return ranked.withColumn("selector", selector_name(NESTED_SELECTORS, F.col("sel_ix"))).drop("own_id")
+    return found if layout is None else D.with_positions(found, layout).filter("has_box").drop("has_box")
+
+
+def _report_order(a: Column, b: Column) -> Column:
+    def compare(f: str, equal: Column) -> Column:
+        return F.when(a[f] < b[f], -1).when(a[f] > b[f], 1).otherwise(equal)
+
+    return compare("sel_ix", compare("nid", F.lit(0)))
 
 
 def element_id(elements: DataFrame) -> DataFrame:
-    """``id_<id>``, else tag, class and a digest of the text; a label, not a key."""
+    """``id_<id>``, else tag, class and a digest of the whole text; a label, not a key."""
     classes = F.nullif(F.replace(F.col("class_name"), F.lit(" "), F.lit("_")), F.lit(""))
-    digest = F.substring(F.md5(F.encode(F.substring("text", 1, 50), "UTF-8")), 1, 8)
+    digest = F.md5(F.encode("text", "UTF-8"))
     made = F.concat_ws("_", F.nullif(F.col("tag"), F.lit("")), classes, digest)
     return elements.withColumn(
         "element_id", F.when(F.col("id") != "", F.concat(F.lit("id_"), F.col("id"))).otherwise(made)

@@ -39,8 +39,19 @@ CLOSES = {
     "optgroup": ({"option", "optgroup"}, {"select"}),
 }
 UNRENDERED = frozenset("head script style template noscript".split())
-# Browsers stop nesting here too: deeper elements become siblings, none is dropped.
-MAX_DEPTH = 512
+# One bit for each kind of implicit end: set in an element if one of the tags to close is open inside the barrier.
+_KINDS = {"p": ({"p"}, P_BARRIER), **CLOSES}
+_BIT = {kind: 1 << k for k, kind in enumerate(_KINDS)}
+
+
+def _bits(tag: str) -> tuple[int, int]:
+    closed = sum(_BIT[k] for k, (tags, _) in _KINDS.items() if tag in tags)
+    barred = sum(_BIT[k] for k, (_, barrier) in _KINDS.items() if tag in barrier)
+    return ~barred, closed
+
+
+_MASKS = {t: _bits(t) for tags, barrier in _KINDS.values() for t in (*tags, *barrier)}
+_NO_MASK = (~0, 0)
 
 # White space as the DOM's trim() knows it.
 JS_SPACE = "\t\n\v\f\r " + "".join(
@@ -57,7 +68,7 @@ class Node:
     __slots__ = (
         "nid", "parent", "end", "depth", "body_depth", "child_ix", "n_children", "same_tag_ix", "tag", "attrs",
         "text_start", "text_end", "html_start", "html_end", "max_child_ix", "visible", "tag_counts",
-        "links", "fields", "arias",
+        "links", "fields", "arias", "closable",
     )
 
 
@@ -73,7 +84,7 @@ class Document:
         self.text_lens: list[int] = []
         self.offset = 0
         self.links = self.fields = self.arias = 0
-        self.open_paragraphs = 0
+        self.open_tags: dict[str, int] = {}
         self.head = self.body = None
         self.body_end = None
         self._run: list[str] | None = None
@@ -90,8 +101,6 @@ class Document:
     def open(self, tag: str, attrs: dict, start: int) -> Node:
         if self._run is not None:
             self._end_run()
-        if len(self.stack) > MAX_DEPTH:
-            self._pop_to(MAX_DEPTH, start)
         n = Node()
         parent = self.stack[-1] if self.stack else None
         n.nid = n.end = len(self.nodes)
@@ -121,8 +130,9 @@ class Document:
             self.links += 1
         elif tag in ("input", "select", "textarea"):
             self.fields += 1
-        elif tag == "p":
-            self.open_paragraphs += 1
+        keep, add = _MASKS.get(tag, _NO_MASK)
+        n.closable = 0 if parent is None else parent.closable & keep | add
+        self.open_tags[tag] = self.open_tags.get(tag, 0) + 1
         if attrs and "aria-expanded" in attrs:
             self.arias += 1
         self.nodes.append(n)
@@ -152,17 +162,15 @@ class Document:
             n.links = self.links - n.links - (tag == "a")
             n.fields = self.fields - n.fields - (tag in ("input", "select", "textarea"))
             n.arias = self.arias - n.arias - ("aria-expanded" in n.attrs)
-            if tag == "p":
-                self.open_paragraphs -= 1
-
-    def _close_nearest(self, tags, barrier, pos) -> None:
-        for i in range(len(self.stack) - 1, 1, -1):
-            t = self.stack[i].tag
-            if t in tags:
-                self._pop_to(i, pos)
-                return
-            if t in barrier:
-                return
+            self.open_tags[tag] -= 1
+
+    def _close_nearest(self, kind: str, pos: int) -> None:
+        """Close the nearest of a kind's tags; all that is looked at is closed, so the steps are paid for."""
+        if self.stack[-1].closable & _BIT[kind]:
+            tags, i = _KINDS[kind][0], len(self.stack) - 1
+            while self.stack[i].tag not in tags:
+                i -= 1
+            self._pop_to(i, pos)
 
     def _need_body(self, pos: int, attrs: dict | None = None) -> None:
         if self.body is None:
@@ -244,7 +252,7 @@ class Document:
         if tag in ("body", "html"):
             if self.body is not None and self.body_end is None:
                 self.body_end = lt
-        elif tag != "head":
+        elif tag != "head" and self.open_tags.get(tag):
             for k in range(len(self.stack) - 1, 1, -1):
                 if self.stack[k].tag == tag:
                     self._pop_to(k, lt)
@@ -300,11 +308,10 @@ class Document:
         if self.body is None and len(self.stack) <= 2 and tag not in HEAD_ONLY:
             self._need_body(lt)
         self.body_end = None
-        if self.open_paragraphs and tag in CLOSES_P:
-            self._close_nearest(("p",), P_BARRIER, lt)
+        if tag in CLOSES_P:
+            self._close_nearest("p", lt)
         if tag in CLOSES:
-            tags, barrier = CLOSES[tag]
-            self._close_nearest(tags, barrier, lt)
+            self._close_nearest(tag, lt)
         self.open(tag, attrs, pos)
         depth = len(self.stack) - 1
         if tag in VOID:
@@ -344,6 +351,11 @@ def trimmed_prefix(text: str, start: int, end: int, limit: int) -> str:
     return s
 
 
+def tag_text(doc: Document, tags: frozenset[str]) -> list[str | None]:
+    """Whole text of the elements with one of ``tags``."""
+    return [doc.full_text[n.text_start : n.text_end] if n.tag in tags else None for n in doc.nodes]
+
+
 def xpaths(nodes: list[Node]) -> list[str]:
     """id("x") at the nearest element with an id, else BODY, else the path from the root."""
     out: list[str] = []

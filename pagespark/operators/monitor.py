@@ -179,23 +179,30 @@ def settle_point(
     max_ms: int = SETTLE_MAX_MS,
     step_ms: int = SETTLE_STEP_MS,
 ) -> DataFrame:
-    """When a sampled height stopped changing: (page_id, settled_at_ms, settled).
+    """When a sampled height stopped changing: (page_id, settled_at_ms, settled, timed_out).
 
-    ``samples(page_id, sample_ix, height)``: sample 0 is the baseline, later ones are checks.
-    Checks beyond ``max_ms`` are never looked at, which bounds a page to max_ms/step_ms rows,
-    so a window per page is safe.
+    ``samples(page_id, sample_ix, height)``: sample 0 is the baseline, later ones are checks.  All
+    samples are looked at: a page that settles after ``max_ms`` has its true point and is marked
+    ``timed_out``, as is one that never settles, whose point is unknown.
+
+    Quiet needs ``k`` equal samples in a row, k = quiet_ms/step_ms.  Samples fall into chunks of k,
+    each with the last k of the chunk before: a run of k equal steps lies in one such stretch, so a page
+    with very many samples spreads over its chunks.
     """
-    checks = samples.filter(F.col("sample_ix").between(0, max_ms // step_ms - 1))
-    by_ix = W.partitionBy("page_id").orderBy("sample_ix")
+    k = max(1, -(-quiet_ms // step_ms))
+    own = F.floor(F.col("sample_ix") / k)
+    near = samples.filter("sample_ix >= 0").select("page_id", "sample_ix", "height", F.explode(F.array(own, own + 1)).alias("chunk"))
+    by_ix = W.partitionBy("page_id", "chunk").orderBy("sample_ix")
     changed = F.coalesce(F.col("height") != F.lag("height").over(by_ix), F.lit(True))
     last_change = F.max(F.when(F.col("changed"), F.col("sample_ix"))).over(by_ix)
-    runs = checks.withColumn("changed", changed).withColumn("since", last_change)
+    runs = near.withColumn("changed", changed).withColumn("since", last_change)
     calm = (F.col("sample_ix") - F.col("since")) * step_ms >= quiet_ms
     out = runs.groupBy("page_id").agg(F.min(F.when(calm, F.col("sample_ix") * step_ms)).alias("at"))
     return out.select(
         "page_id",
-        F.least(F.coalesce("at", F.lit(max_ms)), F.lit(max_ms)).alias("settled_at_ms"),
+        F.col("at").alias("settled_at_ms"),
         F.col("at").isNotNull().alias("settled"),
+        (F.coalesce("at", F.lit(max_ms)) >= max_ms).alias("timed_out"),
     )
 
 

@@ -22,7 +22,6 @@ CONTENT_SELECTORS = ["main", "article", ".content", "#content", ".main", ".conta
 NAV_SELECTOR = 'nav,.nav,.navigation,[role="navigation"]'
 FIELD_SELECTOR = "input,select,textarea"
 QUICK_SELECTOR = '[aria-expanded="false"],details:not([open])'
-QUICK_LIMIT = 5
 # Signs of a challenge page instead of content.
 CHALLENGE_TITLES = [
     "just a moment", "checking your browser", "cloudflare", "access denied", "blocked", "captcha",
@@ -43,11 +42,11 @@ def _one_row(dom: DataFrame, *cols: Column, also: tuple[str, ...] = ()) -> DataF
 
 def title_column() -> Column:
     """Text of the first <title>, white space collapsed; NULL when there is none."""
-    titles = F.transform(D.matching(lambda n: css("title", n)), lambda x: D.text_of(x.getField))
+    titles = F.transform(D.matching(lambda n: css("title", n)), lambda x: x["text"])
     return F.trim(F.regexp_replace(F.try_element_at(titles, F.lit(1)), "[\t\n\f\r ]+", " "))
 
 
-TITLE_FIELDS = ("tag", "text_start", "text_len", "full_text")
+TITLE_FIELDS = ("tag", "text")
 
 
 def page_titles(pages: DataFrame) -> DataFrame:
@@ -138,7 +137,7 @@ def link_tags(pages: DataFrame) -> DataFrame:
     )
 
 
-META_FIELDS = ("tag", "attrs", "text_start", "text_len", "full_text")
+META_FIELDS = ("tag", "attrs", "text")
 
 
 def script_count() -> Column:
@@ -149,7 +148,7 @@ def service_worker() -> Column:
     """Some script of the page registers a service worker."""
     return F.exists(
         D.matching(lambda n: css("script", n)),
-        lambda x: F.contains(D.text_of(x.getField), F.lit("serviceWorker.register")),
+        lambda x: F.contains(x["text"], F.lit("serviceWorker.register")),
     )
 
 
@@ -222,14 +221,14 @@ HEADINGS = ["H1", "H2", "H3", "H4", "H5", "H6"]
 
 
 def headings(pages: DataFrame) -> DataFrame:
-    dom = D.ensure_dom(pages, "tag", "id", "text_start", "text_len", "full_text")
+    dom = D.ensure_dom(pages, "tag", "id", "text")
     return D.node_rows(
         dom,
         lambda n: n("tag").isin(HEADINGS),
         lambda n: [
             n("nid").alias("nid"),
             n("tag").alias("level"),
-            D.trim(D.text_of(n)).alias("text"),
+            D.trim(n("text")).alias("text"),
             n("id").alias("id"),
         ],
     )
@@ -263,7 +262,7 @@ def forms(pages: DataFrame) -> DataFrame:
 # -- whole-page figures -------------------------------------------------------------------
 def raw_page_info(pages: DataFrame) -> DataFrame:
     dom = D.ensure_dom(
-        pages, "tag", "attrs", "html_start", "html_end", "text_start", "text_len", "full_text", "body_text"
+        pages, "tag", "attrs", "text", "html_start", "html_end", "body_text"
     )
     body = F.try_element_at(D.matching(lambda n: css("body", n)), F.lit(1))
     counts = {
@@ -321,36 +320,35 @@ def content_metrics(pages: DataFrame, layout: DataFrame | None = None, viewport_
     return measured.select(*keys, *figures, "pageHeight", F.lit(viewport_height).cast("int").alias("viewportHeight"))
 
 
-VISIBLE_SCAN = 100
-
-
-def visible_elements(pages: DataFrame, layout: DataFrame, viewport_height: int = 1080) -> DataFrame:
-    """Of the first 100 elements, those of more than 10x10 px that start above the fold."""
+def visible_elements(pages: DataFrame, layout: DataFrame, viewport_height: int = 1080, scan: int | None = None) -> DataFrame:
+    """Elements (of the first ``scan``, if given) of more than 10x10 px that start above the fold."""
     dom = D.ensure_dom(pages, "tag", "id", "class_name", "text200")
     first = D.node_rows(
         dom,
-        lambda n: n("nid") < VISIBLE_SCAN,
+        lambda n: F.lit(True) if scan is None else n("nid") < scan,
         lambda n: [
             *[n(f).alias(f) for f in ("nid", "tag", "id", "class_name")],
             D.short_text(n, 100).alias("text"),
         ],
     )
-    shown = layout.filter(
-        (F.col("nid") < VISIBLE_SCAN) & (F.col("width") > 10) & (F.col("height") > 10) & (F.col("y") < viewport_height)
-    )
+    shown = layout.filter((F.col("width") > 10) & (F.col("height") > 10) & (F.col("y") < viewport_height))
     return first.join(shown, [c for c in layout.columns if c in first.columns])
 
 
-def static_nodes(pages: DataFrame) -> DataFrame:
-    """Snapshot nodes that are visible, not expandable and carry no data-* attribute."""
+def static_nodes(
+    pages: DataFrame, layout: DataFrame | None = None, depth: int | None = None, children: int | None = None
+) -> DataFrame:
+    """Snapshot nodes that are visible, not expandable and carry no data-* attribute.
+
+    With a ``layout``, only those that take up room, with their boxes.
+    """
     dom = D.ensure_dom(
         pages, "tag", "id", "classes", "class_name", "attrs", "text200", "static_visible", "aria_within", "body_depth",
         "max_child_ix_on_path",
     )
-    return D.node_rows(
+    found = D.node_rows(
         dom,
-        lambda n: F.coalesce(n("body_depth") <= D.SNAPSHOT_DEPTH, F.lit(False))
-        & (n("max_child_ix_on_path") < D.SNAPSHOT_CHILDREN)
+        lambda n: D.in_snapshot(n, depth, children)
         & n("static_visible")
         & ~D.is_expandable(n)
         & ~F.exists(F.map_keys(n("attrs")), lambda k: F.startswith(k, F.lit("data-"))),
@@ -359,9 +357,10 @@ def static_nodes(pages: DataFrame) -> DataFrame:
             D.short_text(n, 100).alias("text"),
         ],
     )
+    return found if layout is None else D.with_positions(found, layout).filter("has_box").drop("has_box")
 
 
-CHALLENGE_FIELDS = ("tag", "id", "classes", "attrs", "text_start", "text_len", "full_text", "body_text")
+CHALLENGE_FIELDS = ("tag", "id", "classes", "attrs", "text", "body_text")
 
 
 def challenge_reasons() -> Column:
@@ -379,12 +378,13 @@ def detect_challenge(pages: DataFrame) -> DataFrame:
     return _one_row(D.ensure_dom(pages, *CHALLENGE_FIELDS), challenge_reasons().alias("challenge"))
 
 
-def quick_profile(pages: DataFrame) -> DataFrame:
-    """Structure counts and the first five collapsed elements of each page."""
+def quick_profile(pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """Structure counts and the (first ``limit``) collapsed elements of each page."""
     dom = D.ensure_dom(
-        pages, *TITLE_FIELDS, "id", "classes", "attrs", "n_children", "static_visible", "text200"
+        pages, *TITLE_FIELDS, "id", "classes", "attrs", "n_children", "static_visible", "text_len", "text200"
     )
-    first = F.slice(D.matching(lambda n: css(QUICK_SELECTOR, n)), 1, QUICK_LIMIT)
+    first = D.matching(lambda n: css(QUICK_SELECTOR, n))
+    first = first if limit is None else F.slice(first, 1, limit)
     candidates = F.transform(
         first,
         lambda x, i: F.struct(

@@ -23,9 +23,7 @@ def history(versions: DataFrame, commits: DataFrame, since=None, key: str = "nam
 def report(file_changes: DataFrame, key: str = "name") -> DataFrame:
     """The change report of changed files.
 
-    Detail, repository totals and overall totals all read the changed definitions, so these are
-    written once; the files take part without their texts.
+    Detail and totals both read the changed definitions by file, so that table is written once, and
+    versions are read once.  This runs its job when called: call it when the report is wanted.
     """
-    defs = written(C.definition_changes(file_changes, key))
-    files = written(file_changes.drop("old_content", "new_content"))
-    return C.change_report(files, defs)
+    return C.change_report(written(C.file_definition_changes(file_changes, key)))

@@ -29,14 +29,6 @@ COMMON_SELECTORS = [
     ('[role="main"]', "aria-based", "high"),
 ]
 META_IN_SPEC = ["description", "keywords", "author", "title"]
-# Advice that accompanies the failure rate.
-STRATEGIES = [
-    "Use explicit waits instead of fixed delays",
-    "Implement retry logic for failed interactions",
-    "Gracefully handle missing elements",
-    "Log interaction failures for debugging",
-]
-FAILURE_POINTS = ["Elements not found", "Elements not clickable", "Content not loading after interaction"]
 PRIMARY_TEXT, SUBSTANTIAL_TEXT, LONG_TEXT = 1000, 500, 2000
 VERSION = "1.0"
 
@@ -56,7 +48,7 @@ def static_elements_array(areas: Column) -> Column:
         anchor = F.when(x["id"] != "", F.concat(F.lit("#"), x["id"])).otherwise("")
         rank = F.when(x["tag"].isin("H1", "H2"), "high").otherwise("medium")
         return element(
-            "heading", x["nid"], rank, level=x["tag"], text=D.trim(D.text_of(x.getField)),
+            "heading", x["nid"], rank, level=x["tag"], text=D.trim(x["text"]),
             selector=F.concat(F.lower(x["tag"]), anchor),
         )
 
@@ -77,7 +69,7 @@ def static_elements_array(areas: Column) -> Column:
     )
 
 
-STATIC_FIELDS = {*P.AREA_FIELDS, "class_name", "links_within", "text_start", "full_text"}
+STATIC_FIELDS = {*P.AREA_FIELDS, "class_name", "links_within", "text"}
 
 
 def static_elements(pages: DataFrame) -> DataFrame:
@@ -285,9 +277,7 @@ def interaction_requirements(interaction_log: DataFrame) -> DataFrame:
 
 def failure_stats(interaction_log: DataFrame) -> DataFrame:
     top = interaction_log.filter(E.top_level())
-    return top.groupBy("page_id").agg(F.avg((~E.succeeded()).cast("int")).alias("interaction_failure_rate")).select(
-        "*", F.lit(STRATEGIES).alias("recommended_strategies"), F.lit(FAILURE_POINTS).alias("common_failure_points")
-    )
+    return top.groupBy("page_id").agg(F.avg((~E.succeeded()).cast("int")).alias("interaction_failure_rate"))
 
 
 def interaction_facts(interaction_log: DataFrame) -> DataFrame:
@@ -453,7 +443,9 @@ def page_specs(
         spec = spec.join(interaction_facts(interaction_log), "page_id", "left")
     monitored = mutation_log is not None
     if monitored:
-        spec = spec.join(M.monitoring_summary(mutation_log, request_log, pages), "page_id", "left")
+        spec = spec.join(M.monitoring_summary(mutation_log, request_log), "page_id", "left")
+        for c, none in (("total_mutations", zero), ("api_calls_detected", zero), ("activity_level", F.lit("none"))):
+            spec = spec.withColumn(c, F.coalesce(c, none))
         behaviour = [F.struct(*f()) for f in (content_loading_columns, timing_columns, performance_columns)]
     else:
         behaviour = [F.lit(None).cast("string")] * 3
@@ -491,10 +483,8 @@ def page_specs(
         F.struct(
             F.struct(
                 F.when(total > 0, (total - done) / total).otherwise(F.lit(0.0)).alias("interaction_failure_rate"),
-                F.lit(STRATEGIES).alias("recommended_strategies"),
-                F.lit(FAILURE_POINTS).alias("common_failure_points"),
             ).alias("error_handling")
-        ).alias("scraping_strategy"),
+        ).alias("extraction_strategy"),
         F.struct(
             (_moved() if monitored else F.col("scripted")).alias("javascript_required"),
             F.col("worker").alias("service_worker"),

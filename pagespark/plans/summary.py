@@ -41,13 +41,16 @@ def page_summary(
         out = out.withColumn(c, F.coalesce(c, F.lit(0)))
     if mutation_log is None:
         return out
-    seen = M.monitoring_summary(mutation_log, request_log, pages).select(
+    seen = M.monitoring_summary(mutation_log, request_log).select(
         "page_id",
         F.col("total_mutations").alias("mutations_detected"),
         F.col("api_calls_detected").alias("api_calls_made"),
         "activity_level",
     )
-    return out.join(seen, "page_id", "left")
+    out = out.join(seen, "page_id", "left")
+    for c, none in (("mutations_detected", 0), ("api_calls_made", 0), ("activity_level", "none")):
+        out = out.withColumn(c, F.coalesce(c, F.lit(none)))
+    return out
 
 
 def recommendations(summary: DataFrame) -> DataFrame:

@@ -25,6 +25,8 @@ def session(name: str, cores: int, memory: str = "12g") -> SparkSession:
     """A local session; on a cluster, pass ``SETTINGS`` to the submitted job instead."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name)
     builder = builder.config("spark.driver.memory", memory).config("spark.sql.shuffle.partitions", str(cores))
+    # local test tables are single files
+    builder = builder.config("spark.pagespark.kernelPartitions", str(cores))
     for k, v in SETTINGS.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()

@@ -10,13 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the one the cluster names; a local one only where none is named (tests)."""
+def _base(spark: SparkSession) -> str:
+    """The folder the session names; a temporary one only where Spark is a single process and none is named."""
     base = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="pagespark-")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"name a folder that all executors share in {CHECKPOINT_DIR}")
+        base = f"file://{tempfile.mkdtemp(prefix='pagespark-')}"
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/pagespark/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/pagespark/{spark.sparkContext.applicationId}"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder for this application's intermediate tables."""
+    return f"{_base(spark)}/{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -28,3 +36,10 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/table"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_intermediate(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application; frames that read them can no longer run."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_base(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

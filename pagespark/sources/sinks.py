@@ -29,8 +29,14 @@ def diff_records(with_headers: DataFrame) -> DataFrame:
     )
 
 
-def write_definition_diffs(with_headers: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    diff_records(with_headers).write.mode(mode).partitionBy("repo").parquet(path)
+def write_definition_diffs(
+    with_headers: DataFrame, path: str, mode: str = "errorifexists", related: DataFrame | None = None
+) -> None:
+    """Diffs under ``path`` or, with ``related`` commits, in its folders ``diffs`` and ``commits``."""
+    to = path if related is None else f"{path}/diffs"
+    diff_records(with_headers).write.mode(mode).partitionBy("repo").parquet(to)
+    if related is not None:
+        related.write.mode(mode).partitionBy("repo").parquet(f"{path}/commits")
 
 
 def file_version_records(file_changes: DataFrame, style: str | None = "comment") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagespark.sources.shared import shared_folder
 
+
 @contextmanager
 def session_conf(spark: SparkSession, conf: dict[str, str]):
     """Settings for queries started inside the block; a streaming query keeps a copy of them."""
@@ -24,16 +25,16 @@ def session_conf(spark: SparkSession, conf: dict[str, str]):
                 spark.conf.set(k, v)
 
 
-def run_available(stream: DataFrame, conf: dict[str, str] | None = None) -> DataFrame:
+def run_available(stream: DataFrame, conf: dict[str, str] | None = None, partitions: int | None = None) -> DataFrame:
     """Process all input that is there now, and return the rows that were emitted.
 
-    Every state partition is opened in every micro-batch, so a run on few cores uses few of them.
+    ``partitions`` is the number of state partitions, for a stream whose state needs fewer or more
+    than the session's shuffles.
     """
     spark = stream.sparkSession
     folder = shared_folder(spark)
-    enough = 2 * spark.sparkContext.defaultParallelism
-    partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), enough)
-    with session_conf(spark, {"spark.sql.shuffle.partitions": str(partitions), **(conf or {})}):
+    own = {"spark.sql.shuffle.partitions": str(partitions)} if partitions else {}
+    with session_conf(spark, {**own, **(conf or {})}):
         query = (
             stream.writeStream.format("parquet")
             .option("path", f"{folder}/rows")

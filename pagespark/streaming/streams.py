@@ -19,6 +19,8 @@ try:
 except ImportError:  # Spark before 4.0
     StatefulProcessor = object
 
+#: A settled page is remembered for a day of event time.
+FORGET_MS = 24 * 3600 * 1000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -84,11 +86,13 @@ class _Settle(StatefulProcessor):
     """Keeps a page's stretches of activity until the first is known to have ended.
 
     State per page is that short list; stretches older than the watermark close, so the list is
-    bounded by the watermark delay divided by the quiet time.
+    bounded by the watermark delay divided by the quiet time.  A settled page keeps only a mark,
+    which a timer removes ``forget_ms`` of event time later.  A page that comes back after that is a new page
+    and is reported again.
     """
 
-    def __init__(self, quiet_ms: int):
-        self.quiet_ms = quiet_ms
+    def __init__(self, quiet_ms: int, forget_ms: int):
+        self.quiet_ms, self.forget_ms = quiet_ms, forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -112,21 +116,27 @@ class _Settle(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         old = self.state.get()
-        if old is None or old[0]:
+        if old is None:
+            return
+        if old[0]:
+            self.state.clear()
             return
         quiet_from = old[2][0]
         if quiet_from + self.quiet_ms > timerValues.getCurrentWatermarkInMs():
             return  # the stretch went on; its later timer decides
         self.state.update((True, [], []))
+        self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + self.forget_ms)
         yield pd.DataFrame({"page_id": [key[0]], "settled_at_ms": [quiet_from + self.quiet_ms]})
 
     def close(self) -> None:
         pass
 
 
-def stream_settled(events: DataFrame, quiet_ms: int, watermark: str = "10 minutes") -> DataFrame:
+def stream_settled(events: DataFrame, quiet_ms: int, watermark: str = "10 minutes", forget_ms: int = FORGET_MS) -> DataFrame:
     """Emit each page once, when it has first been quiet for ``quiet_ms``: (page_id, settled_at_ms).
 
+    "Once" holds while the page is remembered: ``forget_ms`` of event time after it was reported.
+
     Before the shuffle each Arrow batch shrinks to its stretches of activity, so a page that holds
     a large share of the events sends few rows.  Needs the RocksDB state store.
     """
@@ -147,7 +157,7 @@ def stream_settled(events: DataFrame, quiet_ms: int, watermark: str = "10 minute
         .withWatermark("last_at", watermark)
     )
     return stretches.groupBy("page_id").transformWithStateInPandas(
-        statefulProcessor=_Settle(quiet_ms),
+        statefulProcessor=_Settle(quiet_ms, forget_ms),
         outputStructType="page_id bigint, settled_at_ms bigint",
         outputMode="Append",
         timeMode="EventTime",

@@ -84,9 +84,10 @@ def test_changed_files(versions):
     assert {r.path: renamed[r.status] for r in back.filter("repo = 'o/r'").collect()} == {k: v[0] for k, v in got.items()}
 
 
-def test_unreadable_files_are_left_out(spark):
+def test_unreadable_files_are_rows_with_an_error(spark):
     rows = [("r", "a", "x.py", None, None), ("r", "b", "x.py", "a", None), ("r", "b", "y.py", "a", None), ("r", "a", "z.py", None, None)]
-    assert [r.path for r in C.changed_files(spark.createDataFrame(rows, VERSIONS), "a", "b").collect()] == ["y.py"]
+    got = {r.path: (r.status, r.error) for r in C.changed_files(spark.createDataFrame(rows, VERSIONS), "a", "b").collect()}
+    assert got == {"x.py": ("modified", "old content is not text"), "y.py": ("added", None), "z.py": ("removed", "old content is not text")}
 
 
 def test_without_shas_texts_are_compared(versions):
@@ -108,7 +109,7 @@ def test_totals_count_files_without_changed_definitions(versions):
     assert [tuple(r) for r in C.repo_totals(files, defs).collect()] == [("o/r", 4, 5)]
     assert tuple(C.overall_totals(C.repo_totals(files, defs)).first()) == (1, 4, 5)
     assert C.repo_totals_of(files).collect() == C.repo_totals(files, defs).collect()
-    report = C.change_report(files, defs).collect()
+    report = C.change_report(C.file_definition_changes(files)).collect()
     assert sorted(map(str, H.report(files).collect())) == sorted(map(str, report))
     assert len(report) == 5 and {r.path for r in report} == {"m.py", "gone.py", "new.py"}
     assert {(r.repo_files_changed, r.all_definitions_changed) for r in report} == {(4, 5)}
@@ -177,24 +178,30 @@ def test_diffs_and_headers(spark, versions):
          ("o/r", "m.py", "0123456789", "2024-01-16 10:30:00", "Open", "Al", "Bo")],
         "repo string, path string, sha string, at string, message string, a string, c string",
     )
-    person = lambda c: F.struct(F.col(c).alias("name"), F.concat(c, F.lit("@x")).alias("email"))
+    person = lambda c: F.struct((F.col(c) if isinstance(c, str) else c).alias("name"), F.concat(c, F.lit("@x")).alias("email"))
     commits = commits.select("repo", "path", "sha", F.to_timestamp("at").alias("committed_at"), "message",
                              person("a").alias("author"), person("c").alias("committer"))
-    full = C.diff_header(C.unified_diff(C.definition_changes(files)), files, commits).cache()
+    related = C.related_commits(files, commits)
+    full = C.diff_header(C.unified_diff(C.definition_changes(files)), files, related).cache()
     rows = {r.name: r for r in full.collect()}
     box = rows["Box"]
     assert box.diff.split("\n")[:2] == ["--- m.py (old) - class: Box", "+++ m.py (new) - class: Box"]
     assert "-        return 1\n+        return 10" in box.diff
     assert box.header == (
         "# Diff for class: Box\n# File: m.py\n# Repository: o/r\n# Status: modified\n# Old SHA: 1\n# New SHA: 2\n"
-        "#" + "=" * 60 + "\n#\n# RELATED COMMITS:\n#" + "-" * 40 + "\n"
-        "# Commit: 01234567\n# Date: 2024-01-16T10:30:00Z\n# Author: Al <Al@x>\n# Committer: Bo <Bo@x>\n# Message: Open\n#\n"
-        "# Commit: abcdef12\n# Date: 2024-01-15T10:30:00Z\n# Author: Jo <Jo@x>\n# Message: Fix box\n#          twice\n#\n"
-        "#" + "=" * 60 + "\n"
+        "# Related commits: 2\n#" + "=" * 60 + "\n"
     )
+    assert [r.text for r in related.orderBy(F.desc("committed_at")).collect()] == [
+        "# Commit: 01234567\n# Date: 2024-01-16T10:30:00Z\n# Author: Al <Al@x>\n# Committer: Bo <Bo@x>\n# Message: Open\n#\n",
+        "# Commit: abcdef12\n# Date: 2024-01-15T10:30:00Z\n# Author: Jo <Jo@x>\n# Message: Fix box\n#          twice\n#\n",
+    ]
     assert "# Old SHA" not in rows["fresh"].header and "# New SHA" not in rows["gone"].header
-    newest = C.diff_header(C.definition_changes(files), files, commits, limit=1).first().header
-    assert "01234567" in newest and "abcdef12" not in newest
+    at = lambda d: F.to_timestamp(F.lit(d))
+    bounds = spark.range(1).select(F.lit("o/r").alias("repo"), at("2024-01-15 10:30:00").alias("base_at"), at("2024-01-16 10:30:00").alias("head_at"))
+    assert [r.sha for r in C.related_commits(files, commits, bounds).collect()] == ["0123456789"]
+    many = spark.range(250).select(F.lit("o/r").alias("repo"), F.lit("m.py").alias("path"), F.col("id").cast("string").alias("sha"),
+                                   F.timestamp_seconds("id").alias("committed_at"), F.lit("m").alias("message"), person(F.lit("a")).alias("author"), person(F.lit("a")).alias("committer"))
+    assert C.related_commits(files, many).count() == 250
     assert sinks.diff_records(full).count() == 3
     assert sinks.diff_records(full.withColumn("diff", F.lit(" "))).count() == 0
 

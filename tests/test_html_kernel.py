@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from pagespark.operators.html_kernel import MAX_DEPTH, Document, trimmed_prefix, xpaths
+from pagespark.operators.html_kernel import Document, trimmed_prefix, xpaths
 
 
 def tree(source):
@@ -124,7 +124,12 @@ def test_trimmed_prefix_equals_trim_then_cut():
 def test_deep_pages_keep_every_element():
     doc = Document("<div>" * 5000)
     assert len(doc.nodes) == 5003
-    assert max(n.depth for n in doc.nodes) <= MAX_DEPTH
+    assert max(n.depth for n in doc.nodes) == 5001
+
+
+def test_hostile_nesting_takes_linear_time():
+    for hostile in ("<div>", "<p><button>" + "<span>" * 9, "</b>", "<b></i>", "<li><span>", "<ul><li>"):
+        Document(hostile * 60_000)
 
 
 def test_intervals_on_random_tag_soup():

@@ -75,20 +75,19 @@ def test_no_window_or_sort_per_page(log):
 def settle(heights, quiet=1000, cap=10000):
     last, calm = heights[0], 0
     for k, h in enumerate(heights[1:], 1):
-        if k * 100 >= cap:
-            break
         calm, last = (calm + 100, h) if h == last else (0, h)
         if calm >= quiet:
-            return k * 100, True
-    return cap, False
+            return k * 100, True, k * 100 >= cap
+    return None, False, True
 
 
 def test_settle_point(spark):
     rng = random.Random(5)
     series = {i: [rng.randrange(1 + i % 3) if k < 7 * i else 5 for k in range(140)] for i in range(25)}
     series[90] = [k for k in range(140)]
+    series[91] = [k for k in range(130)] + [7] * 20
     rows = [(p, k, h) for p, hs in series.items() for k, h in enumerate(hs)]
-    got = {r.page_id: (r.settled_at_ms, r.settled) for r in M.settle_point(spark.createDataFrame(rows, "page_id long, sample_ix int, height int")).collect()}
+    got = {r.page_id: (r.settled_at_ms, r.settled, r.timed_out) for r in M.settle_point(spark.createDataFrame(rows, "page_id long, sample_ix int, height int")).collect()}
     assert got == {p: settle(hs) for p, hs in series.items()}
 
 

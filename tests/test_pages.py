@@ -115,11 +115,12 @@ def test_challenge_phrases(spark):
 def test_snapshot_limits(spark):
     wide = "<body>" + "<p>a</p>" * 60 + "<div>" * 14
     df = spark.createDataFrame([(1, "u", wide)], "page_id long, url string, html string")
-    snap = D.dom_snapshot(df)
+    assert D.dom_snapshot(df).filter("tag in ('P', 'DIV')").count() == 74
+    snap = D.dom_snapshot(df, depth=10, children=50)
     assert snap.filter("tag = 'P'").count() == 50
     assert snap.filter("tag = 'DIV'").count() == 0  # under the 61st child
     deep = spark.createDataFrame([(1, "u", "<body>" + "<div>" * 14)], "page_id long, url string, html string")
-    assert D.dom_snapshot(deep).agg(F.max("body_depth")).first()[0] == 10
+    assert D.dom_snapshot(deep, 10).agg(F.max("body_depth")).first()[0] == 10
 
 
 def test_layout(spark, dom):

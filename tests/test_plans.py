@@ -33,12 +33,6 @@ def tables(spark, tmp_path_factory):
     return spark.read.parquet(f"{folder}/pages").drop("extra"), spark.read.parquet(f"{folder}/versions")
 
 
-@pytest.fixture
-def large(monkeypatch):
-    """Treat every input as too large to be worth repartitioning."""
-    monkeypatch.setattr(D, "_SMALL_INPUT", 0)
-
-
 PAGE_OPERATORS = [
     P.page_titles, P.interactive_elements, P.dynamic_elements, P.meta_tags, P.link_tags, P.page_meta, P.content_areas,
     P.navigation_blocks, P.headings, P.forms, P.raw_page_info, P.content_metrics, P.static_nodes, P.detect_challenge,
@@ -48,24 +42,28 @@ PAGE_OPERATORS = [
 
 
 @pytest.mark.parametrize("operator", PAGE_OPERATORS, ids=lambda f: f.__name__)
-def test_page_operators_parse_once_and_never_shuffle(tables, large, operator):
+def test_page_operators_parse_once_and_never_shuffle(tables, operator):
     df = operator(tables[0])
     assert count("MapInArrow", df) == 1
     assert count("Exchange", df) == 0
 
 
-def test_small_inputs_are_spread_once(tables):
-    assert count(r"Exchange hashpartitioning", P.content_metrics(tables[0])) == 1
+def test_inputs_are_spread_once_where_asked(spark, tables):
+    spark.conf.set(D.PARTITIONS, "4")
+    try:
+        assert count(r"Exchange hashpartitioning", P.content_metrics(tables[0])) == 1
+    finally:
+        spark.conf.unset(D.PARTITIONS)
 
 
-def test_only_read_columns_reach_the_kernel(tables, large):
+def test_only_read_columns_reach_the_kernel(tables):
     text = plan(P.content_metrics(tables[0].drop("url")))
     assert "ReadSchema: struct<page_id:bigint,html:string>" in text
 
 
-def test_nested_expandables_move_once(tables, large):
+def test_nested_expandables_do_not_move(tables):
     df = E.nested_expandables(tables[0])
-    assert count("MapInArrow", df) == 1 and count(r"Exchange hashpartitioning", df) == 1
+    assert count("MapInArrow", df) == 1 and count("Exchange", df) == 0
 
 
 def test_python_filter_and_ref_reach_the_scan(tables):
@@ -73,25 +71,27 @@ def test_python_filter_and_ref_reach_the_scan(tables):
     assert text.count("StringEndsWith(path,.py)") >= 2 and "EqualTo(ref,a)" in text
 
 
-def test_definition_changes_parse_once(tables, large):
+def test_definition_changes_parse_once(tables):
     df = C.definition_changes(C.changed_files(tables[1], "a", "b"))
     assert count("MapInArrow", df) == 1
     assert count("MapInArrow", C.repo_totals_of(C.changed_files(tables[1], "a", "b"))) == 1
 
 
-def test_related_commits_are_cut_before_the_shuffle(spark, tables):
+def test_texts_are_looked_up_after_the_comparison(tables):
+    old, new = (C._marks(tables[1].filter(F.col("ref") == r), side).drop("ref") for r, side in (("a", "old"), ("b", "new")))
+    assert "content" not in C._differ(old, new, ["repo", "path"]).columns
+    moved = [x for x in plan(C._differ(old, new, ["repo", "path"])).split("\n") if "Project" in x]
+    assert moved and not any(re.search(r"content#\d+(,|\])", x) for x in moved)
+
+
+def test_definitions_pair_inside_the_row(tables):
     files = C.changed_files(tables[1], "a", "b")
-    person = F.struct(F.lit("n").alias("name"), F.lit("e").alias("email"))
-    commits = spark.range(5).select(
-        F.concat(F.lit("o/"), F.col("id") % 2).alias("repo"), F.concat(F.lit("f"), F.col("id") % 3).alias("path"),
-        F.col("id").cast("string").alias("sha"),
-        F.timestamp_seconds("id").alias("committed_at"), F.lit("m").alias("message"), person.alias("author"),
-        person.alias("committer"),
-    )
-    assert count("WindowGroupLimit", C.diff_header(C.definition_changes(files), files, commits, limit=2)) == 2
+    moved = count("Exchange", files)
+    assert count("Exchange", C.definition_changes(files)) == moved
+    assert count("Exchange", C.repo_totals_of(files)) == moved + 1
 
 
 def test_no_cross_joins(tables):
     files = C.changed_files(tables[1], "a", "b")
-    report = C.change_report(files, C.definition_changes(files))
+    report = C.change_report(C.file_definition_changes(files))
     assert count("NestedLoop|Cartesian", report) == 0

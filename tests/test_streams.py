@@ -3,6 +3,8 @@
 import json
 import os
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +69,16 @@ def test_settled_pages_are_reported_once(arrive):
     assert sorted((r.page_id, r.settled_at_ms - START) for r in got.collect()) == [(1, 5000), (2, 2000), (3, 2500), (9, 62_000)]
 
 
+def test_a_settled_page_leaves_the_store(arrive):
+    """Once forgotten, a page that comes back is reported again."""
+    events = arrive([[(1, 1, 0, "a")], [(2, 9, 60_000, "a")], [(3, 9, 200_000, "a")], [(4, 1, 300_000, "a")], [(5, 9, 400_000, "a")], [(6, 9, 500_000, "a")]])
+    got = run.run_available(
+        R.stream_settled(events, quiet_ms=2000, watermark="10 seconds", forget_ms=30_000),
+        {"spark.sql.streaming.stateStore.providerClass": R.ROCKSDB},
+    )
+    assert sorted(r.settled_at_ms - START for r in got.filter("page_id = 1").collect()) == [2000, 302_000]
+
+
 def test_islands():
     assert R._islands([(5, 6), (0, 1), (2, 3), (9, 20), (10, 11)], 2) == [(0, 3), (5, 6), (9, 20)]
 
@@ -82,10 +94,12 @@ class _Cluster:
     """A session of a cluster that names a folder (the setting is fixed when a session starts)."""
 
     def __init__(self, folder):
-        self.conf = {shared.CHECKPOINT_DIR: folder}
-        self.sparkContext = None
+        self.conf = {shared.CHECKPOINT_DIR: folder} if folder else {}
+        self.sparkContext = SimpleNamespace(applicationId="app", master="spark://h:1", getCheckpointDir=lambda: None)
 
 
 def test_shared_folder_follows_the_setting(tmp_path):
     one, two = (shared.shared_folder(_Cluster(f"{tmp_path}/")) for _ in range(2))
-    assert one.startswith(f"{tmp_path}/pagespark/") and one != two
+    assert one.startswith(f"{tmp_path}/pagespark/app/") and one != two
+    with pytest.raises(ValueError):
+        shared.shared_folder(_Cluster(None))
