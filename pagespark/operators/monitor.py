@@ -221,16 +221,26 @@ def content_analysis(metrics: DataFrame, log: DataFrame) -> DataFrame:
         ],
     ).withColumn("significant_changes", significant_messages(F.col))
 
-    def histogram(counts: DataFrame, key: str, name: str) -> DataFrame:
-        pairs = F.array_sort(F.collect_list(F.struct(key, "n")))
-        return counts.groupBy("page_id").agg(F.map_from_entries(pairs).alias(name))
-
-    span = log.groupBy("page_id").agg(F.count("*").alias("total_mutations"), timeline_span().alias("timeline_span"))
-    joined = (
-        per_change.join(span, "page_id", "full_outer")
-        .join(histogram(mutation_types(log), "type", "mutation_types"), "page_id", "left")
-        .join(histogram(mutation_targets(log), "tag", "affected_elements"), "page_id", "left")
+    # the log is grouped once, by page, type and tag; everything else folds that small table
+    cell = log.groupBy("page_id", mutation_type().alias("type"), target_tag().alias("tag")).agg(
+        F.count("*").alias("n"), F.min(F.struct("seq", "ts_ms")).alias("first"), F.max(F.struct("seq", "ts_ms")).alias("last")
     )
+    by_key = cell.select(
+        "page_id", "n", "first", "last", F.inline(F.array(F.struct(F.lit(0).alias("kind"), F.col("type").alias("key")),
+                                                          F.struct(F.lit(1).alias("kind"), F.col("tag").alias("key")))),
+    ).groupBy("page_id", "kind", "key").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+
+    def histogram(kind: int, name: str) -> Column:
+        pairs = F.collect_list(F.when(F.col("kind") == kind, F.struct("key", "n")))
+        return F.map_from_entries(F.array_sort(pairs)).alias(name)
+
+    folded = by_key.groupBy("page_id").agg(
+        F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("total_mutations"),
+        (F.max("last")["ts_ms"] - F.min("first")["ts_ms"]).alias("timeline_span"),
+        histogram(0, "mutation_types"),
+        histogram(1, "affected_elements"),
+    )
+    joined = per_change.join(folded, "page_id", "full_outer")
     no_map = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
     return joined.select(
         "page_id",

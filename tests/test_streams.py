@@ -71,7 +71,7 @@ def test_settled_pages_are_reported_once(arrive):
 
 def test_a_settled_page_leaves_the_store(arrive):
     """Once forgotten, a page that comes back is reported again."""
-    events = arrive([[(1, 1, 0, "a")], [(2, 9, 60_000, "a")], [(3, 9, 200_000, "a")], [(4, 1, 300_000, "a")], [(5, 9, 400_000, "a")], [(6, 9, 500_000, "a")]])
+    events = arrive([[(1, 1, 0, "a")], [(2, 9, 60_000, "a")], [(3, 9, 200_000, "a")], [(4, 9, 220_000, "a")], [(5, 1, 300_000, "a")], [(6, 9, 400_000, "a")], [(7, 9, 500_000, "a")]])
     got = run.run_available(
         R.stream_settled(events, quiet_ms=2000, watermark="10 seconds", forget_ms=30_000),
         {"spark.sql.streaming.stateStore.providerClass": R.ROCKSDB},
