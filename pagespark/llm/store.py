@@ -2,32 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagespark.sources.shared import shared_folder as shared
+from pagespark.sources.shared import written as kept
 
-def shared(spark: SparkSession) -> str:
-    """A new folder in the one that the session names in ``spark.checkpoint.dir``.
-
-    Only where none is named and Spark runs in one process (tests) is a temporary one made.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
-        base = f"file://{tempfile.mkdtemp(prefix='llm-')}"
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/llm/{uuid.uuid4().hex}"
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """Compute a frame once and read it from Parquet from then on, so lost executors cost no lineage."""
-    path = shared(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["fresh", "kept", "row_key", "shared", "table"]
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
