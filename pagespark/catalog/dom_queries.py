@@ -325,6 +325,16 @@ def _(spark, sf):
     return P.static_nodes(_aug(spark, sf)).drop("text")
 
 
+@query(
+    "static_nodes_measured",
+    """SELECT s.page_id, s.nid, s.tag, l.x, l.y, l.width, l.height FROM snapshot s JOIN layout l ON s.page_id = l.page_id AND s.nid = l.nid
+    WHERE s.visible AND NOT s.expandable AND s.raw NOT LIKE '% data-%' AND l.width > 0 AND l.height > 0""",
+)
+def _(spark, sf):
+    found = P.static_nodes(_aug(spark, sf), derived(spark, sf, "layout"))
+    return found.select("page_id", "nid", "tag", "x", "y", "width", "height")
+
+
 @query(
     "challenge_pages",
     f"""SELECT page_id, nullif(concat_ws('; ', CASE WHEN contains(lower({_TITLE}), 'just a moment') THEN 'Title contains ''just a moment''' END,
@@ -378,6 +388,16 @@ def _(spark, sf):
     return found.select("page_id", "parent_nid", "parent_id", "nid", "sel_ix", "tag", "rank")
 
 
+@query(
+    "nested_expandables_measured",
+    """SELECT d.page_id, d.nid AS parent_nid, b.nid, b.tag, l.width FROM tags d JOIN tags b ON d.page_id = b.page_id AND b.nid = d.nid + 3
+    JOIN layout l ON b.page_id = l.page_id AND b.nid = l.nid WHERE d.tag = 'DETAILS' AND b.tag = 'BUTTON' AND l.width > 0 AND l.height > 0""",
+)
+def _(spark, sf):
+    found = E.nested_expandables(_aug(spark, sf), layout=derived(spark, sf, "layout"))
+    return found.select("page_id", "parent_nid", "nid", "tag", "width")
+
+
 @query(
     "element_ids",
     f"""SELECT page_id, nid, CASE WHEN id <> '' THEN 'id_' || id

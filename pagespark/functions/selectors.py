@@ -1,8 +1,8 @@
 """CSS selectors as Catalyst predicates.
 
-A selector is translated on the driver into one boolean Column, so matching stays
-inside generated code and needs no Python.  ``node`` maps a field name to a Column:
-``F.col`` for flat node rows, ``x.getField`` for a node inside a lambda.
+A selector is translated on the driver into one boolean Column, so matching needs no Python.
+``node`` maps a field name to a Column: ``F.col`` for flat node rows, where Spark generates code
+for it, or ``x.getField`` for a node inside a lambda, where Spark interprets it in the JVM.
 
 Supported: ``tag``, ``.class``, ``#id``, ``[a]``, ``[a="v"]``, ``[a*="v"]``, compounds of
 these, ``:not(...)`` of one simple selector, and comma lists.
@@ -27,9 +27,12 @@ _SIMPLE = re.compile(
 )
 
 
+_COMMA = re.compile(r",(?![^\[]*\])")  # not inside [attr="a,b"]
+
+
 def css(selector: str, node: Node = F.col) -> Column:
     """Predicate that is true for nodes matching any part of a comma list; never NULL."""
-    return reduce(lambda a, b: a | b, [_compound(p.strip(), node) for p in selector.split(",")])
+    return reduce(lambda a, b: a | b, [_compound(p.strip(), node) for p in _COMMA.split(selector)])
 
 
 def _compound(text: str, node: Node) -> Column:

@@ -1,4 +1,7 @@
-"""Sources.  Schemas are declared, so nothing is inferred and unread columns are never parsed."""
+"""Sources.  Schemas are declared, so nothing is inferred and unread columns are never parsed.
+
+A line of JSON that cannot be read is a row of NULLs with the line in ``corrupt_record``.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +11,13 @@ from pyspark.sql import functions as F
 from pagespark import schemas as S
 
 
+CORRUPT = "corrupt_record"
+
+
+def _json(reader, schema: str, path: str) -> DataFrame:
+    return reader.schema(f"{schema}, {CORRUPT} string").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+
+
 def read_pages(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
     """Pages from a table, or from html files (one page per file, identified by a hash of its path)."""
     if format == "parquet":
@@ -20,24 +30,24 @@ def read_pages(spark: SparkSession, path: str, format: str = "parquet") -> DataF
 
 
 def read_request_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(S.REQUEST_LOG).json(path)
+    return _json(spark.read, S.REQUEST_LOG, path)
 
 
 def read_mutation_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(S.MUTATION_LOG).json(path)
+    return _json(spark.read, S.MUTATION_LOG, path)
 
 
 def stream_mutation_log(spark: SparkSession, path: str) -> DataFrame:
     """The same log as a stream of arriving files."""
-    return spark.readStream.schema(S.MUTATION_LOG).json(path)
+    return _json(spark.readStream, S.MUTATION_LOG, path)
 
 
 def stream_request_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(S.REQUEST_LOG).json(path)
+    return _json(spark.readStream, S.REQUEST_LOG, path)
 
 
 def read_interaction_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(S.INTERACTION_LOG).json(path)
+    return _json(spark.read, S.INTERACTION_LOG, path)
 
 
 def read_compare_dump(spark: SparkSession, path: str) -> DataFrame:

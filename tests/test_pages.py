@@ -206,3 +206,8 @@ def test_exactly_thirty_percent_failures_is_not_high(spark, dom):
     assert not [c for c in cases if c.startswith("High interaction")]
     advice = B.recommendations(B.page_summary(dom, log)).filter("page_id = 1").first().recommendations
     assert advice == []
+
+
+def test_commas_inside_attributes(spark):
+    df = spark.createDataFrame([(1, "u", '<a title="x,y">1</a><b>2</b><i>3</i>')], "page_id long, url string, html string")
+    assert [r.tag for r in D.select_css(D.dom_nodes(df), '[title="x,y"],i').orderBy("nid").collect()] == ["A", "I"]

@@ -87,6 +87,13 @@ def test_logs(spark, tmp_path):
     assert R.read_interaction_log(spark, lines(tmp_path / "i.json", [row])).first().success is True
 
 
+def test_lines_that_are_no_json_are_kept(spark, tmp_path):
+    path = tmp_path / "broken.json"
+    path.write_text('{"page_id": 1, "url": "u"}\n{"page_id": 2, "url"\n')
+    rows = R.read_request_log(spark, str(path)).collect()
+    assert sorted(((r.page_id, r.corrupt_record) for r in rows), key=str) == [(1, None), (None, '{"page_id": 2, "url"')]
+
+
 def test_sinks(spark, tmp_path):
     files = spark.createDataFrame(
         [("o/r", "a/x.py", "modified", "a\n", "b\n", "1", "2"), ("o/r", "b/x.py", "added", "", "c\n", None, "3")],
