@@ -55,8 +55,8 @@ def test_compare_and_listed_changes(spark, tmp_path):
     )
     got = {r.path: tuple(r)[4:] for r in C.changed_files_listed(listed, contents).collect()}
     assert got == {
-        "a.py": ("modified", "x", "y", "s1", "s2"), "b.py": ("removed", "x", "", "s3", None),
-        "d.py": ("renamed", "", "n", None, "s5"),
+        "a.py": ("modified", "x", "y", "s1", "s2", None), "b.py": ("removed", "x", "", "s3", None, None),
+        "d.py": ("renamed", "", "n", None, "s5", None), "e.py": ("added", "", "", None, "s6", "new content is not text"),
     }
 
 
