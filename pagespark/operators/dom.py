@@ -87,11 +87,15 @@ def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.repartition(int(n), *keys) if n else df
 
 
-def parse_pages(pages: DataFrame, fields: Iterable[str] | None = None) -> DataFrame:
+def parse_pages(
+    pages: DataFrame, fields: Iterable[str] | None = None, tags: frozenset[str] | None = None
+) -> DataFrame:
     """Add ``nodes`` (document order), page text columns and ``parse_error`` to each page.
 
     A page that cannot be parsed, or has NULL html, keeps its row with an empty ``nodes`` and
     the reason in ``parse_error``.  The source html is carried along only if asked for.
+    With ``tags`` (lower case) only elements with one of them leave the kernel; their fields are
+    those they have in the whole page.
     """
     wanted = {*NODE_FIELDS, *PAGE_FIELDS, "html"} if fields is None else set(fields)
     node_fields = [f for f in NODE_FIELDS if f in wanted or f == "nid"]
@@ -116,7 +120,7 @@ def parse_pages(pages: DataFrame, fields: Iterable[str] | None = None) -> DataFr
                     chars += len(source or "")
                     docs.append(_parse(source))
                     last += 1
-                yield _to_batch(batch.slice(first, last - first), docs, carried, node_fields, page_fields)
+                yield _to_batch(batch.slice(first, last - first), docs, carried, node_fields, page_fields, tags)
                 first = last
 
     keys = [f.name for f in pages.schema if f.name != "html" and not isinstance(f.dataType, T.MapType)]
@@ -132,16 +136,18 @@ def _parse(source: str | None):
         return f"{type(e).__name__}: {e}"
 
 
-def _to_batch(batch, docs, carried, node_fields, page_fields) -> pa.RecordBatch:
+def _to_batch(batch, docs, carried, node_fields, page_fields, tags) -> pa.RecordBatch:
     good = [d for d in docs if isinstance(d, Document)]
     offsets, total = [0], 0
     for d in docs:
-        total += len(d.nodes) if isinstance(d, Document) else 0
+        if isinstance(d, Document):
+            total += len(d.nodes) if tags is None else sum(n.tag in tags for n in d.nodes)
         offsets.append(total)
     columns = []
     for f in node_fields:
         kind, _, values = NODE_FIELDS[f]
-        columns.append(pa.array([v for d in good for v in values(d)], type=kind))
+        made = [v for d in good for n, v in zip(d.nodes, values(d)) if tags is None or n.tag in tags]
+        columns.append(pa.array(made, type=kind))
     structs = pa.StructArray.from_arrays(columns, fields=[pa.field(f, NODE_FIELDS[f][0]) for f in node_fields])
     arrays = [batch.column(batch.schema.get_field_index(c)) for c in carried]
     arrays.append(pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), structs))
@@ -156,9 +162,9 @@ def _to_batch(batch, docs, carried, node_fields, page_fields) -> pa.RecordBatch:
 _HEAVY = {"nodes", "html", "url", "parse_error", *PAGE_FIELDS}
 
 
-def ensure_dom(df: DataFrame, *fields: str) -> DataFrame:
-    """Parse raw pages for exactly ``fields``; pass an already parsed frame through."""
-    return df if "nodes" in df.columns else parse_pages(df, fields)
+def ensure_dom(df: DataFrame, *fields: str, tags: Iterable[str] | None = None) -> DataFrame:
+    """Parse raw pages for exactly ``fields`` (of elements with one of ``tags``); pass a parsed frame through."""
+    return df if "nodes" in df.columns else parse_pages(df, fields, None if tags is None else frozenset(tags))
 
 
 def page_keys(dom: DataFrame) -> list[str]:

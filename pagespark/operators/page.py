@@ -50,7 +50,7 @@ TITLE_FIELDS = ("tag", "text")
 
 
 def page_titles(pages: DataFrame) -> DataFrame:
-    return _one_row(D.ensure_dom(pages, *TITLE_FIELDS), title_column().alias("title"))
+    return _one_row(D.ensure_dom(pages, *TITLE_FIELDS, tags=["title"]), title_column().alias("title"))
 
 
 # -- interactive elements -----------------------------------------------------------
@@ -120,7 +120,7 @@ def is_named_meta(n: Node) -> Column:
 
 
 def meta_tags(pages: DataFrame) -> DataFrame:
-    dom = D.ensure_dom(pages, "tag", "attrs")
+    dom = D.ensure_dom(pages, "tag", "attrs", tags=["meta"])
     return D.node_rows(
         dom,
         is_named_meta,
@@ -129,7 +129,7 @@ def meta_tags(pages: DataFrame) -> DataFrame:
 
 
 def link_tags(pages: DataFrame) -> DataFrame:
-    dom = D.ensure_dom(pages, "tag", "attrs")
+    dom = D.ensure_dom(pages, "tag", "attrs", tags=["link"])
     return D.node_rows(
         dom,
         lambda n: css("link", n) & F.coalesce(D.attr(n, "rel") != "", F.lit(False)),
@@ -221,7 +221,7 @@ HEADINGS = ["H1", "H2", "H3", "H4", "H5", "H6"]
 
 
 def headings(pages: DataFrame) -> DataFrame:
-    dom = D.ensure_dom(pages, "tag", "id", "text")
+    dom = D.ensure_dom(pages, "tag", "id", "text", tags=map(str.lower, HEADINGS))
     return D.node_rows(
         dom,
         lambda n: n("tag").isin(HEADINGS),
@@ -246,7 +246,7 @@ def form_method(n: Node) -> Column:
 
 
 def forms(pages: DataFrame) -> DataFrame:
-    dom = D.ensure_dom(pages, "tag", "attrs", "fields_within")
+    dom = D.ensure_dom(pages, "tag", "attrs", "fields_within", tags=["form"])
     return D.node_rows(
         dom,
         lambda n: css("form", n),

@@ -211,3 +211,10 @@ def test_exactly_thirty_percent_failures_is_not_high(spark, dom):
 def test_commas_inside_attributes(spark):
     df = spark.createDataFrame([(1, "u", '<a title="x,y">1</a><b>2</b><i>3</i>')], "page_id long, url string, html string")
     assert [r.tag for r in D.select_css(D.dom_nodes(df), '[title="x,y"],i').orderBy("nid").collect()] == ["A", "I"]
+
+
+def test_tags_leave_the_kernel_as_they_are_in_the_page(spark):
+    df = spark.createDataFrame([(1, "u", "<h1>a</h1><p><h2 id=x>b <b>c</b></h2>"), (2, "u", None)], "page_id long, url string, html string")
+    every = D.dom_nodes(df).filter("tag in ('H1', 'H2')").orderBy("nid").collect()
+    assert D.parse_pages(df, tags=frozenset(["h1", "h2"])).select("page_id", F.inline("nodes")).select(every[0].__fields__).orderBy("nid").collect() == every
+    assert rows(P.headings(df), "level", "text") == [("H1", "a"), ("H2", "b c")]
