@@ -38,14 +38,17 @@ def _(spark, sf):
 
 @query(
     "stream_activity",
-    f"""SELECT page_id, {_MS.format('min(ts)')} AS session_start_ms, count(*) AS total, {_MS.format('max(ts)')} - {_MS.format('min(ts)')} AS time_span_ms
+    f"""SELECT page_id, session_start_ms, total, time_span_ms, round(rate, 2) AS mutations_per_second, CASE WHEN rate > 5 THEN 'high' WHEN rate > 1 THEN 'medium' ELSE 'low' END AS activity_level FROM (
+    SELECT *, CASE WHEN time_span_ms > 0 THEN total / (time_span_ms / CAST(1000 AS DOUBLE)) ELSE CAST(0 AS DOUBLE) END AS rate FROM (
+    SELECT page_id, {_MS.format('min(ts)')} AS session_start_ms, count(*) AS total, {_MS.format('max(ts)')} - {_MS.format('min(ts)')} AS time_span_ms
     FROM (SELECT *, sum(fresh) OVER (PARTITION BY page_id ORDER BY ts, event_id) AS s FROM (
       SELECT user_id AS page_id, event_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM events) a) b
-    GROUP BY page_id, s HAVING max(ts) + INTERVAL 12 HOUR <= {_WATERMARK}""",
+    GROUP BY page_id, s HAVING max(ts) + INTERVAL 12 HOUR <= {_WATERMARK}) t) u""",
 )
 def _(spark, sf):
     rows = run_available(R.stream_activity(_events(spark, sf), gap="12 hours"))
-    return rows.select("page_id", F.unix_millis("session_start").alias("session_start_ms"), "total", "time_span_ms")
+    start = F.unix_millis("session_start").alias("session_start_ms")
+    return rows.select("page_id", start, "total", "time_span_ms", "mutations_per_second", "activity_level")
 
 
 @query(

@@ -8,6 +8,7 @@ on keys as fine as (repo, path[, name]).  Repository totals combine on the map s
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -343,35 +344,33 @@ def commits_for_file(commits: DataFrame, base: DataFrame, strict: bool = False)
     return joined.filter(F.col("end_seq").isNull() | (F.col("seq") < F.col("end_seq"))).drop("end_seq")
 
 
-def commit_pairs(commits: DataFrame, since=None, bucket: str = "day") -> DataFrame:
+def commit_pairs(commits: DataFrame, since=None, buckets: tuple[str, ...] = ("minute", "hour", "day")) -> DataFrame:
     """Each commit with the next older one of its repository: (repo, head_ref, base_ref, head_at, base_at).
 
-    A repository may hold most commits, so its history is not sorted in one piece.  Commits
-    pair up inside their time bucket; a bucket's oldest commit pairs with the newest of the
-    bucket before, and only those bucket ends (one row per active bucket) meet per repository.
+    A repository may hold most commits, and a day of imports most of a repository's, so a history is
+    not sorted in one piece.  Commits pair up inside their finest time bucket; what is left of a bucket is its
+    newest and its oldest commit, and these meet in the next coarser bucket, at last per repository.
     """
-    c = commits_in_range(commits, since).select("repo", "sha", "committed_at").distinct()
-    c = c.withColumn("bucket", F.date_trunc(bucket, "committed_at"))
-    inner = W.partitionBy("repo", "bucket").orderBy(F.desc("committed_at"), F.desc("sha"))
-    within = c.select(
-        "repo",
-        F.col("sha").alias("head_ref"),
-        F.lead("sha").over(inner).alias("base_ref"),
-        F.col("committed_at").alias("head_at"),
-        F.lead("committed_at").over(inner).alias("base_at"),
-    ).filter(F.col("base_ref").isNotNull())
-    end = F.struct("committed_at", "sha")
-    ends = c.groupBy("repo", "bucket").agg(F.max(end).alias("newest"), F.min(end).alias("oldest"))
-    outer = W.partitionBy("repo").orderBy(F.desc("bucket"))
-    across = ends.select("repo", "oldest", F.lead("newest").over(outer).alias("next"))
-    across = across.filter(F.col("next").isNotNull()).select(
-        "repo",
-        F.col("oldest.sha").alias("head_ref"),
-        F.col("next.sha").alias("base_ref"),
-        F.col("oldest.committed_at").alias("head_at"),
-        F.col("next.committed_at").alias("base_at"),
-    )
-    return within.unionByName(across)
+    c = commits_in_range(commits, since).select("repo", F.struct("committed_at", "sha").alias("newest")).distinct()
+    units, pairs = c.withColumn("oldest", F.col("newest")), []
+    for bucket in (*buckets, None):
+        keys = ["repo"]
+        if bucket is not None:
+            units = units.withColumn("bucket", F.date_trunc(bucket, F.col("newest.committed_at")))
+            keys.append("bucket")
+        older = F.lead("newest").over(W.partitionBy(*keys).orderBy(F.desc("newest")))
+        met = units.select("repo", "oldest", older.alias("next")).filter(F.col("next").isNotNull())
+        pairs.append(
+            met.select(
+                "repo",
+                F.col("oldest.sha").alias("head_ref"),
+                F.col("next.sha").alias("base_ref"),
+                F.col("oldest.committed_at").alias("head_at"),
+                F.col("next.committed_at").alias("base_at"),
+            )
+        )
+        units = units.groupBy(*keys).agg(F.max("newest").alias("newest"), F.min("oldest").alias("oldest")).drop("bucket")
+    return reduce(DataFrame.unionByName, pairs)
 
 
 # -- line differences ------------------------------------------------------------------------------
