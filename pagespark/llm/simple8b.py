@@ -25,12 +25,14 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     blocks = -(-n // BLOCK)
     if not n:
         return np.empty(0, np.uint64), np.zeros(1, np.int64)
-    ends = np.minimum(np.arange(1, blocks + 1) * BLOCK, n)
-    # bits of each value, by block; what a block lacks reads as zeros, which fit any selector
-    bits = np.zeros((blocks, BLOCK + COUNT[0]), np.uint8)
-    padded = np.zeros(blocks * BLOCK, np.float64)
-    padded[:n] = values
-    bits[:, :BLOCK] = np.frexp(padded)[1].reshape(blocks, BLOCK)
+    # blocks side by side; what a block lacks reads as zeros, which fit any selector
+    wide = BLOCK + COUNT[0]
+    padded = np.zeros((blocks, wide), np.uint64)
+    whole = n // BLOCK
+    padded[:whole, :BLOCK] = values[: whole * BLOCK].reshape(whole, BLOCK)
+    if whole < blocks:
+        padded[whole, : n - whole * BLOCK] = values[whole * BLOCK :]
+    bits = np.frexp(padded.astype(np.float64))[1].astype(np.uint8)
     # widest value of the next 1, 2, ... values; of the selectors that hold them all the fullest counts
     choice, widest = np.full((blocks, BLOCK), ESCAPE, np.uint8), bits[:, :BLOCK].copy()
     for s in range(ESCAPE, -1, -1):
@@ -40,33 +42,36 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             choice[widest <= WIDTH[s]] = s
             if s and widest.min() > WIDTH[s - 1]:
                 break
-    choice = choice.reshape(-1)[:n]
-    step = COUNT[choice]
-    starts, at, row = [], np.arange(blocks) * BLOCK, np.arange(blocks)
-    while len(at):
-        starts.append(np.stack([row, at]))
-        at = at + step[at]
-        open_ = at < ends[row]
-        at, row = at[open_], row[open_]
-    row, at = np.concatenate(starts, axis=1)
-    order = np.lexsort((at, row))
-    row, at = row[order], at[order]
-    used = choice[at]
-    size = np.where(used == ESCAPE, 2, 1)
-    place = np.cumsum(size) - size
-    words = np.zeros(int(size.sum()), np.uint64)
+    # the k-th word of all blocks at a time
+    choice, step = choice.reshape(-1), COUNT[choice].reshape(-1)
+    size = np.minimum(BLOCK, n - np.arange(blocks) * BLOCK)
+    row, at, starts = np.arange(blocks), np.zeros(blocks, np.int64), []
+    while len(row):
+        cell = row * BLOCK + at
+        starts.append((row, at))
+        at = at + step[cell]
+        open_ = at < size[row]
+        row, at = row[open_], at[open_]
+    row, at = np.concatenate([r for r, _ in starts]), np.concatenate([a for _, a in starts])
+    used = choice[row * BLOCK + at]
+    # words of a block stand in order of their values
+    length = np.where(used == ESCAPE, 2, 1)
+    filled = np.zeros(blocks * BLOCK + 1, np.int64)
+    filled[row * BLOCK + at + 1] = length
+    np.cumsum(filled, out=filled)
+    place, words = filled[row * BLOCK + at], np.zeros(int(filled[-1]), np.uint64)
     words[place] = used.astype(np.uint64) << np.uint64(60)
-    padded = np.r_[values, np.zeros(240, np.uint64)]
+    padded, first = padded.reshape(-1), row * wide + at
     for s in range(2, ESCAPE):
-        own = used == s
-        if own.any():
-            first, last = at[own], ends[row[own]]
+        own = np.flatnonzero(used == s)
+        if len(own):
+            one, source = words[place[own]], first[own]
             for j in range(COUNT[s]):
-                piece = np.where(first + j < last, padded[first + j], np.uint64(0))
-                words[place[own]] |= piece << np.uint64(j * WIDTH[s])
+                one |= padded[source + j] << np.uint64(j * WIDTH[s])
+            words[place[own]] = one
     own = used == ESCAPE
-    words[place[own] + 1] = values[at[own]]
-    return words, np.r_[place[np.searchsorted(row, np.arange(blocks))], len(words)]
+    words[place[own] + 1] = padded[first[own]]
+    return words, np.append(filled[np.arange(blocks) * BLOCK], len(words))
 
 
 def decode(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:

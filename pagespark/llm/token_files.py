@@ -10,8 +10,8 @@ footer, compressed: per section its place, ids and words; per block its first wo
 per document its id, whether it is known, and its number of ids; and the footer's size in 8 bytes.
 
 Encoding: the tokenizer reads nothing across white space (its normaliser and splitter work word by
-word), so each distinct word of a slice is encoded once by the library, and known words are kept
-for the following slices, up to KEEP words. Words that end in a sign which the splitter takes apart
+word) and lowers A-Z, so each distinct word of a slice is encoded once by the library, and known words are
+kept for the following slices, up to KEEP words. Words that end in signs which the splitter takes apart
 anyway are cut there. ``encode_whole`` is the plain call on whole texts that tests compare with.
 
 Defined results: null and empty texts have the end id alone. Null ids come first. Rows that repeat
@@ -39,9 +39,11 @@ END_ID = 2
 SECTION = 512 * simple8b.BLOCK
 #: Distinct words that a worker remembers.
 KEEP = 1_500_000
+#: Large slices have each distinct word looked up less often.
+SLICE_BYTES = 2 << 20
 _MAGIC = b"S8B1"
 _LOOSE = np.zeros(256, bool)
-_LOOSE[[ord(c) for c in ".,;:!?"]] = True
+_LOOSE[[ord(c) for c in ".,;:!?*#$%&"]] = True
 _PLAIN = np.zeros(256, bool)
 _PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 #: Stands between words that are encoded in one call; it is a word of its own.
@@ -68,47 +70,54 @@ class WordEncoder:
 
     def _learn(self, new: np.ndarray, texts: list[str]) -> None:
         """Encode words of which none is known; ``new`` are their hashes, sorted."""
-        found: list[np.ndarray | None] = [None] * len(texts)
-        plain = [k for k, t in enumerate(texts) if _MARK not in t]
-        for i in range(0, len(plain), 512):
-            some = plain[i : i + 512]
-            ids = np.array(self.library.encode(f" {_MARK} ".join(texts[k] for k in some), add_special_tokens=False).ids, np.uint32)
-            if len(self.mark) == 1:
-                pieces = np.split(ids, np.flatnonzero(ids == self.mark[0]))
-                pieces = [pieces[0], *(p[1:] for p in pieces[1:])]
-                if len(pieces) == len(some):
-                    for k, p in zip(some, pieces):
-                        found[k] = p
-        for k, p in enumerate(found):
-            if p is None:
-                found[k] = np.array(self.library.encode(texts[k], add_special_tokens=False).ids, np.uint32)
-        count = np.array([len(p) for p in found])
+        counts, pools = [], []
+        for i in range(0, len(texts), 1024):
+            some = texts[i : i + 1024]
+            joined = f" {_MARK} ".join(some)
+            ids = np.array(self.library.encode(joined, add_special_tokens=False).ids, np.uint32)
+            marks = np.flatnonzero(ids == self.mark[0]) if len(self.mark) == 1 else []
+            if len(marks) == len(some) - 1 == joined.count(_MARK):
+                counts.append(np.diff(np.r_[-1, marks, len(ids)]) - 1)
+                pools.append(np.delete(ids, marks))
+            else:  # a word holds the mark
+                single = [e.ids for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
+                counts.append(np.array([len(x) for x in single]))
+                pools.append(np.array([y for x in single for y in x], np.uint32))
+        count = np.concatenate(counts)
         start = len(self.pool) + np.cumsum(count) - count
         at = np.searchsorted(self.known, new)
         self.slot = np.insert(self.slot, at, np.arange(len(self.start), len(self.start) + len(new)))
         self.known = np.insert(self.known, at, new)
         self.start, self.count = np.append(self.start, start), np.append(self.count, count)
-        self.pool = np.concatenate([self.pool, *found])
+        self.pool = np.concatenate([self.pool, *pools])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the number of each text's ids."""
         starts, ends, _ = words.spans(data, offsets)
         if not len(starts):
             return np.empty(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
-        cut = (ends - starts > 1) & _LOOSE[data[ends - 1]]
-        cut &= _PLAIN[data[np.maximum(ends - 2, 0)]]
-        extra = ends[cut] - 1
-        # both lists stay in order: a cut-off sign starts after its word and before the next
+        # where a word's signs begin, if a letter or digit stands before them
+        tail = ends.copy()
+        loose = np.flatnonzero(_LOOSE[data[ends - 1]])
+        while len(loose):
+            tail[loose] -= 1
+            loose = loose[(tail[loose] > starts[loose])]
+            loose = loose[_LOOSE[data[tail[loose] - 1]]]
+        cut = np.flatnonzero((tail < ends) & (tail > starts))
+        cut = cut[_PLAIN[data[tail[cut] - 1]]]
+        extra = tail[cut]
+        # both lists stay in order: cut-off signs start after their word and before the next
         starts, tails = np.sort(np.r_[starts, extra]), np.sort(np.r_[ends, extra])
         first = np.searchsorted(starts, offsets)
-        hashes = words.span_hashes(data, starts, tails)
+        # the normaliser lowers A-Z, but the special tokens' strings stand before it
+        raw = data.tobytes()
+        hashes = words.span_hashes(data, starts, tails, lower=b"<|" not in raw)
         distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) > KEEP:
             self.clear()
         at = np.minimum(np.searchsorted(self.known, distinct), max(0, len(self.known) - 1))
         missing = np.flatnonzero(self.known[at] != distinct) if len(self.known) else np.arange(len(distinct))
         if len(missing):
-            raw = data.tobytes()
             self._learn(distinct[missing], [raw[starts[i] : tails[i]].decode() for i in where[missing]])
             at = np.searchsorted(self.known, distinct)
         slot = self.slot[at][inverse]
@@ -197,7 +206,7 @@ def _write(folder: str, tokenizer: str, end_id: int):
         part, out, uri = TaskContext.get().partitionId(), None, ""
         code = encoder(tokenizer)
         for batch in batches:
-            for some in words.slices(batch):
+            for some in words.slices(batch, limit=SLICE_BYTES):
                 if out is None:
                     uri = files.new_name(folder, part, ".s8b")
                     out = Writer(uri)
