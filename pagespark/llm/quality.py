@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from pagespark.llm import ngrams, words
 
-BITS = 12
+BITS = 11
 TEXT = (1 << BITS) + 3
 HASHED, LAYOUT = 64, 11
 META = 2 * HASHED + LAYOUT
@@ -99,8 +99,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float, steps
 
 
 def _balanced(y: np.ndarray) -> np.ndarray:
-    ones = max(1, y.sum())
-    return np.where(y > 0, 0.5 / ones, 0.5 / max(1, len(y) - ones))
+    """Weights that give both classes the same sum; rows of -1 have none."""
+    ones, zeros = max(1, (y == 1).sum()), max(1, (y == 0).sum())
+    return np.select([y == 1, y == 0], [0.5 / ones, 0.5 / zeros], 0.0)
 
 
 @dataclass(frozen=True)
@@ -113,11 +114,9 @@ class View:
     slope: float = 1.0
     shift: float = 0.0
 
-    def raw(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.mean) / self.scale) @ self.weights[:-1] + self.weights[-1]
-
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(self.slope * self.raw(x) + self.shift, -12, 12)
+        raw = ((x - self.mean) / self.scale) @ self.weights[:-1] + self.weights[-1]
+        return np.clip(self.slope * raw + self.shift, -12, 12)
 
 
 @dataclass(frozen=True)
@@ -129,11 +128,18 @@ class Model:
     handed: tuple[int, int]
 
 
-def _view(x: np.ndarray, y: np.ndarray) -> View:
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-2 * (x.std() + 1e-3)
-    if len(mean) == TEXT:  # the three figures of repetition stand beside 4,096 shares
+def _standardise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and scale of each feature; ``x`` itself becomes the standardised matrix."""
+    mean, scale = x.mean(axis=0), x.std(axis=0) + np.float32(1e-2) * (x.std() + np.float32(1e-3))
+    if len(mean) == TEXT:  # the three figures of repetition stand beside two thousand shares
         scale[-3:] /= 10
-    return View(mean, scale, _logistic((x - mean) / scale, y, _balanced(y), 1e-3))
+    x -= mean
+    x /= scale
+    return mean, scale
+
+
+def _raw(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return x @ w[:-1].astype(x.dtype) + w[-1]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
@@ -158,29 +164,34 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     labelled, unlabelled = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
     held = labelled[::4] if len(set(y[labelled[::4]])) == 2 and len(set(y[np.delete(labelled, np.s_[::4])])) == 2 else labelled
     base = np.setdiff1d(labelled, held) if len(held) < len(labelled) else labelled
-    train = [[base, y[base]] for _ in x]
+    forms = [_standardise(xv) for xv in x]
+    # labels of all rows as each view knows them: -1 takes no part
+    known = [np.full(len(y), -1) for _ in x]
+    for own in known:
+        own[base] = y[base]
     left, handed = [unlabelled, unlabelled], [0, 0]
     for step in range(ROUNDS + 1):
-        views = [_view(xv[t[0]], t[1]) for xv, t in zip(x, train)]
+        fitted = [_logistic(xv, np.maximum(own, 0), _balanced(own), 1e-3) for xv, own in zip(x, known)]
         if step == ROUNDS:
             break
         for teacher, pupil in ((0, 1), (1, 0)):
             if not len(left[pupil]):
                 continue
-            p = _sigmoid(views[teacher].raw(x[teacher][left[pupil]]))
+            p = _sigmoid(_raw(x[teacher], fitted[teacher])[left[pupil]])
             order = np.argsort(p, kind="stable")
             low, high = order[:HANDED][p[order[:HANDED]] <= 1 - CONFIDENT], order[-HANDED:][p[order[-HANDED:]] >= CONFIDENT]
             got = np.concatenate([low, high])
-            train[pupil] = [np.append(train[pupil][0], left[pupil][got]), np.append(train[pupil][1], np.r_[np.zeros(len(low), int), np.ones(len(high), int)])]
+            known[pupil][left[pupil][low]], known[pupil][left[pupil][high]] = 0, 1
             left[pupil] = np.delete(left[pupil], got)
             handed[pupil] += len(got)
     truth = y[held]
-    for k, (view, xv) in enumerate(zip(views, x)):
-        raw = view.raw(xv[held])
+    views, both = [], np.zeros((len(held), 2))
+    for k, (xv, w) in enumerate(zip(x, fitted)):
+        raw = _raw(xv, w)[held]
         size = np.std(raw) + 1e-6
         slope, shift = _logistic((raw / size)[:, None], truth, _balanced(truth), 1e-3)
-        views[k] = View(view.mean, view.scale, view.weights, float(slope / size), float(shift))
-    both = np.stack([v.logit(xv[held]) for v, xv in zip(views, x)], axis=1)
+        views.append(View(*forms[k], w, float(slope / size), float(shift)))
+        both[:, k] = np.clip(slope / size * raw + shift, -12, 12)
     combine = _logistic(both / 4, truth, _balanced(truth), 1e-3)
     combine[:2] /= 4
     combine[2] += np.log(share[1] / share[0])
