@@ -22,10 +22,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagespark.llm import words
 from pagespark.llm.store import fresh, kept, row_key
@@ -64,18 +64,21 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([ids, keys, at, one, two], names=["doc_id", "row", "lines", "h1", "h2"])
 
 
-def _cut():
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, gone: pd.Series) -> pd.Series:
-        def left(t, g):
-            if t is None or g is None:
-                return t
-            g = set(g)
-            return "\n".join(x for i, x in enumerate(t.split("\n")) if i not in g)
-
-        return pd.Series([left(t, g) for t, g in zip(text, gone)], dtype=object)
-
-    return cut
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns text, gone and others to the others, the text that is left, its lines before, and those gone."""
+    for batch in batches:
+        for part in words.slices(batch):
+            texts, counts, removed = [], [], []
+            for text, gone in zip(part["text"].to_pylist(), part["gone"].to_pylist()):
+                counts.append(0 if text is None else text.count("\n") + 1)
+                removed.append(len(gone or ()))
+                if gone:
+                    gone = set(gone)
+                    text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
+                texts.append(text)
+            made = [pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())]
+            columns = [*part.columns[2:], *made]
+            yield pa.RecordBatch.from_arrays(columns, names=[str(i) for i in range(len(columns))])
 
 
 def dedup_lines(docs: DataFrame, removed: str = "n_removed", lines: str = "n_lines") -> DataFrame:
@@ -90,10 +93,9 @@ def dedup_lines(docs: DataFrame, removed: str = "n_removed", lines: str = "n_lin
     gone = covered.groupBy("row").agg(F.collect_set("line").alias("gone"))
     key, cut = fresh(docs, "row", "gone")
     rows = docs.withColumn(key, row_key()).join(gone.toDF(key, cut), key, "left")
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
-    names = [c for c in docs.columns if c not in (removed, lines)]
-    return rows.select(
-        *(_cut()("text", cut).alias("text") if c == "text" else F.col(f"`{c}`") for c in names),
-        n.cast("long").alias(lines),
-        F.coalesce(F.when(F.col(cut).isNotNull(), F.size(cut)), F.lit(0)).cast("long").alias(removed),
-    )
+    others = [c for c in docs.columns if c not in ("text", removed, lines)]
+    inner = rows.select("text", F.col(cut).alias("gone"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)))
+    fields = [T.StructField(str(i), docs.schema[c].dataType) for i, c in enumerate(others)]
+    fields += [T.StructField(str(len(others) + i), t) for i, t in enumerate((T.StringType(), T.LongType(), T.LongType()))]
+    out = inner.mapInArrow(_cut, T.StructType(fields)).toDF(*others, "text", lines, removed)
+    return out.select(*(f"`{c}`" for c in docs.columns if c not in (removed, lines)), lines, removed)

@@ -32,6 +32,7 @@ from pagespark.llm import words
 
 MARK = "▁"
 KEEP = 1_500_000
+SLICE_BYTES = 2 << 20
 # Fixed values of the format: kinds of pieces and of models.
 UNKNOWN, CONTROL, BYTE = 2, 3, 6
 UNIGRAM, BPE = 1, 2
@@ -233,7 +234,7 @@ def _encode(path: str, threads: int):
             _encoders[key] = Encoder(path, threads)
         code = _encoders[key]
         for batch in batches:
-            for part in words.slices(batch):
+            for part in words.slices(batch, limit=SLICE_BYTES):
                 ids, counts, same = code.encode(part["text"])
                 ends = np.cumsum(counts)
                 raw = ids.astype("<u4").tobytes()

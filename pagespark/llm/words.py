@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at a time; the arrays over it take about 30 times as much.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 #: Words that are hashed at a time.
 _STEP = 100_000
 
