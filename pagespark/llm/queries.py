@@ -15,6 +15,8 @@ ORACLES: dict[str, str] = {}
 WORD = r"[^\x20\x09-\x0D]+"
 TOKENIZER, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 QUERY_EVERY, BEST = 50, 5
+#: Threads of a task that encodes; more where a task has more CPUs.
+THREADS = 2
 
 
 def tokenizer_path(name: str) -> str:
@@ -107,7 +109,7 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    threads = int(spark.conf.get("spark.task.cpus", "1"))
+    threads = max(THREADS, int(spark.conf.get("spark.task.cpus", "1")))
     return sentencepiece_files.encode(table(spark, sf_dir, "documents"), tokenizer_path(PIECES), threads)
 
 

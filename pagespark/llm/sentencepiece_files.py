@@ -8,9 +8,10 @@ fallback for characters without a piece.
 Where a model keeps a text's characters as they are and no piece has the marker after another
 character, pieces never cross into a run of spaces from the left. Texts then fall into chunks (a run of
 spaces and what follows it) that are encoded apart with the same result: each distinct chunk is encoded once
-by the library, in batches on ``threads`` threads, and by sentencepiece, which must agree. Other models, and
-texts that hold the marker itself, are encoded whole by both. Where the two differ sentencepiece's ids stand
-and the document is marked. Decoding joins the pieces' bytes, and is compared with the text.
+by the library, in batches on ``threads`` threads, and by sentencepiece, which should agree. Other models, and
+texts that hold the marker itself, are encoded whole by both. All that is returned comes from the library's
+ids; where sentencepiece's differ the document is marked. Decoding joins the pieces' bytes, and is compared
+with the text.
 
 Defined results: null and empty texts have no ids and decode to the empty text. Null and repeated ids pass
 through. An empty table gives no rows. Extra columns are left out.
@@ -161,13 +162,13 @@ class Encoder:
         self.start, self.count, self.good, self.pool = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.uint32)
 
     def both(self, texts: list[str], chunks: bool) -> tuple[list[list[int]], list[bool]]:
-        """sentencepiece's ids of texts, and whether the library gives the same."""
+        """The library's ids of texts, and whether sentencepiece gives the same."""
         mine = [e.ids for e in (self.part if chunks else self.whole).encode_batch_fast(texts, add_special_tokens=False)]
         # a chunk begins with the space that sentencepiece puts there by itself
         peer = self.peer.encode([t[1:] for t in texts] if chunks else texts, num_threads=self.threads) if texts else []
         if chunks:  # but not before an empty text: a lone space is the marker alone
             peer = [[self.peer.piece_to_id(MARK)] if t == " " else ids for t, ids in zip(texts, peer)]
-        return peer, [a == b for a, b in zip(mine, peer)]
+        return mine, [a == b for a, b in zip(mine, peer)]
 
     def _learn(self, new: np.ndarray, texts: list[str]) -> None:
         ids, good = self.both(texts, chunks=True)

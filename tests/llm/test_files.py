@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pagespark.llm import files, sentencepiece_files, simple8b, token_files, warc
+from pagespark.llm import files, queries, sentencepiece_files, simple8b, token_files, warc
 from pagespark.llm.queries import PIECES, TOKENIZER, tokenizer_path
 
 TEXTS = ["", None, "The cat, sat. On the MAT!", "don't, it's. ’tis 'tis <|endoftext|>x", "Ünï,̇ Á \x01 \x01a  ", "日本語 🙂", "  two\n\nlines  ", "ΟΔΟΣ, ½ 3.14 a...", "word " * 5000]
@@ -112,6 +112,28 @@ def test_sentencepiece_parity_on_whole_texts(spark):
     assert sentencepiece_files.encode(docs.limit(0), tokenizer_path(PIECES)).collect() == []
 
 
+@pytest.mark.parametrize("texts", [["the cat sat on the mat", "a b"], ["▁ whole texts", "the mat"]])
+def test_ids_are_those_of_the_rebuilt_tokenizer(monkeypatch, texts):
+    monkeypatch.setattr(sentencepiece_files, "merges", lambda model: [])  # a wrong rebuild
+    code = sentencepiece_files.Encoder(tokenizer_path(PIECES))
+    ids, counts, same = code.encode(pa.array(texts))
+    want = [e.ids for e in code.whole.encode_batch(texts, add_special_tokens=False)]
+    assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [y for x in want for y in x]
+    assert not same.any() and want != code.peer.encode(texts)
+    assert [b.decode() for b in code.decode(ids, counts)] == [t.replace("▁", " ") for t in texts]
+
+
+def test_the_query_encodes_on_threads(monkeypatch):
+    class Session:
+        conf = {}
+
+    asked = []
+    monkeypatch.setattr(queries, "table", lambda *a: None)
+    monkeypatch.setattr(queries.sentencepiece_files, "encode", lambda docs, path, threads: asked.append(threads))
+    queries.op6_sentencepiece(Session, "")
+    assert asked[0] > 1
+
+
 def unigram_model(remove_extra: bool) -> bytes:
     """A unigram model written field by field."""
 
