@@ -44,7 +44,7 @@ def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, packed."""
+    """Pieces of all documents, packed. One document of each near-duplicate component is left, so none has a cluster."""
     return packing.pack(sized(docs), row="row")
 
 

@@ -145,7 +145,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return packing.pack(sized(docs), row="row")
+    return packing.pack(clustered(sized(docs), docs), row="row")
 
 
 @query(
@@ -176,6 +176,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """What packing needs: length in words and an end mark, source, and the cluster of equal texts."""
+    """What packing needs of each text by itself: length in words and an end mark, and source. No cluster."""
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) + 1
-    return docs.select("doc_id", row_key().alias("row"), words.alias("length"), "source", F.xxhash64("text").alias("cluster"))
+    return docs.select("doc_id", row_key().alias("row"), words.alias("length"), "source", F.lit(None).cast("string").alias("cluster"))
+
+
+def clustered(sizes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``sizes`` with the near-duplicate component of each text as its cluster, null for texts without words."""
+    group = ngram_join.join(docs).where("group is not null").select("row", F.hex("group").alias("cluster")).dropDuplicates(["row"])
+    return sizes.drop("cluster").join(group, "row", "left").select(*sizes.columns)
