@@ -4,13 +4,15 @@ Every run of 2, 3 and 4 bytes of a text (A-Z folded, digits, punctuation and whi
 a blank) is a subword with an embedding; a text is the mean of its subwords' embeddings, and a
 linear softmax reads it. Both are trained together by stochastic gradient descent in numpy, on a
 bounded sample of labelled rows. A held-back part of the sample sets the temperature that makes
-scores probabilities, and the score under which a prediction is rejected.
+scores probabilities (1 at least: right answers alone never sharpen scores), and the score under
+which a prediction is rejected: a low quantile of the right ones.
 
 Prediction is one pass over the table without a shuffle: embeddings times softmax weights are one
 table of logits by bucket (2 ** BITS rows, one column for each language), so a task sums rows of it.
 
 Defined results: text that is null, empty or has no letter gives ``und`` with score 0, rejected;
-without any labelled row every text gives ``und``. Ties go to the language that sorts first. Rows
+without any labelled row every text gives ``und``. With one learned language every text with a letter is
+of that language with score 1, and not rejected: there is nothing to weigh it against. Ties go to the language that sorts first. Rows
 that repeat an id are predicted one by one; a null id counts as the empty text in the fold rule.
 All other columns pass through ``predict`` untouched, whatever their names.
 """
@@ -118,12 +120,12 @@ def fit(docs: DataFrame, seed: int = 7) -> Model:
     best, reach = 0.0, 2.0
     loss = lambda t: -np.log(_softmax(z / np.exp(t))[np.arange(len(z)), truth] + 1e-12).mean()
     for _ in range(24):
-        best = min((best - reach, best, best + reach), key=loss)
+        best = min((best, max(0.0, best - reach), best + reach), key=loss)
         reach *= 0.7
     p = _softmax(z / np.exp(best))
     right = np.sort(p.max(axis=1)[p.argmax(axis=1) == truth])
     least = float(right[int(len(right) * REJECT_SHARE)]) if len(right) else 0.5
-    return Model(languages, logits.astype(np.float32), bias.astype(np.float64), float(np.exp(best)), min(0.5, least))
+    return Model(languages, logits.astype(np.float32), bias.astype(np.float64), float(np.exp(best)), least)
 
 
 def _predictor(model: Model):

@@ -26,6 +26,8 @@ def ngram_ids(data: np.ndarray, n: int, bits: int) -> np.ndarray:
 def stratified(rows: DataFrame, key: str, group: str, per_group: int, most: int) -> DataFrame:
     """At most ``per_group`` keys of each group and ``most`` in all, by a hash of the key.
 
+    ``most`` is shared out evenly: where it cuts, each group's first keys stay before any group's later ones.
+
     Groups are counted first, so that of a large one only about twice the bound moves to be ranked.
     """
     from pyspark.sql import Window
@@ -36,4 +38,4 @@ def stratified(rows: DataFrame, key: str, group: str, per_group: int, most: int)
     near = rows.join(n, F.col(group) == F.col("_group")).where(share * F.col("_n") <= 2 * per_group + 100)
     rank = F.row_number().over(Window.partitionBy(group).orderBy(order, key))
     ranked = near.withColumn("_rank", rank).where(F.col("_rank") <= per_group)
-    return ranked.select(*rows.columns).orderBy(order, key).limit(most)
+    return ranked.orderBy("_rank", order, key).limit(most).select(*rows.columns)

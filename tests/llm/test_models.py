@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pagespark.llm import language_id, packing, quality, quality_rules, queries, topk
+from pagespark.llm import language_id, ngrams, packing, quality, quality_rules, queries, topk
 
 SYLLABLES = {"en": ["the", "ing", "wh", "tion", "er"], "fr": ["eau", "ou", "é", "elle", "ment"], "de": ["sch", "ung", "ü", "keit", "ei"]}
 
@@ -52,6 +52,25 @@ def test_languages_of_held_out_rows(corpus):
     assert by[2003]["lang_pred"] == "fr" and by[None]["lang_pred"] == "en"
 
 
+def test_unlearned_languages_and_random_letters_are_rejected(spark, corpus):
+    docs, _, _ = corpus
+    rng = np.random.default_rng(8)
+    letters = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz   "), 400)) for _ in range(50)]
+    odd = spark.createDataFrame([(k, t, "letters") for k, t in enumerate(letters)], "doc_id long, text string, lang string")
+    rows = docs.select("doc_id", "text", "lang").where("doc_id < 900")
+    model = language_id.fit(rows.where("lang <> 'de'"))  # two languages: no score is under 0.5
+    assert model.temperature >= 1 and model.least_score > 0.5
+    got = language_id.predict(rows.where(language_id.held_out()).union(odd), model).toPandas().groupby("lang")["lang_rejected"].mean()
+    assert got["letters"] >= 0.9 and got["de"] >= 0.9
+    assert got["en"] <= 0.05 and got["fr"] <= 0.05
+
+
+def test_each_language_keeps_rows(spark):
+    rows = spark.createDataFrame([(k, f"l{k % 9}") for k in range(900)] + [(9000, "rare")], "doc_id long, lang string")
+    got = ngrams.stratified(rows, "doc_id", "lang", 100, 50).groupBy("lang").count().toPandas()
+    assert got["count"].sum() == 50 and len(got) == 10 and got.set_index("lang")["count"].drop("rare").min() >= 5
+
+
 def test_language_model_learns_from_nothing_held_out(corpus):
     docs, _, _ = corpus
     other = docs.withColumn("lang", F.when(language_id.held_out(), F.lit("zz")).otherwise(F.col("lang")))
