@@ -13,8 +13,9 @@ the block's matrix, emptied where a list has not come that far, with the queries
 best of each block meet once more by query, cut to k before they move.
 
 Components are floor(256 * x). Defined results: vectors that are null, empty or hold a null or a
-component that is not finite take no part, nor do rows without an id; a component beyond 2 ** 22 counts as
-that (so that scores are exact). Only vectors of the query's own length are candidates, never rows of its
+component that is not finite take no part, nor do rows without an id. Scores are exact: a block whose sums
+could pass 2 ** 53 is searched by products with error bounds, and Python integers settle what these leave open; one
+of the k best that is beyond 64 bits ends the query with an error, as in SQL. Only vectors of the query's own length are candidates, never rows of its
 own id. Rows that repeat an id are candidates of their own; as
 queries, rows of equal id and vector are one. Equal scores go to the smaller id, equal
 vectors tie. Fewer than k candidates: all of them. Extra columns are left out.
@@ -32,7 +33,8 @@ BLOCK_ROWS, GROUP_ROWS = 2048, 512
 DEPTHS = (0.5, 0.75, 0.9, 1.0)
 #: A query also stops when so few candidates are left for each of its k.
 LEFT = 20
-_MOST = float(1 << 22)
+#: Whole numbers up to this are exact in float64.
+_EXACT = float(1 << 53)
 
 
 def search_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,6 +74,28 @@ def search_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, quer
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def search_large(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """``search_block`` for components whose products float64 can't hold; whole numbers in, Python integers out."""
+    distinct, group = np.unique(vectors, axis=0, return_inverse=True)
+    group, whole = group.ravel(), [None] * len(distinct)
+    near, size = distinct @ queries.T, np.abs(distinct) @ np.abs(queries).T
+    slack = size * (4 * (vectors.shape[1] + 2) / _EXACT)  # more than rounding can make of the sum
+    out: tuple[list, list, list] = ([], [], [])
+    for j in range(len(queries)):
+        rows = np.flatnonzero(ids != query_ids[j])
+        floor, ceiling = ((near[:, j] + s * slack[:, j])[group[rows]] for s in (-1, 1))
+        kth = np.partition(floor, len(rows) - k)[len(rows) - k] if len(rows) > k else -np.inf
+        asked, score = [int(x) for x in queries[j]], {}
+        for g in np.unique(group[rows[ceiling >= kth]]).tolist():
+            whole[g] = whole[g] or [int(x) for x in distinct[g]]
+            score[g] = sum(a * b for a, b in zip(whole[g], asked))
+        found = sorted((-score[g], i, r) for g, i, r in zip(group[rows].tolist(), ids[rows].tolist(), rows.tolist()) if g in score)[:k]
+        out[0].extend([j] * len(found))
+        out[1].extend(r for _, _, r in found)
+        out[2].extend(-s for s, _, _ in found)
+    return np.array(out[0], int), np.array(out[1], int), out[2]
+
+
 def rows_best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best, ties to the smaller id."""
     return np.lexsort((ids, -score))[:k]
@@ -89,18 +113,22 @@ def _block(k: int):
         if not len(pick) or not len(q):
             found = (np.empty(0, int), np.empty(0, int), np.empty(0))
         else:
-            found = search_block(flat[pick], ids[pick], flat[q], ids[q], k)
+            # search_block adds up four sums of products
+            most = 4 * dim * float(np.abs(flat[pick]).max()) * float(np.abs(flat[q]).max())
+            found = (search_block if most < _EXACT else search_large)(flat[pick], ids[pick], flat[q], ids[q], k)
         row = table["row"].to_numpy()
-        return pa.table({"query_id": ids[q][found[0]], "query_row": row[q][found[0]], "vec_id": ids[pick][found[1]], "score": found[2].astype(np.int64)})
+        return pa.table({"query_id": ids[q][found[0]], "query_row": row[q][found[0]], "vec_id": ids[pick][found[1]], "score": pa.array([int(x) for x in found[2]], pa.int64())})
 
     return run
 
 
 def usable(vectors: DataFrame, vec: str = "embedding") -> DataFrame:
-    """vec_id and integer components ``vec`` of the vectors that take part."""
+    """vec_id and whole components ``vec``, as doubles that hold them exactly, of the vectors that take part."""
     x = F.col(vec)
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("double")) == F.lit(float("inf"))))
-    whole = F.transform(x, lambda v: F.floor(F.greatest(F.least(v.cast("double") * 256, F.lit(_MOST)), F.lit(-_MOST))).cast("int"))
+    # doubles from 2 ** 53 are whole, and floor() ends at 64 bits
+    floor = lambda y: F.when(F.abs(y) < _EXACT, F.floor(y).cast("double")).otherwise(y)
+    whole = F.transform(x, lambda v: floor(v.cast("double") * 256))
     return vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & ~bad).select("vec_id", whole.alias("vec"))
 
 

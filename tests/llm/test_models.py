@@ -230,6 +230,22 @@ def test_search_equals_brute_force(spark, monkeypatch, block):
     assert topk.search(vectors.limit(0), F.col("vec_id") % 10 == 0).collect() == []
 
 
+@pytest.mark.parametrize("largest", [2e4, 4e5])
+def test_scores_of_large_components_are_exact(spark, largest):
+    rng = np.random.default_rng(6)
+    rows = [(k, (largest * rng.normal(size=8)).astype(np.float32).tolist()) for k in range(60)]
+    rows += [(100 + k, rows[10][1]) for k in range(9)] + [(200, [1e-3] * 8), (201, [largest * 3] * 8), (202, [largest * 3.5] * 8)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in topk.search(vectors, F.col("vec_id") % 10 == 0, 3).collect())
+    assert got == brute_top(rows, 3, 10)
+
+
+def test_sums_beyond_float64_are_exact():
+    vectors = np.array([[2.0**30, 1.0, 0.0], [2.0**30, 2.0, 0.0], [2.0**30, 0.0, 0.0], [2.0**30, 2.0, 0.0], [-1.0, 0.0, 5.0]])
+    rows, picked, score = topk.search_large(vectors, np.arange(5), np.array([[2.0**30, 1.0, 7.0]]), np.array([3]), 3)
+    assert (rows.tolist(), picked.tolist(), score) == ([0, 0, 0], [1, 0, 2], [2**60 + 2, 2**60 + 1, 2**60])
+
+
 def test_queries_stop_early():
     """A list's order lets clear answers stop before its end."""
     rng = np.random.default_rng(1)
