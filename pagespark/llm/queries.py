@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagespark.llm import language_id, line_dedup, ngram_join, packing, quality, quality_rules, sentencepiece_files, token_files, topk, warc
+from pagespark.llm import language_id, licenses, line_dedup, ngram_join, packing, quality, quality_rules, sentencepiece_files, spelling, token_files, topk, warc
 from pagespark.llm.store import row_key, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,6 +175,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(rows, language_id.fit(docs)).select("doc_id", "held_out", "lang_pred", "score", "lang_rejected")
 
 
+@query(licenses.oracle())
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """What packing needs of each text by itself: length in words and an end mark, and source. No cluster."""
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) + 1
