@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagespark.llm import language_id, licenses, line_dedup, ngram_join, packing, quality, quality_rules, sentencepiece_files, spelling, token_files, topk, warc
+from pagespark.llm import alignment, language_id, licenses, line_dedup, ngram_join, packing, quality, quality_rules, sentencepiece_files, spelling, token_files, topk, warc
 from pagespark.llm.store import row_key, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 WORD = r"[^\x20\x09-\x0D]+"
-TOKENIZER, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
+TOKENIZER, PIECES, BYTES = "word_bpe_49k.json", "piece_bpe_32k.model", "byte_bpe_50k.json"
 QUERY_EVERY, BEST = 50, 5
 #: Threads of a task that encodes; more where a task has more CPUs.
 THREADS = 2
@@ -175,6 +175,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(rows, language_id.fit(docs)).select("doc_id", "held_out", "lang_pred", "score", "lang_rejected")
 
 
+@query()
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(BYTES), tokenizer_path(PIECES))
+
+
 @query(licenses.oracle())
 def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
