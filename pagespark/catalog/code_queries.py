@@ -165,17 +165,69 @@ def _(spark, sf):
       JOIN changes c ON p.repo = c.repo""",
 )
 def _(spark, sf):
-    pairs = C.commit_pairs(commits(spark, sf)).select("repo", "head_ref", "base_ref")
-    # even commits hold the head state of their repository, odd ones the base state
-    refs = pairs.select("repo", F.explode(F.array("head_ref", "base_ref")).alias("sha")).distinct()
-    state = F.when(F.col("sha").cast("long") % 2 == 0, "head").otherwise("base")
-    versions = refs.withColumn("ref", state).join(_versions(spark, sf), ["repo", "ref"])
-    versions = versions.drop("ref").withColumnRenamed("sha", "ref")
-    files = C.changed_files_of_pairs(versions, pairs)
-    found = C.definition_changes(files)
+    found = H.history(_history_versions(spark, sf), commits(spark, sf))[1]
     return found.select(F.col("head_ref").alias("head_commit"), "repo", "path", "name", "change")
 
 
+def _history_versions(spark, sf):
+    """Versions per commit: even commits hold the head state of their repository, odd ones the base state."""
+    refs = commits(spark, sf).select("repo", "sha").distinct()
+    state = F.when(F.col("sha").cast("long") % 2 == 0, "head").otherwise("base")
+    held = refs.withColumn("ref", state).join(_versions(spark, sf), ["repo", "ref"])
+    return held.drop("ref").withColumnRenamed("sha", "ref")
+
+
+_HELD = """SELECT v.repo, v.path, v.blob_sha, c.sha, c.committed_at, c.before_ref, c.after_ref, c.place FROM (
+        SELECT repo, sha, committed_at, lag(sha) OVER w AS before_ref, lead(sha) OVER w AS after_ref, row_number() OVER w AS place
+        FROM commits WINDOW w AS (PARTITION BY repo ORDER BY committed_at, sha)) c
+      JOIN file_versions v ON v.repo = c.repo AND v.ref = CASE WHEN CAST(c.sha AS BIGINT) % 2 = 0 THEN 'head' ELSE 'base' END WHERE v.path LIKE '%.py'"""
+
+
+@query(
+    "version_intervals",
+    f"""SELECT repo, path, blob_sha, arg_min(sha, place) AS valid_from, arg_max(sha, place) AS valid_to, min(committed_at) AS from_at, max(committed_at) AS to_at,
+      arg_min(coalesce(before_ref, ''), place) AS before_ref, arg_max(coalesce(after_ref, ''), place) AS after_ref
+    FROM (SELECT *, place - row_number() OVER (PARTITION BY repo, path, blob_sha ORDER BY place) AS run FROM ({_HELD}) h) r GROUP BY repo, path, blob_sha, run""",
+)
+def _(spark, sf):
+    found = C.version_intervals(_history_versions(spark, sf), commits(spark, sf)).drop("digest")
+    return found.withColumns({c: F.coalesce(c, F.lit("")) for c in ("before_ref", "after_ref")})
+
+
+@query(
+    "definitions_by_blob",
+    """SELECT blob_sha, any_value(defs) AS n_definitions FROM (
+      SELECT v.repo, v.ref, v.path, any_value(v.blob_sha) AS blob_sha, count(f.name) AS defs FROM file_versions v
+      LEFT JOIN (SELECT * FROM py_functions WHERE NOT broken) f ON f.repo = v.repo AND f.ref = v.ref AND f.path = v.path
+      WHERE v.path LIKE '%.py' GROUP BY v.repo, v.ref, v.path) d GROUP BY blob_sha""",
+)
+def _(spark, sf):
+    store = C.parse_store(_versions(spark, sf))
+    return store.select(F.col("blob").alias("blob_sha"), F.size("defs").cast("long").alias("n_definitions"))
+
+
+@query(
+    "commits_of_pairs",
+    """SELECT c.repo, c.sha, p.base_ref, p.head_ref FROM commits c JOIN pairs p ON p.repo = c.repo AND p.base_at < c.committed_at AND c.committed_at <= p.head_at""",
+)
+def _(spark, sf):
+    found = C.commits_of_pairs(commits(spark, sf), C.commit_pairs(commits(spark, sf)))
+    return found.select("repo", "sha", "base_ref", "head_ref")
+
+
+@query(
+    "history_related_commits",
+    """SELECT p.repo, p.base_ref, p.head_ref, f.path, c.sha FROM (
+        SELECT *, CAST(regexp_extract(repo, '([0-9]+)$', 1) AS BIGINT) AS k FROM pairs WHERE CAST(head_ref AS BIGINT) % 2 <> CAST(base_ref AS BIGINT) % 2) p
+      JOIN files f ON f.repo = p.repo AND f.path = concat('pkg/d', p.k // 10, '/m', p.k * 10 + 1, '.py')
+      JOIN commits c ON c.repo = p.repo AND p.base_at < c.committed_at AND c.committed_at <= p.head_at""",
+)
+def _(spark, sf):
+    pairs = C.commit_pairs(commits(spark, sf))
+    files = C.interval_changes(C.version_intervals(_history_versions(spark, sf), commits(spark, sf)))
+    return C.related_commits_of_history(files, _related(spark, sf), pairs).drop("committed_at", "text")
+
+
 # -- lines and texts ---------------------------------------------------------------------------------
 @query("line_status")
 def _(spark, sf):

@@ -8,7 +8,6 @@ on keys as fine as (repo, path[, name]).  Repository totals combine on the map s
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -17,9 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from pagespark.functions.keyfilter import key_filter, might_hold
 from pagespark.functions.scalars import escape_html
 from pagespark.operators import code_kernels as K
 from pagespark.operators.dom import spread
+from pagespark.operators.order import BUCKETS, neighbours
+from pagespark.sources.shared import written
 
 DEFINITION_DDL = (
     "ord int, name string, qualname string, node_type string, start_line int, end_line int, source_code string, "
@@ -50,7 +52,7 @@ def _add_columns(
     """
     kept = [c for c in df.columns if keep_inputs or c not in inputs]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(k, T.DataType.fromDDL(v)) for k, v in made.items()])
-    arrow = {k: _arrow_type(v[len("array<struct<") : -2]) if v.startswith("array<struct") else pa.string()
+    arrow = {k: _arrow_type(v[len("array<struct<") : -2]) if v.startswith("array<struct") else {"array<int>": pa.list_(pa.int32())}.get(v, pa.string())
              for k, v in made.items()}
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,8 +90,12 @@ def _marks(versions: DataFrame, side: str) -> DataFrame:
     )
 
 
-def _texts(versions: DataFrame, side: str, ref: str = "ref") -> DataFrame:
-    return versions.select("repo", F.col("ref").alias(ref), "path", F.col("content").alias(f"{side}_content"))
+def _look_up(changed: DataFrame, versions: DataFrame, side: str, ref: str | None) -> DataFrame:
+    """``changed`` with the texts of one side. Versions that no changed file names stay where they are read."""
+    keys = ["repo", "path"] if ref is None else ["repo", ref, "path"]
+    texts = versions.select("repo", *([] if ref is None else [F.col("ref").alias(ref)]), "path", F.col("content").alias(f"{side}_content"))
+    marked = key_filter(changed.filter(side), keys)
+    return changed.join(might_hold(texts, marked, keys), keys, "left")
 
 
 def _differ(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -119,15 +125,14 @@ def _with_texts(changed: DataFrame) -> DataFrame:
 def changed_files(versions: DataFrame, base: str, head: str) -> DataFrame:
     """Python files that differ between two refs of each repository; an absent side is empty text, NULL sha.
 
-    Versions are compared by sha or digest first; then only the texts of files that differ are looked
-    up.  A file whose content is no text (NULL) is a row with the reason in ``error``.
+    Versions are compared by sha or digest first; a bit map of the files that differ is asked at the second
+    scan, so only their texts move.  A file whose content is no text (NULL) is a row with the reason in ``error``.
     """
     py = python_files(versions)
     old, new = (py.filter(F.col("ref") == r) for r in (base, head))
     keys = ["repo", "path"]
     changed = _differ(_marks(old, "old").drop("ref"), _marks(new, "new").drop("ref"), keys)
-    texts = changed.join(_texts(old, "old").drop("ref"), keys, "left").join(_texts(new, "new").drop("ref"), keys, "left")
-    return _with_texts(texts)
+    return _with_texts(_look_up(_look_up(changed, old, "old", None), new, "new", None))
 
 
 def changed_files_of_pairs(versions: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -138,8 +143,7 @@ def changed_files_of_pairs(versions: DataFrame, pairs: DataFrame) -> DataFrame:
     old = refs.join(_marks(py, "old").withColumnRenamed("ref", "base_ref"), ["repo", "base_ref"])
     new = refs.join(_marks(py, "new").withColumnRenamed("ref", "head_ref"), ["repo", "head_ref"])
     changed = _differ(old, new, [*keys, "path"])
-    texts = changed.join(_texts(py, "old", "base_ref"), ["repo", "base_ref", "path"], "left")
-    return _with_texts(texts.join(_texts(py, "new", "head_ref"), ["repo", "head_ref", "path"], "left"))
+    return _with_texts(_look_up(_look_up(changed, py, "old", "base_ref"), py, "new", "head_ref"))
 
 
 def changed_files_listed(comparison: DataFrame, contents: DataFrame) -> DataFrame:
@@ -204,7 +208,11 @@ def file_definition_changes(file_changes: DataFrame, key: str = "name") -> DataF
     Both sides of a file are in its row, so they are paired there; nothing is shuffled.
     """
     ddl = f"array<struct<{DEFINITION_DDL}>>"
-    parsed = _add_columns(file_changes, {"old_defs": ddl, "new_defs": ddl}, ["old_content", "new_content"], _last_of_each(key))
+    return _paired(_add_columns(file_changes, {"old_defs": ddl, "new_defs": ddl}, ["old_content", "new_content"], _last_of_each(key)), key)
+
+
+def _paired(parsed: DataFrame, key: str) -> DataFrame:
+    """Replace ``old_defs`` and ``new_defs``, where a key stands once, by ``changes``."""
 
     def by_key(side: str) -> Column:
         return F.map_from_arrays(F.transform(f"{side}_defs", lambda d: d[key]), F.col(f"{side}_defs"))
@@ -344,33 +352,148 @@ def commits_for_file(commits: DataFrame, base: DataFrame, strict: bool = False)
     return joined.filter(F.col("end_seq").isNull() | (F.col("seq") < F.col("end_seq"))).drop("end_seq")
 
 
-def commit_pairs(commits: DataFrame, since=None, buckets: tuple[str, ...] = ("minute", "hour", "day")) -> DataFrame:
+def commit_order(commits: DataFrame, since=None, buckets: tuple[str, ...] = BUCKETS) -> DataFrame:
+    """Each commit with its neighbours: repo, current, newer, older, all three struct<committed_at, sha>."""
+    c = commits_in_range(commits, since).select("repo", F.struct("committed_at", "sha").alias("current"))
+    return neighbours(c, ["repo"], "current", F.col("current.committed_at"), buckets, distinct=True)
+
+
+def commit_pairs(commits: DataFrame, since=None, buckets: tuple[str, ...] = BUCKETS) -> DataFrame:
     """Each commit with the next older one of its repository: (repo, head_ref, base_ref, head_at, base_at).
 
     A repository may hold most commits, and a day of imports most of a repository's, so a history is
-    not sorted in one piece.  Commits pair up inside their finest time bucket; what is left of a bucket is its
-    newest and its oldest commit, and these meet in the next coarser bucket, at last per repository.
+    not sorted in one piece, see ``neighbours``.
     """
-    c = commits_in_range(commits, since).select("repo", F.struct("committed_at", "sha").alias("newest")).distinct()
-    units, pairs = c.withColumn("oldest", F.col("newest")), []
-    for bucket in (*buckets, None):
-        keys = ["repo"]
-        if bucket is not None:
-            units = units.withColumn("bucket", F.date_trunc(bucket, F.col("newest.committed_at")))
-            keys.append("bucket")
-        older = F.lead("newest").over(W.partitionBy(*keys).orderBy(F.desc("newest")))
-        met = units.select("repo", "oldest", older.alias("next")).filter(F.col("next").isNotNull())
-        pairs.append(
-            met.select(
-                "repo",
-                F.col("oldest.sha").alias("head_ref"),
-                F.col("next.sha").alias("base_ref"),
-                F.col("oldest.committed_at").alias("head_at"),
-                F.col("next.committed_at").alias("base_at"),
-            )
-        )
-        units = units.groupBy(*keys).agg(F.max("newest").alias("newest"), F.min("oldest").alias("oldest")).drop("bucket")
-    return reduce(DataFrame.unionByName, pairs)
+    return commit_order(commits, since, buckets).filter(F.col("older").isNotNull()).select(
+        "repo",
+        F.col("current.sha").alias("head_ref"),
+        F.col("older.sha").alias("base_ref"),
+        F.col("current.committed_at").alias("head_at"),
+        F.col("older.committed_at").alias("base_at"),
+    )
+
+
+# -- history -----------------------------------------------------------------------------------------
+def version_intervals(versions: DataFrame, commits: DataFrame, since=None) -> DataFrame:
+    """How long each state of a Python file lasted: one row per run of commits that hold it unchanged.
+
+    ``versions`` has a file's row for each commit (``ref``) whose tree holds it.  repo, path, old-to-new bounds
+    ``valid_from`` and ``valid_to`` (commits, both inclusive) with their times, the commit before the first
+    (``before_ref``, NULL at the history's begin) and after the last (``after_ref``), and the state's
+    ``blob_sha`` or ``digest``.  A file that goes and comes back has a row for each stay.  No text moves, and each
+    version moves once to its commit and once along its file's history.
+    """
+    older, newer = F.col("older.sha").alias("before_ref"), F.col("newer.sha").alias("after_ref")
+    order = commit_order(commits, since).select("repo", F.col("current.sha").alias("ref"), F.col("current.committed_at").alias("at"), older, newer)
+    held = _marks(python_files(versions), "mark").drop("mark").join(order, ["repo", "ref"])
+    state = F.struct("at", "ref", "mark_sha", "mark_digest", "before_ref", "after_ref")
+    along = neighbours(held.select("repo", "path", state.alias("current")), ["repo", "path"], "current", F.col("current.at"))
+
+    def stays(other: str, commit: str) -> Column:
+        a, b = F.col("current"), F.col(other)
+        same = F.coalesce(a["mark_sha"] == b["mark_sha"], a["mark_digest"].eqNullSafe(b["mark_digest"]))
+        return F.coalesce((b["ref"] == a[commit]) & same, F.lit(False))
+
+    ends = along.select("repo", "path", "current", (~stays("older", "before_ref")).alias("first"), (~stays("newer", "after_ref")).alias("last"))
+    ends = neighbours(ends.filter(F.col("first") | F.col("last")).drop("newer", "older"), ["repo", "path"], "current", F.col("current.at"))
+    to = F.when(F.col("last"), F.col("current")).otherwise(F.col("newer"))
+    return ends.filter("first").withColumn("to", to).select(
+        "repo", "path", F.col("current.ref").alias("valid_from"), F.col("current.at").alias("from_at"),
+        F.col("to.ref").alias("valid_to"), F.col("to.at").alias("to_at"), F.col("current.before_ref").alias("before_ref"),
+        F.col("to.after_ref").alias("after_ref"), F.col("current.mark_sha").alias("blob_sha"), F.col("current.mark_digest").alias("digest"),
+    )
+
+
+def interval_changes(intervals: DataFrame) -> DataFrame:
+    """Files that differ between neighbouring commits: the intervals that start or end there, without texts.
+
+    repo, base_ref, head_ref, path, status, old_sha, new_sha, and what ``_with_texts`` needs.
+    """
+
+    def event(side: str, base: str, head: str) -> Column:
+        return F.struct(F.lit(side).alias("side"), F.col(base).alias("base_ref"), F.col(head).alias("head_ref"))
+
+    events = F.array(event("new", "before_ref", "valid_from"), event("old", "valid_to", "after_ref"))
+    found = intervals.select("repo", "path", "blob_sha", "digest", F.inline(events)).filter("base_ref is not null and head_ref is not null")
+    sides = []
+    for side in ("old", "new"):
+        mine = F.col("side") == side
+        sides += [F.max(F.when(mine, F.col("blob_sha"))).alias(f"{side}_sha"), F.max(F.when(mine, F.col("digest"))).alias(f"{side}_digest"), F.max(F.when(mine, F.lit(True))).alias(side)]
+    status = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("modified")
+    return found.groupBy("repo", "base_ref", "head_ref", "path").agg(*sides).withColumn("status", status)
+
+
+def history_files(versions: DataFrame, commits: DataFrame, since=None) -> DataFrame:
+    """Python files that differ between neighbouring commits, with their texts; see ``changed_files``.
+
+    Runs its comparison when called: the changes are written once, as their texts are looked up on both sides.
+    """
+    py = python_files(versions)
+    changed = written(interval_changes(version_intervals(versions, commits, since)))
+    return _with_texts(_look_up(_look_up(changed, py, "old", "base_ref"), py, "new", "head_ref"))
+
+
+# -- definitions by blob -----------------------------------------------------------------------------
+_STORE = {"defs": f"array<struct<{DEFINITION_DDL}>>", "last_of_name": "array<int>", "last_of_qualname": "array<int>", "parse_error": "string"}
+
+
+def _blob(sha: Column, content: Column) -> Column:
+    return F.coalesce(sha, F.sha2(content, 256))
+
+
+def _stored(source: str | None):
+    found, error = K.definitions_of(source)
+    last = [sorted({d[key]: d["ord"] for d in found}.values()) for key in ("name", "qualname")]
+    return found, *last, error
+
+
+def parse_store(versions: DataFrame, path: str | None = None) -> DataFrame:
+    """Definitions of each distinct blob of Python files, parsed once: blob, defs, last_of_name, last_of_qualname, parse_error.
+
+    A blob is known by its sha or, without one, a digest of the content.  One version of each is chosen by its keys
+    alone; only the chosen ones' texts move.  With a ``path`` the store is kept there and later calls parse
+    only blobs that it lacks.
+    """
+    spark, keys = versions.sparkSession, ["repo", "ref", "path"]
+    sha = F.col("blob_sha") if "blob_sha" in versions.columns else F.lit(None).cast("string")
+    py = python_files(versions).filter(F.col("content").isNotNull())
+    chosen = py.select(_blob(sha, F.col("content")).alias("blob"), F.struct(*keys).alias("one")).groupBy("blob").agg(F.min("one").alias("one"))
+    if path is not None and _exists(spark, path):
+        chosen = chosen.join(spark.read.parquet(path).select("blob"), "blob", "left_anti")
+    chosen = written(chosen.select("blob", "one.*"))
+    texts = might_hold(py.select(*keys, "content"), key_filter(chosen, keys), keys).join(chosen, keys).select("blob", "content")
+    parsed = _add_columns(texts, _STORE, ["content"], _stored)
+    if path is None:
+        return written(parsed)
+    parsed.write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _exists(spark, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def definitions_from_store(versions: DataFrame, store: DataFrame) -> DataFrame:
+    """What ``definitions`` gives, without parsing: versions find their blob's definitions."""
+    sha = F.col("blob_sha") if "blob_sha" in versions.columns else F.lit(None).cast("string")
+    found = python_files(versions).select(*file_keys(versions), _blob(sha, F.col("content")).alias("blob"))
+    return found.join(store.select("blob", "defs"), "blob").select(*file_keys(versions), F.inline("defs"))
+
+
+def definition_changes_from_store(file_changes: DataFrame, store: DataFrame, key: str = "name") -> DataFrame:
+    """What ``file_definition_changes`` gives, without parsing: both sides find their blob's definitions.
+
+    ``file_changes`` carries ``old_sha``, ``new_sha`` and, where one is NULL, that side's content.
+    """
+    df = file_changes
+    for side in ("old", "new"):
+        content = F.col(f"{side}_content") if f"{side}_content" in df.columns else F.lit(None).cast("string")
+        last = F.transform(f"last_of_{key}", lambda i: F.get(F.col("defs"), i))
+        defs = store.select(F.col("blob").alias(f"{side}_blob"), last.alias(f"{side}_defs"))
+        df = df.withColumn(f"{side}_blob", _blob(F.col(f"{side}_sha"), F.nullif(content, F.lit("")))).join(defs, f"{side}_blob", "left")
+        df = df.withColumn(f"{side}_defs", F.coalesce(f"{side}_defs", F.array().cast(f"array<struct<{DEFINITION_DDL}>>"))).drop(f"{side}_blob", f"{side}_content")
+    return _paired(df, key)
 
 
 # -- line differences ------------------------------------------------------------------------------
@@ -520,6 +643,39 @@ def related_commits(file_changes: DataFrame, commits: DataFrame, bounds: DataFra
     return found.select(*keys, "sha", "committed_at", _commit_text().alias("text"))
 
 
+def commits_of_pairs(commits: DataFrame, pairs: DataFrame, bucket: str = "minute") -> DataFrame:
+    """Each commit with the pair of neighbouring commits in whose span it falls: base_at < committed_at <= head_at.
+
+    ``pairs(repo, base_ref, head_ref, base_at, head_at)`` of a repository do not overlap, as those of
+    ``commit_pairs``; a commit outside all spans is left out.  An as-of join by sorted merge: commits and heads
+    meet in their time bucket, sorted together; commits whose bucket has no later head take the first
+    head of the next bucket that has one, from a table of one row per bucket.  Every commit moves twice, whatever
+    the number of pairs.
+    """
+    kept, names = commits.columns, ["base_ref", "head_ref", "base_at", "head_at"]
+    pair = F.struct("head_at", "base_at", "base_ref", "head_ref")
+    heads = pairs.filter("base_at < head_at").select("repo", F.col("head_at").alias("_at"), pair.alias("_pair"))
+    asked = commits.select("repo", F.col("committed_at").alias("_at"), F.struct(*kept).alias("_row"))
+    events = heads.unionByName(asked, allowMissingColumns=True).withColumn("_bucket", F.date_trunc(bucket, "_at"))
+    # heads come before the commits of their moment: the span includes its end
+    along = W.partitionBy("repo", "_bucket").orderBy(F.desc("_at"), F.col("_pair").isNull())
+    events = events.withColumn("_here", F.last("_pair", ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    rows = events.filter("_row is not null").drop("_pair", "_at")
+    first = events.groupBy("repo", "_bucket").agg(F.min("_pair").alias("_first"))
+    later = W.partitionBy("repo").orderBy(F.desc("_bucket")).rowsBetween(W.unboundedPreceding, -1)
+    first = first.select("repo", "_bucket", F.last("_first", ignorenulls=True).over(later).alias("_next")).filter("_next is not null")
+    found = rows.join(first, ["repo", "_bucket"], "left").withColumn("_pair", F.coalesce("_here", "_next"))
+    found = found.select("_row.*", *[F.col(f"_pair.{c}").alias(c) for c in names])
+    return found.filter("base_at < committed_at")
+
+
+def related_commits_of_history(file_changes: DataFrame, commits: DataFrame, pairs: DataFrame) -> DataFrame:
+    """What ``related_commits`` gives for pairs of neighbouring commits, each commit meeting its own pair only."""
+    keys = file_keys(file_changes)
+    dated = commits_of_pairs(commits.withColumn("_date", _iso_date(commits)), pairs.select("repo", "base_ref", "head_ref", "base_at", "head_at"))
+    return file_changes.select(*keys).join(dated, keys).select(*keys, "sha", "committed_at", _commit_text().alias("text"))
+
+
 def diff_header(def_changes: DataFrame, file_changes: DataFrame, related: DataFrame | None = None) -> DataFrame:
     """Header lines of a definition's diff: file status, shas, and the number of its file's related commits.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pagespark.operators import code as C
 from pagespark.sources.shared import written
@@ -15,9 +16,16 @@ def analyze_refs(versions: DataFrame, base: str, head: str, key: str = "name") -
 
 
 def history(versions: DataFrame, commits: DataFrame, since=None, key: str = "name") -> tuple[DataFrame, DataFrame]:
-    """The same for each pair of neighbouring commits since a point in time; rows carry base_ref and head_ref."""
-    files = C.changed_files_of_pairs(C.valid_repos(versions), C.commit_pairs(commits, since))
-    return files, C.definition_changes(files, key)
+    """The same for each pair of neighbouring commits since a point in time; rows carry base_ref and head_ref.
+
+    Pairs read the intervals of file states, and each distinct blob is parsed once.  Runs its comparison and its
+    parse when called.
+    """
+    valid = C.valid_repos(versions)
+    files = C.history_files(valid, commits, since)
+    keys = C.file_keys(files)
+    changes = C.definition_changes_from_store(files.select(*keys, "old_sha", "new_sha", "old_content", "new_content"), C.parse_store(valid), key)
+    return files, changes.select(*keys, F.inline("changes"))
 
 
 def report(file_changes: DataFrame, key: str = "name") -> DataFrame:

@@ -249,3 +249,101 @@ def test_history(spark):
     assert [(r.base_ref, r.head_ref) for r in files.collect()] == [("c1", "c2")]
     assert [(r.head_ref, r.name, r.change) for r in defs.collect()] == [("c2", "f", "modified")]
     assert [tuple(r) for r in C.repo_totals(files, defs).collect()] == [("o/r", "c1", "c2", 1, 1)]
+
+
+# -- intervals and the parse store ------------------------------------------------------------------
+def _commits(spark, n, repo="o/r"):
+    rows = [(repo, f"c{i:03d}", i) for i in range(n)]
+    return spark.createDataFrame(rows, "repo string, sha string, i int").select("repo", "sha", F.timestamp_seconds(F.col("i") * 40).alias("committed_at"))
+
+
+def test_intervals_of_a_file_that_goes_and_comes_back(spark):
+    states = ["x", "x", None, "x", "y", "y", None]
+    rows = [("o/r", f"c{i:03d}", "m.py", f"{s} = 1\n", s) for i, s in enumerate(states) if s]
+    rows += [("o/r", f"c{i:03d}", "k.py", "k = 1\n", None) for i in range(7)]
+    got = C.version_intervals(spark.createDataFrame(rows, VERSIONS), _commits(spark, 7))
+    assert sorted((r.path, r.blob_sha, r.valid_from, r.valid_to, r.before_ref, r.after_ref) for r in got.collect()) == [
+        ("k.py", None, "c000", "c006", None, None),
+        ("m.py", "x", "c000", "c001", None, "c002"),
+        ("m.py", "x", "c003", "c003", "c002", "c004"),
+        ("m.py", "y", "c004", "c005", "c003", "c006"),
+    ]
+    changes = C.interval_changes(got).collect()
+    assert sorted((r.base_ref, r.head_ref, r.status, r.old_sha, r.new_sha) for r in changes) == [
+        ("c001", "c002", "removed", "x", None), ("c002", "c003", "added", None, "x"),
+        ("c003", "c004", "modified", "x", "y"), ("c005", "c006", "removed", "y", None),
+    ]
+
+
+def test_history_equals_pairwise_comparison(spark):
+    import random
+
+    pick = random.Random(3)
+    rows = []
+    for p in range(6):
+        state = 0
+        for i in range(40):
+            state += pick.random() < 0.2
+            if pick.random() < 0.9:
+                rows.append(("o/r", f"c{i:03d}", f"m{p}.py", f"def f(): return {state % 3}\ndef g{state % 2}(): pass\n", None if p == 5 else f"b{state % 3}{state % 2}"))
+    versions, commits = spark.createDataFrame(rows, VERSIONS), _commits(spark, 40)
+    files, defs = H.history(versions, commits)
+    plain = C.changed_files_of_pairs(versions, C.commit_pairs(commits))
+    columns = sorted(plain.columns)
+    assert sorted(map(tuple, files.select(columns).collect()), key=repr) == sorted(map(tuple, plain.select(columns).collect()), key=repr)
+    want = C.definition_changes(plain)
+    columns = sorted(want.columns)
+    assert sorted(map(tuple, defs.select(columns).collect()), key=repr) == sorted(map(tuple, want.select(columns).collect()), key=repr)
+
+
+def test_a_blob_of_many_pairs_is_parsed_once(spark, tmp_path):
+    blobs = {"s0": "def f(): return 0\n", "s1": "def f(): return 1\ndef f(): return 2\n"}
+    rows = [("o/r", f"c{i:03d}", f"m{p}.py", blobs[f"s{i % 2}"], f"s{i % 2}") for i in range(101) for p in range(3)]
+    versions = spark.createDataFrame(rows, VERSIONS)
+    store = C.parse_store(versions, f"{tmp_path}/store")
+    assert sorted((r.blob, len(r.defs), r.last_of_name) for r in store.collect()) == [("s0", 1, [0]), ("s1", 2, [1])]
+    files, defs = H.history(versions, _commits(spark, 101))
+    assert files.count() == 300 and defs.count() == 300
+    assert "MapInArrow" not in defs._jdf.queryExecution().executedPlan().toString()
+    # a later call parses what is new only
+    more = spark.createDataFrame([("o/r", "c", "n.py", "def (", None), ("o/r", "c", "m.py", "never read", "s1")], VERSIONS)
+    again = {r.blob: (r.defs, r.parse_error) for r in C.parse_store(more, f"{tmp_path}/store").collect()}
+    assert len(again) == 3 and len(again["s1"][0]) == 2 and [e for d, e in again.values() if e]
+
+
+def test_definitions_from_store(spark, versions):
+    want = C.definitions(C.python_files(versions))
+    got = C.definitions_from_store(versions, C.parse_store(versions))
+    assert sorted(map(tuple, got.select(want.columns).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_changes_from_store_by_qualified_name(spark, versions):
+    files = C.changed_files(versions, "a", "b")
+    want, got = C.file_definition_changes(files, "qualname"), C.definition_changes_from_store(files, C.parse_store(versions), "qualname")
+    rows = [sorted(((r.path, sorted(map(tuple, r.changes), key=repr)) for r in df.collect()), key=repr) for df in (want, got)]
+    assert rows[0] == rows[1]
+
+
+def test_commits_of_pairs_against_all_pairs(spark):
+    import datetime as dt
+    import random
+
+    pick, start = random.Random(5), dt.datetime(2024, 1, 1)
+    commits = [("r", f"c{i}", start + dt.timedelta(seconds=pick.choice((30, 4000)) * pick.randrange(60))) for i in range(80)] + [("q", "one", start)]
+    asked = [(r, f"a{i}", start + dt.timedelta(seconds=pick.randrange(-500, 250_000))) for i in range(200) for r in ("r", "q")]
+    schema = "repo string, sha string, committed_at timestamp"
+    pairs = C.commit_pairs(spark.createDataFrame(commits, schema))
+    got = C.commits_of_pairs(spark.createDataFrame(asked + commits, schema), pairs)
+    spans = pairs.collect()
+    want = sorted((c[1], p.head_ref) for c in asked + commits for p in spans if p.repo == c[0] and p.base_at < c[2] <= p.head_at)
+    assert sorted((r.sha, r.head_ref) for r in got.collect()) == want and want
+
+
+def test_related_commits_of_history_equal_the_general_join(spark):
+    rows = [("o/r", f"c{i:03d}", "m.py", f"x = {i // 2}\n", str(i // 2)) for i in range(12)]
+    versions, commits = spark.createDataFrame(rows, VERSIONS), _commits(spark, 12)
+    person = F.struct(F.lit("A").alias("name"), F.lit("a@x").alias("email"))
+    told = commits.withColumns({"path": F.lit("m.py"), "message": F.lit("m"), "author": person, "committer": person})
+    files, pairs = C.history_files(versions, commits), C.commit_pairs(commits)
+    want, got = C.related_commits(files, told, pairs), C.related_commits_of_history(files, told, pairs)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr) and got.count() == 5
