@@ -90,20 +90,34 @@ def _marks(versions: DataFrame, side: str) -> DataFrame:
     )
 
 
-def _look_up(changed: DataFrame, versions: DataFrame, side: str, ref: str | None) -> DataFrame:
-    """``changed`` with the texts of one side. Versions that no changed file names stay where they are read."""
-    keys = ["repo", "path"] if ref is None else ["repo", ref, "path"]
-    texts = versions.select("repo", *([] if ref is None else [F.col("ref").alias(ref)]), "path", F.col("content").alias(f"{side}_content"))
-    marked = key_filter(changed.filter(side), keys)
-    return changed.join(might_hold(texts, marked, keys), keys, "left")
+def _both_sides(changed: DataFrame, versions: DataFrame) -> DataFrame:
+    """``changed`` (base_ref, head_ref) with the texts of both sides. Versions whose key is not marked stay where they are read."""
+    found = changed
+    for side, ref in (("old", "base_ref"), ("new", "head_ref")):
+        keys = ["repo", ref, "path"]
+        texts = versions.select("repo", F.col("ref").alias(ref), "path", F.col("content").alias(f"{side}_content"))
+        found = found.join(might_hold(texts, key_filter(changed, keys), keys), keys, "left")
+    return found
+
+
+_SAME = "coalesce(old_sha = new_sha, old_digest <=> new_digest)"
+_STATUS = "case when old is null then 'added' when new is null then 'removed' else 'modified' end"
+
+
+def _between(py: DataFrame, base: str, head: str) -> DataFrame:
+    """Files that differ between two refs, without texts: one scan, one exchange of marks combined before they move."""
+    marks = _marks(py.filter(F.col("ref").isin(base, head)), "mark")
+    sides = []
+    for side, ref in (("old", base), ("new", head)):
+        mine = F.col("ref") == ref
+        sides += [F.max(F.when(mine, F.col(c))).alias(c.replace("mark", side)) for c in ("mark_sha", "mark_digest", "mark")]
+    found = marks.groupBy("repo", "path").agg(*sides)
+    return found.filter(f"not coalesce(old and new and {_SAME}, false)").withColumn("status", F.expr(_STATUS))
 
 
 def _differ(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Files whose marks differ: keys, status, shas, and which sides are there.  No text takes part."""
-    same = F.coalesce(F.col("old_sha") == F.col("new_sha"), F.col("old_digest").eqNullSafe(F.col("new_digest")))
-    status = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("modified")
-    joined = old.join(new, keys, "full_outer")
-    return joined.filter(~F.coalesce(F.col("old") & F.col("new") & same, F.lit(False))).withColumn("status", status)
+    return old.join(new, keys, "full_outer").filter(f"not coalesce(old and new and {_SAME}, false)").withColumn("status", F.expr(_STATUS))
 
 
 def _with_texts(changed: DataFrame) -> DataFrame:
@@ -129,10 +143,11 @@ def changed_files(versions: DataFrame, base: str, head: str) -> DataFrame:
     scan, so only their texts move.  A file whose content is no text (NULL) is a row with the reason in ``error``.
     """
     py = python_files(versions)
-    old, new = (py.filter(F.col("ref") == r) for r in (base, head))
+    changed = _between(py, base, head)
     keys = ["repo", "path"]
-    changed = _differ(_marks(old, "old").drop("ref"), _marks(new, "new").drop("ref"), keys)
-    return _with_texts(_look_up(_look_up(changed, old, "old", None), new, "new", None))
+    texts = might_hold(py.filter(F.col("ref").isin(base, head)).select(*keys, "ref", "content"), key_filter(changed, keys), keys)
+    sides = [F.max(F.when(F.col("ref") == ref, F.col("content"))).alias(f"{side}_content") for side, ref in (("old", base), ("new", head))]
+    return _with_texts(changed.join(texts.groupBy(*keys).agg(*sides), keys, "left"))
 
 
 def changed_files_of_pairs(versions: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -143,7 +158,7 @@ def changed_files_of_pairs(versions: DataFrame, pairs: DataFrame) -> DataFrame:
     old = refs.join(_marks(py, "old").withColumnRenamed("ref", "base_ref"), ["repo", "base_ref"])
     new = refs.join(_marks(py, "new").withColumnRenamed("ref", "head_ref"), ["repo", "head_ref"])
     changed = _differ(old, new, [*keys, "path"])
-    return _with_texts(_look_up(_look_up(changed, py, "old", "base_ref"), py, "new", "head_ref"))
+    return _with_texts(_both_sides(changed, py))
 
 
 def changed_files_listed(comparison: DataFrame, contents: DataFrame) -> DataFrame:
@@ -419,8 +434,7 @@ def interval_changes(intervals: DataFrame) -> DataFrame:
     for side in ("old", "new"):
         mine = F.col("side") == side
         sides += [F.max(F.when(mine, F.col("blob_sha"))).alias(f"{side}_sha"), F.max(F.when(mine, F.col("digest"))).alias(f"{side}_digest"), F.max(F.when(mine, F.lit(True))).alias(side)]
-    status = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("modified")
-    return found.groupBy("repo", "base_ref", "head_ref", "path").agg(*sides).withColumn("status", status)
+    return found.groupBy("repo", "base_ref", "head_ref", "path").agg(*sides).withColumn("status", F.expr(_STATUS))
 
 
 def history_files(versions: DataFrame, commits: DataFrame, since=None) -> DataFrame:
@@ -430,7 +444,7 @@ def history_files(versions: DataFrame, commits: DataFrame, since=None) -> DataFr
     """
     py = python_files(versions)
     changed = written(interval_changes(version_intervals(versions, commits, since)))
-    return _with_texts(_look_up(_look_up(changed, py, "old", "base_ref"), py, "new", "head_ref"))
+    return _with_texts(_both_sides(changed, py))
 
 
 # -- definitions by blob -----------------------------------------------------------------------------
