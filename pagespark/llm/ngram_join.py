@@ -80,8 +80,8 @@ def _batch(schema: pa.Schema, n: int, /, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([_array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
-_PROFILE = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("short", pa.int64()), ("parts", pa.list_(pa.int16())), ("block", pa.int32()), ("counts", pa.binary())])
-PROFILE = "doc_id long, row long, n long, cls binary, short long, parts array<short>, block int, counts binary"
+_PROFILE = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("carried", pa.string()), ("words", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("short", pa.int64()), ("parts", pa.list_(pa.int16())), ("block", pa.int32()), ("counts", pa.binary())])
+PROFILE = "doc_id long, row long, carried string, words long, n long, cls binary, short long, parts array<short>, block int, counts binary"
 
 
 def _profile(n_words: int):
@@ -93,14 +93,16 @@ def _profile(n_words: int):
         for batch in batches:
             for part in words.slices(batch):
                 size, digest, cut = [], [], []
-                for found in words.shingle_sets(*words.buffers(part["text"]), n_words):
+                data, offsets = words.buffers(part["text"])
+                spanned = words.spans(data, offsets)
+                for found in words.shingle_sets(data, offsets, n_words, spanned):
                     np.add.at(count, _counter(found), np.uint32(1))
                     size.append(len(found))
                     digest.append(_digest(found))
                     sizes = np.diff(np.r_[0, np.searchsorted(found, cuts), len(found)])
                     cut.append(np.minimum(sizes, 32767).astype(np.int16))
                 parts = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(cut)), PARTS).cast(pa.list_(pa.int16()))
-                yield _batch(_PROFILE, len(part), doc_id=part["doc_id"], row=part["row"], n=size, cls=digest, short=[_short(d) for d in digest], parts=parts)
+                yield _batch(_PROFILE, len(part), doc_id=part["doc_id"], row=part["row"], carried=part["carried"], words=np.diff(spanned[2]), n=size, cls=digest, short=[_short(d) for d in digest], parts=parts)
         blocks = count.reshape(-1, 1 << _BLOCK_BITS)
         used = np.flatnonzero(blocks.any(axis=1))
         for i in range(0, len(used), 64):
@@ -196,7 +198,10 @@ STARS = "a long, b long, only boolean, again boolean, token long, meta long"
 
 
 def _stars(percent: int, first: bool):
-    """Postings sorted by (token, salt, meta, cls) to three kinds of rows.
+    """Postings sorted by token to three kinds of rows.
+
+    Sorting by one number is cheap; the few postings whose shingle is in another class too are put in
+    order (token, salt, meta, cls) here.
 
     ``b`` known: a pair with its group's pivot; ``only`` if the shingle is in no third class.
     ``again`` false: a posting (``a`` its class) of a shingle in three classes or more.
@@ -210,7 +215,7 @@ def _stars(percent: int, first: bool):
             now = {c: batch[c].to_numpy() for c in names}
             if held is not None:
                 now = {c: np.concatenate([held[c], now[c]]) for c in names}
-            end = np.flatnonzero((now["token"][1:] != now["token"][:-1]) | (now["salt"][1:] != now["salt"][:-1]))
+            end = np.flatnonzero(now["token"][1:] != now["token"][:-1])
             last = int(end[-1]) + 1 if len(end) else 0
             held = {c: v[last:] for c, v in now.items()}
             yield from settle(*(now[c][:last] for c in names))
@@ -220,6 +225,15 @@ def _stars(percent: int, first: bool):
     def settle(token, salt, meta, cls) -> Iterator[pa.RecordBatch]:
         if not len(token):
             return
+        same = token[1:] == token[:-1]
+        keep = np.r_[False, same] | np.r_[same, False]
+        if first:
+            keep |= _groups()[token.view(np.uint64) >> np.uint64(56)] > 1
+        token, salt, meta, cls = (x[keep] for x in (token, salt, meta, cls))
+        if not len(token):
+            return
+        order = np.lexsort((cls, meta, salt, token))
+        token, salt, meta, cls = (x[order] for x in (token, salt, meta, cls))
         new = np.r_[True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])]
         once = new | np.r_[True, cls[1:] != cls[:-1]]  # a class may come from several tasks
         token, meta, cls, new = (x[once] for x in (token, meta, cls, new))
@@ -311,20 +325,25 @@ def _verify(n_words: int, percent: int):
 
 
 class Join:
-    """One run over a table of documents; ``documents()`` is the result."""
+    """One run over a table of documents; ``documents()`` is the result.
+
+    A column named by ``carry`` comes along with each document, as text.
+    """
 
-    def __init__(self, docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> None:
+    def __init__(self, docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT, carry: str | None = None) -> None:
         self.n_words, self.percent = n_words, percent
         self.tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         self.texts = docs.select("doc_id", "text").withColumn("row", row_key())
-        found = kept(self.texts.mapInArrow(_profile(n_words), PROFILE))
-        self.profile = found.where("block is null").select("doc_id", "row", "n", "cls", "short", "parts")
+        carried = F.lit(None).cast("string") if carry is None else F.col(carry).cast("string")
+        profiled = docs.select("doc_id", "text", carried.alias("carried")).withColumn("row", row_key())
+        found = kept(profiled.mapInArrow(_profile(n_words), PROFILE))
+        self.profile = found.where("block is null").select("doc_id", "row", "carried", "words", "n", "cls", "short", "parts")
         self.order = _order(found.where("block is not null").select("block", "counts"), self.tasks)
         one = self.profile.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min(F.struct("row", "n", "short", "parts")).alias("r"))
         self.classes = kept(one.select("cls", "least", "r.*"))
 
     def _group(self, postings: DataFrame, first: bool) -> DataFrame:
-        dealt = postings.repartition("token", "salt").sortWithinPartitions("token", "salt", "meta", "cls")
+        dealt = postings.repartition("token", "salt").sortWithinPartitions("token")
         return dealt.mapInArrow(_stars(self.percent, first), STARS)
 
     def candidates(self) -> tuple[DataFrame, DataFrame]:
@@ -382,15 +401,16 @@ class Join:
     def documents(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every document, its row key, and what tells components apart.
 
-        ``group`` is null for documents without a word, which are alone.
+        ``group`` is null for documents without a word, which are alone.  ``words`` is the number of words,
+        ``carried`` the column named by ``carry``.
         """
         root = self.links().toDF("cls", "root")
         least = self.classes.select("cls", "least").join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         smallest = least.groupBy("root").agg(F.min("least").alias("component_id"))
         of = least.join(smallest, "root").select("cls", "component_id", "root")
-        rows = self.profile.select("doc_id", "row", "n", "cls").join(of, "cls", "left")
+        rows = self.profile.select("doc_id", "row", "n", "cls", "words", "carried").join(of, "cls", "left")
         component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-        return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "row", F.col("root").alias("group"))
+        return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "row", F.col("root").alias("group"), "words", "carried")
 
 
 def join(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -116,11 +116,11 @@ def pack_part(part: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return out
 
 
-def pack(docs: DataFrame, length: str = "length", source: str = "source", cluster: str = "cluster", row: str | None = None, capacity: int = CAPACITY, part_rows: int = PART_ROWS) -> DataFrame:
+def pack(docs: DataFrame, length: str = "length", source: str = "source", cluster: str = "cluster", row: str | None = None, capacity: int = CAPACITY, part_rows: int = PART_ROWS, rows: int | None = None) -> DataFrame:
     """Bins for all pieces of ``docs``: columns doc_id, piece, n_pieces, bin, start, length.
 
     ``cluster`` may be null (a document without copies). ``row`` names a number that tells rows apart;
-    without one it is made of doc_id and text.
+    without one it is made of doc_id and text. ``rows`` is the number of documents, where a caller knows it.
     """
     items = docs.select(
         F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), (F.col(row) if row else row_key()).cast("long").alias("row"),
@@ -128,7 +128,7 @@ def pack(docs: DataFrame, length: str = "length", source: str = "source", cluste
         F.coalesce(F.when(F.col(source).isNotNull(), F.xxhash64(source)), F.lit(0)).alias("source"),
         F.coalesce(F.when(F.col(cluster).isNotNull(), F.xxhash64(cluster)), F.lit(0)).alias("cluster"),
     )
-    n = docs.select("doc_id").count()
+    n = docs.select("doc_id").count() if rows is None else rows
     parts = max(1, -(-n // part_rows))
     items = items.withColumn("part", F.pmod(F.xxhash64("row", "doc_id"), F.lit(parts)))
 

@@ -144,8 +144,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return packing.pack(clustered(sized(docs), docs), row="row")
+    found = ngram_join.Join(table(spark, sf_dir, "documents"), carry="source")
+    return packing.pack(clustered(found), row="row", rows=found.profile.count())
 
 
 @query(
@@ -196,7 +196,10 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", row_key().alias("row"), words.alias("length"), "source", F.lit(None).cast("string").alias("cluster"))
 
 
-def clustered(sizes: DataFrame, docs: DataFrame) -> DataFrame:
-    """``sizes`` with the near-duplicate component of each text as its cluster, null for texts without words."""
-    group = ngram_join.join(docs).where("group is not null").select("row", F.hex("group").alias("cluster")).dropDuplicates(["row"])
-    return sizes.drop("cluster").join(group, "row", "left").select(*sizes.columns)
+def clustered(found: ngram_join.Join) -> DataFrame:
+    """What ``sized`` gives, with the near-duplicate component of each text as its cluster, null for texts without words.
+
+    All of it comes from the join's own pass over the texts; ``found`` carries the source.
+    """
+    length = (F.col("words") + 1).alias("length")
+    return found.documents().select("doc_id", "row", length, F.col("carried").alias("source"), F.hex("group").alias("cluster"))

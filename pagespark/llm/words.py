@@ -111,12 +111,13 @@ def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(total)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int, spanned: tuple | None = None) -> Iterator[np.ndarray]:
     """Sorted distinct hashes of the ``n``-word shingles of each text, A-Z read as a-z.
 
     A text of fewer words has its whole sequence as one shingle, a text without words none.
+    ``spanned`` is what ``spans`` gave, where a caller has it.
     """
-    starts, ends, first = spans(data, offsets)
+    starts, ends, first = spanned or spans(data, offsets)
     hashes = span_hashes(data, starts, ends, lower=True)
     runs = shingles(hashes, n)
     for d in range(len(offsets) - 1):

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pagespark.llm import language_id, ngrams, packing, quality, quality_rules, queries, topk
+from pagespark.llm import language_id, ngram_join, ngrams, packing, quality, quality_rules, queries, topk
 
 SYLLABLES = {"en": ["the", "ing", "wh", "tion", "er"], "fr": ["eau", "ou", "é", "elle", "ment"], "de": ["sch", "ung", "ü", "keit", "ei"]}
 
@@ -197,13 +197,13 @@ def test_near_copies_part(spark):
     rows = [(k, t, f"s{k}") for k, t in enumerate(near)] + [(10 + k, t, f"t{k}") for k, t in enumerate([None, None, "", " ", None])]
     rows += [(20, near[0], "u"), (20, near[0], "u"), (30, " ".join(f"v{i}" for i in range(60)), "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
-    got = packing.pack(queries.clustered(queries.sized(docs), docs), row="row").toPandas()
+    got = packing.pack(queries.clustered(ngram_join.Join(docs, carry="source")), row="row").toPandas()
     assert sorted(got["doc_id"]) == sorted(r[0] for r in rows)
     copies = got[(got["doc_id"] < 10) | (got["doc_id"] == 20)]
     assert len(copies) == 8 and copies["bin"].nunique() == 8  # near copies of different sources
     assert got["bin"].nunique() == 8  # texts without words conflict with nothing
     empty = docs.limit(0)
-    assert packing.pack(queries.clustered(queries.sized(empty), empty), row="row").collect() == []
+    assert packing.pack(queries.clustered(ngram_join.Join(empty, carry="source")), row="row").collect() == []
 
 
 def brute_top(rows, k, every):
