@@ -44,7 +44,7 @@ def _(spark, sf):
     CAST(length({unescaped("regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1)")}) AS INT) AS footer_length FROM segments""",
 )
 def _(spark, sf):
-    dom = D.ensure_dom(_aug(spark, sf), "tag", "text_start", "text_len", "full_text")
+    dom = D.ensure_dom(_aug(spark, sf), "tag", *D.TEXT_FIELDS)
 
     def first(tag):
         return F.element_at(F.transform(D.matching(lambda n: n("tag") == tag), lambda x: D.text_of(x.getField)), 1)
@@ -165,7 +165,7 @@ FROM (SELECT *, CAST(CASE WHEN tag = 'BUTTON' THEN 0 WHEN tag = 'A' THEN 1 WHEN
 
 @query(
     "interactive_elements",
-    f"""SELECT page_id, sel_ix, nid, selector, tag, CASE WHEN tag = 'DETAILS' THEN 'Sin n' ELSE substr(trim(txt), 1, 100) END AS text,
+    f"""SELECT page_id, sel_ix, nid, selector, tag, CASE WHEN tag = 'DETAILS' THEN 'Sin n' ELSE trim(txt) END AS text,
     visible AS is_visible, interaction_type, CAST(len(regexp_extract_all(raw, ' [a-z-]+(="[^"]*")?')) AS INT) AS n_attributes
     FROM ({_INTERACTIVE}) i""",
 )
@@ -251,10 +251,18 @@ def _(spark, sf):
     return P.content_areas(_aug(spark, sf)).select("page_id", "sel_ix", "selector", "tag", "text_length")
 
 
+@query(
+    "interactive_elements_limited",
+    f"""SELECT page_id, nid, CASE WHEN tag = 'DETAILS' THEN 'Sin n' ELSE substr(trim(txt), 1, 20) END AS text FROM ({_INTERACTIVE}) i""",
+)
+def _(spark, sf):
+    return P.interactive_elements(_aug(spark, sf), text_limit=20).select("page_id", "nid", "text")
+
+
 @query(
     "navigation_blocks",
     """SELECT page_id, 'NAV' AS tag, '' AS class_name, CAST(len(regexp_extract_all(nav, '<a ')) AS INT) AS link_count,
-    trim(substr(trim(nav_text, ' \t\n'), 1, 200)) AS text FROM segments""",
+    trim(trim(nav_text, ' \t\n')) AS text FROM segments""",
 )
 def _(spark, sf):
     return P.navigation_blocks(_aug(spark, sf)).withColumn("text", F.trim("text")).drop("nid")

@@ -46,7 +46,7 @@ SELECT page_id, url,
       repeat('<button aria-expanded="false" class="x">More</button>', CAST(page_id % 4 AS INT)),
       CASE WHEN page_id % 3 = 0 THEN '<details id="d1"><summary>S</summary><p>in <button aria-expanded="false">n</button></p></details>' ELSE '' END,
       CASE WHEN page_id % 5 = 0 THEN '<form action="/search" method="post"><input name="q"><select name="s"></select></form>' ELSE '' END,
-      CASE WHEN page_id % 7 = 0 THEN '<div role="button" onclick="go()" data-k="1">Go</div>' ELSE '' END,
+      CASE WHEN page_id % 7 = 0 THEN '<div role="button" onclick="go()" data-k="1">' || repeat('Go on ', 50) || 'end</div>' ELSE '' END,
       CASE WHEN page_id % 6 = 0 THEN '<div class="expandable" hidden>h</div>' ELSE '' END,
       '<main class="content">', repeat('word ', CAST(150 * (page_id % 5) AS INT)), '</main>',
       CASE WHEN page_id % 11 = 0 THEN '<div data-sitekey="k"></div>' ELSE '' END)) AS html

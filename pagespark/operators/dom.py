@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagespark.functions.selectors import Node, all_matches, css, first_match, selector_name
-from pagespark.operators.html_kernel import JS_SPACE, Document, tag_text, trimmed_prefix, xpaths
+from pagespark.operators.html_kernel import JS_SPACE, Document, chunked, tag_text, xpaths
 
-TEXT_LIMIT = 200
-# Elements whose whole text the kernel hands over; operators read no other element's text in full.
+#: Characters in a piece of a page's text or source: an element's text is cut out of the pieces it lies in.
+CHUNK = 1024
+# Elements whose whole text the kernel hands over; that of others is cut from the page's pieces.
 TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 title script".split())
 
 _INT, _STR, _BOOL = pa.int32(), pa.string(), pa.bool_()
@@ -52,11 +53,6 @@ NODE_FIELDS: dict[str, tuple] = {
     "attrs": (pa.map_(_STR, _STR), "map<string,string>", _each(lambda n: list(n.attrs.items()))),
     "text_start": (_INT, "int", _each(lambda n: n.text_start)),
     "text_len": (_INT, "int", _each(lambda n: n.text_end - n.text_start)),
-    "text200": (
-        _STR,
-        "string",
-        lambda d: [trimmed_prefix(d.full_text, n.text_start, n.text_end, TEXT_LIMIT) for n in d.nodes],
-    ),
     "html_start": (_INT, "int", _each(lambda n: n.html_start)),
     "html_end": (_INT, "int", _each(lambda n: n.html_end)),
     "max_child_ix_on_path": (_INT, "int", _each(lambda n: n.max_child_ix)),
@@ -71,6 +67,8 @@ NODE_FIELDS: dict[str, tuple] = {
 PAGE_FIELDS: dict[str, tuple] = {
     "full_text": (_STR, "string", lambda d: d.full_text),
     "body_text": (_STR, "string", lambda d: "".join(d.visible_text)),
+    "text_chunks": (pa.list_(_STR), "array<string>", lambda d: chunked(d.full_text, CHUNK)),
+    "html_chunks": (pa.list_(_STR), "array<string>", lambda d: chunked(d.source, CHUNK)),
     "text_node_lengths": (pa.list_(_INT), "array<int>", lambda d: d.text_lens),
 }
 _BATCH_CHARS = 4_000_000  # output is cut into batches of about this much input text
@@ -206,21 +204,34 @@ def ranked_rows(
     return dom.select(*page_keys(dom), F.inline(made))
 
 
+# what an element's text is cut from
+TEXT_FIELDS = ("text_start", "text_len", "text_chunks")
+
+
+def _cut(chunks: str, start: Column, size: Column) -> Column:
+    """Characters of a page from the pieces they lie in: the cost is that of the cut, wherever it stands."""
+    first, last = F.floor(start / CHUNK).cast("int"), F.floor((start + size) / CHUNK).cast("int")
+    return F.substring(F.array_join(F.slice(chunks, first + 1, last - first + 1), ""), start % CHUNK + 1, size)
+
+
 def text_of(n: Node) -> Column:
-    """A node's whole textContent, cut from the page text by offsets.
+    """A node's whole textContent, cut from the page's text (TEXT_FIELDS)."""
+    return _cut("text_chunks", n("text_start"), n("text_len"))
 
-    Cutting counts characters from the start of the page; for elements with one of TEXT_TAGS take
-    the node's own ``text``.
-    """
-    return F.substring(F.col("full_text"), n("text_start") + 1, n("text_len"))
+
+def html_of(n: Node) -> Column:
+    """A node's inner html as it stands in the source (html_start, html_end, html_chunks)."""
+    return _cut("html_chunks", n("html_start"), n("html_end") - n("html_start"))
 
 
 def trim(c: Column) -> Column:
     return F.btrim(c, F.lit(JS_SPACE))
 
 
-def short_text(n: Node, limit: int) -> Column:
-    return F.substring(n("text200"), 1, limit)
+def shown_text(n: Node, limit: int | None = None) -> Column:
+    """A node's trimmed text, whole unless a number of characters is given."""
+    text = trim(text_of(n))
+    return text if limit is None else F.substring(text, 1, limit)
 
 
 def attr(n: Node, name: str) -> Column:
@@ -253,9 +264,17 @@ def in_snapshot(n: Node, depth: int | None, children: int | None) -> Column:
     return inside if children is None else inside & (n("max_child_ix_on_path") < children)
 
 
-def dom_snapshot(pages: DataFrame, depth: int | None = None, children: int | None = None) -> DataFrame:
-    """Body subtree, whole unless a depth or a number of children to follow is given."""
-    return dom_nodes(pages).filter(in_snapshot(F.col, depth, children)).withColumn("is_expandable", is_expandable(F.col))
+def dom_snapshot(
+    pages: DataFrame, depth: int | None = None, children: int | None = None, text_limit: int | None = None
+) -> DataFrame:
+    """Body subtree with each element's text, whole unless a depth, a number of children or characters is given."""
+    dom = ensure_dom(pages, *NODE_FIELDS, "text_chunks")
+    fields = [f for f in NODE_FIELDS if f != "text"]
+
+    def project(n: Node) -> list[Column]:
+        return [*[n(f).alias(f) for f in fields], shown_text(n, text_limit).alias("text"), is_expandable(n).alias("is_expandable")]
+
+    return node_rows(dom, lambda n: in_snapshot(n, depth, children), project)
 
 
 def with_xpath(pages: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ EXPANDABLE_SELECTORS = [
 NESTED_SELECTORS = [
     '[aria-expanded="false"]', "details:not([open])", ".expandable:not(.expanded)", ".collapsible:not(.expanded)",
 ]
-EXPANDABLE_FIELDS = ("tag", "id", "class_name", "classes", "attrs", "text200", "static_visible")
+EXPANDABLE_FIELDS = ("tag", "id", "class_name", "classes", "attrs", *D.TEXT_FIELDS, "static_visible")
 
 
 def is_expanded(n: Node) -> Column:
@@ -37,7 +37,7 @@ def is_expandable_candidate(n: Node) -> Column:
     return n("static_visible") & first_match(EXPANDABLE_SELECTORS, n).isNotNull()
 
 
-def expandable_elements(pages: DataFrame, layout: DataFrame | None = None) -> DataFrame:
+def expandable_elements(pages: DataFrame, layout: DataFrame | None = None, text_limit: int | None = None) -> DataFrame:
     """Visible elements that look expandable, once each; report order is (sel_ix, nid)."""
     dom = D.ensure_dom(pages, *EXPANDABLE_FIELDS)
 
@@ -49,7 +49,7 @@ def expandable_elements(pages: DataFrame, layout: DataFrame | None = None) -> Da
             n("tag").alias("tag"),
             n("id").alias("id"),
             n("class_name").alias("class_name"),
-            D.short_text(n, 100).alias("text"),
+            D.shown_text(n, text_limit).alias("text"),
             D.attr(n, "aria-expanded").alias("aria_expanded"),
             _state_attributes(n).alias("attributes"),
             is_expanded(n).alias("is_currently_expanded"),
@@ -62,7 +62,7 @@ def expandable_elements(pages: DataFrame, layout: DataFrame | None = None) -> Da
 
 
 def nested_expandables(
-    pages: DataFrame, per_parent: int | None = None, layout: DataFrame | None = None
+    pages: DataFrame, per_parent: int | None = None, layout: DataFrame | None = None, text_limit: int | None = None
 ) -> DataFrame:
     """Collapsed elements inside an expandable element that has an id, ranked per parent.
 
@@ -82,7 +82,7 @@ def nested_expandables(
             hits,
             lambda ix: F.struct(
                 ix.alias("sel_ix"), *[n(f).alias(f) for f in ("nid", "tag", "id", "class_name")],
-                D.short_text(n, 100).alias("text"), D.attr(n, "aria-expanded").alias("aria_expanded"),
+                D.shown_text(n, text_limit).alias("text"), D.attr(n, "aria-expanded").alias("aria_expanded"),
             ),
         )
 
@@ -123,17 +123,16 @@ def element_id(elements: DataFrame) -> DataFrame:
 def element_content(pages: DataFrame, selector: str = ",".join(EXPANDABLE_SELECTORS)) -> DataFrame:
     """Inner html, text, attributes and child count of the selected elements."""
     dom = D.ensure_dom(
-        pages, "tag", "id", "classes", "attrs", "n_children", "html_start", "html_end", "text_start", "text_len",
-        "full_text", "html",
-    )
+        pages, "tag", "id", "classes", "attrs", "n_children", "html_start", "html_end", "html_chunks", *D.TEXT_FIELDS
+    )
     return D.node_rows(
         dom,
         lambda n: css(selector, n),
         lambda n: [
             n("nid").alias("nid"),
             n("tag").alias("tag"),
-            F.substring(F.col("html"), n("html_start") + 1, n("html_end") - n("html_start")).alias("inner_html"),
-            D.trim(D.text_of(n)).alias("text"),
+            D.html_of(n).alias("inner_html"),
+            D.shown_text(n).alias("text"),
             n("attrs").alias("attributes"),
             n("n_children").alias("child_count"),
         ],

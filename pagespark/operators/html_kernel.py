@@ -339,16 +339,8 @@ def _find_close(src: str, tag: str, pos: int) -> int:
     return m.start() if m else len(src)
 
 
-def trimmed_prefix(text: str, start: int, end: int, limit: int) -> str:
-    """First ``limit`` characters of the trimmed slice, without copying the slice."""
-    m = _NON_SPACE.search(text, start, end)
-    if m is None:
-        return ""
-    p = m.start()
-    s = text[p : min(end, p + limit)]
-    if s[-1] in JS_SPACE and _NON_SPACE.search(text, p + len(s), end) is None:
-        s = s.rstrip(JS_SPACE)
-    return s
+def chunked(text: str, size: int) -> list[str]:
+    return [text[i : i + size] for i in range(0, len(text), size)]
 
 
 def tag_text(doc: Document, tags: frozenset[str]) -> list[str | None]:

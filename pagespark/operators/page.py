@@ -54,7 +54,7 @@ def page_titles(pages: DataFrame) -> DataFrame:
 
 
 # -- interactive elements -----------------------------------------------------------
-INTERACTIVE_FIELDS = ("tag", "id", "classes", "attrs", "text200", "xpath", "static_visible")
+INTERACTIVE_FIELDS = ("tag", "id", "classes", "attrs", *D.TEXT_FIELDS, "xpath", "static_visible")
 
 
 def interaction_type(n: Node) -> Column:
@@ -76,13 +76,13 @@ def is_dynamic(n: Node) -> Column:
     return css("[aria-expanded]", n) | (css("[onclick]", n) & ~n("tag").isin("A", "BUTTON"))
 
 
-def _interactive_columns(ix: Column, n: Node) -> list[Column]:
+def _interactive_columns(ix: Column, n: Node, text_limit: int | None = None) -> list[Column]:
     return [
         ix.alias("sel_ix"),
         n("nid").alias("nid"),
         selector_name(INTERACTIVE_SELECTORS, ix).alias("selector"),
         n("tag").alias("tag"),
-        D.short_text(n, 100).alias("text"),
+        D.shown_text(n, text_limit).alias("text"),
         n("attrs").alias("attributes"),
         n("xpath").alias("xpath"),
         n("static_visible").alias("is_visible"),
@@ -90,24 +90,26 @@ def _interactive_columns(ix: Column, n: Node) -> list[Column]:
     ]
 
 
-def interactive_elements(pages: DataFrame, layout: DataFrame | None = None) -> DataFrame:
+def interactive_elements(pages: DataFrame, layout: DataFrame | None = None, text_limit: int | None = None) -> DataFrame:
     """Each interactive element once, under its first selector; report order is (sel_ix, nid).
 
     With a layout, elements carry their measured box and are visible only if it takes up room.
     """
     dom = D.ensure_dom(pages, *INTERACTIVE_FIELDS)
     found = D.ranked_rows(
-        dom, lambda n: first_match(INTERACTIVE_SELECTORS, n), lambda n: F.lit(True), _interactive_columns
-    )
+        dom, lambda n: first_match(INTERACTIVE_SELECTORS, n), lambda n: F.lit(True),
+        lambda ix, n: _interactive_columns(ix, n, text_limit),
+    )
     if layout is None:
         return found
     placed = D.with_positions(found, layout)
     return placed.withColumn("is_visible", F.col("is_visible") & F.col("has_box")).drop("has_box")
 
 
-def dynamic_elements(pages: DataFrame) -> DataFrame:
+def dynamic_elements(pages: DataFrame, text_limit: int | None = None) -> DataFrame:
     dom = D.ensure_dom(pages, *INTERACTIVE_FIELDS)
-    return D.ranked_rows(dom, lambda n: first_match(INTERACTIVE_SELECTORS, n), is_dynamic, _interactive_columns)
+    project = lambda ix, n: _interactive_columns(ix, n, text_limit)
+    return D.ranked_rows(dom, lambda n: first_match(INTERACTIVE_SELECTORS, n), is_dynamic, project)
 
 
 # -- head -----------------------------------------------------------------------------
@@ -202,8 +204,8 @@ def content_areas(pages: DataFrame, layout: DataFrame | None = None) -> DataFram
     return areas if layout is None else D.with_positions(areas, layout).filter("has_box").drop("has_box")
 
 
-def navigation_blocks(pages: DataFrame) -> DataFrame:
-    dom = D.ensure_dom(pages, "tag", "classes", "attrs", "class_name", "links_within", "text200")
+def navigation_blocks(pages: DataFrame, text_limit: int | None = None) -> DataFrame:
+    dom = D.ensure_dom(pages, "tag", "classes", "attrs", "class_name", "links_within", *D.TEXT_FIELDS)
     return D.node_rows(
         dom,
         lambda n: css(NAV_SELECTOR, n),
@@ -212,7 +214,7 @@ def navigation_blocks(pages: DataFrame) -> DataFrame:
             n("tag").alias("tag"),
             n("class_name").alias("class_name"),
             n("links_within").alias("link_count"),
-            n("text200").alias("text"),
+            D.shown_text(n, text_limit).alias("text"),
         ],
     )
 
@@ -320,15 +322,17 @@ def content_metrics(pages: DataFrame, layout: DataFrame | None = None, viewport_
     return measured.select(*keys, *figures, "pageHeight", F.lit(viewport_height).cast("int").alias("viewportHeight"))
 
 
-def visible_elements(pages: DataFrame, layout: DataFrame, viewport_height: int = 1080, scan: int | None = None) -> DataFrame:
+def visible_elements(
+    pages: DataFrame, layout: DataFrame, viewport_height: int = 1080, scan: int | None = None, text_limit: int | None = None
+) -> DataFrame:
     """Elements (of the first ``scan``, if given) of more than 10x10 px that start above the fold."""
-    dom = D.ensure_dom(pages, "tag", "id", "class_name", "text200")
+    dom = D.ensure_dom(pages, "tag", "id", "class_name", *D.TEXT_FIELDS)
     first = D.node_rows(
         dom,
         lambda n: F.lit(True) if scan is None else n("nid") < scan,
         lambda n: [
             *[n(f).alias(f) for f in ("nid", "tag", "id", "class_name")],
-            D.short_text(n, 100).alias("text"),
+            D.shown_text(n, text_limit).alias("text"),
         ],
     )
     shown = layout.filter((F.col("width") > 10) & (F.col("height") > 10) & (F.col("y") < viewport_height))
@@ -336,14 +340,15 @@ def visible_elements(pages: DataFrame, layout: DataFrame, viewport_height: int =
 
 
 def static_nodes(
-    pages: DataFrame, layout: DataFrame | None = None, depth: int | None = None, children: int | None = None
-) -> DataFrame:
+    pages: DataFrame, layout: DataFrame | None = None, depth: int | None = None, children: int | None = None,
+    text_limit: int | None = None,
+) -> DataFrame:
     """Snapshot nodes that are visible, not expandable and carry no data-* attribute.
 
     With a ``layout``, only those that take up room, with their boxes.
     """
     dom = D.ensure_dom(
-        pages, "tag", "id", "classes", "class_name", "attrs", "text200", "static_visible", "aria_within", "body_depth",
+        pages, "tag", "id", "classes", "class_name", "attrs", *D.TEXT_FIELDS, "static_visible", "aria_within", "body_depth",
         "max_child_ix_on_path",
     )
     found = D.node_rows(
@@ -354,7 +359,7 @@ def static_nodes(
         & ~F.exists(F.map_keys(n("attrs")), lambda k: F.startswith(k, F.lit("data-"))),
         lambda n: [
             *[n(f).alias(f) for f in ("nid", "tag", "id", "class_name")],
-            D.short_text(n, 100).alias("text"),
+            D.shown_text(n, text_limit).alias("text"),
         ],
     )
     return found if layout is None else D.with_positions(found, layout).filter("has_box").drop("has_box")
@@ -378,10 +383,10 @@ def detect_challenge(pages: DataFrame) -> DataFrame:
     return _one_row(D.ensure_dom(pages, *CHALLENGE_FIELDS), challenge_reasons().alias("challenge"))
 
 
-def quick_profile(pages: DataFrame, limit: int | None = None) -> DataFrame:
+def quick_profile(pages: DataFrame, limit: int | None = None, text_limit: int | None = None) -> DataFrame:
     """Structure counts and the (first ``limit``) collapsed elements of each page."""
     dom = D.ensure_dom(
-        pages, *TITLE_FIELDS, "id", "classes", "attrs", "n_children", "static_visible", "text_len", "text200"
+        pages, *TITLE_FIELDS, "id", "classes", "attrs", "n_children", "static_visible", *D.TEXT_FIELDS
     )
     first = D.matching(lambda n: css(QUICK_SELECTOR, n))
     first = first if limit is None else F.slice(first, 1, limit)
@@ -391,7 +396,7 @@ def quick_profile(pages: DataFrame, limit: int | None = None) -> DataFrame:
             F.concat(F.lit("element_"), i.cast("string")).alias("element_id"),
             x["nid"].alias("nid"),
             x["tag"].alias("tag"),
-            F.substring(x["text200"], 1, 100).alias("text"),
+            D.shown_text(x.getField, text_limit).alias("text"),
         ),
     )
     return _one_row(

@@ -77,7 +77,7 @@ def static_elements(pages: DataFrame) -> DataFrame:
     return _rows(D.ensure_dom(pages, *STATIC_FIELDS), static_elements_array(P.area_structs()))
 
 
-def dynamic_elements_array() -> Column:
+def dynamic_elements_array(text_limit: int | None = None) -> Column:
     ranked = F.transform(
         D.matching(P.is_dynamic),
         lambda x: F.struct(first_match(P.INTERACTIVE_SELECTORS, x.getField).alias("ix"), x.alias("node")),
@@ -92,7 +92,7 @@ def dynamic_elements_array() -> Column:
             kind.alias("type"),
             selector_name(P.INTERACTIVE_SELECTORS, h["ix"]).alias("selector"),
             n("tag").alias("tag"),
-            D.short_text(n, 100).alias("text"),
+            D.shown_text(n, text_limit).alias("text"),
             n("attrs").alias("attributes"),
             n("xpath").alias("xpath"),
             F.when(kind == "expandable", "high").otherwise("medium").alias("importance"),
@@ -104,8 +104,8 @@ def dynamic_elements_array() -> Column:
     return F.array_sort(F.transform(ranked, element), by_selector)
 
 
-def dynamic_element_specs(pages: DataFrame) -> DataFrame:
-    return _rows(D.ensure_dom(pages, *P.INTERACTIVE_FIELDS), dynamic_elements_array())
+def dynamic_element_specs(pages: DataFrame, text_limit: int | None = None) -> DataFrame:
+    return _rows(D.ensure_dom(pages, *P.INTERACTIVE_FIELDS), dynamic_elements_array(text_limit))
 
 
 def layout_type(nav_aware: bool = False) -> Column:
@@ -410,6 +410,7 @@ def page_specs(
     interaction_log: DataFrame | None = None,
     mutation_log: DataFrame | None = None,
     request_log: DataFrame | None = None,
+    text_limit: int | None = None,
 ) -> DataFrame:
     """One nested row per page.  The page is parsed once and its markup half is one projection."""
     dom = D.ensure_dom(pages, *SPEC_FIELDS).withColumn("areas", P.area_structs())
@@ -422,7 +423,7 @@ def page_specs(
             F.lit(VERSION).alias("analysis_version"),
         ).alias("metadata"),
         static_elements_array(F.col("areas")).alias("static_elements"),
-        dynamic_elements_array().alias("dynamic_elements"),
+        dynamic_elements_array(text_limit).alias("dynamic_elements"),
         F.struct(*layout_columns()).alias("layout_analysis"),
         F.struct(
             content_selectors_array(F.col("areas")).alias("main_content_selectors"),

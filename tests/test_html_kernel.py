@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from pagespark.operators.html_kernel import Document, trimmed_prefix, xpaths
+from pagespark.operators.html_kernel import Document, chunked, xpaths
 
 
 def tree(source):
@@ -113,12 +113,10 @@ def test_xpath():
     ]
 
 
-def test_trimmed_prefix_equals_trim_then_cut():
-    pad = "  \n\t"
-    for s in ["", "  ", "ab", " ab ", "a" + pad * 5, "a" + pad * 5 + "b", pad + "x y z" + pad, "abc" + pad * 9 + "d"]:
-        for limit in (1, 3, 5, 200):
-            want = s.strip("\t\n\v\f\r  ﻿")[:limit]
-            assert trimmed_prefix("##" + s + "##", 2, 2 + len(s), limit) == want, (s, limit)
+def test_pieces_are_the_whole_text():
+    for text in ("", "a", "ab" * 700, "é" * 1024, "😀x" * 1500):
+        pieces = chunked(text, 1024)
+        assert "".join(pieces) == text and all(len(p) == 1024 for p in pieces[:-1])
 
 
 def test_deep_pages_keep_every_element():

@@ -218,3 +218,24 @@ def test_tags_leave_the_kernel_as_they_are_in_the_page(spark):
     every = D.dom_nodes(df).filter("tag in ('H1', 'H2')").orderBy("nid").collect()
     assert D.parse_pages(df, tags=frozenset(["h1", "h2"])).select("page_id", F.inline("nodes")).select(every[0].__fields__).orderBy("nid").collect() == every
     assert rows(P.headings(df), "level", "text") == [("H1", "a"), ("H2", "b c")]
+
+
+@pytest.mark.parametrize("size", [0, 1, 99, 101, 1023, 1024, 1025, 5000])
+def test_texts_of_elements_are_whole(spark, size):
+    text = ("é😀 b" * size)[:size]
+    html = f"<p>{'x' * 700}</p><nav> {text}z <a href='/'>l</a></nav><button class='expandable' id='b' onclick='f()'>\n {text}|end </button><details>{text}<i class='collapsible'>{text}.</i></details>"
+    df = spark.createDataFrame([(1, "https://h/", html)], "page_id long, url string, html string")
+    want = f"{text}|end".strip()
+    shown = {r.tag: r.text for r in P.interactive_elements(df).collect()}
+    assert shown["BUTTON"] == want and shown["DETAILS"] == f"{text}{text}.".strip()
+    assert P.navigation_blocks(df).first().text == f"{text}z l".strip()
+    assert {r.tag: r.text for r in E.expandable_elements(df).collect()}["BUTTON"] == want
+    content = {r.tag: r for r in E.element_content(df).collect()}
+    assert content["BUTTON"].text == want and content["BUTTON"].inner_html == f"\n {text}|end "
+    assert content["DETAILS"].inner_html == f"{text}<i class='collapsible'>{text}.</i>"
+    assert {r.tag: r.text for r in D.dom_snapshot(df).collect()}["BUTTON"] == want
+    assert P.interactive_elements(df, text_limit=7).filter("tag = 'BUTTON'").first().text == want[:7]
+    assert D.dom_snapshot(df, text_limit=3).filter("tag = 'BUTTON'").first().text == want[:3]
+    # a digest of the whole text: texts with a common beginning stay apart
+    twice = spark.createDataFrame([(k, "", f"<details>{'s' * 300}{k}</details>") for k in (1, 2)], "page_id long, url string, html string")
+    assert E.element_id(E.expandable_elements(twice)).select("element_id").distinct().count() == 2
