@@ -14,8 +14,9 @@ best of each block meet once more by query, cut to k before they move.
 
 Components are floor(256 * x). Defined results: vectors that are null, empty or hold a null or a
 component that is not finite take no part, nor do rows without an id. Scores are exact: a block whose sums
-could pass 2 ** 53 is searched by products with error bounds, and Python integers settle what these leave open; one
-of the k best that is beyond 64 bits ends the query with an error, as in SQL. Only vectors of the query's own length are candidates, never rows of its
+could pass 2 ** 53 is searched by products with error bounds, and Python integers settle what these leave open. Scores
+beyond 64 bits are given as the largest or smallest such number, and tie there; a component that is not finite once
+it is multiplied by 256 counts as not finite. Only vectors of the query's own length are candidates, never rows of its
 own id. Rows that repeat an id are candidates of their own; as
 queries, rows of equal id and vector are one. Equal scores go to the smaller id, equal
 vectors tie. Fewer than k candidates: all of them. Extra columns are left out.
@@ -35,6 +36,7 @@ DEPTHS = (0.5, 0.75, 0.9, 1.0)
 LEFT = 20
 #: Whole numbers up to this are exact in float64.
 _EXACT = float(1 << 53)
+_LONG = (1 << 63) - 1
 
 
 def search_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,7 +119,7 @@ def _block(k: int):
             most = 4 * dim * float(np.abs(flat[pick]).max()) * float(np.abs(flat[q]).max())
             found = (search_block if most < _EXACT else search_large)(flat[pick], ids[pick], flat[q], ids[q], k)
         row = table["row"].to_numpy()
-        return pa.table({"query_id": ids[q][found[0]], "query_row": row[q][found[0]], "vec_id": ids[pick][found[1]], "score": pa.array([int(x) for x in found[2]], pa.int64())})
+        return pa.table({"query_id": ids[q][found[0]], "query_row": row[q][found[0]], "vec_id": ids[pick][found[1]], "score": pa.array([min(max(int(x), -_LONG - 1), _LONG) for x in found[2]], pa.int64())})
 
     return run
 
@@ -125,7 +127,7 @@ def _block(k: int):
 def usable(vectors: DataFrame, vec: str = "embedding") -> DataFrame:
     """vec_id and whole components ``vec``, as doubles that hold them exactly, of the vectors that take part."""
     x = F.col(vec)
-    bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("double")) == F.lit(float("inf"))))
+    bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("double") * 256) == F.lit(float("inf"))))
     # doubles from 2 ** 53 are whole, and floor() ends at 64 bits
     floor = lambda y: F.when(F.abs(y) < _EXACT, F.floor(y).cast("double")).otherwise(y)
     whole = F.transform(x, lambda v: floor(v.cast("double") * 256))

@@ -255,3 +255,19 @@ def test_queries_stop_early():
         score = vectors @ vectors[q] * 3
         score[q] = -np.inf
         assert got[1][got[0] == q].tolist() == np.argsort(-score, kind="stable")[:2].tolist()
+
+
+def test_signs_and_numbers_are_no_letters(spark):
+    rows = [(k, f"le la et mot{k} un", "fr") for k in range(60)] + [(100 + k, f"the of and word{k} a", "en") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    odd = spark.createDataFrame([(1, "½ ② Ⅷ ²"), (2, "_ 12"), (3, "½ é")], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(odd, language_id.fit(docs)).collect()}
+    assert got[1] == got[2] == "und" and got[3] in ("fr", "en")
+
+
+def test_vectors_beyond_all_bounds(spark):
+    big, top = 1e307, (1 << 63) - 1
+    rows = [(0, [1e30, 1.0]), (1, [big, 0.0]), (2, [1e30, 0.0]), (3, [-1e30, 0.0]), (4, [1.0, 2.0]), (5, [0.0, 1.0])]
+    found = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 5)
+    got = {r.vec_id: r.score for r in found.collect()}
+    assert got[2] == top and got[3] == -top - 1 and got[5] == 65536 and 1 not in got and len(got) == 4
