@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from pagespark.functions.selectors import Node, all_matches, css, first_match, selector_name
 from pagespark.operators import dom as D
@@ -143,19 +144,24 @@ def element_content(pages: DataFrame, selector: str = ",".join(EXPANDABLE_SELECT
 def expansion_changes(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ("page_id", "element_id")) -> DataFrame:
     """Did an element's recorded content differ after the interaction?  Compares all shared columns.
 
-    Maps are compared by their sorted entries.  Columns: keys, in_before, in_after, content_changed.
+    Maps are compared by their sorted entries.  Elements that share a key pair up in order of ``nid`` where
+    both sides have it (else of their content), the first with the first: each gives one row.
+    Columns: keys, in_before, in_after, content_changed.
     """
-    compared = [c for c in before.columns if c in after.columns and c not in keys]
+    placed = "nid" in before.columns and "nid" in after.columns
+    compared = [c for c in before.columns if c in after.columns and c not in (*keys, "nid")]
 
     def side(df: DataFrame) -> DataFrame:
         types = dict(df.dtypes)
         cols = [
             (F.array_sort(F.map_entries(c)) if types[c].startswith("map") else F.col(c)).alias(c) for c in compared
         ]
-        return df.select(*keys, F.struct(*cols).alias("content"))
+        df = df.select(*keys, F.struct(*cols).alias("content"), *(["nid"] if placed else []))
+        nth = F.row_number().over(W.partitionBy(*keys).orderBy("nid" if placed else "content"))
+        return df.withColumn("_nth", nth)
 
     b, a = side(before).alias("b"), side(after).alias("a")
-    on = reduce(lambda x, y: x & y, [F.col(f"b.{k}") == F.col(f"a.{k}") for k in keys])
+    on = reduce(lambda x, y: x & y, [F.col(f"b.{k}") == F.col(f"a.{k}") for k in (*keys, "_nth")])
     return b.join(a, on, "full_outer").select(
         *[F.coalesce(f"b.{k}", f"a.{k}").alias(k) for k in keys],
         F.col("b.content").isNotNull().alias("in_before"),

@@ -239,3 +239,13 @@ def test_texts_of_elements_are_whole(spark, size):
     # a digest of the whole text: texts with a common beginning stay apart
     twice = spark.createDataFrame([(k, "", f"<details>{'s' * 300}{k}</details>") for k in (1, 2)], "page_id long, url string, html string")
     assert E.element_id(E.expandable_elements(twice)).select("element_id").distinct().count() == 2
+
+
+def test_elements_that_share_an_id_pair_up_in_order(spark):
+    schema = "page_id long, element_id string, nid int, inner_html string"
+    before = spark.createDataFrame([(1, "x", 4, "a"), (1, "x", 9, "b"), (1, "y", 2, "c")], schema)
+    after = spark.createDataFrame([(1, "x", 5, "a"), (1, "x", 11, "B"), (1, "x", 12, "n")], schema)
+    got = sorted((r.element_id, r.in_before, r.in_after, r.content_changed) for r in E.expansion_changes(before, after).collect())
+    assert got == [("x", False, True, True), ("x", True, True, False), ("x", True, True, True), ("y", True, False, True)]
+    unplaced = E.expansion_changes(before.drop("nid"), after.drop("nid"))
+    assert unplaced.count() == 4
