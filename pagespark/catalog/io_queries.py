@@ -156,3 +156,16 @@ def _(spark, sf):
     files = C.changed_files(derived(spark, sf, "file_versions"), "base", "head")
     K.write_change_report(H.report(files), path)
     return spark.read.parquet(path).select("repo", "path", "name", "status")
+
+
+@query(
+    "stream_file_versions",
+    """SELECT repo, path, status, nullif(old_content, '') AS old_content, nullif(new_content, '') AS new_content FROM files""",
+)
+def _(spark, sf):
+    folder = shared_folder(spark)
+    files = C.changed_files(derived(spark, sf, "file_versions"), "base", "head")
+    files.repartition(3, "repo", "path").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    K.stream_into(stream, K.write_file_versions, f"{folder}/out", style=None).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("repo", "path", "status", "old_content", "new_content")

@@ -51,6 +51,33 @@ def _(spark, sf):
     return rows.select("page_id", start, "total", "time_span_ms", "mutations_per_second", "activity_level")
 
 
+# clicks stand for data calls, errors for other requests, all else for mutations
+_BOTH = "(SELECT least(max(ts) FILTER (event_type NOT IN ('click', 'error')), max(ts) FILTER (event_type IN ('click', 'error'))) - INTERVAL 10 MINUTE FROM events)"
+
+
+@query(
+    "stream_monitoring_summary",
+    f"""WITH m AS (SELECT user_id AS page_id, ts, event_id FROM events WHERE event_type NOT IN ('click', 'error')),
+    s AS (SELECT page_id, min(ts) AS first, max(ts) AS last, count(*) AS total FROM (
+      SELECT *, sum(fresh) OVER (PARTITION BY page_id ORDER BY ts, event_id) AS k FROM (
+        SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY page_id ORDER BY ts, event_id) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM m) a) b GROUP BY page_id, k),
+    c AS (SELECT c.page_id, c.ts, s.first FROM (SELECT user_id AS page_id, ts FROM events WHERE event_type = 'click') c
+      LEFT JOIN s ON s.page_id = c.page_id AND c.ts >= s.first AND c.ts < s.last + INTERVAL 12 HOUR),
+    r AS (SELECT s.page_id, s.first AS since, s.last + INTERVAL 12 HOUR AS ends, s.total, {_MS.format('s.last')} - {_MS.format('s.first')} AS span, count(c.ts) AS calls
+      FROM s LEFT JOIN c ON c.page_id = s.page_id AND c.first = s.first GROUP BY ALL
+      UNION ALL SELECT page_id, ts, ts + INTERVAL 1 MICROSECOND, 0, NULL, count(*) FROM c WHERE first IS NULL GROUP BY page_id, ts)
+    SELECT page_id, {_MS.format('since')} AS session_start_ms, total AS total_mutations, span AS time_span_ms, round(rate, 2) AS mutations_per_second,
+      CASE WHEN rate IS NULL THEN 'none' WHEN rate > 5 THEN 'high' WHEN rate > 1 THEN 'medium' ELSE 'low' END AS activity_level, calls AS api_calls_detected
+    FROM (SELECT *, CASE WHEN span > 0 THEN total / (span / CAST(1000 AS DOUBLE)) WHEN total > 0 THEN CAST(0 AS DOUBLE) END AS rate FROM r WHERE ends <= {_BOTH}) t""",
+)
+def _(spark, sf):
+    request = F.col("type").isNull() | (F.col("type") == "attributes")
+    url = F.when(F.col("type") == "attributes", "https://h/api").otherwise("https://h/page")
+    mutations, requests = _events(spark, sf).filter(~request), _events(spark, sf).filter(request).withColumn("url", url)
+    rows = run_available(R.stream_monitoring(mutations, requests, gap="12 hours"))
+    return rows.withColumn("session_start_ms", F.unix_millis("session_start")).drop("session_start", "session_end")
+
+
 @query(
     "stream_api_calls",
     """SELECT event_id, concat('https://h/', CASE WHEN event_type = 'click' THEN 'api' ELSE event_type END, '?', props) AS url FROM events WHERE event_type = 'click'""",

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from pagespark.operators import code as C
 
@@ -60,3 +63,30 @@ def write_file_versions(
 
 def write_change_report(report: DataFrame, path: str, mode: str = "errorifexists") -> None:
     report.write.mode(mode).partitionBy("repo").parquet(path)
+
+
+def stream_into(
+    stream: DataFrame,
+    write: Callable[..., None],
+    path: str,
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
+    checkpoint: str | None = None,
+    **options,
+) -> StreamingQuery:
+    """Run ``write`` (any sink of this module) on each batch of a stream, after ``prepare``; all input that is there now.
+
+    A batch has a folder of its own, ``epoch=N`` under ``path``, which it replaces as a whole.  A batch that is run
+    again after a failure therefore leaves the same rows, also where the first attempt had reached the folder, and
+    readers of ``path`` get the epoch as a column.  Epochs belong to a checkpoint, which is kept in ``path`` (hidden from
+    readers) unless named: a folder with another checkpoint would be written over from epoch 0 on.
+    """
+
+    def replace(batch: DataFrame, epoch: int) -> None:
+        write(prepare(batch) if prepare else batch, f"{path}/epoch={epoch}", mode="overwrite", **options)
+
+    return (
+        stream.writeStream.foreachBatch(replace)
+        .option("checkpointLocation", checkpoint or f"{path}/_checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )

@@ -63,6 +63,43 @@ def stream_activity(events: DataFrame, gap: str = "30 minutes", watermark: str =
     )
 
 
+def stream_monitoring(
+    mutations: DataFrame, requests: DataFrame, gap: str = "30 minutes", watermark: str = "10 minutes", late_requests: str | None = None
+) -> DataFrame:
+    """``monitoring_summary`` of each closed session: mutations (page_id, ts) and data calls (page_id, ts, url) of one page.
+
+    Mutations alone make sessions.  A call inside one is counted there; a call outside of all is a row of its own moment
+    with no mutations, level ``none``.  Both logs keep their own watermark (``late_requests``, by default ``watermark``), and a
+    session closes when both have passed its end.
+
+    A join of sessions with calls would have to keep each call for as long as a session may last.  Here both logs are
+    one stream in which a mutation opens a window of ``gap`` and a call one of a microsecond, so state is one row for each
+    open session, and calls combine before the shuffle as mutations do (see ``stream_activity``).  Requests that
+    are no data calls open no window, but they move the clock on.
+    """
+    marks = mutations.withWatermark("ts", watermark).select("page_id", "ts", F.lit(False).alias("is_call"), F.lit(gap).alias("lasts"))
+    lasts = F.when(M.is_api_call(F.col("url")), "1 microsecond").otherwise("0 seconds")
+    calls = requests.withWatermark("ts", late_requests or watermark).select("page_id", "ts", F.lit(True).alias("is_call"), lasts.alias("lasts"))
+    at = F.when(~F.col("is_call"), F.col("ts"))
+    sessions = (
+        marks.union(calls)
+        .groupBy(F.session_window("ts", F.col("lasts")).alias("w"), "page_id")
+        .agg(F.count(at).alias("total_mutations"), F.min(at).alias("first"), F.max(at).alias("last"), F.count_if("is_call").alias("api_calls_detected"))
+    )
+    seen, span = F.col("total_mutations") > 0, F.unix_millis("last") - F.unix_millis("first")
+    rate = M.activity_rate(F.col("total_mutations"), span)
+    return sessions.select(
+        "page_id",
+        F.col("w.start").alias("session_start"),
+        F.col("w.end").alias("session_end"),
+        "total_mutations",
+        span.alias("time_span_ms"),
+        F.when(seen, F.round(rate, 2)).alias("mutations_per_second"),
+        F.when(seen, M.activity_level(rate)).otherwise("none").alias("activity_level"),
+        "api_calls_detected",
+    )
+
+
 def stream_api_calls(requests: DataFrame) -> DataFrame:
     return M.api_calls(requests)
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from pagespark.operators import code as C
 from pagespark.operators import page as P
+from pagespark.plans import history as H
+from pagespark.plans import spec as G
+from pagespark.plans import summary as B
 from pagespark.sources import readers as R
 from pagespark.sources import sinks as K
 
@@ -107,3 +110,60 @@ def test_sinks(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "s")).first()[0] == '{"success_rate":0.5,"message":null}'
     assert K.write_specs_json(spark.range(2).select(F.col("id").alias("page_id")), str(tmp_path / "j")) is None
     assert spark.read.json(str(tmp_path / "j")).count() == 2
+
+
+def _file_stream(spark, folder, batches):
+    schema = "repo string, path string, status string, old_content string, new_content string, old_sha string, new_sha string"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(folder))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
+
+
+def _file(path, repo="r"):
+    return (repo, path, "modified", "def f():\n    return 1\n", "def f():\n    return 2\n\ndef g():\n    pass\n", "a", "b")
+
+
+def test_a_replayed_batch_leaves_the_same_rows(spark, tmp_path):
+    """The second batch fails after its first attempt had written, with rows that the replay does not write again."""
+    stream = _file_stream(spark, tmp_path / "in", [[_file("a.py"), _file("b.py", "s")], [_file("c.py"), _file("d.py", "s")]])
+    out, attempts = str(tmp_path / "out"), []
+
+    def fails_once(batch, path, **options):
+        attempts.append(path)
+        if len(attempts) == 2:
+            batch = batch.withColumn("repo", F.concat("repo", F.lit("-half")))
+        K.write_file_versions(batch, path, **options)
+        if len(attempts) == 2:
+            raise RuntimeError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        K.stream_into(stream, fails_once, out, style=None).awaitTermination()
+    K.stream_into(stream, fails_once, out, style=None).awaitTermination()
+    K.stream_into(stream, fails_once, out, style=None).awaitTermination()  # nothing new has arrived
+    assert attempts == [f"{out}/epoch=0", f"{out}/epoch=1", f"{out}/epoch=1"]
+    rows = spark.read.parquet(out)
+    assert sorted(map(tuple, rows.select("epoch", "path", "repo").collect())) in (
+        [(0, "a.py", "r"), (0, "b.py", "s"), (1, "c.py", "r"), (1, "d.py", "s")],
+        [(0, "c.py", "r"), (0, "d.py", "s"), (1, "a.py", "r"), (1, "b.py", "s")],
+    )
+
+
+def test_every_sink_takes_a_stream(spark, tmp_path):
+    stream = _file_stream(spark, tmp_path / "in", [[_file("a.py")], [_file("c.py")]])
+
+    def to(name, write, prepare, frame=stream):
+        K.stream_into(frame, write, f"{tmp_path}/{name}", prepare).awaitTermination()
+        return f"{tmp_path}/{name}"
+
+    diffs = to("diffs", K.write_definition_diffs, lambda files: C.diff_header(C.unified_diff(C.definition_changes(files)), files))
+    assert sorted((r.path, r.name, r.change) for r in spark.read.parquet(diffs).collect()) == [
+        ("a.py", "f", "modified"), ("a.py", "g", "added"), ("c.py", "f", "modified"), ("c.py", "g", "added")]
+    assert spark.read.parquet(to("report", K.write_change_report, H.report)).select("path").distinct().count() == 2
+    (tmp_path / "pages").mkdir()
+    spark.createDataFrame([(1, "https://h/a", "<title>t</title><p>x")], "page_id long, url string, html string").write.json(str(tmp_path / "pages/in"))
+    pages = spark.readStream.schema("page_id long, url string, html string").json(str(tmp_path / "pages/in"))
+    log = spark.createDataFrame([], "page_id long, element_id string, parent_element_id string, depth int, success boolean, method string, content_changed boolean")
+    specs = to("specs", K.write_specs_json, lambda p: G.page_specs(p, log), pages)
+    assert spark.read.schema("page_id long").json(specs).filter("page_id is not null").count() == 1
+    summary = to("summary", K.write_batch_summary, lambda p: B.batch_summary(p, log), pages)
+    assert spark.read.schema("success_rate double").json(summary).count() == 1

@@ -79,6 +79,46 @@ def test_a_settled_page_leaves_the_store(arrive):
     assert sorted(r.settled_at_ms - START for r in got.filter("page_id = 1").collect()) == [2000, 302_000]
 
 
+def _calls(spark, tmp_path, batches):
+    folder = tmp_path / "calls"
+    folder.mkdir()
+    for i, rows in enumerate(batches):
+        f = folder / f"{i:03d}.json"
+        f.write_text("\n".join(json.dumps({"page_id": p, "ms": ms, "url": u}) for p, ms, u in rows))
+        os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
+    calls = spark.readStream.schema("page_id long, ms long, url string").option("maxFilesPerTrigger", 1).json(str(folder))
+    return calls.withColumn("ts", F.timestamp_millis(F.col("ms") + START))
+
+
+API, PAGE = "https://h/api/x", "https://h/logo.png"
+
+
+def test_monitoring_of_both_logs_equals_the_batch_summary(spark, arrive, tmp_path):
+    mutations = [(i, 1, i * 100, "a") for i in range(20)] + [(50, 2, 0, "a"), (51, 2, HOUR // 2, None)]
+    requests = [(1, 0, API), (1, 700, API), (1, 700, API), (1, 800, PAGE), (1, HOUR + 1_800, API), (2, HOUR, API), (3, 500, API), (3, 500, API)]
+    end = [(99, 9, 99 * HOUR, "a")]
+    events = arrive([mutations[10:], mutations[:10], end])
+    got = run.run_available(R.stream_monitoring(events, _calls(spark, tmp_path, [requests[:3], requests[3:], [(9, 99 * HOUR, PAGE)]]), gap="1 hour"))
+    columns = ["page_id", "total_mutations", "time_span_ms", "mutations_per_second", "activity_level", "api_calls_detected"]
+    log = spark.createDataFrame([(p, i, ms, t) for i, p, ms, t in mutations], "page_id long, seq long, ts_ms long, type string")
+    asked = spark.createDataFrame([(p, u) for p, _, u in requests], "page_id long, url string")
+    batch = R.M.monitoring_summary(log, asked)
+    assert sorted(map(tuple, got.select(columns).collect()), key=str) == sorted(map(tuple, batch.select(columns).collect()), key=str)
+    assert got.filter("page_id = 3").first()["activity_level"] == "none"
+
+
+def test_calls_outside_sessions_and_one_late_log(spark, arrive, tmp_path):
+    """Calls never prolong a session; nothing closes before the later of the two logs has passed."""
+    events = arrive([[(1, 1, 0, "a"), (2, 1, 2 * HOUR, "a")], [(3, 9, 99 * HOUR, "a")]])
+    calls = _calls(spark, tmp_path, [[(1, 0, API), (1, HOUR - 1, API), (1, HOUR + 5, API), (1, 2 * HOUR - 1, API)], [(9, 5 * HOUR, PAGE)]])
+    got = run.run_available(R.stream_monitoring(events, calls, gap="1 hour"))
+    at = (F.unix_millis("session_start") - START).alias("at")
+    rows = sorted(map(tuple, got.select(at, "total_mutations", "api_calls_detected", "activity_level").collect()))
+    assert rows == [(0, 1, 2, "low"), (HOUR + 5, 0, 1, "none"), (2 * HOUR - 1, 0, 1, "none"), (2 * HOUR, 1, 0, "low")]
+    late = run.run_available(R.stream_monitoring(events, calls, gap="1 hour", late_requests="4 hours"))
+    assert [r.at for r in late.select(at).collect()] == [0]
+
+
 def test_islands():
     assert R._islands([(5, 6), (0, 1), (2, 3), (9, 20), (10, 11)], 2) == [(0, 3), (5, 6), (9, 20)]
 
