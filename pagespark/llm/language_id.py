@@ -14,7 +14,8 @@ Defined results: text that is null, empty or has no letter gives ``und`` with sc
 without any labelled row every text gives ``und``. With one learned language every text with a letter is
 of that language with score 1, and not rejected: there is nothing to weigh it against. Ties go to the language that sorts first. Rows
 that repeat an id are predicted one by one; a null id counts as the empty text in the fold rule.
-All other columns pass through ``predict`` untouched, whatever their names.
+All other columns pass through ``predict`` untouched; one that bears an output's name, in any case of its
+letters, is replaced.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagespark.llm import ngrams, words
+from pagespark.llm.store import others
 
 BITS = 16
 ORDERS = (2, 3, 4)
@@ -166,11 +168,12 @@ def _predictor(model: Model):
 
 def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score", rejected: str = "lang_rejected") -> DataFrame:
     """All columns of ``docs`` with the language, its probability, and whether it is rejected."""
-    others = [c for c in docs.columns if c not in ("text", lang, score, rejected)]
-    rows = docs.select("text", *(f"`{c}`" for c in others))
+    keep = others(docs, lang, score, rejected)
+    rest = [c for c in keep if c != "text"]
+    rows = docs.select("text", *(f"`{c}`" for c in rest))
     fields = [T.StructField(str(i), f.dataType) for i, f in enumerate(rows.schema.fields)]
     n = len(fields)
     schema = T.StructType([*fields, T.StructField(str(n), T.StringType()), T.StructField(str(n + 1), T.DoubleType()), T.StructField(str(n + 2), T.BooleanType())])
     inner = rows.toDF(*(["text", *map(str, range(1, n))]))
-    out = inner.mapInArrow(_predictor(model), schema).toDF("text", *others, lang, score, rejected)
-    return out.select(*(f"`{c}`" for c in docs.columns if c not in (lang, score, rejected)), lang, score, rejected)
+    out = inner.mapInArrow(_predictor(model), schema).toDF("text", *rest, lang, score, rejected)
+    return out.select(*(f"`{c}`" for c in keep), lang, score, rejected)

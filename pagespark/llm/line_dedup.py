@@ -14,7 +14,8 @@ join on the row's key.
 Defined results: null text stays null, empty text empty, fewer than three lines with words stay.
 Null ids sort first. Rows that repeat an id and a text are one document: they keep or lose the same
 lines. Rows that repeat an id with other texts are told apart by their text, in order of its hash.
-A text whose lines all go is empty. Other columns pass through, whatever their names.
+A text whose lines all go is empty. Other columns pass through; one that bears an output's name, in any
+case of its letters, is replaced.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagespark.llm import words
-from pagespark.llm.store import fresh, kept, row_key
+from pagespark.llm.store import fresh, kept, others, row_key
 
 WINDOW = 3
 _OTHER = np.uint64(0xA5A5B6B6C7C7D8D9)
@@ -93,9 +94,10 @@ def dedup_lines(docs: DataFrame, removed: str = "n_removed", lines: str = "n_lin
     gone = covered.groupBy("row").agg(F.collect_set("line").alias("gone"))
     key, cut = fresh(docs, "row", "gone")
     rows = docs.withColumn(key, row_key()).join(gone.toDF(key, cut), key, "left")
-    others = [c for c in docs.columns if c not in ("text", removed, lines)]
-    inner = rows.select("text", F.col(cut).alias("gone"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)))
-    fields = [T.StructField(str(i), docs.schema[c].dataType) for i, c in enumerate(others)]
-    fields += [T.StructField(str(len(others) + i), t) for i, t in enumerate((T.StringType(), T.LongType(), T.LongType()))]
-    out = inner.mapInArrow(_cut, T.StructType(fields)).toDF(*others, "text", lines, removed)
-    return out.select(*(f"`{c}`" for c in docs.columns if c not in (removed, lines)), lines, removed)
+    keep = others(docs, removed, lines)
+    rest = [c for c in keep if c != "text"]
+    inner = rows.select("text", F.col(cut).alias("gone"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)))
+    fields = [T.StructField(str(i), docs.schema[c].dataType) for i, c in enumerate(rest)]
+    fields += [T.StructField(str(len(rest) + i), t) for i, t in enumerate((T.StringType(), T.LongType(), T.LongType()))]
+    out = inner.mapInArrow(_cut, T.StructType(fields)).toDF(*rest, "text", lines, removed)
+    return out.select(*(f"`{c}`" for c in keep), lines, removed)

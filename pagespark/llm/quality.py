@@ -5,19 +5,22 @@
 * **Metadata view**: what a crawl records about a page and its layout: source and language
   (hashed), length, number and length of lines, shares of kinds of characters. No word is read.
 
-Each view has its own logistic classifier. In each round both are fitted, and each hands its most
-confident answers on a pool of unlabelled documents to the *other* as labels. Then each view is
-calibrated (Platt scaling) and the two are combined by a logistic model, both on labelled rows that
-took no part in fitting, and the mix of classes is put back to that of all labels.
+Each view has its own logistic classifier. In each round both are fitted, both judge every unlabelled
+document, and each hands its ``HANDED`` most confident answers of each class to the *other* as labels.
+Then each view is calibrated (Platt scaling) and the two are combined by a logistic model, both on
+labelled rows that took no part in fitting, and the mix of classes is put back to that of all labels.
 
-Models are fitted on bounded samples (the parameters below). Everything else covers the whole
-table: one pass without a shuffle scores every document's whole text.
+Plan: features of all documents are made once and kept as a table. A round is one pass over the
+table: tasks judge their rows and keep each batch's most confident ones, equal contents combine (a group of
+copies hands over one label), and a ranked limit leaves four short lists, whose features alone reach
+the driver. Labelled rows are a bounded sample (``PER_CLASS``); unlabelled ones are all of the table.
+One pass without a shuffle then scores every document's whole text.
 
 Defined results: a null or empty text has an empty content view and is scored by both views like
 any other; null source or language is a value of its own. Several labels of one id: the lowest
-counts. Several rows of one id: one is used to fit, all are scored. Without labels of both classes
+counts. Several rows of one id: one is used to fit, all are scored. A null id is scored only. Without labels of both classes
 nothing can be learned: scores are null and every document is kept. An empty table gives no rows.
-Other columns pass through, whatever their names.
+Other columns pass through; one that bears an output's name, in any case of its letters, is replaced.
 """
 
 from __future__ import annotations
@@ -28,19 +31,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagespark.llm import ngrams, words
+from pagespark.llm.store import kept, others
 
 BITS = 11
 TEXT = (1 << BITS) + 3
 HASHED, LAYOUT = 64, 11
 META = 2 * HASHED + LAYOUT
-#: Bounds of the labelled sample (for each class) and of the unlabelled pool.
-PER_CLASS, POOL = 1500, 3000
+#: Bound of the labelled sample, for each class.
+PER_CLASS = 1500
+#: Rounds, and the labels of each class that a view hands over in one: a step of the method, whatever the table's size.
 ROUNDS, HANDED = 4, 200
+#: Rows judged at a time.
+_ROWS = 1024
 #: A pseudo-label is handed over only from this probability on.
 CONFIDENT = 0.97
 KEEP_FROM = 0.5
@@ -142,52 +149,90 @@ def _raw(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x @ w[:-1].astype(x.dtype) + w[-1]
 
 
+def _matrices(content: list[bytes], meta: list[bytes]) -> list[np.ndarray]:
+    return [
+        np.frombuffer(b"".join(content), np.float16).astype(np.float32).reshape(-1, TEXT),
+        np.frombuffer(b"".join(meta), np.float32).reshape(-1, META).copy(),
+    ]
+
+
+def _confident(forms: list, fitted: list[np.ndarray], had: list[np.ndarray]):
+    """The most confident answers of each batch: for which view, its label, the teacher's certainty, and the row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), _ROWS):
+                part = batch.slice(i, _ROWS)
+                ids, keys = part["doc_id"].to_numpy(), part["key"].to_numpy()
+                x = _matrices(part["content"].to_pylist(), part["meta"].to_pylist())
+                for teacher, pupil in ((0, 1), (1, 0)):
+                    mean, scale = forms[teacher]
+                    p = _sigmoid(_raw((x[teacher] - mean) / scale, fitted[teacher])).astype(np.float64)
+                    fresh = ~np.isin(keys, had[pupil])
+                    for label, sure in ((0, 1 - p), (1, p)):
+                        at = np.flatnonzero(fresh & (sure >= CONFIDENT))
+                        at = at[np.lexsort((ids[at], -sure[at]))]
+                        at = at[np.sort(np.unique(keys[at], return_index=True)[1])][:HANDED]
+                        n = len(at)
+                        columns = [np.full(n, pupil, np.int32), np.full(n, label, np.int32), sure[at], keys[at], ids[at]]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["pupil", "label", "sure", "key", "doc_id"])
+
+    return run
+
+
+def _handed(pool: DataFrame, forms: list, fitted: list[np.ndarray], had: list[np.ndarray]) -> list:
+    """At most ``HANDED`` rows with features for each view and label, most confident first, one of each content."""
+    found = pool.mapInArrow(_confident(forms, fitted, had), "pupil int, label int, sure double, key long, doc_id long")
+    # the greatest certainty, and of equal ones the smallest id
+    one = found.groupBy("pupil", "label", "key").agg(F.max(F.struct("sure", (-F.col("doc_id")).alias("minus"))).alias("best"))
+    rank = F.row_number().over(Window.partitionBy("pupil", "label").orderBy(F.desc("best.sure"), F.xxhash64("key"), "key"))
+    best = one.withColumn("rank", rank).where(F.col("rank") <= HANDED).select("pupil", "label", "rank", "key", (-F.col("best.minus")).alias("doc_id"))
+    rows = pool.join(F.broadcast(best), ["key", "doc_id"]).groupBy("pupil", "label", "rank", "key")
+    return rows.agg(F.min(F.struct("content", "meta")).alias("f")).orderBy("pupil", "label", "rank").collect()
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Co-train on the documents that ``labels`` (doc_id, quality 0 or 1) covers and a pool of others."""
+    """Co-train on the documents that ``labels`` (doc_id, quality 0 or 1) covers and all others."""
     label = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     share = {r["quality"]: r["count"] for r in label.groupBy("quality").count().collect()}
     if len(share) < 2:
         return None
-    ids = docs.select("doc_id").where("doc_id is not null").distinct()
-    known = ngrams.stratified(ids.join(label, "doc_id"), "doc_id", "quality", PER_CLASS, 2 * PER_CLASS)
-    pool = ngrams.stratified(ids.join(label, "doc_id", "left_anti").withColumn("quality", F.lit(-1)), "doc_id", "quality", POOL, POOL)
-    chosen = known.select("doc_id", "quality").union(pool.select("doc_id", "quality"))
-    texts = docs.select("doc_id", "text", "source", "lang").join(F.broadcast(chosen), "doc_id", "left_semi")
-    found = texts.mapInArrow(_features, "doc_id long, content binary, meta binary")
-    one = found.groupBy("doc_id").agg(F.min(F.struct("content", "meta")).alias("f"))
-    rows = one.join(F.broadcast(chosen), "doc_id").select("quality", "f.*").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang")
+    views = texts.mapInArrow(_features, "doc_id long, content binary, meta binary").join(label, "doc_id", "left")
+    views = kept(views.withColumn("key", F.xxhash64("content", "meta")))
+    chosen = ngrams.stratified(views.where("quality is not null").select("doc_id", "quality").distinct(), "doc_id", "quality", PER_CLASS, 2 * PER_CLASS)
+    one = views.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("content", "meta", "quality")).alias("f"))
+    rows = one.orderBy(F.xxhash64("doc_id"), "doc_id").select("f.*").collect()
     y = np.array([r["quality"] for r in rows], int)
-    if len(set(y[y >= 0])) < 2:
+    if len(set(y)) < 2:
         return None
-    x = [np.stack([np.frombuffer(r["content"], np.float16) for r in rows]).astype(np.float32), np.stack([np.frombuffer(r["meta"], np.float32) for r in rows])]
+    x = _matrices([r["content"] for r in rows], [r["meta"] for r in rows])
     del rows
-    labelled, unlabelled = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
-    held = labelled[::4] if len(set(y[labelled[::4]])) == 2 and len(set(y[np.delete(labelled, np.s_[::4])])) == 2 else labelled
+    labelled = np.arange(len(y))
+    held = labelled[::4] if len(set(y[::4])) == 2 and len(set(np.delete(y, np.s_[::4]))) == 2 else labelled
     base = np.setdiff1d(labelled, held) if len(held) < len(labelled) else labelled
     forms = [_standardise(xv) for xv in x]
-    # labels of all rows as each view knows them: -1 takes no part
-    known = [np.full(len(y), -1) for _ in x]
-    for own in known:
-        own[base] = y[base]
-    left, handed = [unlabelled, unlabelled], [0, 0]
+    truth, tests = y[held], [xv[held] for xv in x]
+    # what each view has learned from so far
+    known, own, had = [xv[base] for xv in x], [y[base], y[base]], [np.empty(0, np.int64)] * 2
+    pool = views.where("quality is null").select("doc_id", "key", "content", "meta")
     for step in range(ROUNDS + 1):
-        fitted = [_logistic(xv, np.maximum(own, 0), _balanced(own), 1e-3) for xv, own in zip(x, known)]
+        fitted = [_logistic(xv, yv, _balanced(yv), 1e-3) for xv, yv in zip(known, own)]
         if step == ROUNDS:
             break
-        for teacher, pupil in ((0, 1), (1, 0)):
-            if not len(left[pupil]):
-                continue
-            p = _sigmoid(_raw(x[teacher], fitted[teacher])[left[pupil]])
-            order = np.argsort(p, kind="stable")
-            low, high = order[:HANDED][p[order[:HANDED]] <= 1 - CONFIDENT], order[-HANDED:][p[order[-HANDED:]] >= CONFIDENT]
-            got = np.concatenate([low, high])
-            known[pupil][left[pupil][low]], known[pupil][left[pupil][high]] = 0, 1
-            left[pupil] = np.delete(left[pupil], got)
-            handed[pupil] += len(got)
-    truth = y[held]
+        got = _handed(pool, forms, fitted, had)
+        for pupil in (0, 1):
+            new = [r for r in got if r["pupil"] == pupil]
+            if new:
+                found = _matrices([r["f"]["content"] for r in new], [r["f"]["meta"] for r in new])[pupil]
+                known[pupil] = np.concatenate([known[pupil], (found - forms[pupil][0]) / forms[pupil][1]])
+                own[pupil] = np.append(own[pupil], [r["label"] for r in new])
+                had[pupil] = np.append(had[pupil], [r["key"] for r in new])
+        if not got:
+            break
     views, both = [], np.zeros((len(held), 2))
-    for k, (xv, w) in enumerate(zip(x, fitted)):
-        raw = _raw(xv, w)[held]
+    for k, (xv, w) in enumerate(zip(tests, fitted)):
+        raw = _raw(xv, w)
         size = np.std(raw) + 1e-6
         slope, shift = _logistic((raw / size)[:, None], truth, _balanced(truth), 1e-3)
         views.append(View(*forms[k], w, float(slope / size), float(shift)))
@@ -195,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     combine = _logistic(both / 4, truth, _balanced(truth), 1e-3)
     combine[:2] /= 4
     combine[2] += np.log(share[1] / share[0])
-    return Model(views[0], views[1], combine, (handed[0], handed[1]))
+    return Model(views[0], views[1], combine, (len(had[0]), len(had[1])))
 
 
 def _scorer(model: Model):
@@ -214,14 +259,14 @@ def _scorer(model: Model):
 
 def score(docs: DataFrame, model: Model | None, names: tuple[str, str, str, str] = ("content_score", "metadata_score", "quality_score", "kept")) -> DataFrame:
     """All columns of ``docs`` with both views' calibrated scores, the combined one, and the verdict."""
-    keep = [c for c in docs.columns if c not in names]
+    keep = others(docs, *names)
     if model is None:
         nothing = F.lit(None).cast("double")
         return docs.select(*(f"`{c}`" for c in keep), *(nothing.alias(c) for c in names[:3]), F.lit(True).alias(names[3]))
-    others = [c for c in keep if c not in ("text", "source", "lang")]
-    rows = docs.select("text", "source", "lang", *(f"`{c}`" for c in others))
+    rest = [c for c in keep if c not in ("text", "source", "lang")]
+    rows = docs.select("text", "source", "lang", *(f"`{c}`" for c in rest))
     inner = ["text", "source", "lang", *map(str, range(3, len(rows.columns)))]
     n = len(inner)
     schema = T.StructType([T.StructField(c, f.dataType) for c, f in zip(inner, rows.schema.fields)] + [T.StructField(str(n + k), T.DoubleType() if k < 3 else T.BooleanType()) for k in range(4)])
-    out = rows.toDF(*inner).mapInArrow(_scorer(model), schema).toDF("text", "source", "lang", *others, *names)
+    out = rows.toDF(*inner).mapInArrow(_scorer(model), schema).toDF("text", "source", "lang", *rest, *names)
     return out.select(*(f"`{c}`" for c in keep), *names)

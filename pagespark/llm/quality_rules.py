@@ -5,12 +5,13 @@ cost differently. On a bounded sample, a first pass measures what each group cos
 documents each rule rejects. Rules are then ordered by rejection per cost: the next rule is the one
 that rejects most of the sample's survivors for each second that its missing figures take. The
 second pass runs the rules in that order on every document and stops at the first that rejects, so
-dear figures are made for survivors only. The order decides cost and the name of the rejecting
-rule, never the verdict.
+dear figures are made for survivors only: a text that a cheap rule has rejected never has its word pairs
+counted or its letters weighed. The order decides cost and the name of the rejecting rule, never the verdict.
 
 One pass over the table, no shuffle. Defined results: null and empty texts have no words and all
 figures 0; equal documents get equal figures; null and repeated ids pass through; an empty table
-gives no rows (and the rules keep their written order). Other columns pass through, whatever their names.
+gives no rows (and the rules keep their written order). Other columns pass through; one that bears an
+output's name, in any case of its letters, is replaced.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagespark.llm import words
+from pagespark.llm.store import others
 
 #: Rows of the sample on which cost and selectivity are estimated.
 SAMPLE_ROWS = 2000
@@ -98,10 +100,37 @@ def _repeats(data: np.ndarray, offsets: np.ndarray) -> Figures:
     return {"n_repeat_words": out}
 
 
+def _pairs(data: np.ndarray, offsets: np.ndarray) -> Figures:
+    """How often a text has its commonest pair of neighbouring words."""
+    starts, ends, first = words.spans(data, offsets)
+    runs = words.shingles(words.span_hashes(data, starts, ends), 2)
+    out = np.zeros(len(offsets) - 1, np.int64)
+    for d in range(len(out)):
+        i, j = int(first[d]), int(first[d + 1])
+        if j - i > 1:
+            out[d] = np.unique(runs[i : j - 1], return_counts=True)[1].max()
+    return {"n_top_pair": out}
+
+
+def _letters(data: np.ndarray, offsets: np.ndarray) -> Figures:
+    """Code points of a text, and the pairs of places that hold the same one (the squares of the counts, summed)."""
+    n_chars, n_same = np.zeros((2, len(offsets) - 1), np.int64)
+    for d in range(len(n_chars)):
+        own = data[offsets[d] : offsets[d + 1]]
+        times = np.bincount(own, minlength=256)[:128]
+        if (own >= 128).any():
+            wide = np.frombuffer(own.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
+            times = np.append(times, np.unique(wide[wide >= 128], return_counts=True)[1])
+        n_chars[d], n_same[d] = times.sum(), (times * times).sum()
+    return {"n_chars": n_chars, "n_same": n_same}
+
+
 GROUPS: dict[str, tuple[Callable[[np.ndarray, np.ndarray], Figures], tuple[str, ...]]] = {
     "counts": (_counts, ("n_words", "word_chars", "n_symbols", "n_upper", "n_lower")),
     "lines": (_lines, ("n_lines", "n_dup_lines")),
     "repeats": (_repeats, ("n_repeat_words",)),
+    "pairs": (_pairs, ("n_top_pair",)),
+    "letters": (_letters, ("n_chars", "n_same")),
 }
 
 
@@ -120,6 +149,8 @@ RULES = (
     Rule("word_length", ("counts",), lambda f: (f["word_chars"] < 2 * f["n_words"]) | (f["word_chars"] > 20 * f["n_words"])),
     Rule("shouting", ("counts",), lambda f: f["n_upper"] > f["n_lower"]),
     Rule("repeated_lines", ("lines",), lambda f: 100 * f["n_dup_lines"] > 50 * f["n_lines"]),
+    Rule("common_pair", ("counts", "pairs"), lambda f: 10 * f["n_top_pair"] > f["n_words"]),
+    Rule("few_letters", ("letters",), lambda f: f["n_same"] > f["n_chars"] ** 2 // 4),
 )
 BASE = ("too_few_words", "repeated_words")
 
@@ -203,8 +234,8 @@ def _cascade(rules: tuple[Rule, ...], figures: tuple[str, ...]):
                     left = left[~gone]
                     if not len(left):
                         break
-                if figures:
-                    for g in GROUPS:
+                for g, (_, names_of) in GROUPS.items():
+                    if not set(names_of).isdisjoint(figures):
                         texts.need(g, np.arange(len(part)))
                 out = [*(pa.array(texts.figures[c]) for c in figures), pa.array(names[by].tolist(), pa.string())]
                 keep = range(1, len(part.columns))
@@ -216,10 +247,10 @@ def _cascade(rules: tuple[Rule, ...], figures: tuple[str, ...]):
 def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, figures: tuple[str, ...] = (), rejected_by: str = "rejected_by") -> DataFrame:
     """All columns of ``docs`` (but for the new ones' names), the figures asked for, and the rejecting rule or null.
 
-    Asking for figures has them made for every text, after the rules have run.
+    Asking for figures has their groups, and no others, made for every text, after the rules have run.
     """
     rules = order_rules(docs, rules)
-    keep = [c for c in docs.columns if c not in (*figures, rejected_by)]
+    keep = others(docs, *figures, rejected_by)
     rows = docs.select("text", *(f"`{c}`" for c in keep))
     fields = [T.StructField(str(i), docs.schema[c].dataType) for i, c in enumerate(keep)]
     fields += [T.StructField(str(len(keep) + i), T.LongType()) for i in range(len(figures))]

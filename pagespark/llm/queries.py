@@ -122,16 +122,20 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     p AS (SELECT doc_id, i, array_to_string(ws[i : i + 2], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 1))) AS i FROM w)),
     r AS (SELECT doc_id, i FROM p QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
     c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+    t2 AS (SELECT doc_id, max(k) AS top FROM (SELECT doc_id, g, count(*) AS k FROM (
+        SELECT doc_id, array_to_string(ws[i : i + 1], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM w)) GROUP BY ALL) GROUP BY doc_id),
+    t1 AS (SELECT doc_id, sum(k) AS chars, sum(k * k) AS same FROM (SELECT doc_id, c, count(*) AS k FROM (
+        SELECT doc_id, unnest(regexp_extract_all(t, '(?s).')) AS c FROM w) GROUP BY ALL) GROUP BY doc_id),
     f AS (
-        SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+        SELECT coalesce(t2.top, 0) AS top, coalesce(t1.chars, 0) AS chars, coalesce(t1.same, 0) AS same, w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
             CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
             coalesce(c.n, 0) AS n_repeat_words, len(ls) AS n_lines,
             length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^a-z]', '', 'g')) AS n_lower
-        FROM w LEFT JOIN c USING (doc_id)),
+        FROM w LEFT JOIN c USING (doc_id) LEFT JOIN t2 USING (doc_id) LEFT JOIN t1 USING (doc_id)),
     b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
         NOT (base_failed OR 10 * n_symbols > 3 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
-            OR n_upper > n_lower OR 100 * n_dup_lines > 50 * n_lines) AS kept
+            OR n_upper > n_lower OR 100 * n_dup_lines > 50 * n_lines OR 10 * top > n_words OR 4 * same > chars * chars) AS kept
     FROM b
     """
 )

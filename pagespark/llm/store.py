@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagespark.sources.shared import shared_folder as shared
 from pagespark.sources.shared import written as kept
 
-__all__ = ["fresh", "kept", "row_key", "shared", "table"]
+__all__ = ["fresh", "kept", "others", "row_key", "shared", "table"]
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
@@ -27,5 +27,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def others(df: DataFrame, *names: str) -> list[str]:
+    """Columns of the frame that bear none of these names, whatever their case."""
+    taken = {name.lower() for name in names}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -6,10 +6,11 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pagespark.llm import language_id, ngram_join, ngrams, packing, quality, quality_rules, queries, topk
+from pagespark.llm import language_id, line_dedup, ngram_join, ngrams, packing, quality, quality_rules, queries, topk
 
 SYLLABLES = {"en": ["the", "ing", "wh", "tion", "er"], "fr": ["eau", "ou", "é", "elle", "ment"], "de": ["sch", "ung", "ü", "keit", "ei"]}
 
@@ -102,6 +103,78 @@ def test_views_hand_each_other_labels(corpus):
     assert min(quality.fit(docs, labels).handed) > 0
 
 
+def test_labels_come_from_all_unlabelled_documents(corpus, monkeypatch):
+    """Many copies of one text take one of the places, and what is judged is the whole table."""
+    docs, labels, good = corpus
+    monkeypatch.setattr(quality, "HANDED", 20)
+    monkeypatch.setattr(quality, "kept", lambda df: df.cache())
+    judged, asked = [], quality._handed
+
+    def watch(pool, *rest):
+        judged.append({r["doc_id"] for r in pool.select("doc_id").collect()})
+        got = asked(pool, *rest)
+        assert all(len({r["key"] for r in got if (r["pupil"], r["label"]) == k}) <= 20 for k in ((0, 0), (0, 1), (1, 0), (1, 1)))
+        assert len({(r["pupil"], r["key"]) for r in got}) == len(got)
+        return got
+
+    monkeypatch.setattr(quality, "_handed", watch)
+    copy = docs.where("doc_id = 9").withColumn("doc_id", F.explode(F.sequence(F.lit(5000).cast("long"), F.lit(5300).cast("long"))))
+    model = quality.fit(docs.union(copy.select(docs.columns)), labels)
+    labelled = {r["doc_id"] for r in labels.where("quality is not null and doc_id is not null").collect()}
+    assert judged and all(j == ({*good, *range(2000, 2004), *range(5000, 5301)} - labelled) for j in judged)
+    assert min(model.handed) > 20  # more than one round's copies
+
+
+def naive_quality(text, source, lang, model):
+    """The score of one document, its features counted one by one."""
+    data = (text or "").encode()
+    views = [np.zeros(quality.TEXT), np.zeros(quality.META)]
+    for i in range(len(data) - 2):
+        views[0][ngrams.ngram_ids(np.frombuffer(data[i : i + 3], np.uint8), 3, quality.BITS)[0]] += 1 / (len(data) - 2)
+    views[0] = np.sqrt(views[0])
+    w = re.findall(rb"[^\x20\x09-\x0D]+", data)
+    if len(w) > 1:
+        runs = [tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))]
+        views[0][-3:] = sum(a == b for a, b in zip(w, w[1:])) / (len(w) - 1), len(set(w)) / len(w), len(set(runs)) / len(runs)
+    for at, value in ((0, source), (quality.HASHED, lang)):
+        views[1][at + (0 if value is None else zlib.crc32(value.encode()) % quality.HASHED)] = 1
+    kinds = [0] * 7
+    for b in data:
+        c = chr(b)
+        kinds[5 if b > 127 else 1 if c.isupper() else 2 if c.isdigit() else 3 if c in ".,;:'\"-()?!" else 6 if c in " \t\n\x0b\x0c\r" else 4 if 32 < b < 127 and not c.isalpha() else 0] += 1
+    n, lines = len(data), data.count(b"\n") + 1
+    views[1][2 * quality.HASHED :] = [np.log1p(n) / 10, np.log1p(lines) / 5, np.log1p(n / lines) / 8, *(k / max(1, n) for k in kinds[1:]), len(w) / max(1, n), 1]
+    z = [float(np.clip(v.slope * (((x - v.mean) / v.scale) @ v.weights[:-1] + v.weights[-1]) + v.shift, -12, 12)) for x, v in zip(views, (model.content, model.meta))]
+    return [1 / (1 + np.exp(-t)) for t in (*z, z[0] * model.combine[0] + z[1] * model.combine[1] + model.combine[2])]
+
+
+def test_scores_equal_naive_ones(corpus):
+    docs, labels, _ = corpus
+    model = quality.fit(docs, labels)
+    for r in quality.score(docs.where("doc_id < 150 or doc_id >= 2000 or doc_id is null").where("doc_id is null or doc_id <> 2003"), model).collect():
+        want = naive_quality(r["text"], r["source"], r["lang"], model)
+        assert np.allclose([r["content_score"], r["metadata_score"], r["quality_score"]], want, atol=2e-3), r["doc_id"]
+
+
+def test_output_names_in_any_case(spark, corpus):
+    docs, labels, _ = corpus
+    rows = docs.select("doc_id", "text", "source", "lang", F.lit("old").alias("x")).limit(50)
+
+    def outputs(make, *names):
+        for name in names:
+            frame = rows.withColumnRenamed("x", name.upper())
+            got = make(frame)
+            assert [c.lower() for c in got.columns].count(name) == 1 and name in got.columns
+            assert got.count() == 50 and not any("old" in map(str, r) for r in got.select(f"`{name}`").collect())
+
+    model, lang = quality.fit(docs, labels), language_id.fit(docs)
+    outputs(lambda d: quality.score(d, model), "kept", "quality_score")
+    outputs(lambda d: quality.score(d, None), "kept")
+    outputs(lambda d: language_id.predict(d, lang), "score", "lang_pred")
+    outputs(lambda d: quality_rules.cascade(d, figures=("n_words",)), "rejected_by", "n_words")
+    outputs(line_dedup.dedup_lines, "n_removed", "n_lines")
+
+
 def test_quality_without_both_classes(corpus):
     docs, labels, _ = corpus
     rows = quality.score(docs, quality.fit(docs, labels.where("quality = 1"))).collect()
@@ -133,6 +206,35 @@ def test_rules_equal_brute_force(spark):
     assert quality_rules.cascade(docs.limit(0)).collect() == []
 
 
+def test_dear_rules_equal_brute_force(spark):
+    texts = ["", None, "a b a b a b c", "é" * 30 + "日本" * 30, "one", "x" * 500 + " y", " ".join(f"w{i % 7}" for i in range(200)), "\U0001f600 ok " * 9]
+    part = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    found = quality_rules._Texts(part)
+    for g in ("pairs", "letters"):
+        found.need(g, np.arange(len(texts)))
+    for k, t in enumerate(texts):
+        w, letters = re.findall(r"[^\x20\x09-\x0D]+", t or ""), Counter(t or "")
+        pairs = Counter(zip(w, w[1:]))
+        want = max(pairs.values(), default=0), len(t or ""), sum(n * n for n in letters.values())
+        assert tuple(int(found.figures[c][k]) for c in ("n_top_pair", "n_chars", "n_same")) == want
+
+
+def test_rejected_texts_never_reach_dear_rules(monkeypatch):
+    reached = Counter()
+
+    def counting(group):
+        make, names = quality_rules.GROUPS[group]
+        return (lambda data, offsets: (reached.update({group: len(offsets) - 1}), make(data, offsets))[1]), names
+
+    monkeypatch.setattr(quality_rules, "GROUPS", {g: counting(g) for g in quality_rules.GROUPS})
+    good = [" ".join(f"word{i * j % 97}" for i in range(80)) for j in range(1, 5)]
+    part = pa.RecordBatch.from_arrays([pa.array(["few words"] * 50 + good), pa.array(range(54))], names=["text", "id"])
+    out = list(quality_rules._cascade(quality_rules.RULES, ("n_words", "n_repeat_words"))(iter([part])))
+    assert out[0].num_rows == 54 and set(out[0].columns[-1].to_pylist()[:50]) == {"too_few_words"}
+    assert reached["counts"] == 54 and reached["repeats"] == 54  # asked for as figures
+    assert reached["pairs"] == reached["letters"] == 4 and reached["lines"] == 4
+
+
 def test_order_does_not_change_verdicts(spark, monkeypatch):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(["a b", "x " * 100, " ".join(f"q{i}" for i in range(90)), "# " * 60 + " ".join(f"q{i}" for i in range(60))])], "doc_id long, text string")
     verdicts = set()
