@@ -10,10 +10,10 @@ document, and each hands its ``HANDED`` most confident answers of each class to
 Then each view is calibrated (Platt scaling) and the two are combined by a logistic model, both on
 labelled rows that took no part in fitting, and the mix of classes is put back to that of all labels.
 
-Plan: features of all documents are made once and kept as a table. A round is one pass over the
-table: tasks judge their rows and keep each batch's most confident ones, equal contents combine (a group of
-copies hands over one label), and a ranked limit leaves four short lists, whose features alone reach
-the driver. Labelled rows are a bounded sample (``PER_CLASS``); unlabelled ones are all of the table.
+Plan: features of all documents are made once and kept as a table; they never move. A round is one pass
+over the table: tasks judge their rows, the confident answers (five numbers each) leave out the labelled
+documents, equal contents combine (a group of copies hands over one label), and limits ranked in ``SALTS`` parts
+leave four short lists, whose features alone reach the driver. Labelled rows are a bounded sample (``PER_CLASS``); unlabelled ones are all of the table.
 One pass without a shuffle then scores every document's whole text.
 
 Defined results: a null or empty text has an empty content view and is scored by both views like
@@ -46,6 +46,8 @@ META = 2 * HASHED + LAYOUT
 PER_CLASS = 1500
 #: Rounds, and the labels of each class that a view hands over in one: a step of the method, whatever the table's size.
 ROUNDS, HANDED = 4, 200
+#: Parts in which answers are ranked before the last ranking, which so reads at most ``SALTS * HANDED`` rows of a list.
+SALTS = 16
 #: Rows judged at a time.
 _ROWS = 1024
 #: A pseudo-label is handed over only from this probability on.
@@ -157,7 +159,7 @@ def _matrices(content: list[bytes], meta: list[bytes]) -> list[np.ndarray]:
 
 
 def _confident(forms: list, fitted: list[np.ndarray], had: list[np.ndarray]):
-    """The most confident answers of each batch: for which view, its label, the teacher's certainty, and the row."""
+    """The confident answers on all rows: for which view, its label, the teacher's certainty, and the row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,8 +173,6 @@ def _confident(forms: list, fitted: list[np.ndarray], had: list[np.ndarray]):
                     fresh = ~np.isin(keys, had[pupil])
                     for label, sure in ((0, 1 - p), (1, p)):
                         at = np.flatnonzero(fresh & (sure >= CONFIDENT))
-                        at = at[np.lexsort((ids[at], -sure[at]))]
-                        at = at[np.sort(np.unique(keys[at], return_index=True)[1])][:HANDED]
                         n = len(at)
                         columns = [np.full(n, pupil, np.int32), np.full(n, label, np.int32), sure[at], keys[at], ids[at]]
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["pupil", "label", "sure", "key", "doc_id"])
@@ -180,14 +180,18 @@ def _confident(forms: list, fitted: list[np.ndarray], had: list[np.ndarray]):
     return run
 
 
-def _handed(pool: DataFrame, forms: list, fitted: list[np.ndarray], had: list[np.ndarray]) -> list:
+def _handed(views: DataFrame, label: DataFrame, forms: list, fitted: list[np.ndarray], had: list[np.ndarray]) -> list:
     """At most ``HANDED`` rows with features for each view and label, most confident first, one of each content."""
-    found = pool.mapInArrow(_confident(forms, fitted, had), "pupil int, label int, sure double, key long, doc_id long")
+    found = views.mapInArrow(_confident(forms, fitted, had), "pupil int, label int, sure double, key long, doc_id long")
+    found = found.join(label.select("doc_id"), "doc_id", "left_anti")
     # the greatest certainty, and of equal ones the smallest id
     one = found.groupBy("pupil", "label", "key").agg(F.max(F.struct("sure", (-F.col("doc_id")).alias("minus"))).alias("best"))
-    rank = F.row_number().over(Window.partitionBy("pupil", "label").orderBy(F.desc("best.sure"), F.xxhash64("key"), "key"))
-    best = one.withColumn("rank", rank).where(F.col("rank") <= HANDED).select("pupil", "label", "rank", "key", (-F.col("best.minus")).alias("doc_id"))
-    rows = pool.join(F.broadcast(best), ["key", "doc_id"]).groupBy("pupil", "label", "rank", "key")
+    best = one.withColumn("salt", F.pmod("key", F.lit(SALTS)))
+    for parts in (["pupil", "label", "salt"], ["pupil", "label"]):
+        rank = F.row_number().over(Window.partitionBy(*parts).orderBy(F.desc("best.sure"), F.xxhash64("key"), "key"))
+        best = best.withColumn("rank", rank).where(F.col("rank") <= HANDED)
+    best = best.select("pupil", "label", "rank", "key", (-F.col("best.minus")).alias("doc_id"))
+    rows = views.join(F.broadcast(best), ["key", "doc_id"]).groupBy("pupil", "label", "rank", "key")
     return rows.agg(F.min(F.struct("content", "meta")).alias("f")).orderBy("pupil", "label", "rank").collect()
 
 
@@ -198,11 +202,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     if len(share) < 2:
         return None
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang")
-    views = texts.mapInArrow(_features, "doc_id long, content binary, meta binary").join(label, "doc_id", "left")
+    views = texts.mapInArrow(_features, "doc_id long, content binary, meta binary")
     views = kept(views.withColumn("key", F.xxhash64("content", "meta")))
-    chosen = ngrams.stratified(views.where("quality is not null").select("doc_id", "quality").distinct(), "doc_id", "quality", PER_CLASS, 2 * PER_CLASS)
-    one = views.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("content", "meta", "quality")).alias("f"))
-    rows = one.orderBy(F.xxhash64("doc_id"), "doc_id").select("f.*").collect()
+    label = label.select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
+    chosen = ngrams.stratified(views.select("doc_id").distinct().join(label, "doc_id"), "doc_id", "quality", PER_CLASS, 2 * PER_CLASS)
+    one = views.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct("content", "meta")).alias("f"))
+    rows = one.orderBy(F.xxhash64("doc_id"), "doc_id").select("quality", "f.*").collect()
     y = np.array([r["quality"] for r in rows], int)
     if len(set(y)) < 2:
         return None
@@ -215,12 +220,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     truth, tests = y[held], [xv[held] for xv in x]
     # what each view has learned from so far
     known, own, had = [xv[base] for xv in x], [y[base], y[base]], [np.empty(0, np.int64)] * 2
-    pool = views.where("quality is null").select("doc_id", "key", "content", "meta")
     for step in range(ROUNDS + 1):
         fitted = [_logistic(xv, yv, _balanced(yv), 1e-3) for xv, yv in zip(known, own)]
         if step == ROUNDS:
             break
-        got = _handed(pool, forms, fitted, had)
+        got = _handed(views, label, forms, fitted, had)
         for pupil in (0, 1):
             new = [r for r in got if r["pupil"] == pupil]
             if new:

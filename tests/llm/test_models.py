@@ -110,9 +110,9 @@ def test_labels_come_from_all_unlabelled_documents(corpus, monkeypatch):
     monkeypatch.setattr(quality, "kept", lambda df: df.cache())
     judged, asked = [], quality._handed
 
-    def watch(pool, *rest):
-        judged.append({r["doc_id"] for r in pool.select("doc_id").collect()})
-        got = asked(pool, *rest)
+    def watch(views, label, *rest):
+        judged.append({r["doc_id"] for r in views.join(label, "doc_id", "left_anti").collect()})
+        got = asked(views, label, *rest)
         assert all(len({r["key"] for r in got if (r["pupil"], r["label"]) == k}) <= 20 for k in ((0, 0), (0, 1), (1, 0), (1, 1)))
         assert len({(r["pupil"], r["key"]) for r in got}) == len(got)
         return got
