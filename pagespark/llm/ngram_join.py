@@ -18,7 +18,8 @@ the first ``n - ceil(t * n) + 1`` shingles of each. So documents meet on these o
 3. *First links*: each class is verified against the pivot that it met most often. Components of
    these links swallow groups of near copies.
 4. *The rest, exactly*: classes of one shingle that are in different components yet are paired, under
-   both filters, without those verified before.
+   both filters, without those verified before. The filters are part of the join's key (``_cells``), so
+   that texts which share a passage but can't be similar do not meet.
 5. *Verification*, once for each pair: first the *suffix filter* (parts of the two sets, cut at the same
    hash values, differ in size by at least so many members that the sets can't be similar), then the sets
    themselves, made again from whole texts.
@@ -32,6 +33,7 @@ null if none is known. Ties between pivots are ordered by size and digest. Extra
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -53,6 +55,8 @@ _BLOCK_BITS = 12
 #: Documents of a frequent shingle that meet in one group, about.
 GROUP = 20_000
 PARTS = 64
+#: Sizes of one band differ by less than this factor.
+BAND = 17 / 16
 _FILTER_BITS = 24
 
 
@@ -193,6 +197,28 @@ def _allowed(n_a, n_b, place_a, place_b, percent: int):
     return (low(n_a, n_b) * 100 >= high(n_a, n_b) * percent) & (follow * (100 + percent) >= (n_a + n_b) * percent)
 
 
+def _band(n) -> F.Column:
+    return F.floor(F.log(n) / math.log(BAND)).cast("int")
+
+
+def _cells(rows: DataFrame, key: str, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a self-join of ``rows`` (key, cls, part, n, place) under the length and positional filters.
+
+    From a shared shingle on, a set of n with place p can be similar to sets of up to
+    ``((100 + t) (n - p) - t n) / t``, its *reach*. Two sets pass both filters if neither is beyond the other's
+    reach. So the smaller one needs a reach of its own size at least, and meets sizes from its own to its reach; the
+    larger one meets sizes from ``t`` percent of its own to its own or its reach. Cells are pairs of size bands
+    (smaller, larger); a side stands in a handful of them at most.
+    """
+    t, n, place = percent, F.col("n"), F.col("place")
+    rows = rows.withColumn("reach", F.floor(((100 + t) * (n - place) - t * n) / t))
+    least = F.ceil(n * t / 100)
+    upto = F.least("n", "reach")
+    small = rows.where("reach >= n").withColumn("low", _band(n)).withColumn("high", F.explode(F.sequence(_band(n), _band(F.col("reach")))))
+    large = rows.where(upto >= least).withColumn("high", _band(n)).withColumn("low", F.explode(F.sequence(_band(least), _band(upto))))
+    return tuple(side.select(key, "low", "high", *(F.col(c).alias(f"{c}_{k}") for c in ("cls", "part", "n", "place"))) for side, k in ((small, "x"), (large, "y")))
+
+
 _STARS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("only", pa.bool_()), ("again", pa.bool_()), ("token", pa.int64()), ("meta", pa.int64())])
 STARS = "a long, b long, only boolean, again boolean, token long, meta long"
 
@@ -389,10 +415,10 @@ class Join:
         members = F.bit_xor(F.xxhash64("cls")).alias("members")
         open_ = rest.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), members).where("lo <> hi")
         rest = kept(rest.join(open_.select("token", "members"), "token").groupBy("members", "cls", "part").agg(F.min("meta").alias("meta")))
-        x, y = (rest.toDF(*(f"{c}_{k}" if c != "members" else c for c in rest.columns)) for k in "xy")
-        (n_x, place_x), (n_y, place_y) = (_unpacked(F.col(f"meta_{k}")) for k in "xy")
-        fits = _allowed(n_x, n_y, place_x, place_y, self.percent)
-        cross = x.join(y, "members").where((F.col("part_x") < F.col("part_y")) & fits).select("cls_x", "cls_y")
+        n, place = _unpacked(F.col("meta"))
+        x, y = _cells(rest.select("members", "cls", "part", n.alias("n"), place.alias("place")), "members", self.percent)
+        fits = _allowed(F.col("n_x"), F.col("n_y"), F.col("place_x"), F.col("place_y"), self.percent)
+        cross = x.join(y, ["members", "low", "high"]).where((F.col("part_x") != F.col("part_y")) & fits).select("cls_x", "cls_y")
         lone = labelled(labelled(met.where("only").select("a", "b"), "a", "p"), "b", "q").where("p <> q").select("a", "b")
         order = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
         more = cross.toDF("a", "b").union(lone).select(*order).distinct().join(first.select(*order), ["a", "b"], "left_anti")

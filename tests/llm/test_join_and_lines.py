@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 
 from pagespark.llm import line_dedup, ngram_join
@@ -112,3 +113,26 @@ def test_lines_equal_brute_force(spark):
     assert got.columns == [*docs.columns, "n_lines", "n_removed"]
     assert sorted((tuple(r) for r in got.select("doc_id", "text", "n_lines", "n_removed").collect()), key=repr) == brute_lines(rows)
     assert line_dedup.dedup_lines(docs.limit(0)).collect() == []
+
+
+def test_cells_hold_every_pair_under_the_filters(spark):
+    """No pair that passes the length and positional filters is lost, and a cell holds few that don't."""
+    rng = np.random.default_rng(3)
+    rows = [(k % 2, k, k, int(n), int(p)) for k, (n, p) in enumerate(zip(rng.integers(1, 300, 400), rng.integers(0, 20, 400))) if p < n]
+    frame = spark.createDataFrame(rows, "members long, cls long, part long, n long, place long")
+    x, y = ngram_join._cells(frame, "members", 75)
+    met = [(r.cls_x, r.cls_y) for r in x.join(y, ["members", "low", "high"]).select("cls_x", "cls_y").collect()]
+    got, fit = {(min(m), max(m)) for m in met}, set()
+    n, p = (np.array([r[c] for r in rows]) for c in (3, 4))
+    for i, (members, a, *_) in enumerate(rows):
+        fits = ngram_join._allowed(np.full(len(n), n[i]), n, np.full(len(n), p[i]), p, 75)
+        fit |= {(min(a, r[1]), max(a, r[1])) for r, f in zip(rows, fits) if f and r[0] == members}
+    assert fit <= got and len(got) < 2 * len(fit)
+
+
+def test_texts_that_share_a_passage_do_not_all_meet(spark):
+    """A passage of most of each text, too little for a link: the join's key keeps its texts apart."""
+    rows = [(0, k, k, 98, 18) for k in range(2000)]
+    frame = spark.createDataFrame(rows, "members long, cls long, part long, n long, place long")
+    x, y = ngram_join._cells(frame, "members", 75)
+    assert x.join(y, ["members", "low", "high"]).count() == 0
