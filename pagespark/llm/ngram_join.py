@@ -9,9 +9,10 @@ the first ``n - ceil(t * n) + 1`` shingles of each. So documents meet on these o
    2 ** ORDER_BITS counters (several shingles share one; the order stays the same for all documents,
    so sharing costs candidates, never results). Counters of a task are added up before they move.
 2. *Postings* (second pass): (shingle, class, size, place) of each prefix, a class once for each task.
-   Sorted by shingle they stream through one kernel: in a group, most typical first (the text whose
-   shingles are most frequent: what the others were copied from), each member meets the first that the
-   length filter allows, its pivot. The *length filter*
+   They travel packed, by buckets of shingles whose number follows the number of postings, so that a
+   bucket fits in memory at any size; a kernel sorts one bucket at a time. In a shingle's group, most typical first
+   (the text whose shingles are most frequent: what the others were copied from), each member meets the first that
+   the length filter allows, its pivot. The *length filter*
    needs ``t * larger <= smaller``; the *positional filter* needs that what can still follow the
    shared shingle in both sets suffices. That makes at most one pair from each posting, never all
    pairs of a group. Very frequent shingles are dealt to several groups, whose pivots meet again.
@@ -55,6 +56,10 @@ _BLOCK_BITS = 12
 #: Documents of a frequent shingle that meet in one group, about.
 GROUP = 20_000
 PARTS = 64
+#: Postings of a bucket that is sorted in memory, about.
+BUCKET = 1 << 18
+#: Postings that a task packs together.
+FLUSH = 1 << 20
 #: Sizes of one band differ by less than this factor.
 BAND = 17 / 16
 _FILTER_BITS = 24
@@ -88,6 +93,16 @@ _PROFILE = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("carried", p
 PROFILE = "doc_id long, row long, carried string, words long, n long, cls binary, short long, parts array<short>, block int, counts binary"
 
 
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counters of a block in as few bytes as hold them; the length tells which."""
+    return zlib.compress(counts.astype(np.min_scalar_type(int(counts.max()))).tobytes(), 1)
+
+
+def _wide(packed: bytes) -> np.ndarray:
+    data = zlib.decompress(packed)
+    return np.frombuffer(data, f"u{len(data) >> _BLOCK_BITS}")
+
+
 def _profile(n_words: int):
     """A row for each document, and at a task's end its counters."""
     cuts = np.arange(1, PARTS, dtype=np.uint64) << np.uint64(58)
@@ -96,22 +111,23 @@ def _profile(n_words: int):
         count = np.zeros(1 << ORDER_BITS, np.uint32)
         for batch in batches:
             for part in words.slices(batch):
-                size, digest, cut = [], [], []
+                size, digest, cut, at = [], [], [], []
                 data, offsets = words.buffers(part["text"])
                 spanned = words.spans(data, offsets)
                 for found in words.shingle_sets(data, offsets, n_words, spanned):
-                    np.add.at(count, _counter(found), np.uint32(1))
+                    at.append(_counter(found))
                     size.append(len(found))
                     digest.append(_digest(found))
                     sizes = np.diff(np.r_[0, np.searchsorted(found, cuts), len(found)])
                     cut.append(np.minimum(sizes, 32767).astype(np.int16))
+                np.add.at(count, np.concatenate(at), np.uint32(1))
                 parts = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(cut)), PARTS).cast(pa.list_(pa.int16()))
                 yield _batch(_PROFILE, len(part), doc_id=part["doc_id"], row=part["row"], carried=part["carried"], words=np.diff(spanned[2]), n=size, cls=digest, short=[_short(d) for d in digest], parts=parts)
         blocks = count.reshape(-1, 1 << _BLOCK_BITS)
         used = np.flatnonzero(blocks.any(axis=1))
         for i in range(0, len(used), 64):
             own = used[i : i + 64]
-            yield _batch(_PROFILE, len(own), block=own.astype(np.int32), counts=[zlib.compress(blocks[k].tobytes(), 1) for k in own])
+            yield _batch(_PROFILE, len(own), block=own.astype(np.int32), counts=[_narrow(blocks[k]) for k in own])
 
     return run
 
@@ -122,7 +138,7 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block, counts in zip(batch["block"].to_pylist(), batch["counts"].to_pylist()):
             own = total.setdefault(block, np.zeros(1 << _BLOCK_BITS, np.uint64))
-            own += np.frombuffer(zlib.decompress(counts), np.uint32)
+            own += _wide(counts)
     steps = [np.minimum(np.log2(c + 1.0) * 8, 255).astype(np.uint8).tobytes() for c in total.values()]
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(steps, pa.binary())], names=["block", "counts"])
 
@@ -142,7 +158,8 @@ def _groups() -> np.ndarray:
 
 
 #: ``meta`` holds, from the top: how untypical a class is, its size, and the shingle's place in its order.
-POSTINGS = "token long, salt int, meta long, cls long"
+_COLUMNS = {"token": np.uint64, "salt": np.int32, "meta": np.int64, "cls": np.int64}
+POSTINGS = "bucket int, token binary, salt binary, meta binary, cls binary"
 _TYPICAL, _PLACE = 11, 26
 
 
@@ -160,13 +177,40 @@ def _unpacked(meta):
     return F.shiftright(meta, _PLACE).bitwiseAND(low), meta.bitwiseAND(low)
 
 
-def _postings(order: np.ndarray, n_words: int, percent: int):
+class _Packer:
+    """Postings collected to one row for each bucket: its columns' bytes."""
+
+    def __init__(self, buckets: int) -> None:
+        self.buckets, self.held, self.n = buckets, [], 0
+
+    def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append(columns)
+        self.n += len(columns[0])
+        if self.n >= FLUSH:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.n:
+            return
+        columns = [np.concatenate(c).astype(kind, copy=False) for c, kind in zip(zip(*self.held), _COLUMNS.values())]
+        self.held, self.n = [], 0
+        bucket = words.mix(columns[0] + columns[1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(self.buckets)
+        order = np.argsort(bucket, kind="stable")
+        bucket, columns = bucket[order], [c[order] for c in columns]
+        start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        rows = [pa.array(bucket[start].astype(np.int32))]
+        for c in columns:
+            ends = np.r_[start, len(c)].astype(np.int32) * c.itemsize
+            rows.append(pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(c)]))
+        yield pa.RecordBatch.from_arrays(rows, names=["bucket", *_COLUMNS])
+
+
+def _postings(order: np.ndarray, n_words: int, percent: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        groups = _groups()
+        groups, packer = _groups(), _Packer(buckets)
         for batch in batches:
             for part in words.slices(batch):
-                token, cls, meta, salt = [], [], [], []
                 for found in words.shingle_sets(*words.buffers(part["text"]), n_words):
                     n, digest = len(found), _digest(found)
                     if not n or digest in seen:
@@ -174,22 +218,36 @@ def _postings(order: np.ndarray, n_words: int, percent: int):
                     seen.add(digest)
                     steps = order[_counter(found)]
                     key = (steps.astype(np.uint64) << np.uint64(56)) | (found & np.uint64((1 << 56) - 1))
-                    prefix = n - (percent * n + 99) // 100 + 1
+                    prefix = _prefix(n, percent)
                     key = np.sort(np.partition(key, prefix - 1)[:prefix])
                     own = _short(digest)
-                    token.append(key)
-                    cls.append(np.full(prefix, own))
-                    meta.append(_meta(found, steps, prefix))
-                    salt.append(((own >> 8) & 0x7FFFFFFF) % groups[(key >> np.uint64(56)).astype(np.int64)])
-                if token:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x) for x in (np.concatenate(token).view(np.int64), np.concatenate(salt).astype(np.int32), np.concatenate(meta), np.concatenate(cls))],
-                        names=["token", "salt", "meta", "cls"],
-                    )
+                    salt = ((own >> 8) & 0x7FFFFFFF) % groups[(key >> np.uint64(56)).astype(np.int64)]
+                    yield from packer.add(key, salt, _meta(found, steps, prefix), np.full(prefix, own))
+        yield from packer.flush()
 
     return run
 
 
+def _packed(buckets: int):
+    """Postings that are rows (token, meta, cls), packed; of one group each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = _Packer(buckets)
+        for batch in batches:
+            token, meta, cls = (batch[c].to_numpy() for c in ("token", "meta", "cls"))
+            if len(token):
+                yield from packer.add(token.view(np.uint64), np.zeros(len(token), np.int32), meta, cls)
+        yield from packer.flush()
+
+    return run
+
+
+def _prefix(n, percent: int):
+    """Shingles of a prefix: enough for two similar sets to share one. ``n`` is a number or a Spark column of them."""
+    kept_back = (n * percent + 99) // 100 if isinstance(n, int) else F.floor((n * percent + 99) / 100)
+    return n - kept_back + 1
+
+
 def _allowed(n_a, n_b, place_a, place_b, percent: int):
     """Length and positional filter, on numpy arrays or Spark columns."""
     low, high = (np.minimum, np.maximum) if isinstance(n_a, np.ndarray) else (F.least, F.greatest)
@@ -224,38 +282,34 @@ STARS = "a long, b long, only boolean, again boolean, token long, meta long"
 
 
 def _stars(percent: int, first: bool):
-    """Postings sorted by token to three kinds of rows.
-
-    Sorting by one number is cheap; the few postings whose shingle is in another class too are put in
-    order (token, salt, meta, cls) here.
+    """Packed postings, sorted by bucket, to three kinds of rows. A bucket's postings are sorted here.
 
     ``b`` known: a pair with its group's pivot; ``only`` if the shingle is in no third class.
     ``again`` false: a posting (``a`` its class) of a shingle in three classes or more.
     ``again`` true: a pivot's posting, of a shingle that was dealt to several groups.
     """
-    names = ("token", "salt", "meta", "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        bucket, held = None, []
         for batch in batches:
-            now = {c: batch[c].to_numpy() for c in names}
-            if held is not None:
-                now = {c: np.concatenate([held[c], now[c]]) for c in names}
-            end = np.flatnonzero(now["token"][1:] != now["token"][:-1])
-            last = int(end[-1]) + 1 if len(end) else 0
-            held = {c: v[last:] for c, v in now.items()}
-            yield from settle(*(now[c][:last] for c in names))
-        if held is not None:
-            yield from settle(*(held[c] for c in names))
-
-    def settle(token, salt, meta, cls) -> Iterator[pa.RecordBatch]:
-        if not len(token):
+            for i, of in enumerate(batch["bucket"].to_pylist()):
+                if of != bucket:
+                    yield from settle(held)
+                    bucket, held = of, []
+                held.append([np.frombuffer(batch[c][i].as_buffer(), kind) for c, kind in _COLUMNS.items()])
+        yield from settle(held)
+
+    def settle(held: list) -> Iterator[pa.RecordBatch]:
+        if not held:
             return
+        token, salt, meta, cls = (np.concatenate(c) for c in zip(*held))
+        order = np.argsort(token)
+        token = token[order]
         same = token[1:] == token[:-1]
         keep = np.r_[False, same] | np.r_[same, False]
         if first:
-            keep |= _groups()[token.view(np.uint64) >> np.uint64(56)] > 1
-        token, salt, meta, cls = (x[keep] for x in (token, salt, meta, cls))
+            keep |= _groups()[token >> np.uint64(56)] > 1
+        token, (salt, meta, cls) = token[keep], (x[order[keep]] for x in (salt, meta, cls))
         if not len(token):
             return
         order = np.lexsort((cls, meta, salt, token))
@@ -264,7 +318,7 @@ def _stars(percent: int, first: bool):
         once = new | np.r_[True, cls[1:] != cls[:-1]]  # a class may come from several tasks
         token, meta, cls, new = (x[once] for x in (token, meta, cls, new))
         size = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
-        dealt = _groups()[token.view(np.uint64) >> np.uint64(56)] > 1 if first else np.zeros(len(token), bool)
+        dealt = _groups()[token >> np.uint64(56)] > 1 if first else np.zeros(len(token), bool)
         keep = (size > 1) | dealt
         token, meta, cls, new, size, dealt = (x[keep] for x in (token, meta, cls, new, size, dealt))
         if not len(token):
@@ -284,7 +338,7 @@ def _stars(percent: int, first: bool):
         if first:
             more = (size > 2) | dealt
             for again, rows in ((False, np.flatnonzero(more)), (True, np.flatnonzero(dealt & (pivot == index)))):
-                yield _batch(_STARS, len(rows), a=cls[rows], again=np.full(len(rows), again), token=token[rows], meta=meta[rows])
+                yield _batch(_STARS, len(rows), a=cls[rows], again=np.full(len(rows), again), token=token[rows].view(np.int64), meta=meta[rows])
 
     return run
 
@@ -369,14 +423,16 @@ class Join:
         self.classes = kept(one.select("cls", "least", "r.*"))
 
     def _group(self, postings: DataFrame, first: bool) -> DataFrame:
-        dealt = postings.repartition("token", "salt").sortWithinPartitions("token")
+        dealt = postings.repartition("bucket").sortWithinPartitions("bucket")
         return dealt.mapInArrow(_stars(self.percent, first), STARS)
 
     def candidates(self) -> tuple[DataFrame, DataFrame]:
         """Pairs with pivots (a, b, times met, only), and postings of shingles in three classes or more."""
-        postings = self.texts.select("text").mapInArrow(_postings(self.order, self.n_words, self.percent), POSTINGS)
+        n = self.profile.where("n > 0").agg(F.sum(_prefix(F.col("n"), self.percent))).first()[0] or 0
+        buckets = max(self.tasks, -(-int(n) // BUCKET))
+        postings = self.texts.select("text").mapInArrow(_postings(self.order, self.n_words, self.percent, buckets), POSTINGS)
         out = kept(self._group(postings, True))
-        again = out.where("again").select("token", F.lit(0).alias("salt"), "meta", F.col("a").alias("cls"))
+        again = out.where("again").select("token", "meta", F.col("a").alias("cls")).mapInArrow(_packed(buckets), POSTINGS)
         pairs = out.where("b is not null").unionByName(self._group(again, False).where("b is not null"))
         met = kept(pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.max("only").alias("only")))
         return met, out.where("not again").select(F.col("a").alias("cls"), "token", "meta")

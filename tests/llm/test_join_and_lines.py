@@ -136,3 +136,19 @@ def test_texts_that_share_a_passage_do_not_all_meet(spark):
     frame = spark.createDataFrame(rows, "members long, cls long, part long, n long, place long")
     x, y = ngram_join._cells(frame, "members", 75)
     assert x.join(y, ["members", "low", "high"]).count() == 0
+
+
+@pytest.mark.parametrize("flush", [1 << 20, 5])
+def test_packed_postings_come_back(monkeypatch, flush):
+    monkeypatch.setattr(ngram_join, "FLUSH", flush)
+    rng, packer = np.random.default_rng(1), ngram_join._Packer(4)
+    rows = [(rng.integers(0, 9, k).astype(np.uint64), np.zeros(k, np.int32), np.arange(k), np.arange(k) * 7) for k in (3, 1, 8, 6)]
+    batches = [b for r in rows for b in packer.add(*r)] + list(packer.flush())
+    back, home = [], {}
+    for b in batches:
+        for i, bucket in enumerate(b["bucket"].to_pylist()):
+            columns = [np.frombuffer(b[c][i].as_buffer(), kind) for c, kind in ngram_join._COLUMNS.items()]
+            back += zip(*(c.tolist() for c in columns))
+            assert {home.setdefault(t, bucket) for t in columns[0].tolist()} == {bucket}
+    assert sorted(back) == sorted(x for r in rows for x in zip(*(c.tolist() for c in r)))
+    assert list(packer.flush()) == []
