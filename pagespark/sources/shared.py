@@ -10,6 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """The folder's full address: without a scheme it lies on Spark's default file system, which tasks can't know."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def _base(spark: SparkSession) -> str:
     """The folder the session names; a temporary one only where Spark is a single process and none is named."""
     base = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
@@ -19,7 +25,7 @@ def _base(spark: SparkSession) -> str:
             raise ValueError(f"name a folder that all executors share in {CHECKPOINT_DIR}")
         base = f"file://{tempfile.mkdtemp(prefix='pagespark-')}"
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/pagespark/{spark.sparkContext.applicationId}"
+    return f"{_qualified(spark, base).rstrip('/')}/pagespark/{spark.sparkContext.applicationId}"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,11 +41,22 @@ def written(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/table"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def remove(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` returned and no frame reads any more."""
+    for table in tables:
+        _delete(table.sparkSession, table._written_to.rsplit("/", 1)[0])
 
 
 def drop_intermediate(spark: SparkSession) -> None:
     """Remove all intermediate tables of this application; frames that read them can no longer run."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_base(spark))
+    _delete(spark, _base(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -11,6 +11,7 @@ from pagespark.plans import history as H
 from pagespark.plans import spec as G
 from pagespark.plans import summary as B
 from pagespark.sources import readers as R
+from pagespark.sources import shared
 from pagespark.sources import sinks as K
 
 
@@ -167,3 +168,23 @@ def test_every_sink_takes_a_stream(spark, tmp_path):
     assert spark.read.schema("page_id long").json(specs).filter("page_id is not null").count() == 1
     summary = to("summary", K.write_batch_summary, lambda p: B.batch_summary(p, log), pages)
     assert spark.read.schema("success_rate double").json(summary).count() == 1
+
+
+def test_shared_folder_without_a_scheme_is_on_the_default_file_system(spark, monkeypatch):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    try:
+        assert shared._qualified(spark, "/ckpt/x") == "file:/ckpt/x"
+        conf.set("fs.defaultFS", "hdfs://127.0.0.1:8020")
+        assert shared._qualified(spark, "/ckpt/x") == "hdfs://127.0.0.1:8020/ckpt/x"
+        assert shared._qualified(spark, "file:///ckpt/x") == "file:/ckpt/x"
+    finally:
+        conf.set("fs.defaultFS", before)
+
+
+def test_a_written_table_can_be_removed(spark):
+    one, other = shared.written(spark.range(3)), shared.written(spark.range(4))
+    shared.remove(one)
+    assert other.count() == 4
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(one._written_to)
+    assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path.getParent())
