@@ -61,19 +61,34 @@ BUCKET = 1 << 18
 #: Postings that a task packs together.
 FLUSH = 1 << 20
 #: Sizes of one band differ by less than this factor.
-BAND = 17 / 16
+BAND = 4 / 3
 _FILTER_BITS = 24
 
 
-def _digest(found: np.ndarray) -> bytes:
-    a = found.sum(dtype=np.uint64) + np.uint64(len(found))
-    b = words.mix(found ^ np.uint64(0xC3A5C85C97CB3127)).sum(dtype=np.uint64)
-    return words.mix(np.array([a, b], np.uint64)).tobytes()
+def _flat(sets: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sets one after the other, and their sizes."""
+    sets = list(sets)
+    return np.concatenate([np.empty(0, np.uint64), *sets]), np.array([len(x) for x in sets], np.int64)
 
 
-def _short(digest: bytes) -> int:
+def _sums(values: np.ndarray, sizes: np.ndarray, kind) -> np.ndarray:
+    """Sum of each set's values; empty sets have 0."""
+    out, full = np.zeros(len(sizes), kind), sizes > 0
+    if full.any():
+        out[full] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[full], dtype=kind)
+    return out
+
+
+def _digests(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """128 bits of each set, as two numbers in a row."""
+    a = _sums(flat, sizes, np.uint64) + sizes.astype(np.uint64)
+    b = _sums(words.mix(flat ^ np.uint64(0xC3A5C85C97CB3127)), sizes, np.uint64)
+    return words.mix(np.stack([a, b], axis=1))
+
+
+def _short(digests: np.ndarray) -> np.ndarray:
     """What stands for a class in postings; where two classes share one, both are looked at."""
-    return int(np.frombuffer(digest[:8], np.int64)[0])
+    return digests[:, 0].view(np.int64)
 
 
 def _counter(found: np.ndarray) -> np.ndarray:
@@ -105,24 +120,21 @@ def _wide(packed: bytes) -> np.ndarray:
 
 def _profile(n_words: int):
     """A row for each document, and at a task's end its counters."""
-    cuts = np.arange(1, PARTS, dtype=np.uint64) << np.uint64(58)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(1 << ORDER_BITS, np.uint32)
         for batch in batches:
             for part in words.slices(batch):
-                size, digest, cut, at = [], [], [], []
                 data, offsets = words.buffers(part["text"])
                 spanned = words.spans(data, offsets)
-                for found in words.shingle_sets(data, offsets, n_words, spanned):
-                    at.append(_counter(found))
-                    size.append(len(found))
-                    digest.append(_digest(found))
-                    sizes = np.diff(np.r_[0, np.searchsorted(found, cuts), len(found)])
-                    cut.append(np.minimum(sizes, 32767).astype(np.int16))
-                np.add.at(count, np.concatenate(at), np.uint32(1))
-                parts = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(cut)), PARTS).cast(pa.list_(pa.int16()))
-                yield _batch(_PROFILE, len(part), doc_id=part["doc_id"], row=part["row"], carried=part["carried"], words=np.diff(spanned[2]), n=size, cls=digest, short=[_short(d) for d in digest], parts=parts)
+                flat, sizes = _flat(words.shingle_sets(data, offsets, n_words, spanned))
+                np.add.at(count, _counter(flat), np.uint32(1))
+                digests = _digests(flat, sizes)
+                # a part is the values of one leading digit
+                cell = np.repeat(np.arange(len(sizes)) * PARTS, sizes) + (flat // np.uint64((1 << 64) // PARTS)).astype(np.int64)
+                cut = np.minimum(np.bincount(cell, minlength=len(sizes) * PARTS), 32767).astype(np.int16)
+                parts = pa.FixedSizeListArray.from_arrays(pa.array(cut), PARTS).cast(pa.list_(pa.int16()))
+                yield _batch(_PROFILE, len(part), doc_id=part["doc_id"], row=part["row"], carried=part["carried"], words=np.diff(spanned[2]), n=sizes, cls=[d.tobytes() for d in digests], short=_short(digests), parts=parts)
         blocks = count.reshape(-1, 1 << _BLOCK_BITS)
         used = np.flatnonzero(blocks.any(axis=1))
         for i in range(0, len(used), 64):
@@ -163,10 +175,10 @@ POSTINGS = "bucket int, token binary, salt binary, meta binary, cls binary"
 _TYPICAL, _PLACE = 11, 26
 
 
-def _meta(found: np.ndarray, steps: np.ndarray, prefix: int) -> np.ndarray:
-    """A set is typical if its shingles are frequent: a text that others were made from, rather than one of those."""
-    untypical = (1 << _TYPICAL) - 1 - int(steps.mean(dtype=np.float64) * ((1 << _TYPICAL) - 1) / 255)
-    return np.int64((untypical << 2 * _PLACE) | (len(found) << _PLACE)) + np.arange(prefix)
+def _untypical(total: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A set is typical if its shingles are frequent (``total``: their steps): a text that others were made from, rather than one of those."""
+    top = (1 << _TYPICAL) - 1
+    return top - (total / np.maximum(sizes, 1) * top / 255).astype(np.int64)
 
 
 def _unpacked(meta):
@@ -211,18 +223,26 @@ def _postings(order: np.ndarray, n_words: int, percent: int, buckets: int):
         groups, packer = _groups(), _Packer(buckets)
         for batch in batches:
             for part in words.slices(batch):
-                for found in words.shingle_sets(*words.buffers(part["text"]), n_words):
-                    n, digest = len(found), _digest(found)
+                flat, sizes = _flat(words.shingle_sets(*words.buffers(part["text"]), n_words))
+                digests, steps = _digests(flat, sizes), order[_counter(flat)]
+                untypical = _untypical(_sums(steps, sizes, np.int64), sizes)
+                keys = (steps.astype(np.uint64) << np.uint64(56)) | (flat & np.uint64((1 << 56) - 1))
+                ends, prefixes, new = np.cumsum(sizes), [], []
+                for d, (n, end) in enumerate(zip(sizes.tolist(), ends.tolist())):
+                    digest = digests[d].tobytes()
                     if not n or digest in seen:
                         continue
                     seen.add(digest)
-                    steps = order[_counter(found)]
-                    key = (steps.astype(np.uint64) << np.uint64(56)) | (found & np.uint64((1 << 56) - 1))
                     prefix = _prefix(n, percent)
-                    key = np.sort(np.partition(key, prefix - 1)[:prefix])
-                    own = _short(digest)
+                    prefixes.append(np.sort(np.partition(keys[end - n : end], prefix - 1)[:prefix]))
+                    new.append(d)
+                if new:
+                    length = np.array([len(x) for x in prefixes])
+                    key, own = np.concatenate(prefixes), np.repeat(_short(digests)[new], length)
+                    place = np.arange(len(key)) - np.repeat(np.cumsum(length) - length, length)
+                    meta = np.repeat((untypical[new] << 2 * _PLACE) | (sizes[new] << _PLACE), length) + place
                     salt = ((own >> 8) & 0x7FFFFFFF) % groups[(key >> np.uint64(56)).astype(np.int64)]
-                    yield from packer.add(key, salt, _meta(found, steps, prefix), np.full(prefix, own))
+                    yield from packer.add(key, salt, meta, own)
         yield from packer.flush()
 
     return run
