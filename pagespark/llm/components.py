@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagespark.llm.store import kept
+from pagespark.llm.store import kept, remove
 
 
 def _print(edges: DataFrame) -> tuple:
@@ -19,8 +19,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Every step replaces edges by edges to the smallest neighbour, combined before they move; a
     hub's edges are joined to its one smallest neighbour, a join that Spark can split. Each step is
-    a table in the shared folder, so no lineage grows and no edge reaches the driver. The number of
-    steps grows with the logarithm of a component's length.
+    a table in the shared folder, so no lineage grows and no edge reaches the driver; the table before
+    it goes once it is written. The number of steps grows with the logarithm of a component's length.
     """
     greatest, least = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     edges = kept(links.where("u <> v").select(greatest, least).distinct())
@@ -33,7 +33,8 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(low.select("u", F.col("m").alias("v")))
-        edges = kept(small.select(greatest, least).distinct())
+        done, edges = (edges, large), kept(small.select(greatest, least).distinct())
+        remove(*done)
         after = _print(edges)
         if after == before:
             break

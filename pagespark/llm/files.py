@@ -6,6 +6,7 @@ so attempts that failed or came second leave nothing that counts.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyarrow import fs
@@ -14,7 +15,10 @@ from pyarrow import fs
 def _of(uri: str) -> tuple[fs.FileSystem, str]:
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return (fs.LocalFileSystem(), uri) if uri.startswith("/") else fs.FileSystem.from_uri(uri)
+    if uri.startswith("/"):
+        return fs.LocalFileSystem(), uri
+    # Spark's names of the object store's connector
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
 
 
 def make_folder(uri: str) -> None:

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from pagespark.llm import words
 from pagespark.llm.components import components
-from pagespark.llm.store import fresh, kept, row_key
+from pagespark.llm.store import fresh, kept, remove, row_key
 
 WORDS = 5
 #: Similarity of at least this many hundredths.
@@ -446,8 +446,8 @@ class Join:
         dealt = postings.repartition("bucket").sortWithinPartitions("bucket")
         return dealt.mapInArrow(_stars(self.percent, first), STARS)
 
-    def candidates(self) -> tuple[DataFrame, DataFrame]:
-        """Pairs with pivots (a, b, times met, only), and postings of shingles in three classes or more."""
+    def candidates(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Pairs with pivots (a, b, times met, only), postings of shingles in three classes or more, and the table that holds these."""
         n = self.profile.where("n > 0").agg(F.sum(_prefix(F.col("n"), self.percent))).first()[0] or 0
         buckets = max(self.tasks, -(-int(n) // BUCKET))
         postings = self.texts.select("text").mapInArrow(_postings(self.order, self.n_words, self.percent, buckets), POSTINGS)
@@ -455,7 +455,7 @@ class Join:
         again = out.where("again").select("token", "meta", F.col("a").alias("cls")).mapInArrow(_packed(buckets), POSTINGS)
         pairs = out.where("b is not null").unionByName(self._group(again, False).where("b is not null"))
         met = kept(pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.max("only").alias("only")))
-        return met, out.where("not again").select(F.col("a").alias("cls"), "token", "meta")
+        return met, out.where("not again").select(F.col("a").alias("cls"), "token", "meta"), out
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Links (u, v: classes) of the pairs (a, b: short classes) that are similar enough."""
@@ -471,13 +471,16 @@ class Join:
         texts = self.texts.select("row", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_needed(bits), "row long, text string").dropDuplicates(["row"])
         spokes = both.join(texts.select(F.col("row").alias("ry"), F.col("text").alias("ty")), "ry")
         pairs = spokes.join(texts.select(F.col("row").alias("rx"), F.col("text").alias("tx")), "rx").select("u", "v", "rx", "tx", "ty")
-        return kept(pairs.mapInArrow(_verify(self.n_words, self.percent), "u binary, v binary"))
+        good = kept(pairs.mapInArrow(_verify(self.n_words, self.percent), "u binary, v binary"))
+        remove(both)
+        return good
 
     def links(self) -> DataFrame:
         """Edges from each class that is linked to anything to the smallest class of its component."""
-        met, rest = self.candidates()
+        met, rest, stars = self.candidates()
         first = met.groupBy("b").agg(F.max_by("a", F.struct("met", "a")).alias("a"))
-        near = components(self.verified(first))
+        good = self.verified(first)
+        near = components(good)
         # the component of each class that has one, by what stands for the class in postings
         root = near.union(near.select("v", "v").distinct()).toDF("cls", "root")
         root = kept(self.classes.select("cls", "short").join(root, "cls").select("short", "root"))
@@ -491,6 +494,7 @@ class Join:
         members = F.bit_xor(F.xxhash64("cls")).alias("members")
         open_ = rest.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), members).where("lo <> hi")
         rest = kept(rest.join(open_.select("token", "members"), "token").groupBy("members", "cls", "part").agg(F.min("meta").alias("meta")))
+        remove(stars, good)
         n, place = _unpacked(F.col("meta"))
         x, y = _cells(rest.select("members", "cls", "part", n.alias("n"), place.alias("place")), "members", self.percent)
         fits = _allowed(F.col("n_x"), F.col("n_y"), F.col("place_x"), F.col("place_y"), self.percent)
@@ -498,7 +502,10 @@ class Join:
         lone = labelled(labelled(met.where("only").select("a", "b"), "a", "p"), "b", "q").where("p <> q").select("a", "b")
         order = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
         more = cross.toDF("a", "b").union(lone).select(*order).distinct().join(first.select(*order), ["a", "b"], "left_anti")
-        return components(near.union(self.verified(more)))
+        last = self.verified(more)
+        linked = components(near.union(last))
+        remove(met, root, rest, near, last)
+        return linked
 
     def documents(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every document, its row key, and what tells components apart.

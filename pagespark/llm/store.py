@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagespark.sources.shared import remove
 from pagespark.sources.shared import shared_folder as shared
 from pagespark.sources.shared import written as kept
 
-__all__ = ["fresh", "kept", "others", "row_key", "shared", "table"]
+__all__ = ["fresh", "kept", "others", "remove", "row_key", "shared", "table"]
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
