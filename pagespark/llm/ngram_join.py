@@ -56,8 +56,9 @@ _BLOCK_BITS = 12
 #: Documents of a frequent shingle that meet in one group, about.
 GROUP = 20_000
 PARTS = 64
-#: Postings of a bucket that is sorted in memory, about.
-BUCKET = 1 << 18
+#: Postings of a bucket that is sorted in memory, about (28 bytes each). A class's postings in one bucket compress
+#: together, so fewer buckets move fewer bytes.
+BUCKET = 1 << 20
 #: Postings that a task packs together.
 FLUSH = 1 << 20
 #: Sizes of one band differ by less than this factor.
