@@ -1,4 +1,9 @@
-"""Sinks.  All writes are distributed; rows of one repository may go to several files of its partition."""
+"""Sinks.  All writes are distributed; rows of one repository may go to several files.
+
+Tables of repositories are sorted by repository inside each file, not a folder for each of them: files then grow
+with the rows, not with tasks times repositories, and a reader that asks for one repository skips the rest by
+the statistics of row groups and pages.  Names stay text, also those that a folder's name would turn into a number or NULL.
+"""
 
 from __future__ import annotations
 
@@ -24,6 +29,12 @@ def _json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def _by_repo(df: DataFrame, path: str, mode: str) -> None:
+    """``repo`` comes last, where readers of a partitioned table have it."""
+    columns = [c for c in df.columns if c != "repo"]
+    df.select(*columns, "repo").sortWithinPartitions("repo").write.mode(mode).parquet(path)
+
+
 def diff_records(with_headers: DataFrame) -> DataFrame:
     """Diffs with their headers (see ``code.unified_diff`` and ``code.diff_header``), empty ones left out."""
     text = F.concat("header", F.lit("\n"), "diff")
@@ -58,7 +69,7 @@ def file_version_records(file_changes: DataFrame, style: str | None = "comment")
 def write_file_versions(
     file_changes: DataFrame, path: str, style: str | None = "comment", mode: str = "errorifexists"
 ) -> None:
-    file_version_records(file_changes, style).write.mode(mode).partitionBy("repo").parquet(path)
+    _by_repo(file_version_records(file_changes, style), path, mode)
 
 
 def write_change_report(report: DataFrame, path: str, mode: str = "errorifexists") -> None:

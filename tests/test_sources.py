@@ -113,6 +113,38 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "j")).count() == 2
 
 
+_NAMES = ["007", "true", "2024-01-01", *(f"o/r{i}" for i in range(40))]
+
+
+def _of_many_repositories(spark):
+    """Two partitions that both hold files of every repository, some with names that look like other types."""
+    rows = [_file(f"{side}.py", repo) for side in "ab" for repo in _NAMES]
+    schema = "repo string, path string, status string, old_content string, new_content string, old_sha string, new_sha string"
+    return spark.createDataFrame(rows, schema).repartition(2, "path")
+
+
+def _repos_of_few_files(spark, path, n_files=2):
+    """Files grow with rows and partitions, not with repositories; each is sorted by repository, which stays text and last."""
+    back = spark.read.parquet(str(path))
+    assert back.columns[-1] == "repo" and dict(back.dtypes)["repo"] == "string"
+    assert len(list(path.rglob("*.parquet"))) <= n_files
+    for part in path.rglob("*.parquet"):
+        repos = [r.repo for r in spark.read.parquet(str(part)).select("repo").collect()]
+        assert repos == sorted(repos)
+    return sorted(r.repo for r in back.select("repo").collect())
+
+
+def test_file_versions_of_many_repositories_are_few_files(spark, tmp_path):
+    files = _of_many_repositories(spark)
+    K.write_file_versions(files, str(tmp_path / "v"), style=None)
+    assert _repos_of_few_files(spark, tmp_path / "v") == sorted(_NAMES * 2)
+    files.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(files.schema).parquet(str(tmp_path / "in"))
+    K.stream_into(stream, K.write_file_versions, str(tmp_path / "s"), style=None).awaitTermination()
+    assert _repos_of_few_files(spark, tmp_path / "s" / "epoch=0") == sorted(_NAMES * 2)
+    assert set(spark.read.parquet(str(tmp_path / "s")).columns) == {*spark.read.parquet(str(tmp_path / "v")).columns, "epoch"}
+
+
 def _file_stream(spark, folder, batches):
     schema = "repo string, path string, status string, old_content string, new_content string, old_sha string, new_sha string"
     for i, rows in enumerate(batches):
