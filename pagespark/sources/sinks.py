@@ -73,7 +73,7 @@ def write_file_versions(
 
 
 def write_change_report(report: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    report.write.mode(mode).partitionBy("repo").parquet(path)
+    _by_repo(report, path, mode)
 
 
 def stream_into(

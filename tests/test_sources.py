@@ -145,6 +145,12 @@ def test_file_versions_of_many_repositories_are_few_files(spark, tmp_path):
     assert set(spark.read.parquet(str(tmp_path / "s")).columns) == {*spark.read.parquet(str(tmp_path / "v")).columns, "epoch"}
 
 
+def test_a_change_report_of_many_repositories_is_few_files(spark, tmp_path):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    K.write_change_report(H.report(_of_many_repositories(spark)), str(tmp_path / "r"))
+    assert _repos_of_few_files(spark, tmp_path / "r", n) == sorted(_NAMES * 4)
+
+
 def _file_stream(spark, folder, batches):
     schema = "repo string, path string, status string, old_content string, new_content string, old_sha string, new_sha string"
     for i, rows in enumerate(batches):
