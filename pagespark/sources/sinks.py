@@ -48,9 +48,9 @@ def write_definition_diffs(
 ) -> None:
     """Diffs under ``path`` or, with ``related`` commits, in its folders ``diffs`` and ``commits``."""
     to = path if related is None else f"{path}/diffs"
-    diff_records(with_headers).write.mode(mode).partitionBy("repo").parquet(to)
+    _by_repo(diff_records(with_headers), to, mode)
     if related is not None:
-        related.write.mode(mode).partitionBy("repo").parquet(f"{path}/commits")
+        _by_repo(related, f"{path}/commits", mode)
 
 
 def file_version_records(file_changes: DataFrame, style: str | None = "comment") -> DataFrame:

@@ -151,6 +151,15 @@ def test_a_change_report_of_many_repositories_is_few_files(spark, tmp_path):
     assert _repos_of_few_files(spark, tmp_path / "r", n) == sorted(_NAMES * 4)
 
 
+def test_definition_diffs_of_many_repositories_are_few_files(spark, tmp_path):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = _of_many_repositories(spark)
+    related = files.select("repo", "path").withColumn("sha", F.lit("s"))
+    K.write_definition_diffs(C.diff_header(C.unified_diff(C.definition_changes(files)), files), str(tmp_path / "d"), related=related)
+    assert _repos_of_few_files(spark, tmp_path / "d" / "diffs", n) == sorted(_NAMES * 4)
+    assert _repos_of_few_files(spark, tmp_path / "d" / "commits") == sorted(_NAMES * 2)
+
+
 def _file_stream(spark, folder, batches):
     schema = "repo string, path string, status string, old_content string, new_content string, old_sha string, new_sha string"
     for i, rows in enumerate(batches):
