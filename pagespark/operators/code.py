@@ -101,6 +101,8 @@ def _both_sides(changed: DataFrame, versions: DataFrame) -> DataFrame:
 
 
 _SAME = "coalesce(old_sha = new_sha, old_digest <=> new_digest)"
+#: Marks cannot tell a sha from a digest: only texts say whether these files differ.
+_MIXED = "old and new and (old_sha is null) <> (new_sha is null)"
 _STATUS = "case when old is null then 'added' when new is null then 'removed' else 'modified' end"
 
 
@@ -122,8 +124,7 @@ def _differ(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 def _with_texts(changed: DataFrame) -> DataFrame:
     """Settle what marks could not, report sides whose bytes were no text, and tidy up."""
-    mixed = F.col("old") & F.col("new") & (F.col("old_sha").isNull() != F.col("new_sha").isNull())
-    alike = F.coalesce(mixed & F.col("old_content").eqNullSafe(F.col("new_content")), F.lit(False))
+    alike = F.coalesce(F.expr(_MIXED) & F.col("old_content").eqNullSafe(F.col("new_content")), F.lit(False))
     errors = [
         F.when(F.col(side) & F.col(f"{side}_content").isNull(), F.lit(f"{side} content is not text")) for side in ("old", "new")
     ]
@@ -437,14 +438,37 @@ def interval_changes(intervals: DataFrame) -> DataFrame:
     return found.groupBy("repo", "base_ref", "head_ref", "path").agg(*sides).withColumn("status", F.expr(_STATUS))
 
 
+def history_marks(versions: DataFrame, commits: DataFrame, since=None) -> DataFrame:
+    """Python files that may differ between neighbouring commits, without texts; see ``interval_changes``.
+
+    Runs its comparison when called: the changes are written once, as both sides of texts and definitions are looked up.
+    """
+    return written(interval_changes(version_intervals(versions, commits, since)))
+
+
+def history_texts(changed: DataFrame, versions: DataFrame) -> DataFrame:
+    """Files of ``history_marks`` that do differ, with their texts; see ``changed_files``."""
+    return _with_texts(_both_sides(changed, python_files(versions)))
+
+
 def history_files(versions: DataFrame, commits: DataFrame, since=None) -> DataFrame:
-    """Python files that differ between neighbouring commits, with their texts; see ``changed_files``.
+    """Python files that differ between neighbouring commits, with their texts; see ``changed_files``."""
+    return history_texts(history_marks(versions, commits, since), versions)
+
+
+def history_blobs(changed: DataFrame, versions: DataFrame) -> DataFrame:
+    """Files of ``history_marks`` that do differ, for ``definition_changes_from_store``: keys, and ``old_blob`` and ``new_blob``.
 
-    Runs its comparison when called: the changes are written once, as their texts are looked up on both sides.
+    A sha or a digest names a side's blob, so texts move only where one side has a sha and the other a digest.
     """
-    py = python_files(versions)
-    changed = written(interval_changes(version_intervals(versions, commits, since)))
-    return _with_texts(_both_sides(changed, py))
+    keys = file_keys(changed)
+    blobs = [F.coalesce(f"{side}_sha", f"{side}_digest").alias(f"{side}_blob") for side in ("old", "new")]
+    mixed = changed.filter(_MIXED)
+    if mixed.isEmpty():
+        return changed.select(*keys, *blobs)
+    settled = history_texts(mixed, versions).select(*keys)
+    unmixed = changed.filter(f"not coalesce({_MIXED}, false)")
+    return unmixed.unionByName(changed.join(settled, keys, "left_semi")).select(*keys, *blobs)
 
 
 # -- definitions by blob -----------------------------------------------------------------------------
@@ -498,14 +522,17 @@ def definitions_from_store(versions: DataFrame, store: DataFrame) -> DataFrame:
 def definition_changes_from_store(file_changes: DataFrame, store: DataFrame, key: str = "name") -> DataFrame:
     """What ``file_definition_changes`` gives, without parsing: both sides find their blob's definitions.
 
-    ``file_changes`` carries ``old_sha``, ``new_sha`` and, where one is NULL, that side's content.
+    ``file_changes`` carries ``old_blob`` and ``new_blob`` or else ``old_sha``, ``new_sha`` and, where one is NULL,
+    that side's content.
     """
     df = file_changes
     for side in ("old", "new"):
         content = F.col(f"{side}_content") if f"{side}_content" in df.columns else F.lit(None).cast("string")
         last = F.transform(f"last_of_{key}", lambda i: F.get(F.col("defs"), i))
         defs = store.select(F.col("blob").alias(f"{side}_blob"), last.alias(f"{side}_defs"))
-        df = df.withColumn(f"{side}_blob", _blob(F.col(f"{side}_sha"), F.nullif(content, F.lit("")))).join(defs, f"{side}_blob", "left")
+        if f"{side}_blob" not in df.columns:
+            df = df.withColumn(f"{side}_blob", _blob(F.col(f"{side}_sha"), F.nullif(content, F.lit(""))))
+        df = df.join(defs, f"{side}_blob", "left")
         df = df.withColumn(f"{side}_defs", F.coalesce(f"{side}_defs", F.array().cast(f"array<struct<{DEFINITION_DDL}>>"))).drop(f"{side}_blob", f"{side}_content")
     return _paired(df, key)
 

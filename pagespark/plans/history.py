@@ -18,14 +18,14 @@ def analyze_refs(versions: DataFrame, base: str, head: str, key: str = "name") -
 def history(versions: DataFrame, commits: DataFrame, since=None, key: str = "name") -> tuple[DataFrame, DataFrame]:
     """The same for each pair of neighbouring commits since a point in time; rows carry base_ref and head_ref.
 
-    Pairs read the intervals of file states, and each distinct blob is parsed once.  Runs its comparison and its
-    parse when called.
+    Pairs read the intervals of file states, and each distinct blob is parsed once.  Changed definitions are found by
+    blob, so only ``files`` looks up texts.  Runs its comparison and its parse when called.
     """
     valid = C.valid_repos(versions)
-    files = C.history_files(valid, commits, since)
-    keys = C.file_keys(files)
-    changes = C.definition_changes_from_store(files.select(*keys, "old_sha", "new_sha", "old_content", "new_content"), C.parse_store(valid), key)
-    return files, changes.select(*keys, F.inline("changes"))
+    changed = C.history_marks(valid, commits, since)
+    blobs = C.history_blobs(changed, valid)
+    changes = C.definition_changes_from_store(blobs, C.parse_store(valid), key)
+    return C.history_texts(changed, valid), changes.select(*C.file_keys(blobs), F.inline("changes"))
 
 
 def report(file_changes: DataFrame, key: str = "name") -> DataFrame:

@@ -296,6 +296,26 @@ def test_history_equals_pairwise_comparison(spark):
     assert sorted(map(tuple, defs.select(columns).collect()), key=repr) == sorted(map(tuple, want.select(columns).collect()), key=repr)
 
 
+def test_changes_of_a_history_look_up_no_texts(spark):
+    """Also where a side has no sha; texts settle only those pairs of which one side has a sha and the other none."""
+    one, two = "def f(): return 1\n", "def f(): return 2\n"
+    states = {
+        "m.py": [(one, "x"), (two, "y"), (two, "y"), (one, "x")],
+        "n.py": [(one, None), (two, None), (None, None), (one, None)],
+        "k.py": [(one, "x"), (one, None), (two, "y"), (one, None)],
+    }
+    rows = [("o/r", f"c{i:03d}", path, *state) for path, of in states.items() for i, state in enumerate(of)]
+    for paths in (["m.py", "n.py"], ["m.py", "n.py", "k.py"]):
+        versions, commits = spark.createDataFrame([r for r in rows if r[2] in paths], VERSIONS), _commits(spark, 4)
+        files, defs = H.history(versions, commits)
+        if "k.py" not in paths:
+            assert "content" not in defs._jdf.queryExecution().optimizedPlan().toString()
+        plain = C.changed_files_of_pairs(versions, C.commit_pairs(commits))
+        for got, want in ((files, plain), (defs, C.definition_changes(plain))):
+            columns = sorted(want.columns)
+            assert sorted(map(tuple, got.select(columns).collect()), key=repr) == sorted(map(tuple, want.select(columns).collect()), key=repr)
+
+
 def test_a_blob_of_many_pairs_is_parsed_once(spark, tmp_path):
     blobs = {"s0": "def f(): return 0\n", "s1": "def f(): return 1\ndef f(): return 2\n"}
     rows = [("o/r", f"c{i:03d}", f"m{p}.py", blobs[f"s{i % 2}"], f"s{i % 2}") for i in range(101) for p in range(3)]
