@@ -1,9 +1,13 @@
 """Tree rules of the HTML kernel, on hand-written pages."""
 
 import random
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
 
+from pagespark.operators import dom as D
 from pagespark.operators.html_kernel import Document, chunked, xpaths
 
 
@@ -150,3 +154,22 @@ def test_intervals_on_random_tag_soup():
                 assert n.parent.nid < n.nid and n.end <= n.parent.end
                 assert n.depth == n.parent.depth + 1
         assert doc.nodes[0].text_end == len(doc.full_text)
+
+
+class _Pages:
+    """What ``parse_pages`` asks of a frame; gives its kernel instead of running it."""
+
+    schema = T.StructType().add("page_id", "long").add("html", "string")
+    columns = ["page_id", "html"]
+    sparkSession = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default))
+
+    def mapInArrow(self, kernel, schema):
+        return kernel
+
+
+def test_a_worker_holds_the_nodes_of_a_few_pages_at_once(spark):
+    html = ["<p>" + "word " * 2000] * 200
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(200)), "html": html})
+    got = list(D.parse_pages(_Pages(), ["tag"])(iter([batch])))
+    assert [i for b in got for i in b.column(0).to_pylist()] == list(range(200))
+    assert max(b.num_rows for b in got) * len(html[0]) < 600_000
