@@ -148,7 +148,8 @@ def changed_files(versions: DataFrame, base: str, head: str) -> DataFrame:
     keys = ["repo", "path"]
     texts = might_hold(py.filter(F.col("ref").isin(base, head)).select(*keys, "ref", "content"), key_filter(changed, keys), keys)
     sides = [F.max(F.when(F.col("ref") == ref, F.col("content"))).alias(f"{side}_content") for side, ref in (("old", base), ("new", head))]
-    return _with_texts(changed.join(texts.groupBy(*keys).agg(*sides), keys, "left"))
+    # both are grouped by file already: a merge costs no exchange, and texts are never broadcast
+    return _with_texts(changed.join(texts.groupBy(*keys).agg(*sides).hint("merge"), keys, "left"))
 
 
 def changed_files_of_pairs(versions: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -727,8 +728,9 @@ def diff_header(def_changes: DataFrame, file_changes: DataFrame, related: DataFr
     if related is None:
         files = files.withColumn("_related", F.lit(0))
     else:
-        files = files.join(related.groupBy(*keys).agg(F.count("*").alias("_related")), keys, "left")
-    df = def_changes.join(files, keys)
+        files = files.join(related.groupBy(*keys).agg(F.count("*").alias("_related")).hint("merge"), keys, "left")
+    # Spark takes texts and lists for 20 bytes each: unless told, it may broadcast all diffs as a small table
+    df = def_changes.hint("merge").join(files, keys)
 
     # Labels and rules of the header.
     def line(label: str, value: Column) -> Column:

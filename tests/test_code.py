@@ -206,6 +206,43 @@ def test_diffs_and_headers(spark, versions):
     assert sinks.diff_records(full.withColumn("diff", F.lit(" "))).count() == 0
 
 
+_LONG = 'def f():\n    """' + "x" * 100_000 + '"""\n    return %d\n'
+
+
+def _with_broadcasts_of(spark, size, df):
+    """Rows of a frame, where a larger broadcast fails."""
+    setting = "spark.sql.maxBroadcastTableSize"
+    before = spark.conf.get(setting)
+    try:
+        spark.conf.set(setting, size)
+        return df.collect()
+    finally:
+        spark.conf.set(setting, before)
+
+
+def test_texts_of_changed_files_are_not_broadcast(spark, tmp_path):
+    """Compressed, 6 MB of texts look small to Spark; the bit map of their keys takes less than the 2 MB that may be sent."""
+    rows = [("o/r", ref, f"m{i}.py", _LONG % n, f"{ref}{i}") for n, ref in enumerate("ab") for i in range(30)]
+    spark.createDataFrame(rows, VERSIONS).write.parquet(str(tmp_path / "v"))
+    files = C.changed_files(spark.read.parquet(str(tmp_path / "v")), "a", "b")
+    got = _with_broadcasts_of(spark, "2m", files.select("path", "status", F.length("old_content"), F.length("new_content")))
+    assert sorted(map(tuple, got)) == sorted((f"m{i}.py", "modified", len(_LONG) - 1, len(_LONG) - 1) for i in range(30))
+
+
+def test_diffs_and_files_of_headers_are_not_broadcast(spark, tmp_path):
+    rows = [("o/r", f"m{i}.py", "modified", _LONG % 0, _LONG % 1, f"a{i}", f"b{i}") for i in range(30)]
+    schema = "repo string, path string, status string, old_content string, new_content string, old_sha string, new_sha string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "f"))
+    files = spark.read.parquet(str(tmp_path / "f"))
+    related = files.select("repo", "path", F.explode(F.array(F.lit("s"), F.lit("t"))).alias("sha"))
+    for commits, shown in ((None, ""), (related, "# Related commits: 2\n")):
+        diffs = sinks.diff_records(C.diff_header(C.unified_diff(C.definition_changes(files)), files, commits))
+        found = {r.path: r for r in _with_broadcasts_of(spark, "1k", diffs)}
+        assert sorted(found) == sorted(f"m{i}.py" for i in range(30))
+        assert all(f"# Old SHA: a{p[1:-3]}\n# New SHA: b{p[1:-3]}\n{shown}#=" in r.text for p, r in found.items())
+        assert all(r.diff.endswith("-    return 0\n+    return 1") and len(r.diff) > 100_000 for r in found.values())
+
+
 def test_side_by_side(versions):
     files = C.changed_files(versions, "a", "b").filter("path = 'm.py'")
     texts = {r.name: r.comparison for r in C.side_by_side(C.definition_changes(files)).collect()}
